@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from learnspark.llm import rendezvous, simhash
+from learnspark.llm import packing, quality_rules, rendezvous, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op6_rendezvous": rendezvous.op6_rendezvous,
+    "op8_packing": packing.op8_packing,
+    "op10_risk_rules": quality_rules.op10_risk_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

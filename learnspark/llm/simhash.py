@@ -99,18 +99,18 @@ def correlated_partitions(both: np.ndarray, n: int, m: int) -> list[list[int]]:
 
 
 def partition_count(n: int, radius: int) -> int:
-    """The most partitions for which a fingerprint meets less than one chance candidate.
+    """The number of partitions with the least work for each of n fingerprints: keys probed plus chance hits.
 
-    With m partitions of 64/m bits, equal thresholds and even bits, n fingerprints meet n * keys /
-    2^(64/m) others each. More partitions need fewer keys; fewer keep the buckets small, so m falls
-    slowly as n grows and the work stays in proportion to n.
+    With m partitions of 64/m bits, equal thresholds and even bits, a fingerprint probes some keys
+    and each key meets n / 2^(64/m) others. Few partitions keep the buckets small, many need few keys.
     """
-    for m in range(radius + 1, 1, -1):
+
+    def work(m: int) -> float:
         each, more = divmod(radius + 1, m)
         keys = sum(_keys(64 // m, each - 1 + (i < more)) for i in range(m))
-        if n * keys / 2.0 ** (64 / m) < 1:
-            return m
-    return 2
+        return keys * (1 + n / 2.0 ** (64 / m))
+
+    return min(range(2, max(2, radius + 1) + 1), key=work)
 
 
 def _keys(width: int, t: int) -> int:

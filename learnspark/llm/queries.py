@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from learnspark.llm import packing, quality_rules, rendezvous, simhash
+from learnspark.llm import embedding_dedup, packing, quality_rules, rendezvous, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op5_int8_tiles": embedding_dedup.op5_int8_tiles,
     "op6_rendezvous": rendezvous.op6_rendezvous,
     "op8_packing": packing.op8_packing,
     "op10_risk_rules": quality_rules.op10_risk_rules,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from learnspark.llm import embedding_dedup, packing, quality_rules, rendezvous, simhash
+from learnspark.llm import embedding_dedup, packing, quality_rules, rendezvous, simhash, surrogates
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_surrogates": surrogates.op4_surrogates,
     "op5_int8_tiles": embedding_dedup.op5_int8_tiles,
     "op6_rendezvous": rendezvous.op6_rendezvous,
     "op8_packing": packing.op8_packing,

@@ -14,8 +14,8 @@ Sequence numbers are unique but not gapless: partition number * 2^40 + number in
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +39,77 @@ class Encoder:
     """Ids of texts under word_bpe_49k.json, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in turn; each distinct word is encoded once while it is remembered.
+    words in turn. It also splits words into runs of letters, digits and other characters before it
+    merges within each, and the last token of a run is marked as such; new runs are thus encoded
+    many at a time, divided by spaces, and told apart by those marks. Words where that split is not
+    certain beforehand (marks, special tokens) are encoded each by itself.
     """
 
+    #: How the tokenizer splits lower-case text (fixed values, from its file).
+    RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs, self.marks = regex.compile(self.RUNS).findall, regex.compile(r"\p{M}").search
+        self.known: dict[bytes, bytes] = {}
+        self.known_runs: dict[str, bytes] = {}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        known = self.known_runs
+        new = [r for r in dict.fromkeys(runs) if r not in known]
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(new):
+            raw, at = ids.tobytes(), 0
+            for r, stop in zip(new, (4 * stops).tolist(), strict=True):
+                known[r] = raw[at:stop]
+                at = stop
+        else:
+            known.update((r, self._alone(r)) for r in new)
+
+    def _learn(self, words: list[bytes]) -> None:
+        split, runs = [], []
+        for w in words:
+            text = w.decode()
+            low = text.lower()
+            if b"<|" in w or not (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not self.marks(low)):
+                self.known[w] = self._alone(text)
+                continue
+            parts = [low] if low.isascii() and low.isalpha() else self.runs(low)
+            split.append((w, parts))
+            runs += parts
+        if len(self.known_runs) + len(runs) > CACHE_WORDS:
+            self.known_runs.clear()
+        if runs:
+            self._learn_runs(runs)
+        get = self.known_runs.__getitem__
+        for w, parts in split:
+            self.known[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Remembers the words of all texts, in one go where they are new."""
+        words = set()
+        for t in texts:
+            words.update(t.split())
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = list(words)
+        for s in range(0, len(new), 20_000):
+            self._learn(new[s : s + 20_000])
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        words, known = raw.split(), self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for s in range(0, len(new), 1000):
-                batch = new[s : s + 1000]
-                encoded = self.tokenizer.encode_batch([w.decode() for w in batch], add_special_tokens=False)
-                known.update(zip(batch, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        """Ids of a text that learn() has been given last."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, raw.split())), "<u4")
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -128,12 +180,16 @@ def packed(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(raw.as_py() or b""), np.uint32(END)).astype("<u4")
-                held.append((doc_id, ids))
-                tokens += len(ids)
-                if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
-                    yield flush()
+            for s in range(0, b.num_rows, 200):
+                some = b.slice(s, 200)
+                texts = [t or b"" for t in some.column(1).to_pylist()]
+                encode.learn(texts)
+                for doc_id, raw in zip(some.column(0).to_pylist(), texts, strict=True):
+                    ids = np.append(encode(raw), np.uint32(END)).astype("<u4")
+                    held.append((doc_id, ids))
+                    tokens += len(ids)
+                    if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
+                        yield flush()
         if held:
             yield flush()
 

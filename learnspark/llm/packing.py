@@ -42,7 +42,7 @@ class Encoder:
     words in turn. It also splits words into runs of letters, digits and other characters before it
     merges within each, and the last token of a run is marked as such; new runs are thus encoded
     many at a time, divided by spaces, and told apart by those marks. Words where that split is not
-    certain beforehand (marks, special tokens) are encoded each by itself.
+    certain beforehand (marks, capital sigma, special tokens) are encoded each by itself.
     """
 
     #: How the tokenizer splits lower-case text (fixed values, from its file).
@@ -81,7 +81,7 @@ class Encoder:
         for w in words:
             text = w.decode()
             low = text.lower()
-            if b"<|" in w or not (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not self.marks(low)):
+            if b"<|" in w or "\u03a3" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not self.marks(low)):
                 self.known[w] = self._alone(text)
                 continue
             parts = [low] if low.isascii() and low.isalpha() else self.runs(low)

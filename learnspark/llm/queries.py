@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnspark.llm import embedding_dedup, packing, quality_rules, rendezvous, simhash, surrogates
+from learnspark.llm import embedding_dedup, packing, piece_fst, quality_rules, rendezvous, simhash, surrogates
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_int8_tiles": embedding_dedup.op5_int8_tiles,
     "op6_rendezvous": rendezvous.op6_rendezvous,
     "op8_packing": packing.op8_packing,
+    "op9_piece_fst": piece_fst.op9_piece_fst,
     "op10_risk_rules": quality_rules.op10_risk_rules,
 }
 

@@ -31,7 +31,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: A block is packed when it holds so many tokens or documents; one more document may exceed it.
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 4_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -79,12 +79,18 @@ class Encoder:
     def _learn(self, words: list[bytes]) -> None:
         split, runs = [], []
         for w in words:
+            if w.isalpha() or (w[:-1].isalpha() and w[-1:] in b".,;:!?"):  # bytes: ASCII letters only
+                low = w.lower().decode()
+                parts = [low] if w.isalpha() else [low[:-1], low[-1]]
+                split.append((w, parts))
+                runs += parts
+                continue
             text = w.decode()
             low = text.lower()
             if b"<|" in w or "\u03a3" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not self.marks(low)):
                 self.known[w] = self._alone(text)
                 continue
-            parts = [low] if low.isascii() and low.isalpha() else self.runs(low)
+            parts = self.runs(low)
             split.append((w, parts))
             runs += parts
         if len(self.known_runs) + len(runs) > CACHE_WORDS:
@@ -95,21 +101,18 @@ class Encoder:
         for w, parts in split:
             self.known[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
-    def learn(self, texts: list[bytes]) -> None:
-        """Remembers the words of all texts, in one go where they are new."""
-        words = set()
-        for t in texts:
-            words.update(t.split())
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; their new words are encoded in one go."""
+        split = [t.split() for t in texts]
+        words = set().union(*split)
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(words)
         for s in range(0, len(new), 20_000):
             self._learn(new[s : s + 20_000])
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        """Ids of a text that learn() has been given last."""
-        return np.frombuffer(b"".join(map(self.known.__getitem__, raw.split())), "<u4")
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in split]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -182,10 +185,9 @@ def packed(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 some = b.slice(s, 200)
-                texts = [t or b"" for t in some.column(1).to_pylist()]
-                encode.learn(texts)
-                for doc_id, raw in zip(some.column(0).to_pylist(), texts, strict=True):
-                    ids = np.append(encode(raw), np.uint32(END)).astype("<u4")
+                encoded = encode([t or b"" for t in some.column(1).to_pylist()])
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    ids = np.append(ids, np.uint32(END)).astype("<u4")
                     held.append((doc_id, ids))
                     tokens += len(ids)
                     if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from learnspark.llm import embedding_dedup, packing, piece_fst, quality_rules, rendezvous, simhash, surrogates
+from learnspark.llm import embedding_dedup, packing, piece_fst, pitman_yor, quality_rules, quote_threads, rendezvous, simhash, substring_dedup, surrogates
 
 QUERIES = {
+    "op1_quote_threads": quote_threads.op1_quote_threads,
     "op2_simhash": simhash.op2_simhash,
+    "op3_substring": substring_dedup.op3_substring,
     "op4_surrogates": surrogates.op4_surrogates,
     "op5_int8_tiles": embedding_dedup.op5_int8_tiles,
     "op6_rendezvous": rendezvous.op6_rendezvous,
+    "op7_pitman_yor": pitman_yor.op7_pitman_yor,
     "op8_packing": packing.op8_packing,
     "op9_piece_fst": piece_fst.op9_piece_fst,
     "op10_risk_rules": quality_rules.op10_risk_rules,
 }
 
+#: None: fingerprints, hashes (XXH64, CRC-32), tokenizers and sampling are beyond DuckDB's SQL, and
+#: what it could express is too slow over whole tables. tests/llm holds each query against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -6,8 +6,8 @@ into the kind's own form: digits for digits in the format of the place, a valid
 of the same script and, for given names, the same gender. So each mention of an entity, in any
 document and format, gets the same surrogate. Distinct entities must get distinct surrogates and no
 surrogate may be a real entity: surrogates of all entities of the corpus are grouped, and every
-entity but one of a collision tries again with its next attempt until none is left. Attempts above
-zero, usually none, are the only thing that is joined to the documents.
+entity but one of a collision tries again with its next attempt until none is left. Only documents
+with matches are joined to the surrogates; the others pass through in place.
 
 Defined results: a null text stays null; a text without entities stays as it is; rows that repeat a
 doc_id are replaced each for itself; an empty table gives an empty result; all other columns pass
@@ -37,6 +37,8 @@ KINDS = {
     "name": r"(?<!\p{L})(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Every match of the other kinds holds one of these; texts without them, most texts, are passed over quickly.
+HINT = r"[0-9@]|=\x20?[\"']|(?i:passw|pwd=)"
 #: Syllables of made-up names: consonants, vowels, end of a woman's and of a man's given name, by script.
 SCRIPTS = {
     "latin": ("bdfgklmnprstvzhj", "aeiouaeiouaeioua", "a", "n"),
@@ -91,7 +93,7 @@ def _parts(e: Column) -> Column:
 
 
 def _refit(m: Column, letters: Column, digits: Column) -> Column:
-    """m with letters and digits, place by place, from the two streams; case is kept."""
+    """m with letters and digits, place by place, from the two streams of 64; case is kept."""
     at = lambda s, i: s.substr(F.pmod(i, F.lit(64)) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
@@ -100,30 +102,50 @@ def _refit(m: Column, letters: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(m, ""), one), "")
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate's normal form; for a name part, the lower-case name."""
-    h = F.sha2(F.concat_ws("\x01", F.lit(key), kind, norm, attempt.cast("string")), 256)
-    digits, letters = F.translate(h, "abcdef", "274953"), F.translate(h, HEX, "bcdfghjklmnpqrst")
-    first = lambda n: F.translate(digits.substr(n, 1), "01", "68")  # noqa: E731  2 to 9
-    host = F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("host"), F.substring_index(norm, "@", -1)), 256)
+def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, norm, attempt) plus `sur`, the surrogate's normal form; for a name part, the lower-case name."""
+    kind, norm, h, digits, letters = (F.col(c) for c in ("kind", "norm", "_h", "_digits", "_letters"))
+    keyed = lambda *c: F.sha2(F.concat_ws("\x01", F.lit(key), *c), 256)
+    out = entities.withColumn("_h", keyed(kind, norm, F.col("attempt").cast("string")))
+    out = out.withColumn("_digits", F.translate(h, "abcdef", "274953")).withColumn("_letters", F.translate(h, HEX, "bcdfghjklmnpqrst"))
     local = F.substring_index(norm, "@", 1)
-    email = F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), F.lit("@"), F.translate(host.substr(1, 10), HEX, "bcdfghjklmnpqrst"), F.lit(".example.com"))
+    host = F.translate(keyed(F.lit("host"), F.substring_index(norm, "@", -1)).substr(1, 10), HEX, "bcdfghjklmnpqrst")
+    first = lambda n: F.translate(digits.substr(n, 1), "01", "68")  # noqa: E731  2 to 9
     octet = lambda n, low, size: (F.conv(h.substr(n, 4), 16, 10).cast("int") % size + low).cast("string")
-    ip = F.concat_ws(".", octet(1, 1, 223), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254))
-    body = F.concat(norm.substr(1, 1), digits.substr(F.lit(1), F.length(norm) - 2))
-    card = F.concat(body, F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string"))
-    phone = F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(digits.substr(F.lit(1), F.length(norm)))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-    out = out.when(kind == "ssn", F.concat(F.lit("9"), digits.substr(1, 8))).when(kind == "key", F.concat(F.lit("AKIA"), F.upper(F.translate(h.substr(1, 16), "01", "yz"))))
-    out = out.when(kind == "secret", F.when(F.upper(norm) == norm, F.upper(F.repeat(h, F.lit(2)))).otherwise(F.repeat(h, F.lit(2))).substr(F.lit(1), F.length(norm)))
-    made = None
-    for script, (consonants, vowels, woman, man) in SCRIPTS.items():
-        c, v = F.translate(h, HEX, consonants), F.translate(h, HEX, vowels)
-        word = F.concat(*[x.substr(i, 1) for i in (1, 3, 5) for x in (c, v)], c.substr(7, 1))
-        word = F.when(kind == "given-f", F.concat(word, F.lit(woman))).when(kind == "given-m", F.concat(word, v.substr(8, 1), F.lit(man))).otherwise(F.concat(word, v.substr(9, 1), c.substr(10, 1)))
-        inside = norm.rlike({"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}[script])
-        made = F.when(inside, word) if made is None else made.when(inside, word)
-    return out.when(kind.isin("given-f", "given-m", "family"), made).otherwise(_refit(norm, letters, digits))
+    out = out.withColumn("_body", F.when(kind == "card", F.concat(norm.substr(1, 1), digits.substr(F.lit(1), F.length(norm) - 2))))
+    body = F.col("_body")
+    script = F.lit("none")
+    for name, marks in {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}.items():
+        script = F.when(norm.rlike(marks), name).otherwise(script)
+
+    def of(k: int, make=F.lit) -> Column:
+        """Part k of the script's row in SCRIPTS."""
+        value = F.lit(None).cast("string")
+        for name, row in SCRIPTS.items():
+            value = F.when(F.col("_script") == name, make(row[k])).otherwise(value)
+        return value
+
+    stream = lambda k: of(k, lambda x: F.translate(h, HEX, x))
+    out = out.withColumn("_script", script).withColumn("_c", stream(0)).withColumn("_v", stream(1))
+    c, v = F.col("_c"), F.col("_v")
+    word = F.concat(*[x.substr(i, 1) for i in (1, 3, 5) for x in (c, v)], c.substr(7, 1))
+    values = {
+        "email": F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), F.lit("@"), host, F.lit(".example.com")),
+        "ip": F.concat_ws(".", octet(1, 1, 223), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254)),
+        "card": F.concat(body, F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string")),
+        "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(digits.substr(F.lit(1), F.length(norm))),
+        "ssn": F.concat(F.lit("9"), digits.substr(1, 8)),
+        "key": F.concat(F.lit("AKIA"), F.upper(F.translate(h.substr(1, 16), "01", "yz"))),
+        "secret": F.when(F.upper(norm) == norm, F.upper(F.repeat(h, F.lit(2)))).otherwise(F.repeat(h, F.lit(2))).substr(F.lit(1), F.length(norm)),
+        "given-f": F.concat(word, of(2)),
+        "given-m": F.concat(word, v.substr(8, 1), of(3)),
+        "family": F.concat(word, v.substr(9, 1), c.substr(10, 1)),
+        "password": _refit(norm, letters, digits),
+    }
+    sur = None
+    for name, value in values.items():
+        sur = F.when(kind == name, value) if sur is None else sur.when(kind == name, value)
+    return out.withColumn("sur", sur).drop("_h", "_digits", "_letters", "_body", "_script", "_c", "_v")
 
 
 def _placed(e: Column, parts: Column) -> Column:
@@ -140,46 +162,44 @@ def _placed(e: Column, parts: Column) -> Column:
     return F.when(e["kind"].isNull(), e["m"]).when(e["kind"].isin("phone", "card", "ssn"), spread).when(e["kind"] == "name", name).otherwise(sur)
 
 
-def attempts(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt) of the entities whose attempt is above zero. entities: distinct (kind, norm)."""
-    moved = entities.select("kind", "norm", F.lit(0).alias("attempt")).limit(0)
+def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, attempt, sur) of distinct (kind, norm): no two surrogates of a kind are equal, none is an entity."""
+    now = cut(with_surrogate(entities.withColumn("attempt", F.lit(0)), key))
     while True:
-        now = entities.join(moved, ["kind", "norm"], "left").select("kind", "norm", F.coalesce("attempt", F.lit(0)).alias("attempt"))
-        now = now.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
         # of equals, the entity settled earlier keeps its surrogate
         turn = F.row_number().over(Window.partitionBy("kind", "sur").orderBy("attempt", "norm"))
         real = entities.select(F.col("kind").alias("k2"), F.col("norm").alias("n2"), F.lit(True).alias("taken"))
         ranked = now.withColumn("turn", turn).join(real, (F.col("kind") == F.col("k2")) & (F.col("sur") == F.col("n2")), "left")
         lost = cut(ranked.where("turn > 1 or taken").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")))
         if lost.isEmpty():
-            return moved
-        moved = cut(moved.join(lost, ["kind", "norm"], "left_anti").unionByName(lost))
+            return now
+        now = cut(now.join(lost, ["kind", "norm"], "left_anti").unionByName(with_surrogate(lost, key)))
 
 
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's entities replaced, and their number in `_entities`."""
-    text = F.col(text_col)
-    found = docs.withColumn("_hits", _entities(F.regexp_extract_all(text, F.lit(ANY), 0)))
-    seen = docs.select(text.alias("t"), F.col(id_col).alias("d")).select("d", _entities(F.regexp_extract_all("t", F.lit(ANY), 0)).alias("hits")).where("size(hits) > 0")
-    seen = cut(seen.select("d", F.explode("hits").alias("e")).select("d", F.explode(_parts(F.col("e"))).alias("p")).select("d", "p.kind", "p.norm"))
-    moved = attempts(cut(seen.select("kind", "norm").distinct()), key)
-    told = F.lit(None).cast("map<string,int>")
-    if not moved.isEmpty():
-        per = seen.join(moved, ["kind", "norm"]).select("d", F.struct(F.concat_ws("\x01", "kind", "norm"), "attempt").alias("x")).groupBy("d").agg(F.map_from_entries(F.collect_set("x")).alias("_moved"))
-        found = found.join(per, F.col(id_col).eqNullSafe(F.col("d")), "left").drop("d")
-        told = F.col("_moved")
+    """docs with the text's entities replaced, and their number in `_entities`.
+
+    Only the documents with matches are shuffled; the others pass through.
+    """
+    text, row = F.col(text_col), F.xxhash64(text_col)
+    all_hits = F.regexp_extract_all(text, F.lit(ANY), 0)
+    hit = F.coalesce(F.when(text.rlike(HINT) | text.rlike(KINDS["name"]), text.rlike(ANY)), F.lit(False))
+    clean = docs.where(~hit).withColumn("_entities", F.lit(0))
+    found = cut(docs.where(hit).withColumn("_hits", _entities(all_hits)).withColumn("_row", row))
+    seen = found.select(F.col(id_col).alias("d"), F.col("_row").alias("r"), F.explode("_hits").alias("e")).select("d", "r", F.explode(_parts(F.col("e"))).alias("p")).select("d", "r", "p.kind", "p.norm").distinct()
+    seen = cut(seen)
+    known = distinct_surrogates(cut(seen.select("kind", "norm").distinct()), key)
+    pair = F.struct(F.concat_ws("\x01", "kind", "norm"), "sur")
+    per = seen.join(known, ["kind", "norm"]).groupBy("d", "r").agg(F.map_from_entries(F.collect_list(pair)).alias("_told"))
+    told = F.col("_told")
 
     def replaced(e: Column) -> Column:
-        def one(p: Column) -> Column:
-            n = F.coalesce(told[F.concat_ws("\x01", p["kind"], p["norm"])], F.lit(0)) if told is not None else F.lit(0)
-            return surrogate(p["kind"], p["norm"], n, key)
-
-        return _placed(e, F.transform(_parts(e), one))
+        return _placed(e, F.transform(_parts(e), lambda p: told[F.concat_ws("\x01", p["kind"], p["norm"])]))
 
-    pieces = F.split(text, ANY, -1)
-    new = F.array_join(F.zip_with(pieces, F.transform("_hits", replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    out = found.withColumn(text_col, F.when(F.size("_hits") > 0, new).otherwise(text))
-    return out.withColumn("_entities", F.coalesce(F.size(F.filter("_hits", lambda e: e["kind"].isNotNull())), F.lit(0))).drop("_hits", "_moved")
+    new = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform("_hits", replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    joined = found.join(per, F.col(id_col).eqNullSafe(F.col("d")) & (F.col("_row") == F.col("r")), "left").drop("d", "r")
+    done = joined.withColumn(text_col, new).withColumn("_entities", F.size(F.filter("_hits", lambda e: e["kind"].isNotNull())))
+    return clean.unionByName(done.select(*clean.columns))
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

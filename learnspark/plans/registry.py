@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import inspect
+
+from learnspark.plans import queries
+from learnspark.plans.oracle import ORACLE_SQL
+
+QUERIES = {name: f for name, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not name.startswith("_")}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

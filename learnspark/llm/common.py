@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows for the jobs run inside, where each row is large."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    spark.conf.set(option, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnspark.llm.common import connected_components, cut, table
+from learnspark.llm.common import arrow_rows, connected_components, cut, table
 
 THRESHOLD = 0.95
 TILE = 2048
@@ -155,13 +155,8 @@ def tile_links(found: DataFrame, threshold: float) -> DataFrame:
                 hit = links > 0
                 yield pa.RecordBatch.from_pydict({"rep": rep[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
 
-    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(option)
-    spark.conf.set(option, 8)  # a row holds two tiles
-    try:
+    with arrow_rows(spark, 8):  # a row holds two tiles
         return cut(both.select("ci", "cj", "chunk1", "chunk2", "rep1", "rep2", "n1", "n2", "vec1", "vec2").mapInArrow(product, "rep long, links long, root long"))
-    finally:
-        spark.conf.set(option, before)
 
 
 def components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:

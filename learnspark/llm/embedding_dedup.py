@@ -109,7 +109,8 @@ def tile_links(found: DataFrame, threshold: float) -> DataFrame:
                 best = near.argmax(axis=1)
                 angle = np.arccos(np.clip(near[np.arange(len(x)), best], -1, 1))
                 out.append(pd.DataFrame({"rep": rows["rep"], "n": rows["n"], "vec": rows["vec"], "size": size, "cell": first + best, "angle": angle}))
-            yield pd.concat(out)
+            if out:
+                yield pd.concat(out)
 
     kind = found.schema["vec"].dataType.simpleString()
     placed = cut(found.mapInPandas(dealt, f"rep long, n long, vec {kind}, size int, cell long, angle double"))

@@ -186,18 +186,18 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     hit = F.coalesce(F.when(text.rlike(HINT) | text.rlike(KINDS["name"]), text.rlike(ANY)), F.lit(False))
     clean = docs.where(~hit).withColumn("_entities", F.lit(0))
     found = cut(docs.where(hit).withColumn("_hits", _entities(all_hits)).withColumn("_row", row))
-    seen = found.select(F.col(id_col).alias("d"), F.col("_row").alias("r"), F.explode("_hits").alias("e")).select("d", "r", F.explode(_parts(F.col("e"))).alias("p")).select("d", "r", "p.kind", "p.norm").distinct()
+    seen = found.select(F.col(id_col).alias("_d"), F.col("_row").alias("_r"), F.explode("_hits").alias("e")).select("_d", "_r", F.explode(_parts(F.col("e"))).alias("p")).select("_d", "_r", "p.kind", "p.norm").distinct()
     seen = cut(seen)
     known = distinct_surrogates(cut(seen.select("kind", "norm").distinct()), key)
     pair = F.struct(F.concat_ws("\x01", "kind", "norm"), "sur")
-    per = seen.join(known, ["kind", "norm"]).groupBy("d", "r").agg(F.map_from_entries(F.collect_list(pair)).alias("_told"))
+    per = seen.join(known, ["kind", "norm"]).groupBy("_d", "_r").agg(F.map_from_entries(F.collect_list(pair)).alias("_told"))
     told = F.col("_told")
 
     def replaced(e: Column) -> Column:
         return _placed(e, F.transform(_parts(e), lambda p: told[F.concat_ws("\x01", p["kind"], p["norm"])]))
 
     new = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform("_hits", replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    joined = found.join(per, F.col(id_col).eqNullSafe(F.col("d")) & (F.col("_row") == F.col("r")), "left").drop("d", "r")
+    joined = found.join(per, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r")
     done = joined.withColumn(text_col, new).withColumn("_entities", F.size(F.filter("_hits", lambda e: e["kind"].isNotNull())))
     return clean.unionByName(done.select(*clean.columns))
 

@@ -25,7 +25,6 @@ go; an empty table gives an empty result; other columns pass through unchanged.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ from learnspark.llm.common import cut, drop_cut, table
 WINDOW, GRAM = 20, 6
 #: Words in a reference shard.
 SHARD_WORDS = 50_000
+KNOWN = 300_000
 #: A filter has 16 bits a key between these bounds: 16 MB at most.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -54,8 +54,17 @@ class Hashes:
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    #: Hashes of words met before; a worker remembers up to KNOWN.
+    _known: dict[bytes, int] = {}
+
     def __init__(self, words: list[bytes]):
-        self.h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, len(words))
+        known = self._known
+        if new := set(words).difference(known):
+            if len(known) > KNOWN:
+                known.clear()
+                new = set(words)
+            known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+        self.h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         self.sums: list[np.ndarray | None] = [None, None]
 
     @classmethod
@@ -74,6 +83,16 @@ class Hashes:
         return _mix((self.sums[k][stop] - self.sums[k][start]) * down[start] + (stop - start).astype(np.uint64))
 
 
+def _window_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` values, the place of its least, the first of equals; windows double in size."""
+    at, size = np.arange(len(x)), 1
+    while 2 * size <= width:
+        a, b = at[:-size], at[size:]
+        at, size = np.where(x[b] < x[a], b, a), 2 * size
+    a, b = at[: len(x) - width + 1], at[width - size :][: len(x) - width + 1]
+    return np.where(x[b] < x[a], b, a)
+
+
 def units(h: Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pick, first window start, last window start) of each unit of a document."""
     n = len(h.h)
@@ -81,7 +100,7 @@ def units(h: Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(n - gram + 1)
     grams = h.of(at, at + gram)
-    choice = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(n - window + 1)
+    choice = _window_argmin(grams, window - gram + 1)
     first = np.flatnonzero(np.r_[True, choice[1:] != choice[:-1]])
     return grams[choice[first]], first, np.r_[first[1:], len(choice)] - 1
 

@@ -68,8 +68,6 @@ VIEWS = {
     "esp": f"SELECT *, {rnd('correct::DOUBLE / total::DOUBLE * 100', 1)} AS accuracy FROM (SELECT session_id, pattern_id, count(*) AS total, count(selected) AS answered, count(*) FILTER (\"right\") AS correct FROM ed WHERE known GROUP BY ALL)",
     "ew": "SELECT session_id, pattern_id, accuracy, CASE WHEN accuracy < 50 THEN 'below_50' WHEN accuracy < 70 THEN 'below_70' ELSE 'some_wrong' END AS reason, CAST(row_number() OVER (PARTITION BY session_id ORDER BY accuracy, pattern_id) AS INT) AS rank FROM esp WHERE accuracy < 70 OR correct < total QUALIFY rank <= 5",
     "pt": "SELECT pattern_id, arg_min(chapter_id, question_id) AS chapter_id, count(*) AS frequency, list_sort(list_distinct(list(year))) AS years, CASE WHEN count(*) >= 4 THEN 'S' WHEN count(*) >= 2 THEN 'A' ELSE 'B' END AS grade, least(95, 55 + 3 * count(*)) AS importance FROM eq GROUP BY pattern_id",
-    "pages": "",
-    "lines": "SELECT doc_id, i AS page, lines[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), range(1, 100000) t(i) WHERE i <= len(lines)",
 }
 VIEWS["lines"] = "SELECT doc_id, unnest(range(1, len(lines) + 1)) AS page, unnest(lines) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)"
 VIEWS["seg"] = "SELECT doc_id, CAST(page AS INT) AS page, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(text) AS INT) AS length FROM lines"
@@ -196,4 +194,31 @@ ORACLE_SQL = {
     "stars": sql("p", f"SELECT pattern_id, repeat('★', n) || repeat('☆', 5 - n) AS stars, t // 3600 || ':' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS time, CASE WHEN importance % 60 = 0 THEN importance // 60 || '시간' ELSE importance // 60 || '시간 ' || importance % 60 || '분' END AS study FROM (SELECT *, CAST(least(greatest({rint('importance / 20.0::DOUBLE')}, 1), 5) AS INT) AS n, importance * 97 AS t FROM p)"),
     "stream_daily": sql("le", f"SELECT d AS date, {rnd('sum(duration) FILTER (duration > 0)::DOUBLE / 60.0::DOUBLE', 1)} AS minutes, count(*) AS events FROM le GROUP BY d"),
 }
-del VIEWS["pages"]
+
+VIEWS["yr"] = f"SELECT *, {rnd('five::DOUBLE / extracted::DOUBLE * 100', 1)} AS rate, CASE WHEN extracted = 150 AND five = 150 AND keyed = 150 THEN 'A' WHEN extracted = 150 AND five = 150 AND keyed > 0 THEN 'B' WHEN extracted = 150 AND five = 150 THEN 'C' WHEN extracted >= 0.75 * 150 AND five >= 0.9 * extracted THEN 'C' WHEN extracted > 0 THEN 'D' ELSE 'F' END AS grade FROM (SELECT year, count(*) AS extracted, count(*) FILTER (question_id % 10 <> 0) AS five, count(*) FILTER (question_id % 7 <> 0) AS keyed FROM eq GROUP BY year)"
+USES["yr"] = ["eq"]
+VIEWS["src0"] = "SELECT doc_id, left(text, CAST(floor(length(text) * (40 + doc_id % 60) / 100) AS INT)) AS q, text AS s FROM documents"
+VIEWS["src1"] = r"SELECT *, lower(regexp_replace(q, '\s+', '', 'g')) AS a, lower(regexp_replace(s, '\s+', '', 'g')) AS b FROM src0"
+VIEWS["src"] = f"SELECT *, CASE WHEN length(a) = 0 THEN 0.0 WHEN length(b) = 0 THEN 1.0 WHEN contains(b, a) THEN least(1.0, length(a)::DOUBLE / length(b)::DOUBLE) ELSE 0.0 END AS cover, len(list_filter({NUMBERS.format('s')}, lambda x: NOT list_contains({NUMBERS.format('q')}, x))) AS lost, trim(s) <> '' AS there, {RUN.replace('(text,', '(q,')} AS rq, {RUN.replace('(text,', '(s,')} AS rs FROM src1"
+USES |= {"src1": ["src0"], "src": ["src1"]}
+ORACLE_SQL |= {
+    "year_report": sql("yr", "SELECT * FROM yr"),
+    "recognition": sql("yr", f"SELECT years, ready, questions, CASE WHEN questions > 0 THEN {rnd('five::DOUBLE / questions::DOUBLE * 100', 1)} ELSE 0.0::DOUBLE END AS five_rate, CASE WHEN questions > 0 THEN {rnd('keyed::DOUBLE / questions::DOUBLE * 100', 1)} ELSE 0.0::DOUBLE END AS keyed_rate FROM (SELECT count(*) AS years, count(*) FILTER (grade IN ('A', 'B')) AS ready, CAST(sum(extracted) AS BIGINT) AS questions, CAST(sum(five) AS BIGINT) AS five, CAST(sum(keyed) AS BIGINT) AS keyed FROM yr)"),
+    "issue_rollup": sql("iss", "SELECT severity, category, count(*) AS n FROM iss GROUP BY ROLLUP (severity, category)"),
+    "sparse_groups": sql("eq", "SELECT pattern_id || '/' || chapter_id || '/' || year AS key, count(*) AS n FROM eq GROUP BY 1 HAVING count(*) < 2"),
+    "required_fields": "SELECT field, missing FROM (SELECT count(*) FILTER (doc_id IS NULL) AS doc_id, count(*) FILTER (text IS NULL OR trim(text) = '') AS text, count(*) FILTER (lang IS NULL OR trim(lang) = '') AS lang, count(*) FILTER (quality IS NULL) AS quality, count(*) FILTER (toxic IS NULL) AS toxic FROM documents LEFT JOIN labels USING (doc_id)) UNPIVOT (missing FOR field IN (doc_id, text, lang, quality, toxic))",
+    "source_issues": sql("src", "SELECT doc_id, 'critical' AS severity, 'source_missing' AS category FROM src WHERE coalesce(NOT there, true) UNION ALL SELECT doc_id, 'critical', 'stem_truncated' FROM src WHERE there AND cover < 0.55 UNION ALL SELECT doc_id, 'warning', 'stem_short' FROM src WHERE there AND cover >= 0.55 AND cover < 0.75 UNION ALL SELECT doc_id, 'warning', 'missing_numbers' FROM src WHERE there AND lost >= 3 UNION ALL SELECT doc_id, 'warning', 'ocr_glued' FROM src WHERE there AND rq >= 20 AND rq > rs + 2"),
+    "answer_pairs": sql("ea", "SELECT session_id, number, CAST(min(selected) AS INT) AS answer FROM ea WHERE selected IS NOT NULL AND number BETWEEN 1 AND 5 GROUP BY ALL"),
+    "stratified_sample": sql("eq", "SELECT question_id, stratum FROM (SELECT question_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('sample' || question_id), question_id) AS k FROM (SELECT question_id, CASE WHEN year >= 2024 THEN 'recent' WHEN ends_with(pattern_id, '1') THEN 'first_brand' ELSE 'other' END AS stratum FROM eq)) WHERE k <= CASE stratum WHEN 'recent' THEN 15 WHEN 'first_brand' THEN 10 ELSE 5 END"),
+    "pattern_fit": f"SELECT source, {rnd("avg((CASE WHEN contains(text, 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'ing') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'heit') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'elle') THEN 1 ELSE 0 END)::DOUBLE / 4)", 6)} AS fit FROM documents GROUP BY source",
+    "text_change": f"SELECT source, \"before\", \"after\", CASE WHEN \"before\" = 0 AND \"after\" = 0 THEN '0%' WHEN \"before\" = 0 THEN '+' || \"after\" ELSE printf('%+.1f%%', {rnd('(\"after\" - \"before\")::DOUBLE / \"before\"::DOUBLE * 100', 1)}) END AS change FROM (SELECT source, CAST(sum(length(text)) AS BIGINT) AS \"before\", CAST(sum(length({FOOT})) AS BIGINT) AS \"after\" FROM documents GROUP BY source)",
+    "first_of_year": sql("eq", "SELECT year, pattern_id, question_id, answer FROM eq QUALIFY row_number() OVER (PARTITION BY year, pattern_id ORDER BY question_id) = 1"),
+    "same_sets": sql("eq", "SELECT pattern_id, count(*) FILTER (question_id % 11 <> 0 AND question_id % 13 = 0) AS only_a, count(*) FILTER (question_id % 13 <> 0 AND question_id % 11 = 0) AS only_b FROM eq GROUP BY pattern_id HAVING only_a > 0 OR only_b > 0"),
+    "merged_bodies": "SELECT conv_id, role, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text_md5 FROM conversations WHERE text IS NOT NULL GROUP BY ALL",
+    "submitted_answers": sql("ed", "SELECT pattern_id, selected, count(*) AS n, count(*) FILTER (\"right\") AS hits FROM ed WHERE known AND selected IS NOT NULL GROUP BY ALL"),
+    "hourly_events": sql("le", "SELECT date_trunc('hour', ts) AS start, count(*) AS events, CAST(sum(duration) AS BIGINT) AS seconds FROM le GROUP BY 1"),
+    "user_latest": sql("g", "SELECT user_id, count(*) AS questions, count(*) FILTER (correct) AS correct FROM (SELECT user_id, question_id, correct FROM g QUALIFY row_number() OVER (PARTITION BY user_id, question_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY user_id"),
+    "user_sessions": sql("le", "SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS events FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 600 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM le)) GROUP BY user_id, s"),
+    "scaled_bars": sql("eq", f"SELECT pattern_id, year, n, {rnd('n::DOUBLE / greatest(max(n) OVER (PARTITION BY year), 1)::DOUBLE', 6)} AS share FROM (SELECT pattern_id, year, count(*) AS n FROM eq GROUP BY ALL)"),
+    "running_orders": "SELECT o_orderkey, CAST(sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders GROUP BY ALL)",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from learnspark.functions import scores as S
 from learnspark.functions import text as X
 from learnspark.operators import analytics as A
-from learnspark.operators import content, exam, extract, quality, recommend, state
+from learnspark.operators import content, exam, extract, quality, recommend, reports, state
 from learnspark.sources import model as M
 
 #: Letters and footers of the test tables' documents, in place of Hangul and exam footers.
@@ -352,3 +352,97 @@ def stream_daily(spark, d):
     from learnspark.streaming.events import replay_daily
 
     return replay_daily(spark, d)
+
+
+def _years(spark, d):
+    q = M.exam_questions(spark, d)
+    return reports.year_report(q, 150, F.col("question_id") % 10 != 0, F.col("question_id") % 7 != 0)
+
+
+def year_report(spark, d):
+    return _years(spark, d)
+
+
+def recognition(spark, d):
+    return reports.recognition(_years(spark, d))
+
+
+def issue_rollup(spark, d):
+    return reports.issue_rollup(_issues(spark, d))
+
+
+def sparse_groups(spark, d):
+    return reports.sparse_groups(M.exam_questions(spark, d).withColumn("key", F.concat_ws("/", "pattern_id", "chapter_id", "year")), "key", 2)
+
+
+def required_fields(spark, d):
+    rows = M.documents(spark, d).join(M.read(spark, d, "labels"), "doc_id", "left")
+    return reports.required_fields(rows, ("doc_id", "text", "lang", "quality", "toxic"))
+
+
+def source_issues(spark, d):
+    docs = M.documents(spark, d).select("doc_id", F.left("text", F.floor(F.length("text") * (40 + F.col("doc_id") % 60) / 100).cast("int")).alias("question"), F.col("text").alias("source_text"))
+    return reports.source_issues(docs, "doc_id", "question", "source_text", LETTERS, 20)
+
+
+def answer_pairs(spark, d):
+    a = M.exam_answers(spark, d).where("selected is not null").groupBy("session_id", "number").agg(F.min("selected").alias("a"))
+    part = F.concat(F.col("number").cast("string"), F.lit(". "), F.col("a").cast("string"))
+    texts = a.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(part)), " ").alias("text"))
+    return reports.answer_pairs(texts, "session_id", "text", 1, 5)
+
+
+def stratified_sample(spark, d):
+    q = M.exam_questions(spark, d)
+    strata = (("recent", F.col("year") >= 2024, 15), ("first_brand", F.col("pattern_id").endswith("1"), 10), ("other", F.lit(True), 5))
+    return reports.stratified(q, "question_id", strata).select("question_id", "stratum")
+
+
+def pattern_fit(spark, d):
+    return reports.pattern_fit(M.documents(spark, d), "source", "text", ("tion", "ing", "heit", "elle"))
+
+
+def text_change(spark, d):
+    t = F.col("text")
+    n = M.documents(spark, d).groupBy("source").agg(F.sum(F.length(t)).alias("before"), F.sum(F.length(X.remove_footer(t, FOOTERS))).alias("after"))
+    return n.withColumn("change", reports.percent_change(F.col("before"), F.col("after")))
+
+
+def first_of_year(spark, d):
+    return reports.first_of(M.exam_questions(spark, d).select("year", "pattern_id", "question_id", "answer"), ("year", "pattern_id"), "question_id")
+
+
+def same_sets(spark, d):
+    q = M.exam_questions(spark, d)
+    return reports.same_sets(q.where("question_id % 11 <> 0"), q.where("question_id % 13 <> 0"), "pattern_id", "question_id")
+
+
+def merged_bodies(spark, d):
+    c = M.read(spark, d, "conversations").where("text is not null")
+    return extract.merged_bodies(c, ["conv_id", "role"], "turn", "text").select("conv_id", "role", F.md5("text").alias("text_md5"))
+
+
+def submitted_answers(spark, d):
+    return reports.submitted(_details(spark, d)).groupBy("pattern_id", "selected").agg(F.count("*").alias("n"), F.count_if("right").alias("hits"))
+
+
+def hourly_events(spark, d):
+    return reports.hourly(M.learning_events(spark, d))
+
+
+def user_latest(spark, d):
+    return reports.latest_of_user(M.learning_events(spark, d)).groupBy("user_id").agg(F.count("*").alias("questions"), F.count_if("correct").alias("correct"))
+
+
+def user_sessions(spark, d):
+    return reports.session_gaps(M.learning_events(spark, d), minutes=600)
+
+
+def scaled_bars(spark, d):
+    n = M.exam_questions(spark, d).groupBy("pattern_id", "year").agg(F.count("*").alias("n"))
+    return reports.scaled(n, "year", "n")
+
+
+def running_orders(spark, d):
+    o = M.read(spark, d, "orders").groupBy("o_custkey", "o_orderkey").agg(F.count("*").alias("n"))
+    return reports.running_total(o, "o_custkey", "o_orderkey", "n").select("o_orderkey", "running")

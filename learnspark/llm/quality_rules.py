@@ -142,13 +142,13 @@ def cutoffs(labelled: DataFrame, stratum: str, risk: float = RISK, delta: float
 def judged(docs: DataFrame, labels: DataFrame, m: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs plus _m, _base_failed and _kept. m: docs with `_m`, where it has been measured before.
 
-    labels: (doc_id, quality), quality 1 for good. Only the labelled documents are measured for the
-    cutoffs; the verdict is then a projection over all documents.
+    labels: (doc_id, quality), quality 1 for good. For the cutoffs the documents are measured without
+    their texts and joined to the labels, so no text is shuffled; the verdict is a projection.
     """
     good = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("_good"))
     if m is None:
         m = measured(docs, text_col)
-        known = measured(docs.join(good.select("_id").distinct(), F.col(id_col) == F.col("_id"), "left_semi").select(id_col, text_col, stratum), text_col, drop_text=True)
+        known = measured(docs.select(id_col, text_col, stratum), text_col, drop_text=True)
     else:
         known = m
     held = known.join(good, F.col(id_col) == F.col("_id")).where(~base_failed()).select(stratum, first_level().alias("_level"), "_good")

@@ -97,7 +97,7 @@ def stem(body, marks: str = "①②③④⑤"):
 
 def table_rows(text):
     """Rows of cells of the lines with two cells or more (tabs or runs of spaces apart)."""
-    rows = F.transform(F.split(text, "\n"), lambda x: F.filter(F.transform(F.split(F.trim(x), r"\t|\s{2,}"), F.trim), lambda c: c != ""))
+    rows = F.transform(F.split(text, "\n"), lambda x: F.filter(F.transform(F.split(F.trim(x), r"\t|\s{2,}"), lambda y: F.trim(y)), lambda c: c != ""))
     return F.filter(rows, lambda r: F.size(r) >= 2)
 
 

@@ -67,12 +67,29 @@ def answer_pairs(texts: DataFrame, key: str, text: str, low: int, high: int) ->
     return p.where(F.col("number").between(low, high)).groupBy(key, "number").agg(F.max_by("answer", "at").alias("answer"))
 
 
-def compact_answers(texts: DataFrame, key: str, text: str, first: int, count: int) -> DataFrame:
-    """(key, number, answer) of an answer text that is one run of digits 1 to 5, the longest such run in it."""
-    runs = F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit(r"[1-5]+"), 0)
-    best = F.element_at(X.longest_first(runs, 1), 1)
-    t = texts.where(F.size(runs) > 0).select(key, F.posexplode(F.split(F.left(best, F.lit(count)), "")).alias("at", "a"))
-    return t.where("a <> ''").select(key, (F.col("at") + first).alias("number"), F.col("a").cast("int").alias("answer"))
+def compact_answers(texts: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
+    """(key, number, answer) of triples "nna" in a text's digits run together, read from the offset of 0 to 3 that gives most.
+
+    A fold over the digits: where two digits are a number in range and the third is 1 to 5, they are taken
+    and skipped, else one digit is; the last of repeated numbers counts, the first of equal offsets.
+    """
+    digits = F.regexp_replace(text, r"\D", "")
+    kind = "array<struct<number:int,answer:int>>"
+
+    def read(offset: int) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            n, a = digits.substr(i + 1, F.lit(2)).cast("int"), digits.substr(i + 3, F.lit(1)).cast("int")
+            hit = (s["skip"] == 0) & n.between(low, high) & a.between(1, 5)
+            new = F.concat(s["found"], F.array(F.struct(n.alias("number"), a.alias("answer"))))
+            return F.struct(F.when(hit, 2).otherwise(F.greatest(s["skip"] - 1, F.lit(0))).alias("skip"), F.when(hit, new).otherwise(s["found"]).alias("found"))
+
+        places = F.when(F.length(digits) >= offset + 3, F.sequence(F.lit(offset), F.length(digits) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.struct(F.lit(0).alias("skip"), F.array().cast(kind).alias("found")), step, lambda s: s["found"])
+
+    tried = F.array(*[F.struct(F.size(F.array_distinct(F.transform(read(k), lambda x: x["number"]))).alias("n"), F.lit(-k).alias("k"), read(k).alias("found")) for k in range(4)])
+    best = F.array_max(F.transform(tried, lambda t: F.struct(t["n"], t["k"], t["found"])))["found"]
+    t = texts.select(key, F.posexplode(best).alias("at", "x"))
+    return t.groupBy(key, F.col("x.number").alias("number")).agg(F.max_by("x.answer", "at").alias("answer"))
 
 
 def stratified(rows: DataFrame, key: str, strata: Sequence[tuple[str, Column, int]], seed: str = "sample") -> DataFrame:

@@ -132,3 +132,26 @@ def test_quality_rules(spark):
 def test_dominant_type_and_reasons(spark):
     q = spark.createDataFrame([(1, 1, "concept"), (2, 1, "mixed"), (3, 1, "mixed"), (4, 2, "concept"), (5, 2, "mixed")], "question_id int, pattern_id int, question_type string")
     assert {(r.pattern_id, r.question_type) for r in recommend.dominant_types(q).collect()} == {(1, "mixed"), (2, "concept")}
+
+
+def test_lines(spark):
+    from learnspark.functions import lines as L
+
+    assert one(spark, L.soft_joined(F.lit("재고는\n1,000\n원이다.\n다음 중?\n① a\n② b\n\nend-\nless"))) == "재고는 1,000 원이다.\n다음 중?\n① a\n② b\n\nendless"
+    assert one(spark, L.exam_symbols(F.lit("AA. 다음? # 100 # 200 ￦5"))) == "44. 다음? ① 100 ① 200 W5"
+    assert one(spark, L.units(F.lit("W1,000 5% 20×1년 30원"))) == ["20×1", "20×1년", "30원", "5%", "W1,000"]
+
+
+def test_answer_texts(spark):
+    from learnspark.operators import reports
+
+    t = spark.createDataFrame([("a", "41.2 42. 3 43: 9 41.4"), ("b", "x")], "k string, t string")
+    assert {tuple(r) for r in reports.answer_pairs(t, "k", "t", 41, 80).collect()} == {("a", 41, 4), ("a", 42, 3)}
+    c = spark.createDataFrame([("a", "9 412 423 431"), ("b", "")], "k string, t string")
+    assert {tuple(r) for r in reports.compact_answers(c, "k", "t", 41, 80).collect()} == {("a", 41, 2), ("a", 42, 3), ("a", 43, 1)}
+
+
+def test_percent_change(spark):
+    from learnspark.operators import reports
+
+    assert one(spark, reports.percent_change(F.lit(198), F.lit(16)), reports.percent_change(F.lit(0), F.lit(124)), reports.percent_change(F.lit(0), F.lit(0))) == ("-91.9%", "+124", "0%")

@@ -31,7 +31,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: A block is packed when it holds so many tokens or documents; one more document may exceed it.
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 4_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -33,7 +33,7 @@ from learnspark.llm.common import table
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker remembers; longer segments are not kept.
-CACHE, LONGEST = 500_000, 48
+CACHE, LONGEST = 1_000_000, 48
 #: Weight of a character that only its bytes can spell: above any path of pieces.
 BYTE_WEIGHT = 1e6
 
@@ -92,7 +92,7 @@ class Transducer:
         if (ok := self.follows.get((last, piece))) is None:
             a, b = self.text_of[last] if last >= 0 else "", self.text_of[piece]
             ok = not self.merges or self._merged(list(a + b)) == ([a, b] if a else [b])
-            if len(self.follows) > 4 * CACHE:
+            if len(self.follows) > 2 * CACHE:
                 self.follows.clear()
             self.follows[last, piece] = ok
         return ok

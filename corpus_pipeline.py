@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from learnspark.llm import packing, quality_rules, simhash, substring_dedup, surrogates
-from learnspark.llm.common import cut, table
+from learnspark.llm.common import cut, small_batches, table
 
 #: The surrogates' key; a deployment sets its own.
 KEY = "learnspark"
@@ -17,16 +17,19 @@ KEY = "learnspark"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go."""
+    small_batches(spark)
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates stays."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 20-word sequences that occur earlier go."""
+    small_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
@@ -37,6 +40,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document in a training sequence."""
+    small_batches(spark)
     return packing.packed(docs)
 
 

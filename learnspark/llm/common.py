@@ -43,6 +43,15 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on in this session, Arrow batches of at most 1,000 rows and 8 MB.
+
+    Rows hold whole texts, and each task keeps several copies of a batch outside the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most `rows` rows for the jobs run inside, where each row is large."""

@@ -77,29 +77,38 @@ class Encoder:
             known.update((r, self._alone(r)) for r in new)
 
     def _learn(self, words: list[bytes]) -> None:
-        split, runs = [], []
+        known, normal, single, pairs, split, runs = self.known, unicodedata.is_normalized, [], [], [], []
         for w in words:
-            if w.isalpha() or (w[:-1].isalpha() and w[-1:] in b".,;:!?"):  # bytes: ASCII letters only
-                low = w.lower().decode()
-                parts = [low] if w.isalpha() else [low[:-1], low[-1]]
-                split.append((w, parts))
-                runs += parts
+            if w.isalpha():  # bytes: ASCII letters only
+                single.append((w, w.lower().decode()))
                 continue
             text = w.decode()
             low = text.lower()
-            if b"<|" in w or "\u03a3" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not self.marks(low)):
-                self.known[w] = self._alone(text)
-                continue
-            parts = self.runs(low)
-            split.append((w, parts))
-            runs += parts
+            if not text.isascii():
+                if "\u03a3" in text or not (normal("NFC", text) and normal("NFC", low)):
+                    known[w] = self._alone(text)
+                    continue
+                if low.isalpha():  # letters only, so one run and no marks
+                    single.append((w, low))
+                    continue
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                pairs.append((w, low[:-1], low[-1]))
+            elif "<|" in text or not text.isascii() and self.marks(low):
+                known[w] = self._alone(text)
+            else:
+                split.append((w, self.runs(low)))
+                runs += split[-1][1]
+        runs += [r for _, r in single]
+        for k in (1, 2):
+            runs += [x[k] for x in pairs]
         if len(self.known_runs) + len(runs) > CACHE_WORDS:
             self.known_runs.clear()
         if runs:
             self._learn_runs(runs)
-        get = self.known_runs.__getitem__
-        for w, parts in split:
-            self.known[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        of = self.known_runs
+        known.update([(w, of[r]) for w, r in single])
+        known.update([(w, of[r] + of[end]) for w, r, end in pairs])
+        known.update([(w, b"".join([of[r] for r in parts])) for w, parts in split])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; their new words are encoded in one go."""

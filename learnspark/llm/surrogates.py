@@ -28,8 +28,8 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "password": r"(?i:(?<=\bpassword=)|(?<=\bpassword: )|(?<=\bpasswd=)|(?<=\bpwd=))[^\x00-\x20\"']{6,128}",
-    "secret": r"(?<==\x20?[\"'])[0-9a-fA-F]{32,128}(?=[\"'])",
+    "password": r"(?i:(?<=\bpassword=)|(?<=\bpassword: )|(?<=\bpasswd=)|(?<=\bpwd=))[^\x00-\x20\"']{6,}+",
+    "secret": r"(?<==\x20?[\"'])[0-9a-fA-F]{32,}+(?=[\"'])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])[3-6]\d{3}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7}(?![\d-])",
@@ -38,7 +38,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every match of the other kinds holds one of these; texts without them, most texts, are passed over quickly.
-HINT = r"[0-9@]|=\x20?[\"']|(?i:passw|pwd=)"
+HINT = r"[0-9@]|AKIA|=\x20?[\"']|(?i:passw|pwd=)"
 #: Syllables of made-up names: consonants, vowels, end of a woman's and of a man's given name, by script.
 SCRIPTS = {
     "latin": ("bdfgklmnprstvzhj", "aeiouaeiouaeioua", "a", "n"),
@@ -70,7 +70,7 @@ def _kind(m: Column) -> Column:
         out = out.when(hit, k)
     number = m.rlike(r"^\d[\d\x20-]*$") & (F.length(_digits(m)) >= 13)
     out = out.when(number & (F.pmod(_luhn(_digits(m), 0), F.lit(10)) == 0), "card").when(number, F.lit(None))
-    return out.when(m.rlike(r"^[0-9a-fA-F]{32,128}$"), "secret").otherwise("password")
+    return out.when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").otherwise("password")
 
 
 def _normal(kind: Column, m: Column) -> Column:
@@ -128,6 +128,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     stream = lambda k: of(k, lambda x: F.translate(h, HEX, x))
     out = out.withColumn("_script", script).withColumn("_c", stream(0)).withColumn("_v", stream(1))
     c, v = F.col("_c"), F.col("_v")
+    hexes = F.repeat(h, F.ceil(F.length(norm) / 64).cast("int"))
     word = F.concat(*[x.substr(i, 1) for i in (1, 3, 5) for x in (c, v)], c.substr(7, 1))
     values = {
         "email": F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), F.lit("@"), host, F.lit(".example.com")),
@@ -136,7 +137,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
         "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(digits.substr(F.lit(1), F.length(norm))),
         "ssn": F.concat(F.lit("9"), digits.substr(1, 8)),
         "key": F.concat(F.lit("AKIA"), F.upper(F.translate(h.substr(1, 16), "01", "yz"))),
-        "secret": F.when(F.upper(norm) == norm, F.upper(F.repeat(h, F.lit(2)))).otherwise(F.repeat(h, F.lit(2))).substr(F.lit(1), F.length(norm)),
+        "secret": F.when(F.upper(norm) == norm, F.upper(hexes)).otherwise(hexes).substr(F.lit(1), F.length(norm)),
         "given-f": F.concat(word, of(2)),
         "given-m": F.concat(word, v.substr(8, 1), of(3)),
         "family": F.concat(word, v.substr(9, 1), c.substr(10, 1)),

@@ -46,6 +46,22 @@ SCRIPTS = {
     "greek": ("βγδζθκλμνπρστφχξ", "αειουαειουαειουα", "α", "ς"),
 }
 HEX = "0123456789abcdef"
+#: What stands for letters of other scripts, by a hash's digits; a script without a row gets Latin letters. MARKS stands for the rest.
+LETTERS = {
+    "Cyrillic": "бдзгклмнпрствжхф",
+    "Greek": "βγδζθκλμνπρστφχξ",
+    "Han": "天地人山水火木金土日月星風雨石田",
+    "Hangul": "가나다라마바사아자차카타파하거너",
+    "Hiragana": "あいうえおかきくけこさしすせそた",
+    "Katakana": "アイウエオカキクケコサシスセソタ",
+    "Arabic": "بتثجحخدرزسشصطعفق",
+    "Hebrew": "אבגדהוזחטיכלמנסע",
+}
+MARKS = "!#$%&*+/:;=?^_~|"
+#: From this attempt on, passwords and the local parts of addresses grow by a letter an attempt, so that values never run out.
+GROW = 3
+#: Attempts before an entity without a free surrogate is an error; only kinds of fixed length get there.
+ATTEMPTS = 200
 
 
 def _digits(c: Column) -> Column:
@@ -92,12 +108,21 @@ def _parts(e: Column) -> Column:
     return F.when(e["kind"] == "name", name).when(e["kind"].isNotNull(), F.array(pair(e["kind"], e["norm"])))
 
 
-def _refit(m: Column, letters: Column, digits: Column) -> Column:
-    """m with letters and digits, place by place, from the two streams of 64; case is kept."""
+def _refit(m: Column, letters: Column, digits: Column, h: Column | None = None) -> Column:
+    """m with letters and digits, place by place, from the two streams of 64; case is kept.
+
+    With h, the hash, letters of other scripts and all other characters are drawn too.
+    """
     at = lambda s, i: s.substr(F.pmod(i, F.lit(64)) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
-        return F.when(c.rlike("[0-9]"), at(digits, i)).when(c.rlike("[a-z]"), at(letters, i)).when(c.rlike("[A-Z]"), F.upper(at(letters, i))).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), at(digits, i)).when(c.rlike("[a-z]"), at(letters, i)).when(c.rlike("[A-Z]"), F.upper(at(letters, i)))
+        if h is None:
+            return out.otherwise(c)
+        cased = lambda x: F.when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x)
+        for script, row in LETTERS.items():
+            out = out.when(c.rlike(rf"^\p{{Is{script}}}"), cased(at(F.translate(h, HEX, row), i)))
+        return out.when(c.rlike(r"^[\p{L}\p{N}]"), cased(at(letters, i))).otherwise(at(F.translate(h, HEX, MARKS), i))
 
     return F.array_join(F.transform(F.split(m, ""), one), "")
 
@@ -114,7 +139,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     octet = lambda n, low, size: (F.conv(h.substr(n, 4), 16, 10).cast("int") % size + low).cast("string")
     out = out.withColumn("_body", F.when(kind == "card", F.concat(norm.substr(1, 1), digits.substr(F.lit(1), F.length(norm) - 2))))
     body = F.col("_body")
-    script = F.lit("none")
+    script = F.lit("latin")  # names of other scripts too
     for name, marks in {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}.items():
         script = F.when(norm.rlike(marks), name).otherwise(script)
 
@@ -128,10 +153,11 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     stream = lambda k: of(k, lambda x: F.translate(h, HEX, x))
     out = out.withColumn("_script", script).withColumn("_c", stream(0)).withColumn("_v", stream(1))
     c, v = F.col("_c"), F.col("_v")
+    more = letters.substr(F.lit(1), F.greatest(F.col("attempt") - (GROW - 1), F.lit(0)))
     hexes = F.repeat(h, F.ceil(F.length(norm) / 64).cast("int"))
     word = F.concat(*[x.substr(i, 1) for i in (1, 3, 5) for x in (c, v)], c.substr(7, 1))
     values = {
-        "email": F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), F.lit("@"), host, F.lit(".example.com")),
+        "email": F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), more, F.lit("@"), host, F.lit(".example.com")),
         "ip": F.concat_ws(".", octet(1, 1, 223), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254)),
         "card": F.concat(body, F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string")),
         "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(digits.substr(F.lit(1), F.length(norm))),
@@ -141,7 +167,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
         "given-f": F.concat(word, of(2)),
         "given-m": F.concat(word, v.substr(8, 1), of(3)),
         "family": F.concat(word, v.substr(9, 1), c.substr(10, 1)),
-        "password": _refit(norm, letters, digits),
+        "password": F.concat(_refit(norm, letters, digits, h), more),
     }
     sur = None
     for name, value in values.items():
@@ -164,7 +190,10 @@ def _placed(e: Column, parts: Column) -> Column:
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt, sur) of distinct (kind, norm): no two surrogates of a kind are equal, none is an entity."""
+    """(kind, norm, attempt, sur) of distinct (kind, norm): no two surrogates of a kind are equal, none is an entity.
+
+    An entity for which ATTEMPTS surrogates were all taken raises an error.
+    """
     now = cut(with_surrogate(entities.withColumn("attempt", F.lit(0)), key))
     while True:
         # of equals, the entity settled earlier keeps its surrogate
@@ -174,6 +203,8 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
         lost = cut(ranked.where("turn > 1 or taken").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")))
         if lost.isEmpty():
             return now
+        if full := lost.where(F.col("attempt") >= ATTEMPTS).select("kind").first():
+            raise ValueError(f"no free surrogate for an entity of kind {full.kind} after {ATTEMPTS} attempts")
         now = cut(now.join(lost, ["kind", "norm"], "left_anti").unionByName(with_surrogate(lost, key)))
 
 

@@ -217,6 +217,19 @@ def test_surrogates_are_hinted(spark):
         assert value[-8:] not in got[i].text and got[i].text.endswith("it is"), kind
 
 
+def test_surrogates_end(spark):
+    masked = ["********", "......", "пароль", "ПАРОЛЬ", "密码密码密码", "éèêëàâ", *(f"*****{i}" for i in range(10))]
+    names = ["Mr Աննա", "Mr Արամ"]
+    texts = [*enumerate(f"see password={m} here" for m in masked), *enumerate((f"see {n} here" for n in names), 100)]
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(make(spark, texts), "k").collect()}
+    new = [got[i].removeprefix("see password=").removesuffix(" here") for i in range(len(masked))]
+    assert len(set(new)) == len(new) and not set(new) & set(masked)
+    assert all("а" <= c <= "я" for c in new[2]) and new[3].isupper()
+    assert got[100] != got[101] and all(n[3:] not in got[100 + i] and len(got[100 + i].split()) == 4 for i, n in enumerate(names))
+    e = spark.createDataFrame([("password", f"{i}*****") for i in range(10)] + [("email", f".......{i}@x.org") for i in range(10)], "kind string, norm string")
+    assert surrogates.distinct_surrogates(e, "k").select("kind", "sur").distinct().count() == 20
+
+
 # 5
 def test_embeddings(spark):
     r = np.random.default_rng(1)

@@ -3,7 +3,8 @@
 A line's quote level is the number of '>' at its start. Neighbouring lines of one level above zero
 are a passage. A passage and the messages' own text are normalised (quote marks gone, white space
 runs to one space, ASCII lower case) and hashed: each message offers its whole own text, its
-paragraphs and its lines as originals. A passage links to the first earlier message of its
+paragraphs, its lines and its runs of neighbouring lines (blank ones aside) as originals. Runs are
+offered in the lengths that the conversation's passages have, so offers are lines times lengths. A passage links to the first earlier message of its
 conversation that offers it. A message replies to the latest message it quotes at its lowest linked
 level, or else to the turn before. Where it quotes, a branch starts; branches are ordered so that
 each follows the branch it replies to, and messages by (branch path, turn).
@@ -49,17 +50,41 @@ def parsed(messages: DataFrame) -> DataFrame:
     return out.withColumn("own", own).withColumn("quotes", F.filter("_blocks", lambda b: (b["level"] > 0) & (normal(b["passage"]) != ""))).drop("_blocks")
 
 
+def _line_hashes(c: Column) -> Column:
+    return F.transform(F.filter(F.transform(F.split(c, "\n"), normal), lambda x: x != ""), F.md5)
+
+
+def _run(line_hashes: Column) -> Column:
+    return F.sha2(F.array_join(line_hashes, " "), 256)
+
+
+def _first_runs(messages: DataFrame, said: DataFrame) -> DataFrame:
+    """(c4, r4, run_origin): the first turn that holds each asked run of two lines or more."""
+    sizes = said.where("run is not null").select(F.col("conv_id").alias("c5"), "size").distinct()
+    held = messages.select("conv_id", "turn", _line_hashes(F.col("own")).alias("lines"))
+    held = held.join(sizes, (F.col("conv_id") == F.col("c5")) & (F.size("lines") >= F.col("size")))
+    starts = F.sequence(F.lit(1), F.size("lines") - F.col("size") + 1)
+    runs = held.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(starts, lambda i: _run(F.slice("lines", i, F.col("size")))))).alias("r"))
+    return runs.groupBy(F.col("conv_id").alias("c4"), F.col("r").alias("r4")).agg(F.min("turn").alias("run_origin"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, hash, origin): each quoted passage and the first earlier turn that offers it, or null."""
     said = messages.where("quotes is not null and size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q"))
-    said = said.select("conv_id", "turn", F.col("q.level").alias("level"), F.sha2(normal(F.col("q.passage")), 256).alias("hash")).distinct()
+    said = said.select("conv_id", "turn", F.col("q.level").alias("level"), F.sha2(normal(F.col("q.passage")), 256).alias("hash"), _line_hashes(F.col("q.passage")).alias("lines"))
+    said = said.select("conv_id", "turn", "level", "hash", F.size("lines").alias("size"), F.when(F.size("lines") > 1, _run(F.col("lines"))).alias("run")).distinct()
     # only conversations with quotes offer originals
     asked = said.select(F.col("conv_id").alias("c2"), F.col("hash").alias("h2")).distinct()
     offers = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))
     offered = messages.join(asked.select(F.col("c2")).distinct(), F.col("conv_id") == F.col("c2"), "left_semi").select("conv_id", "turn", F.explode(offers).alias("o"))
     first = offered.groupBy(F.col("conv_id").alias("c3"), F.sha2(normal(F.col("o")), 256).alias("h3")).agg(F.min("turn").alias("origin"))
     found = said.join(first, (F.col("conv_id") == F.col("c3")) & (F.col("hash") == F.col("h3")), "left")
-    return found.select("conv_id", "turn", "level", "hash", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
+    runs = _first_runs(messages, said)
+    found = found.join(runs, (F.col("conv_id") == F.col("c4")) & (F.col("run") == F.col("r4")), "left")
+    origin = F.least("origin", "run_origin")
+    found = found.withColumn("origin", F.when(origin < F.col("turn"), origin))
+    # passages that differ in line ends only are one
+    return found.groupBy("conv_id", "turn", "level", "hash").agg(F.min("origin").alias("origin"))
 
 
 def threads(messages: DataFrame) -> DataFrame:

@@ -87,6 +87,17 @@ def test_quotes(spark):
     assert quote_threads.threads(m.limit(0)).count() == 0
 
 
+def test_trimmed_quotes(spark):
+    long = "One.\nTwo.\nThree.\n\nSecond part\nhere.\n\nThird part"
+    talk = [(1, 0, long), (1, 1, "plain"), (1, 2, "> two.\n>  three.\nyes"), (1, 3, "> Second part\n> here.\n>\n> Third part\nno"), (1, 4, "> One.\n> Three.\ngap"), (1, 5, "> Three.\n> Two.\nturned"), (1, 6, "> later a\n> later b\nz"), (1, 7, "start\nlater a\nlater b\nend"), (2, 0, "x"), (2, 1, "> One.\n> Two.\nother"), (3, 0, "p\nq\nr"), (3, 1, "p\nq"), (3, 2, "> p\n> q\ns")]
+    m = spark.createDataFrame(talk, "conv_id long, turn long, text string").withColumn("role", F.lit("u"))
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_quotes, r.n_linked, r.text) for r in quote_threads.threads(m).collect()}
+    assert got[1, 2] == (0, 1, 1, "yes") and got[1, 3] == (0, 1, 1, "no")
+    assert got[1, 4] == (3, 1, 0, "gap") and got[1, 5] == (4, 1, 0, "turned")  # not in a row, other order
+    assert got[1, 6] == (5, 1, 0, "z") and got[2, 1] == (0, 1, 0, "other")  # only later, other conversation
+    assert got[3, 2] == (0, 1, 1, "s")  # the first that holds it
+
+
 # 2
 def fingerprint(text):
     low = "".join(c.lower() if c.isascii() else c for c in text or "")

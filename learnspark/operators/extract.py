@@ -6,8 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from learnspark.functions import text as X
 
 
 def pages(docs: DataFrame, id_col: str, text_col: str, mark: str = "\n") -> DataFrame:
@@ -109,26 +112,64 @@ def markdown_table(text):
     return F.when(F.size(rows) >= 2, F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n"))
 
 
-def longest_common(pairs: DataFrame, a: str, b: str, least: int = 21, most: int = 20_000) -> DataFrame:
-    """pairs plus `lcs`: the length of the longest common substring where it is `least` or more, else 0.
-
-    Texts over `most` characters are refused, since the work grows with the product of the lengths.
-    """
+def longest_common(pairs: DataFrame, a: str, b: str, least: int = 21) -> DataFrame:
+    """pairs plus `lcs`: the length of the longest common substring where it is `least` or more, else 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             yield p.assign(lcs=[_common(x or "", y or "", least) for x, y in zip(p[a], p[b], strict=True)])
 
-    ok = F.greatest(F.length(a), F.length(b)) <= most
-    checked = pairs.withColumn(a, F.when(ok, F.col(a)).otherwise(F.raise_error(F.lit("text too long for a common substring"))))
-    return checked.mapInPandas(run, pairs.schema.add("lcs", "long"))
+    return pairs.mapInPandas(run, StructType(pairs.schema.fields[:]).add("lcs", "long"))
+
+
+def coverage(stem: Column, whole: Column, least: int = 21) -> Column:
+    """Containment, else the longest common substring of `least` or more as a share of the normalised whole; 0 for nulls."""
+
+    @F.pandas_udf("long")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_common(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    inside = X.containment(stem, whole)
+    left = lambda c: F.when(inside.isNull(), X.normal(c))  # noqa: E731  contained stems are not searched
+    return F.coalesce(inside, common(left(stem), left(whole)) / F.nullif(F.length(X.normal(whole)), F.lit(0)), F.lit(0.0))
 
 
 def _common(x: str, y: str, least: int) -> int:
-    """By halving: common substrings of a length exist up to the longest and no further."""
-    low, high = 0, min(len(x), len(y))
-    while low < high:
-        size = (low + high + 1) // 2
-        seen = {x[i : i + size] for i in range(len(x) - size + 1)}
-        low, high = (size, high) if any(y[i : i + size] in seen for i in range(len(y) - size + 1)) else (low, size - 1)
-    return low if low >= least else 0
+    """By a suffix automaton of the shorter text that reads the longer one: linear in both lengths."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < least:
+        return 0
+    after: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in x:
+        new, p = len(after), last
+        after.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and c not in after[p]:
+            after[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = after[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                clone = len(after)
+                after.append(dict(after[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and after[p].get(c) == q:
+                    after[p][c] = clone
+                    p = link[p]
+                link[q] = link[new] = clone
+        last = new
+    state = size = best = 0
+    for c in y:
+        while state and c not in after[state]:
+            state = link[state]
+            size = length[state]
+        if c in after[state]:
+            state, size = after[state][c], size + 1
+            best = max(best, size)
+    return best if best >= least else 0

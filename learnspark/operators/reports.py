@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from learnspark.functions import text as X
 from learnspark.functions.scores import rnd
+from learnspark.operators import extract
 from learnspark.operators.content import year_grade
 from learnspark.operators.quality import issues
 
@@ -46,7 +47,8 @@ def required_fields(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
 def source_issues(pairs: DataFrame, key: str, question: str, source: str, letters: str = X.HANGUL, glued: int = 12) -> DataFrame:
     """Issues of a stored question against its source text: missing, truncated, numbers lost, runs glued together."""
     q, s = F.col(question), F.col(source)
-    cover = F.coalesce(X.containment(q, s), F.lit(0.0))
+    pairs = pairs.withColumn("_cover", extract.coverage(q, s))
+    cover = F.col("_cover")
     lost = F.size(F.array_except(X.numbers(s), X.numbers(q)))
     there = F.trim(s) != ""
     rules = [

@@ -1,13 +1,14 @@
 """Hand-computed values of scores, dates, text and extraction."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from learnspark.functions import scores as S
 from learnspark.functions import text as X
 from learnspark.operators import analytics as A
-from learnspark.operators import content, exam, extract, quality, recommend, state
+from learnspark.operators import content, exam, extract, quality, recommend, reports, state
 
 
 def one(spark, *columns, **values):
@@ -155,3 +156,19 @@ def test_percent_change(spark):
     from learnspark.operators import reports
 
     assert one(spark, reports.percent_change(F.lit(198), F.lit(16)), reports.percent_change(F.lit(0), F.lit(124)), reports.percent_change(F.lit(0), F.lit(0))) == ("-91.9%", "+124", "0%")
+
+
+def test_coverage_of_changed_stems(spark):
+    r = random.Random(5)
+    source = "".join(r.choice("abcdefgh") for _ in range(30_000))
+    short = source[:200]
+    pairs = [(1, source[:29_000] + "#" + source[29_001:], source), (2, short[:130] + "#" + short[131:], short), (3, short[:20] + "#", short), (4, short[:180], short), (5, None, short)]
+    p = spark.createDataFrame(pairs, "id int, q string, s string")
+    got = {r.id: r.c for r in p.select("id", extract.coverage(F.col("q"), F.col("s")).alias("c")).collect()}
+    assert got == {1: 29_000 / 30_000, 2: 130 / 200, 3: 0.0, 4: 0.9, 5: 0.0}
+    found = reports.source_issues(p, "id", "q", "s", "a-h", 10**6).collect()
+    assert {(r.id, r.category) for r in found} == {(2, "stem_short"), (3, "stem_truncated"), (5, "stem_truncated")}
+    for _ in range(300):
+        x, y = ("".join(r.choice("ab") for _ in range(r.randint(0, 12))) for _ in range(2))
+        want = max((j - i for i in range(len(x)) for j in range(i + 1, len(x) + 1) if x[i:j] in y), default=0)
+        assert extract._common(x, y, 1) == want

@@ -36,27 +36,47 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Ids of texts under word_bpe_49k.json, word by word.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in turn. It also splits words into runs of letters, digits and other characters before it
-    merges within each, and the last token of a run is marked as such; new runs are thus encoded
-    many at a time, divided by spaces, and told apart by those marks. Words where that split is not
-    certain beforehand (marks, capital sigma, special tokens) are encoded each by itself.
+    """Ids of texts under a tokenizers file; of word_bpe_49k.json and its like word by word.
+
+    A file of that kind (SPLITTING) drops white space, never joins across it, splits words into runs
+    of letters, digits and other characters before it merges within each, and marks the last token of
+    a run as such. A text's ids are then those of its words in turn, and new runs are encoded many at
+    a time by the file's own merges, divided by spaces, and told apart by those marks. Words where
+    the split is not certain beforehand (marks, capital sigma, special tokens) are encoded each by
+    itself. Texts under any other file are encoded whole.
     """
 
-    #: How the tokenizer splits lower-case text (fixed values, from its file).
-    RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: What a file must say for its texts to be encoded word by word (fixed values of that kind of file).
+    SPLITTING = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
 
     def __init__(self, path: str):
+        import json
+
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        self.by_word = said["model"].get("end_of_word_suffix") == "</w>" and all(said[k] == v for k, v in self.SPLITTING.items()) and all(t["content"].startswith("<|") for t in said["added_tokens"])
+        if not self.by_word:
+            return
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.runs, self.marks = regex.compile(self.RUNS).findall, regex.compile(r"\p{M}").search
+        self.runs, self.marks = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall, regex.compile(r"\p{M}").search
+        #: The same merges for runs that are normal and split already.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         self.known_runs: dict[str, bytes] = {}
 
@@ -66,7 +86,7 @@ class Encoder:
     def _learn_runs(self, runs: list[str]) -> None:
         known = self.known_runs
         new = [r for r in dict.fromkeys(runs) if r not in known]
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.merger.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(new):
             raw, at = ids.tobytes(), 0
@@ -112,16 +132,22 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; their new words are encoded in one go."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = [w for w in words if w not in self.known]
+        get = self.known.get
+        ids = [list(map(get, w)) for w in split]
+        lacking = [k for k, x in enumerate(ids) if None in x]
+        new = {w for k in lacking for w, x in zip(split[k], ids[k], strict=True) if x is None}
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(words)
-        for s in range(0, len(new), 20_000):
-            self._learn(new[s : s + 20_000])
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in split]
+            lacking, new = range(len(split)), set().union(*split)
+        order = list(new)
+        for s in range(0, len(order), 20_000):
+            self._learn(order[s : s + 20_000])
+        for k in lacking:
+            ids[k] = map(get, split[k])
+        return [np.frombuffer(b"".join(x), "<u4") for x in ids]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:

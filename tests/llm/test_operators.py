@@ -388,6 +388,51 @@ def test_transducer(spark, docs, rows):
     assert back == {i: s or "" for i, s in rows.items()}
 
 
+def message(*fields):
+    """A protocol buffer message of (number, int | bytes | float)."""
+    import struct
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def unigram_model(path, scores, spaces_removed=0):
+    pieces = [message((1, p), (2, 0.0), (3, k)) for p, k in ((b"<unk>", 2), (b"<s>", 3), (b"</s>", 3))]
+    pieces += [message((1, p.encode()), (2, float(x))) for p, x in scores.items()]
+    raw = message(*[(1, p) for p in pieces], (2, message((3, 1))), (3, message((1, b"identity"), (3, 1), (4, spaces_removed), (5, 1))))
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_unigram_transducer(tmp_path):
+    import sentencepiece
+
+    r = random.Random(4)
+    pieces = {"".join(r.choice("ab\u2581") for _ in range(r.randint(2, 4))) for _ in range(25)} - {"\u2581\u2581"}
+    scores = {p: -r.randint(1, 4000) / 256 for p in ["a", "b", "c", "\u2581", *sorted(pieces)]}
+    path = unigram_model(tmp_path / "u.model", scores)
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=path), piece_fst.Transducer(path)
+    assert not t.merges
+    texts = ["".join(r.choice("aabbc ") for _ in range(r.randint(1, 40))) for _ in range(300)]
+    for x, (ids, weight) in zip(texts, t.encode_all(texts), strict=True):
+        best = sum(scores[sp.id_to_piece(i)] for i in sp.encode(x))
+        assert math.isclose(weight, -best, rel_tol=1e-6) and t.decode(ids) == x
+        many, one = t.paths([piece_fst.SPACE + x.replace(" ", piece_fst.SPACE)]), t.path(piece_fst.SPACE + x.replace(" ", piece_fst.SPACE))
+        assert math.isclose(t.weights[np.frombuffer(next(iter(many.values())), "<i4")].sum(), one[1], rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        piece_fst.Transducer(unigram_model(tmp_path / "v.model", scores, 1))
+
+
 # 10
 def test_measures():
     text = "a b c a b c\nx #$ É\na b c a b c\n\n \nUP!"

@@ -304,30 +304,111 @@ def test_pitman_yor(spark, folder, rows):
     assert sum(r.score for i, r in got.items() if i not in out) > sum(r.base_score for i, r in got.items() if i not in out)
 
 
-def test_seating(spark):
-    rng = np.random.default_rng(1)
-    for c, a in ((20, 0.7), (400, 3.0)):
-        fast = pitman_yor.seat(np.full(4000, c), np.full(4000, a), 0.5, rng).mean()
-        slow = []
-        for _ in range(1500):
-            t = 1
-            for i in range(1, c):
-                t += rng.random() * (a + i - 0.5 * t) < a
-            slow.append(t)
-        assert abs(fast - np.mean(slow)) < 4 * np.std(slow) / math.sqrt(1500) + 0.02 * np.mean(slow)
-
-
-def test_predictive_sums_to_one():
-    stats = np.zeros(2 * pitman_yor.CONTEXTS + 3)
-    counts, tables, root = np.array([5, 3, 1]), np.array([2, 1, 1]), np.array([1, 1, 1])
-    keys = np.array([16, 32, 48], np.uint64)
-    stats[:] = pitman_yor._stats(keys, counts, tables, root)
-    t = pitman_yor.Totals(stats)
-    p0 = t.root(tables, root)
-    unseen = t.new_root * t.base / (pitman_yor.ROOT_STRENGTH + t.root_customers)
-    assert math.isclose(p0.sum() + unseen, 1)
-    own = (counts - pitman_yor.DISCOUNT * tables) / (pitman_yor.STRENGTH + t.customers[0])
-    assert math.isclose((own + t.back[0] * p0).sum() + t.back[0] * unseen, 1)
+def ways_to_seat(c, d=0.5):
+    """S(c, t) for t = 1 to c by its recurrence: the last customer opens a table or joins one."""
+    row = {1: 1.0}
+    for i in range(1, c):
+        row = {t: row.get(t - 1, 0.0) + (i - d * t) * row.get(t, 0.0) for t in range(1, i + 2)}
+    return np.array([row[t] for t in range(1, c + 1)])
+
+
+@pytest.mark.parametrize(("c", "a"), [(1, 0.5), (2, 0.3), (3, 4.0), (10, 2.0), (10, 0.01), (40, 30.0), (60, 1.0), (5, 1000.0)])
+def test_tables_have_the_exact_distribution(c, a):
+    want = ways_to_seat(c) * a ** np.arange(1, c + 1)
+    want /= want.sum()
+    drawn = pitman_yor.draw_tables(np.full(60_000, c), np.full(60_000, a), np.random.default_rng(1))
+    got = np.bincount(drawn, minlength=c + 1)[1:] / 60_000
+    assert np.abs(got - want).max() < 5 * math.sqrt(0.25 / 60_000)
+
+
+def test_tables_of_hot_words():
+    drawn = pitman_yor.draw_tables(np.array([0, *[1_000_000] * 2000]), np.full(2001, 500.0), np.random.default_rng(1))
+    assert drawn[0] == 0 and abs(drawn[1:].mean() - 1001) < 4 and abs(drawn[1:].std() - 32) < 3  # near 1 + Poisson(1000)
+
+
+def test_squeezed():
+    for x in (np.array([3, 5, 2**63, 2**64 - 1], np.uint64), np.zeros(0, np.uint64), np.arange(500, dtype=np.uint64)):
+        assert (pitman_yor.restored(pitman_yor.squeezed(x, True), np.uint64, True) == x).all()
+    x = np.array([-3, 7, 0], np.int32)
+    assert (pitman_yor.restored(pitman_yor.squeezed(x), np.int32) == x).all()
+
+
+def test_language_model_by_hand(spark):
+    """Every count of the state, and every document's score, from the texts and the sampled tables alone."""
+    r, d = random.Random(5), 0.5
+    texts = [" ".join(f"w{min(r.randint(0, 40), r.randint(0, 40))}" for _ in range(r.randint(0, 60))) for _ in range(80)]
+    raw = spark.createDataFrame([(t.encode(),) for t in texts], "raw binary")
+    words = pitman_yor.Words(pitman_yor.word_counts(raw), head=12)
+    code = pitman_yor.Codes(words.head)
+    fixed, moved, kept = pitman_yor.train(raw, words, seed=3)
+    pairs, vocabulary = Counter(), Counter()
+    for t in texts:
+        ws = [*t.encode().split(), pitman_yor._END]
+        vocabulary.update(ws)
+        pairs.update(zip([pitman_yor._END, *ws[:-1]], ws))
+    assert (words.tokens, words.distinct) == (sum(vocabulary.values()), len(vocabulary)) and len(words.head) == 12
+    context = {w: code._code(w) & 0xFFFF for w in vocabulary}
+    part = {code._code(w) >> 16: w for w in vocabulary}
+    seen = Counter()
+    for (u, w), n in pairs.items():
+        seen[context[u], w] += n
+    # the state
+    get = lambda row, c, kind=np.int32, up=False: pitman_yor.restored(row[c], kind, up)
+    tables, sums, mass, held = {}, {}, {}, Counter()
+    rare = {}
+    for row in fixed.collect():
+        rare[row.bucket] = [part[int(x)] for x in get(row, "words", np.uint64, True)]
+        assert get(row, "n").tolist() == [vocabulary[w] for w in rare[row.bucket]]
+        for k in get(row, "ones", np.uint64, True).tolist():
+            at = (k & 0xFFFF, part[k >> 16])
+            held[at], tables[at], sums[at] = 1, 1, len(kept)
+    for row in moved.collect():
+        for k, n, t, s in zip(get(row, "keys", np.uint64, True).tolist(), get(row, "counts").tolist(), get(row, "tables").tolist(), get(row, "summed").tolist()):
+            at = (k & 0xFFFF, part[k >> 16])
+            held[at], tables[at], sums[at] = n, t, s
+            assert 1 <= t <= n and len(kept) <= s <= len(kept) * n
+        for w, *m in zip(rare[row.bucket], *get(row, "mass").reshape(len(kept), -1).tolist()):
+            mass[w] = [x / 2 for x in m]
+    assert held == seen
+    last = kept[-1]
+    for c in range(pitman_yor._CONTEXTS):
+        if last.tables[c] or last.customers[c]:
+            assert last.tables[c] == sum(t for (k, _), t in tables.items() if k == c) and last.customers[c] == sum(n for (k, _), n in seen.items() if k == c)
+    customers = Counter()
+    for (_, w), t in tables.items():
+        customers[w] += t
+    for w in vocabulary:
+        at = code._code(w) >> 16
+        if at < 12:
+            mass[w] = [float(t.head[at] - d * t.head_roots[at]) for t in kept]
+            assert last.head[at] == customers[w]
+        assert d * customers[w] <= mass[w][-1] <= customers[w] - d  # between one root table and as many as customers
+    # the scores
+    more = [*texts, "w1 never seen w2", "", "W0 w0"]
+    got = pitman_yor.score(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(more)], "doc_id long, raw binary"), fixed, moved, kept, words)
+    got = {x.doc_id: x for x in got.collect()}
+    base = 1 / (len(vocabulary) + 1)
+    for i, t in enumerate(more):
+        total, before = 0.0, pitman_yor._END
+        for w in [*t.lower().encode().split(), pitman_yor._END]:
+            u = code._code(before) & 0xFFFF
+            p = 0.0
+            for k, s in enumerate(kept):
+                root = (mass.get(w, [0.0] * len(kept))[k] + s.new_root * base) / (50.0 + s.root_customers)
+                own = max(seen.get((u, w), 0) - d * sums.get((u, w), 0) / len(kept), 0)
+                p += (own + (2.0 + d * s.tables[u]) * root) / (2.0 + s.customers[u]) / len(kept)
+            total, before = total + math.log10(p), w
+        assert math.isclose(got[i].score, total, rel_tol=1e-9), i
+    # each sample's probabilities of all words add up to one
+    for s in (0, len(kept) - 1):
+        unseen = kept[s].root(0.0)
+        assert math.isclose(sum(kept[s].root(m[s]) for m in mass.values()) + unseen, 1, rel_tol=1e-9)
+
+
+def test_language_model_without_training_words(spark):
+    d = make(spark, [(i, t) for i, t in enumerate(["a b", None, "c"]) if zlib.crc32(str(i).encode()) % 7 == 2] or [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")])
+    for x in pitman_yor.scored(d).collect():
+        assert x.held_out and x.train_tokens == 0 and x.n_known == 0 and x.base_score == 0
 
 
 # 8

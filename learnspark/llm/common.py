@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Keys that joined_by_count broadcasts at most.
+HOT_KEYS = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores in front as make it no column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
+def joined_by_count(rows: DataFrame, told: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined to told (one row for each of their keys, `count` the number of rows that have it).
+
+    Keys with more than 1 / HOT_KEYS of all rows are fewer than HOT_KEYS, so they are broadcast and
+    their rows stay where they are; the other rows are shuffled, and none of their keys is hot. Both
+    inputs are read twice, so they should be tables.
+    """
+    total = told.agg(F.sum(count)).first()[0] or 0
+    bound = total // HOT_KEYS + 1
+    hot = F.broadcast(told.where(F.col(count) > bound))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(told.where(F.col(count) <= bound), keys))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"

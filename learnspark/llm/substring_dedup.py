@@ -1,25 +1,32 @@
-"""Removal of long word sequences that occur earlier in the corpus, or in a reference.
+"""Removal of long word sequences that occur earlier in the corpus, or in a reference, by suffix automata.
 
-`remove_known` is the broadcast form: the reference is cut into shards of bounded size, a suffix
-automaton of each shard is broadcast, documents are streamed through it for matching statistics (at
-each word, the longest suffix read so far that the shard contains), and maximal spans of at least
-`window` words go. Its work is documents times shards, so it is for references of bounded size.
+A suffix automaton of a reference shard is built once; documents are streamed through it for matching
+statistics (at each word, the longest sequence ending there that the shard contains), and what lies
+in spans of at least `window` words goes.
 
-`remove_repeats` compares the corpus with itself, where shards grow with the documents and every
-document would have to pass every automaton. It is exact by another way, linear in the input:
+`remove_known` is the broadcast form, for a reference of bounded size. `remove_repeats` compares the
+corpus with itself. There, every document would have to pass the automata of all documents before it,
+so only what may be repeated meets, and only where it may meet its like:
 1. Each window of `window` words picks the least hash among its GRAM-word grams; equal windows pick
-   equal grams. Windows in a row with the same pick form a unit. Counting picks over the corpus
-   tells those that occur once (nothing to do), those that always come with the same unit, and the rest.
-2. The two kinds of repeated picks go into Bloom filters of bounded size. A unit whose pick always
-   comes alike is one row; elsewhere each window is a row. A filter's false hits give more rows but
-   the same result, since all occurrences of a pick are treated alike.
-3. The first place of each row's 96-bit key is found by aggregation; rows at later places are spans
-   to remove. Only (id, span) lists meet the texts again.
+   equal grams, so a pick is a shard's key. Windows in a row with the same pick form a unit. Counting
+   picks tells those that occur once (nothing to do), those that always come with the same unit, and
+   the rest; the two repeated kinds go into Bloom filters of bounded size. A false hit there gives
+   more rows but the same result, since all occurrences of a pick are treated alike.
+2. Equal units are one content, with its first place in the corpus by aggregation.
+3. The contents of a pick are a shard: in order of their first places, each is streamed through the
+   suffix automaton of those before it and is added to it. A unit that always comes alike needs none.
+   A pick with more than SHARD_CONTENTS different contents would make one task too long; there each
+   window is a row, and the first place of each is found by aggregation.
+4. A unit at a later place than its content's first goes whole; at the first place its windows go
+   that the automaton has met. Units of a very common content are told by a broadcast of the few
+   such contents. Only (id, span) lists meet the texts again.
+It is linear in the input and exact up to 95-bit hashes of units and 48-bit hashes of their words.
 
 Defined results: a null or blank text has no words and keeps the empty string; a text with fewer
 words than a window loses nothing; of equal windows the one with the smallest (id, start) stays, a
 null id being smallest; rows with the same id and text are one document, so neither makes the other
-go; an empty table gives an empty result; other columns pass through unchanged.
+go; rows that share an id but not the text come in order of the text's hash; an empty table gives an
+empty result; other columns, whatever their names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -32,11 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnspark.llm.common import cut, drop_cut, table
+from learnspark.llm.common import cut, drop_cut, free_names, joined_by_count, table
 
 WINDOW, GRAM = 20, 6
-#: Words in a reference shard.
-SHARD_WORDS = 50_000
+#: Words in a broadcast shard, and in all of a broadcast reference at most.
+SHARD_WORDS, REFERENCE_WORDS = 50_000, 500_000
+#: Contents of a pick that one automaton takes (34 words each at most).
+SHARD_CONTENTS = 20_000
 KNOWN = 300_000
 #: A filter has 16 bits a key between these bounds: 16 MB at most.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
@@ -122,7 +131,7 @@ def picks(docs: DataFrame, text_col: str, window: int, gram: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(c))) for c in zip(*found, strict=True)], ["pick", "unit"])
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "pick long, unit long")
+    return docs.select(F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, "pick long, unit long")
 
 
 class Bloom:
@@ -157,37 +166,117 @@ class Bloom:
 
 
 def places(docs: DataFrame, alike: Bloom, mixed: Bloom, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    """(k1, k2, id, row, start, n): units of n windows, or single windows, whose pick may be repeated."""
+    """(pick, k1, k2, id, row, start, n, words): units of n windows whose pick may be repeated; k1, k2: hash of the words.
+
+    A unit whose pick does not always come alike has its words' hashes, where it is the first of its
+    kind that the task meets (so a copied passage is sent once a task).
+    """
     filters = docs.sparkSession.sparkContext.broadcast((alike, mixed))
-    names = ["k1", "k2", "id", "row", "start", "n"]
+    schema = pa.schema([("pick", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         one, many = filters.value
+        met: set[int] = set()
         for b in batches:
-            found, owner, rows = [], [], []
+            found, owner, rows, words = [], [], [], []
             for d, x in enumerate(b.column(1)):
                 raw = x.as_py() or b""
                 h = Hashes(raw.split())
                 pick, first, last = units(h, window, gram)
                 split = many.has(pick)
-                whole = one.has(pick) & ~split
-                n = (last - first + 1)[split]
-                single = np.repeat(first[split] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-                start = np.r_[first[whole], single]
-                if len(start):
-                    stop = np.r_[last[whole] + window, single + window]
-                    found.append((_signed(h.of(start, stop)), (h.of(start, stop, 1) >> np.uint64(33)).astype(np.int32), start, stop - start - window + 1))
-                    owner.append(np.full(len(start), d))
-                    rows.append(np.full(len(start), xxhash.xxh64_intdigest(raw, 42), np.uint64).view(np.int64))
+                at = np.flatnonzero(split | one.has(pick))
+                if not len(at):
+                    continue
+                start, stop, split = first[at], last[at] + window, split[at]
+                k1 = h.of(start, stop)
+                found.append((_signed(pick[at]), _signed(k1), (h.of(start, stop, 1) >> np.uint64(33)).astype(np.int32), start, stop - start - window + 1))
+                owner.append(np.full(len(at), d))
+                rows.append(np.full(len(at), xxhash.xxh64_intdigest(raw, 42), np.uint64).view(np.int64))
+                for key, s, e, wanted in zip(k1.tolist(), start.tolist(), stop.tolist(), split.tolist(), strict=True):
+                    if wanted and key not in met:
+                        met.add(key)
+                        words.append(_short(h.h[s:e]))
+                    else:
+                        words.append(None)
+            if len(met) > KNOWN:
+                met.clear()
             if found:
-                k1, k2, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
-                arrays = [pa.array(k1), pa.array(k2), b.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(rows)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                pick, k1, k2, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
+                arrays = [pick, k1, k2, b.column(0).take(pa.array(np.concatenate(owner))), np.concatenate(rows), start.astype(np.int32), n.astype(np.int32), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], schema=schema)
+
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, "pick long, k1 long, k2 int, id long, row long, start int, n int, words binary")
+
+
+def _short(h: np.ndarray) -> bytes:
+    """Word hashes cut to 48 bits."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw: bytes) -> list[int]:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel().tolist()
+
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "k1 long, k2 int, id long, row long, start int, n int")
+def _runs(hit: list[bool]) -> list[dict]:
+    """[start, n] of the runs of True."""
+    at = np.flatnonzero(np.diff(np.r_[0, np.array(hit, np.int8), 0]))
+    return [{"start": int(s), "n": int(e - s)} for s, e in zip(at[::2], at[1::2], strict=True)]
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def said_before(contents: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, again): of each content (pick, k1, k2, at, words), the [start, n] windows that an earlier one of its pick has.
+
+    The contents of a pick are a reference shard: in order of their first places, each is streamed
+    through the suffix automaton of those before it, and then joins it.
+    """
+
+    def run(batches):
+        shard, automaton = None, None
+        for b in batches:
+            out = []
+            for pick, k1, k2, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if automaton is None or pick != shard:
+                    shard, automaton = pick, SuffixAutomaton([])
+                words = _long(raw)
+                again = [n >= window for n in automaton.statistics(words)[window - 1 :]]
+                automaton.add(words)
+                if any(again):
+                    out.append({"k1": k1, "k2": k2, "again": _runs(again)})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("again", span)])
+    ordered = contents.repartition("pick").sortWithinPartitions("pick", "at", "k1", "k2")
+    return ordered.select("pick", "k1", "k2", "words").mapInArrow(run, f"k1 long, k2 int, again {SPANS}")
+
+
+def said_before_by_window(contents: DataFrame, window: int) -> DataFrame:
+    """What said_before tells, for picks with very many contents: each window is a row, and its first place is aggregated."""
+
+    def run(batches):
+        for b in batches:
+            for k1, k2, at, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                h = np.array(_long(raw), np.uint64)
+                sums = [np.r_[np.uint64(0), np.cumsum(h * up[: len(h)], dtype=np.uint64)] for up, _ in (Hashes.powers(0, len(h)), Hashes.powers(1, len(h)))]
+                s = np.arange(len(h) - window + 1)
+                w1, w2 = (_mix((x[s + window] - x[s]) * Hashes.powers(k, len(h))[1][s]) for k, x in enumerate(sums))
+                n = len(s)
+                place = pa.array([at | {"start": at["start"] + i} for i in range(n)], place_type)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1)), pa.array(np.full(n, k2, np.int32)), pa.array(_signed(w1)), pa.array(_signed(w2)), pa.array(s.astype(np.int32)), place], ["k1", "k2", "w1", "w2", "s", "place"])
+
+    place_type = pa.struct([("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+    rows = cut(contents.select("k1", "k2", "at", "words").mapInArrow(run, f"k1 long, k2 int, w1 long, w2 long, s int, place {PLACE}"))
+    first = cut(rows.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1"))
+    again = joined_by_count(rows, first, ["w1", "w2"], "c").where("place > first")
+    return again.groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("s").alias("start"), F.lit(1).alias("n"))).alias("again"))
+
+
+PLACE, SPANS = "struct<id:long,row:long,start:int>", "array<struct<start:int,n:int>>"
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard: int = SHARD_CONTENTS) -> DataFrame:
     """(id, row, spans): for each document with any, the [start, n windows] that occur earlier."""
     counted = picks(docs, text_col, window, gram).groupBy("pick").agg(F.count("*").alias("n"), F.min("unit").alias("lo"), F.max("unit").alias("hi"))
     repeated = cut(counted.where("n > 1").select("pick", (F.col("lo") == F.col("hi")).alias("alike")))
@@ -195,10 +284,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     one = Bloom(repeated.where("alike").select("pick"), sizes["a"])
     many = Bloom(repeated.where("not alike").select("pick"), sizes["n"] - sizes["a"])
     drop_cut(repeated)
-    found = places(docs, one, many, id_col, text_col, window, gram)
-    first = found.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("at")).where("c > 1").drop("c")
-    later = found.join(first, ["k1", "k2"]).where((F.struct("id", "start") > F.col("at")))
-    return later.groupBy("id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    found = cut(places(docs, one, many, id_col, text_col, window, gram))
+    place = F.struct("id", "row", "start")
+    contents = cut(found.groupBy("pick", "k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("c"), F.max("words").alias("words")))
+    mixed = contents.where("words is not null")
+    large = cut(mixed.groupBy("pick").agg(F.count("*").alias("c")).where(F.col("c") > shard))  # few: each has over `shard` contents
+    again = said_before(mixed.join(large, "pick", "left_anti"), window)
+    if not large.isEmpty():
+        again = again.union(said_before_by_window(mixed.join(large.select("pick"), "pick", "left_semi"), window))
+    first = cut(contents.select("k1", "k2", "at", "c").join(again, ["k1", "k2"], "left").where("c > 1 or again is not null"))
+    drop_cut(contents)
+    moved = F.transform("again", lambda x: F.struct((x["start"] + F.col("start")).alias("start"), x["n"].alias("n")))
+    told = joined_by_count(found.drop("pick", "words"), first, ["k1", "k2"], "c")
+    told = told.withColumn("spans", F.when(place > F.col("at"), F.array(F.struct("start", "n"))).otherwise(moved))
+    return told.where("spans is not null").groupBy("id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _covered(n_words: int, found: list[dict], window: int) -> np.ndarray:
@@ -210,10 +309,11 @@ def _covered(n_words: int, found: list[dict], window: int) -> np.ndarray:
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs plus `_spans` (null where nothing is to go)."""
-    found = spans(docs, id_col, text_col, window, gram).select(F.col("id").alias("_id"), F.col("row").alias("_at"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_at")), "left").drop("_id", "_at", "_row")
+    """docs plus a last column of spans (null where nothing is to go), under a name that docs does not have."""
+    id_, row, told, own = free_names(docs, "id", "row", "spans", "own_row")
+    found = spans(docs, id_col, text_col, window, gram).select(F.col("id").alias(id_), F.col("row").alias(row), F.col("spans").alias(told))
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return keyed.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(row)), "left").drop(id_, own, row)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -222,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A text that loses words becomes its kept words joined by single spaces; others stay as they are.
     """
     rows = marked(docs, id_col, text_col, window)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         for b in batches:
@@ -234,10 +334,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts.append(x)
             columns = b.columns[:-1]
             columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, docs_names)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_names = docs.columns
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans").mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -257,28 +356,31 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = marked(docs.select(id_col, text_col), id_col, text_col, window)
-    return rows.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = marked(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), window=window)
+    return rows.select("doc_id", F.col("text").cast("binary"), "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 class SuffixAutomaton:
     """Suffix automaton of word sequences; a sequence never continues into the next one."""
 
     def __init__(self, texts: list[list[bytes]]):
-        self.next: list[dict[bytes, int]] = [{}]
+        self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
         for words in texts:
-            last = 0
-            for w in words:
-                last = self._add(last, w)
+            self.add(words)
+
+    def add(self, words: list) -> None:
+        last = 0
+        for w in words:
+            last = self._add(last, w)
 
-    def _state(self, length: int, moves: dict[bytes, int], link: int) -> int:
+    def _state(self, length: int, moves: dict, link: int) -> int:
         self.next.append(moves)
         self.length.append(length)
         self.link.append(link)
         return len(self.next) - 1
 
-    def _clone(self, p: int, w: bytes, q: int) -> int:
+    def _clone(self, p: int, w, q: int) -> int:
         c = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         self.link[q] = c
         while p >= 0 and self.next[p].get(w) == q:
@@ -286,7 +388,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return c
 
-    def _add(self, last: int, w: bytes) -> int:
+    def _add(self, last: int, w) -> int:
         q = self.next[last].get(w)
         if q is not None:  # read before, in an earlier sequence
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
@@ -299,7 +401,7 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
         return new
 
-    def statistics(self, words: list[bytes]) -> list[int]:
+    def statistics(self, words: list) -> list[int]:
         """For each word, the length of the longest sequence ending there that some text contains."""
         at, n, out = 0, 0, []
         for w in words:
@@ -317,30 +419,32 @@ class SuffixAutomaton:
 def remove_known(docs: DataFrame, reference: list[str], text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without their spans of at least `window` words that `reference` contains.
 
-    reference: texts of bounded total size, held by the caller; they are cut into shards of
-    SHARD_WORDS words (overlapping by a window), and each shard's automaton is built where it is used.
+    reference: texts of REFERENCE_WORDS words at most, else an error. They are cut into shards of
+    SHARD_WORDS words (overlapping by a window), whose automata are built once and broadcast.
     """
-    shards, held, size = [], [], 0
+    shards, held, size, total = [], [], 0, 0
     for text in reference:
         words = (text or "").encode().split()
+        total += len(words)
         for s in range(0, max(1, len(words)), SHARD_WORDS):
             held.append(words[s : s + SHARD_WORDS + window - 1])
             size += len(held[-1])
             if size >= SHARD_WORDS:
                 shards.append(held)
                 held, size = [], 0
+    if total > REFERENCE_WORDS:
+        raise ValueError(f"the reference has {total} words; at most {REFERENCE_WORDS} can be broadcast")
     shards += [held] if held else []
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    sent = docs.sparkSession.sparkContext.broadcast([SuffixAutomaton(s) for s in shards])
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
-        automata = [SuffixAutomaton(s) for s in sent.value]
         for b in batches:
             texts = []
             for x in b.column(at).to_pylist():
                 words = (x or "").encode().split()
                 gone = np.zeros(len(words), bool)
-                for a in automata:
+                for a in sent.value:
                     for i, n in enumerate(a.statistics(words)):
                         if n >= window:
                             gone[i - n + 1 : i + 1] = True

@@ -168,6 +168,36 @@ def test_substring_equal_rows_and_windows(spark):
     assert out == [(0, 0), (1, 0), (1, 0), (2, 24), (3, 24)]
 
 
+def test_substring_very_common_contents(spark, docs, rows, monkeypatch):
+    """Windows by rows instead of automata, and contents told by broadcast, give the same spans."""
+    r = random.Random(9)
+    common_line = " ".join(f"c{i}" for i in range(8))
+    more = [(5000 + i, " ".join(f"q{r.randint(0, 9)}" for _ in range(15)) + " " + common_line + " " + " ".join(f"q{r.randint(0, 3)}" for _ in range(14))) for i in range(40)]
+    all_docs = docs.union(make(spark, more))
+    covers = lambda df: {x.id: sorted({i for s in x.spans for i in range(s.start, s.start + s.n)}) for x in df.collect()}
+    want = covers(substring_dedup.spans(all_docs))
+    monkeypatch.setattr(common, "HOT_KEYS", 200)
+    assert covers(substring_dedup.spans(all_docs)) == want
+    assert covers(substring_dedup.spans(all_docs, shard=0)) == want
+    brute = removed(dict([*rows.items(), *more]))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.digests(all_docs).collect()}
+    assert got == brute
+
+
+def test_joined_by_count(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(i % 2 if i < 60 else i, i) for i in range(100)], "k long, v long")
+    told = rows.groupBy("k").agg(F.count("*").alias("c")).where("k <> 70")
+    got = sorted((x.k, x.v, x.c) for x in common.joined_by_count(rows, told, ["k"], "c").collect())
+    assert got == sorted((i % 2 if i < 60 else i, i, 30 if i < 60 else 1) for i in range(100) if i != 70)
+
+
+def test_broadcast_reference_is_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "REFERENCE_WORDS", 10)
+    with pytest.raises(ValueError):
+        substring_dedup.remove_known(docs, ["a b c d e f", "g h i j k"])
+
+
 def test_automaton(spark, docs):
     a = substring_dedup.SuffixAutomaton([b"a b c a b d".split(), b"c x".split()])
     assert a.statistics(b"a b d c x c a".split()) == [1, 2, 3, 1, 2, 1, 2]

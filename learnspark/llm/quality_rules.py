@@ -5,13 +5,16 @@ beforehand, so a document has one first level at which some rule rejects it. In
 language) the labelled good documents are the holdout. From the most lenient level on, level j is
 accepted while the exact binomial test rejects "at least `risk` of good documents are rejected at
 level j" at `delta` / number of strata: fixed-sequence testing within a stratum, Bonferroni between
-strata. With probability 1 - delta no stratum loses more than a share `risk` of its good documents.
+strata. With probability 1 - delta no stratum loses more than a share `risk` of its good documents to
+the cutoffs, of those that the base rules let pass: these are fixed and reject what they reject.
 A stratum with too few labels gets no cutoff and rejects nothing beyond the base rules.
 
 Defined results: a null or blank text has no words, fails the base rules and is rejected; a null
 stratum value is a stratum of its own; labels that are null or without a document are ignored; a
-document labelled more than once counts with each label; rows that repeat a doc_id are judged each
-for itself; an empty table gives an empty result; all input columns pass through unchanged.
+document that is labelled or present more than once is one document of the holdout (good only if all
+its labels say so, at the first level that rejects any of its rows), as the exact binomial asks for;
+rows that repeat a doc_id are judged each for itself; an empty table gives an empty result; all input
+columns, whatever their names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnspark.llm.common import cut, table
+from learnspark.llm.common import cut, free_names, table
 
 RISK, DELTA = 0.02, 0.05
 MIN_WORDS = 50
@@ -71,17 +74,18 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs plus a struct column `_m` of MEASURES (without the text where drop_text)."""
+def measured(docs: DataFrame, text_col: str = "text", drop_text: bool = False, into: str = "_m") -> DataFrame:
+    """docs plus a struct column `into` of MEASURES (without the text where drop_text)."""
     kept = [c for c in docs.columns if not (drop_text and c == text_col)]
-    ready = docs.select(F.col(text_col).cast("binary").alias("_raw"), *[F.col(f"`{c}`") for c in kept])
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.lit(0).cast("long").alias(m) for m in MEASURES]).alias("_m")).schema
+    raw = free_names(docs, "raw")[0]
+    ready = docs.select(F.col(f"`{text_col}`").cast("binary").alias(raw), *[F.col(f"`{c}`") for c in kept])
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.lit(0).cast("long").alias(m) for m in MEASURES]).alias(into)).schema
 
     def run(batches):
         for b in batches:
             values = list(zip(*(measure(x.as_py()) for x in b.column(0)), strict=True)) or [()] * len(MEASURES)
             m = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in values], list(MEASURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], m], [*kept, "_m"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], m], [*kept, into])
 
     return ready.mapInArrow(run, out)
 
@@ -139,30 +143,42 @@ def cutoffs(labelled: DataFrame, stratum: str, risk: float = RISK, delta: float
     return per.mapInPandas(run, f"_stratum {per.schema['_stratum'].dataType.simpleString()}, _accepted int")
 
 
-def judged(docs: DataFrame, labels: DataFrame, m: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """docs plus _m, _base_failed and _kept. m: docs with `_m`, where it has been measured before.
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(id, stratum, m, failed, kept): the verdict on every row of docs, with its MEASURES in m.
 
-    labels: (doc_id, quality), quality 1 for good. For the cutoffs the documents are measured without
-    their texts and joined to the labels, so no text is shuffled; the verdict is a projection.
+    labels: (doc_id, quality), quality 1 for good. Texts are measured once and never shuffled.
     """
-    good = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("_good"))
-    if m is None:
-        m = measured(docs, text_col)
-        known = measured(docs.select(id_col, text_col, stratum), text_col, drop_text=True)
-    else:
-        known = m
-    held = known.join(good, F.col(id_col) == F.col("_id")).where(~base_failed()).select(stratum, first_level().alias("_level"), "_good")
-    at = cut(cutoffs(held, stratum, risk, delta))
-    out = m.join(at, m[stratum].eqNullSafe(at["_stratum"]), "left").withColumn("_base_failed", base_failed())
-    return out.withColumn("_kept", ~F.col("_base_failed") & (first_level() > F.coalesce("_accepted", F.lit(-1)))).drop("_stratum", "_accepted")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum}`").alias("stratum"), F.col(f"`{text_col}`").alias("text"))
+    m = cut(measured(slim, drop_text=True, into="m"))
+    at = _accepted(m, labels, risk, delta)
+    return m.join(at, m["stratum"].eqNullSafe(at["_stratum"]), "left").select("id", "stratum", "m", base_failed("m").alias("failed"), _verdict("m", "_accepted").alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rejected ones, all their columns as they were."""
-    return judged(docs, labels, **options).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _accepted(m: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """(_stratum, _accepted) from the labelled ones of documents (id, stratum, m), each counted once."""
+    good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.min(F.col("quality") == 1).alias("good"))
+    held = m.join(good, F.col("id") == F.col("label_id")).where(~base_failed("m"))
+    held = held.groupBy("id").agg(F.min(F.struct(first_level("m").alias("level"), "stratum")).alias("x"), F.min("good").alias("_good"))
+    return cut(cutoffs(held.select("x.stratum", F.col("x.level").alias("_level"), "_good"), "stratum", risk, delta))
+
+
+def _verdict(m: str, accepted: str) -> Column:
+    return ~base_failed(m) & (first_level(m) > F.coalesce(accepted, F.lit(-1)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """docs without the rejected ones, all their columns as they were.
+
+    The rows are measured once and written with their measures; only (id, stratum, measures) meet the labels.
+    """
+    m, accepted, own = free_names(docs, "m", "accepted", "own_stratum")
+    known = cut(measured(docs, text_col, into=m))
+    slim = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum}`").alias("stratum"), F.col(m).alias("m"))
+    at = _accepted(slim, labels, risk, delta).select(F.col("_stratum").alias(own), F.col("_accepted").alias(accepted))
+    out = known.join(at, F.col(f"`{stratum}`").eqNullSafe(F.col(own)), "left").where(_verdict(m, accepted))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    verdict = judged(docs, table(spark, sf_dir, "labels"), m=cut(measured(docs, drop_text=True)))
-    return verdict.select("doc_id", *[f"_m.{x}" for x in MEASURES[:5]], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), "lang", first_level().alias("first_level"))
+    verdict = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdict.select(F.col("id").alias("doc_id"), *[f"m.{x}" for x in MEASURES[:5]], F.col("failed").alias("base_failed"), "kept", F.col("stratum").alias("lang"), first_level("m").alias("first_level"))

@@ -1,9 +1,10 @@
 """PII surrogates in DataFrame functions only.
 
 One pattern finds all entities of a text. An entity is its kind and its normal form (a phone number
-is its last ten digits, an address is lower case), and its surrogate is a keyed SHA-256 of both, put
+is its digits, without the 1 before ten others; an address is lower case), and its surrogate is a keyed SHA-256 of both, put
 into the kind's own form: digits for digits in the format of the place, a valid check digit, a name
-of the same script and, for given names, the same gender. So each mention of an entity, in any
+of the same script and, for given names, the same gender. Names are found by the title before them;
+where such a name stands without it elsewhere in the text, whole or in part, it is replaced too. So each mention of an entity, in any
 document and format, gets the same surrogate. Distinct entities must get distinct surrogates and no
 surrogate may be a real entity: surrogates of all entities of the corpus are grouped, and every
 entity but one of a collision tries again with its next attempt until none is left. Only documents
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from learnspark.llm.common import cut, table
+from learnspark.llm.common import cut, free_names, table
 
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
@@ -28,7 +29,7 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "password": r"(?i:(?<=\bpassword=)|(?<=\bpassword: )|(?<=\bpasswd=)|(?<=\bpwd=))[^\x00-\x20\"']{6,}+",
+    "password": r"(?i:(?<=\bpassword=)|(?<=\bpasswd=)|(?<=\bpwd=))[^\x00-\x20\"']++|(?i:(?<=\bpassword: ))[^\x00-\x20\"']{6,}+",
     "secret": r"(?<==\x20?[\"'])[0-9a-fA-F]{32,}+(?=[\"'])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -90,7 +91,7 @@ def _kind(m: Column) -> Column:
 
 
 def _normal(kind: Column, m: Column) -> Column:
-    return F.when(kind == "email", F.lower(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind.isin("card", "ssn"), _digits(m)).otherwise(m)
+    return F.when(kind == "email", F.lower(m)).when(kind == "phone", F.regexp_replace(_digits(m), r"^1(?=\d{10}$)", "")).when(kind.isin("card", "ssn"), _digits(m)).otherwise(m)
 
 
 def _entities(hits: Column) -> Column:
@@ -160,7 +161,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
         "email": F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), more, F.lit("@"), host, F.lit(".example.com")),
         "ip": F.concat_ws(".", octet(1, 1, 223), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254)),
         "card": F.concat(body, F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string")),
-        "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(digits.substr(F.lit(1), F.length(norm))),
+        "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(F.concat(norm.substr(1, 2), digits.substr(F.lit(1), F.length(norm) - 2))),  # the country stays
         "ssn": F.concat(F.lit("9"), digits.substr(1, 8)),
         "key": F.concat(F.lit("AKIA"), F.upper(F.translate(h.substr(1, 16), "01", "yz"))),
         "secret": F.when(F.upper(norm) == norm, F.upper(hexes)).otherwise(hexes).substr(F.lit(1), F.length(norm)),
@@ -208,32 +209,40 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
         now = cut(now.join(lost, ["kind", "norm"], "left_anti").unionByName(with_surrogate(lost, key)))
 
 
-def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's entities replaced, and their number in `_entities`.
+def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the text's entities replaced, and their number in a new column count_col where it is named.
 
     Only the documents with matches are shuffled; the others pass through.
     """
-    text, row = F.col(text_col), F.xxhash64(text_col)
+    if count_col in docs.columns:
+        raise ValueError(f"docs has a column {count_col} already")
+    hits, row, of, at, map_, counted = free_names(docs, "hits", "row", "of", "at", "told", count_col or "entities")
+    text = F.col(f"`{text_col}`")
     all_hits = F.regexp_extract_all(text, F.lit(ANY), 0)
     hit = F.coalesce(F.when(text.rlike(HINT) | text.rlike(KINDS["name"]), text.rlike(ANY)), F.lit(False))
-    clean = docs.where(~hit).withColumn("_entities", F.lit(0))
-    found = cut(docs.where(hit).withColumn("_hits", _entities(all_hits)).withColumn("_row", row))
-    seen = found.select(F.col(id_col).alias("_d"), F.col("_row").alias("_r"), F.explode("_hits").alias("e")).select("_d", "_r", F.explode(_parts(F.col("e"))).alias("p")).select("_d", "_r", "p.kind", "p.norm").distinct()
+    clean = docs.where(~hit).withColumn(counted, F.lit(0))
+    found = cut(docs.where(hit).withColumn(hits, _entities(all_hits)).withColumn(row, F.xxhash64(text)))
+    seen = found.select(F.col(f"`{id_col}`").alias("d"), F.col(row).alias("r"), F.explode(hits).alias("e")).select("d", "r", F.explode(_parts(F.col("e"))).alias("p")).select("d", "r", "p.kind", "p.norm").distinct()
     seen = cut(seen)
     known = distinct_surrogates(cut(seen.select("kind", "norm").distinct()), key)
     pair = F.struct(F.concat_ws("\x01", "kind", "norm"), "sur")
-    per = seen.join(known, ["kind", "norm"]).groupBy("_d", "_r").agg(F.map_from_entries(F.collect_list(pair)).alias("_told"))
-    told = F.col("_told")
+    per = seen.join(known, ["kind", "norm"]).groupBy(F.col("d").alias(of), F.col("r").alias(at)).agg(F.map_from_entries(F.collect_list(pair)).alias(map_))
+    told = lambda p: F.col(map_)[F.concat_ws("\x01", p["kind"], p["norm"])]
 
     def replaced(e: Column) -> Column:
-        return _placed(e, F.transform(_parts(e), lambda p: told[F.concat_ws("\x01", p["kind"], p["norm"])]))
+        return _placed(e, F.transform(_parts(e), told))
 
-    new = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform("_hits", replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    joined = found.join(per, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r")
-    done = joined.withColumn(text_col, new).withColumn("_entities", F.size(F.filter("_hits", lambda e: e["kind"].isNotNull())))
-    return clean.unionByName(done.select(*clean.columns))
+    new = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform(hits, replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    # names again, where no title stands before them
+    named = F.filter(hits, lambda e: e["kind"] == "name")
+    parts = F.array_distinct(F.flatten(F.transform(named, lambda e: F.transform(_parts(e), lambda p: F.struct(F.initcap(p["norm"]).alias("name"), F.initcap(told(p)).alias("sur"))))))
+    once_more = F.aggregate(parts, new, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}@.])"), p["name"], F.lit(r"(?![\p{L}@])")), p["sur"]))
+    joined = found.join(per, F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.col(row) == F.col(at)), "left")
+    done = joined.withColumn(text_col, F.when(F.size(named) > 0, once_more).otherwise(new)).withColumn(counted, F.size(F.filter(hits, lambda e: e["kind"].isNotNull())))
+    out = clean.unionByName(done.select(*[F.col(f"`{c}`") for c in clean.columns]))
+    return out if count_col else out.drop(counted)
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), "learnspark")
-    return docs.select("doc_id", "text", F.col("_entities").cast("long").alias("n_entities"))
+    docs = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), "learnspark", count_col="n_entities")
+    return docs.select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"))

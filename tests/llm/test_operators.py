@@ -257,7 +257,7 @@ PRIVATE = 'Mail Bob.Lee@x.org or bob.lee@x.org, +1 (988) 555-2485, (988) 555-248
 
 def test_surrogates(spark):
     d = make(spark, [(1, PRIVATE), (2, "again BOB.LEE@x.org " * 200), (3, None), (4, ""), (5, "no 4.0. x = y"), (1, PRIVATE)])
-    out = surrogates.with_surrogates(d, "secret")
+    out = surrogates.with_surrogates(d, "secret", count_col="_entities")
     got = {r.doc_id: r for r in out.collect()}
     assert out.columns == [*d.columns, "_entities"] and out.count() == 6
     t = got[1].text
@@ -296,12 +296,23 @@ def test_surrogates_are_hinted(spark):
     assert set(private) == set(surrogates.KINDS)
     frame = {"password": "so PWD=%s it is", "secret": 'so = "%s" it is'}
     texts = [(i, frame.get(k, "so %s it is") % v) for i, (k, v) in enumerate(private.items())]
-    got = {r.doc_id: r for r in surrogates.with_surrogates(make(spark, texts), "k").collect()}
+    got = {r.doc_id: r for r in surrogates.with_surrogates(make(spark, texts), "k", count_col="_entities").collect()}
     for i, (kind, value) in enumerate(private.items()):
         assert got[i]._entities == 1, kind
         assert value[-8:] not in got[i].text and got[i].text.endswith("it is"), kind
 
 
+def test_surrogates_of_later_mentions(spark):
+    texts = ["Frau Anna Schmidt wrote. Later Anna Schmidt left; Schmidt's Anna, annas ANNA anna@x.org", "Anna Schmidt again", "pwd=abc12 password=x passwd=1! password: short", "+49 1712345678 +33 1712345678 +1 988 555 2485, 988-555-2485"]
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(make(spark, enumerate(texts)), "k").collect()}
+    w = got[0].split()
+    assert "Anna " not in got[0] and "Schmidt" not in got[0] and w[5] == w[1] and w[6] == w[2].rstrip(".") and w[8].startswith(w[6]) and w[9] == w[1] + ","
+    assert "annas ANNA" in got[0] and got[1] == texts[1]  # other words, and a text that names no one by title
+    assert not any(x in got[2] for x in ("abc12", "=x ", "1!")) and got[2].endswith("password: short")
+    a, b, c, d, *rest = got[3].split()
+    assert (a, c) == ("+49", "+33") and b != d and rest[0] == "+1" and "-".join(rest[1:4]).rstrip(",") == rest[4]
+
+
 def test_surrogates_end(spark):
     masked = ["********", "......", "пароль", "ПАРОЛЬ", "密码密码密码", "éèêëàâ", *(f"*****{i}" for i in range(10))]
     names = ["Mr Աննա", "Mr Արամ"]
@@ -620,6 +631,31 @@ def test_risk_rules(spark, folder, rows):
     assert got[1001].base_failed and not got[1001].kept and got[1005].base_failed
 
 
+CLASHES = ["key", "told", "kept", "copies", "hits", "row", "of", "at", "entities", "m", "accepted", "own_stratum", "raw", "id", "node", "spans", "own_row", "chunk", "size_of", "start_of", "_entities", "_row", "_kept", "_m", "_stratum", "Shard", "slot", "first", "c", "g", "label_id", "stratum", "doc", "n", "words"]
+
+
+def test_clashing_columns(spark):
+    """Every operator that passes columns through does so whatever their names."""
+    r = random.Random(1)
+    texts = [(i, " ".join(f"w{r.randint(0, 800)}" for _ in range(90)) + " bob@x.org") for i in range(12)]
+    d = make(spark, [*texts, (20, texts[0][1]), (21, None)])
+    for k, name in enumerate(CLASHES):
+        d = d.withColumn(name, F.lit(f"{k}"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    for out, rows in ((quality_rules.keep_good(d, labels), 13), (simhash.keep_one(d), 13), (substring_dedup.remove_repeats(d), 14), (surrogates.with_surrogates(d, "k"), 14)):
+        assert out.columns == d.columns
+        got = out.collect()
+        assert len(got) == rows and all(x[name] == f"{k}" for x in got for k, name in enumerate(CLASHES))
+    s = rendezvous.with_slots(rendezvous.assign(d, "doc_id", [1.0] * 3, shard_col="s3"), "doc_id", 14, 3, shard_col="s3", slot_col="place")
+    assert s.columns == [*d.columns, "s3", "place"] and s.select("s3", "place").distinct().count() == 14
+    with pytest.raises(ValueError):
+        rendezvous.assign(d, "doc_id", [1.0], shard_col="slot")
+    with pytest.raises(ValueError):
+        surrogates.with_surrogates(d, "k", count_col="hits")
+    for out in (packing.packed(d), piece_fst.digests(d), pitman_yor.scored(d), simhash.components(d)):
+        assert out.count() >= 14
+
+
 # all
 def test_empty_tables(spark, tmp_path):
     path = str(tmp_path)

@@ -34,9 +34,14 @@ def year_union(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return q.join(a, "year", "full").select("year", F.coalesce("questions", F.lit(0)).alias("questions"), F.coalesce("answers", F.lit(0)).alias("answers"))
 
 
-def next_in_pattern(questions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("pattern_id").orderBy("question_id")
-    return questions.select("question_id", "pattern_id", F.lead("question_id").over(w).alias("next_id"))
+def next_in_pattern(questions: DataFrame, block: int = 4096) -> DataFrame:
+    """(question_id, pattern_id, next_id): within blocks of ids, and from the end of a block to the next one's first."""
+    q = questions.select("question_id", "pattern_id", F.floor(F.col("question_id") / block).alias("block"))
+    inside = Window.partitionBy("pattern_id", "block").orderBy("question_id")
+    blocks = q.groupBy("pattern_id", "block").agg(F.min("question_id").alias("first"))
+    after = blocks.select("pattern_id", "block", F.lead("first").over(Window.partitionBy("pattern_id").orderBy("block")).alias("after"))
+    here = q.withColumn("next_id", F.lead("question_id").over(inside)).join(after, ["pattern_id", "block"])
+    return here.select("question_id", "pattern_id", F.coalesce("next_id", "after").alias("next_id"))
 
 
 def similar_questions(questions: DataFrame, n: int = 3) -> DataFrame:

@@ -69,7 +69,8 @@ def sample(questions: DataFrame, n: int, seed: str = "exam") -> DataFrame:
 def round_robin(questions: DataFrame, group: str, n: int) -> DataFrame:
     """n questions taken in turn from each group."""
     w = Window.partitionBy(group).orderBy("question_id")
-    return questions.withColumn("turn", F.row_number().over(w)).orderBy("turn", group).limit(n)
+    # no group gives more than n, so each keeps its first n before anything is shuffled
+    return questions.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def first_per_group(questions: DataFrame, group: str, n: int) -> DataFrame:

@@ -26,6 +26,12 @@ def page_asof(offsets: DataFrame, starts: DataFrame, id_col: str) -> DataFrame:
     return near.groupBy(id_col, "offset").agg(F.coalesce(F.max_by("page", "start"), F.lit(1)).alias("page"))
 
 
+def page_at(text: Column, offset: Column, mark: str = "\n") -> Column:
+    """The page of an offset into the text itself: one more than the marks before it. Nothing is exploded or shuffled."""
+    head = F.left(text, offset.cast("int"))
+    return 1 + F.length(head) - F.length(F.replace(head, F.lit(mark), F.lit("")))
+
+
 def forward_fill(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))

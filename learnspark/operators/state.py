@@ -6,7 +6,7 @@ a third of all events is no hot task; only answer timing needs the order within
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnspark.functions.scores import rnd, rnd_int
@@ -34,13 +34,28 @@ def attempt_counters(latest: DataFrame) -> DataFrame:
     return latest.agg(F.count("*").alias("total_answered"), F.count_if("correct").alias("total_correct"))
 
 
+def carried(rows: DataFrame, keys: list[str], block: str, values: dict[str, Column]) -> DataFrame:
+    """(keys, block, values): for each block of a key, each aggregate over all its blocks before.
+
+    With it a running value is made of two short windows, one over a key's blocks and one within a
+    block, so that a key that holds most rows is no single task.
+    """
+    past = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.groupBy(*keys, block).agg(*[v.alias(f"own_{k}") for k, v in values.items()])
+    over = {k: (F.sum if "sum" in k else F.max)(f"own_{k}").over(past) for k in values}
+    return own.select(*keys, block, *[v.alias(k) for k, v in over.items()])
+
+
 def answer_durations(events: DataFrame) -> DataFrame:
     """(event_id, question_id, seconds): from a question's last start to its answer; each start serves one answer."""
-    own = Window.partitionBy("question_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    timed = events.where(F.col("type").isin("question_start", "question_answer"))
-    started = F.max(F.when(F.col("type") == "question_start", F.struct("ts", "event_id"))).over(own)
-    answered = F.max(F.when(F.col("type") == "question_answer", F.struct("ts", "event_id"))).over(own)
-    out = timed.withColumn("s", started).withColumn("a", answered).where("type = 'question_answer'")
+    own = Window.partitionBy("question_id", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    timed = events.where(F.col("type").isin("question_start", "question_answer")).select("event_id", "question_id", "type", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    at = F.struct("ts", "event_id")
+    started, answered = (F.max(F.when(F.col("type") == f"question_{x}", at)) for x in ("start", "answer"))
+    before = carried(timed, ["question_id"], "hour", {"max_s": started, "max_a": answered})
+    here = timed.withColumn("s0", started.over(own)).withColumn("a0", answered.over(own)).where("type = 'question_answer'")
+    both = here.join(before.withColumnRenamed("question_id", "q").withColumnRenamed("hour", "h"), F.col("question_id").eqNullSafe(F.col("q")) & (F.col("hour") == F.col("h")), "left")
+    out = both.withColumn("s", F.coalesce("s0", "max_s")).withColumn("a", F.coalesce("a0", "max_a"))
     open_ = F.col("s").isNotNull() & (F.col("a").isNull() | (F.col("s") > F.col("a")))
     seconds = rnd_int((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("s.ts").cast("timestamp"))) / 1_000_000.0)
     return out.select("event_id", "question_id", F.when(open_, seconds).alias("seconds"))
@@ -63,10 +78,12 @@ def study_sessions(events: DataFrame, keep: int = 30) -> DataFrame:
 
 
 def running_score(events: DataFrame, day: str) -> DataFrame:
-    """(event_id, answered, correct): the score after each graded answer of one day, the learner's session."""
-    w = Window.partitionBy("date").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    g = graded(events).where(F.col("date") == F.to_date(F.lit(day)))
-    return g.select("event_id", F.count("*").over(w).alias("answered"), F.count_if("correct").over(w).alias("right"))
+    """(event_id, answered, right): the score after each graded answer of one day, the learner's session; by the minute, then within it."""
+    g = graded(events).where(F.col("date") == F.to_date(F.lit(day))).select("event_id", "ts", "date", "correct", F.date_trunc("minute", "ts").alias("minute"))
+    before = carried(g, ["date"], "minute", {"sum_n": F.count("*"), "sum_right": F.count_if("correct")})
+    w = Window.partitionBy("date", "minute").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    here = g.select("event_id", "date", "minute", F.count("*").over(w).alias("n"), F.count_if("correct").over(w).alias("r")).join(before, ["date", "minute"])
+    return here.select("event_id", (F.col("n") + F.coalesce("sum_n", F.lit(0))).alias("answered"), (F.col("r") + F.coalesce("sum_right", F.lit(0))).alias("right"))
 
 
 def study_time_estimate(events: DataFrame, latest: DataFrame, exam_seconds: DataFrame, per_question: float = 2.5) -> DataFrame:

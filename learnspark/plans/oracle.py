@@ -120,7 +120,7 @@ QUESTION_REASONS = S_.format(
     "CASE WHEN wrong_count >= 3 THEN '반복 실패 ' || wrong_count || '회' WHEN wrong_count >= 2 THEN '오답 ' || wrong_count || '회' ELSE '오답 1회' END, CASE WHEN due THEN '복습 주기 도래' END, CASE WHEN wrong_days <= 3 THEN '최근 오답' END,"
     " CASE question_type WHEN 'calculation' THEN '계산형 — AI Tutor 권장' WHEN 'mixed' THEN '혼합형 문항' END, CASE WHEN importance_score >= 80 THEN '고중요 Pattern 소속' END"
 )
-NUMBERS = r"list_distinct(regexp_extract_all({}, '\d+(?:[.,]\d+)*'))"
+NUMBERS = r"list_distinct(regexp_extract_all({}, '\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+\.\d+|\d{{3,}}'))"
 GONE = f"list_filter({NUMBERS.format('text')}, lambda x: NOT list_contains({NUMBERS.format("split_part(text, chr(10), 1)")}, x))"
 
 ORACLE_SQL = {
@@ -187,6 +187,7 @@ ORACLE_SQL = {
     "content_hash": "SELECT doc_id, substring(sha256(text), 1, 16) AS hash FROM documents",
     "segments": sql("seg", "SELECT * FROM seg"),
     "page_asof": sql("seg", "SELECT doc_id, \"offset\", arg_max(page, start) AS page FROM (SELECT doc_id, CAST(floor(length(text) / 2) AS BIGINT) AS \"offset\" FROM documents) JOIN seg USING (doc_id) WHERE start <= \"offset\" GROUP BY ALL"),
+    "page_lookup": sql("seg", "SELECT doc_id, \"offset\", coalesce(max(page) FILTER (start <= \"offset\"), 1)::BIGINT AS page FROM (SELECT item_id AS doc_id, length(text)::BIGINT AS \"offset\" FROM benchmark) LEFT JOIN seg USING (doc_id) GROUP BY ALL"),
     "year_ffill": "SELECT conv_id, turn, last_value(y IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS year FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 2000 + turn END AS y FROM conversations)",
     "marker_interpolation": sql("ea", "SELECT session_id, number, position FROM (WITH j AS (SELECT session_id, number, min(question_id) AS position FROM ea WHERE (session_id + number) % 3 <> 0 GROUP BY ALL), k AS (SELECT session_id, number, position, lead(number) OVER w AS n2, lead(position) OVER w AS p2 FROM j WINDOW w AS (PARTITION BY session_id ORDER BY number)) SELECT session_id, number, position FROM k UNION ALL SELECT session_id, CAST(x AS INT), position + CAST(trunc((p2 - position) * (x - number)::DOUBLE / (n2 - number)::DOUBLE) AS BIGINT) FROM (SELECT *, unnest(range(number + 1, n2)) AS x FROM k WHERE n2 - number BETWEEN 2 AND 3))"),
     "dedupe_lines": "SELECT doc_id, len(l) AS n_lines, len(k) AS n_kept, md5(array_to_string(k, chr(10))) AS text_md5 FROM (SELECT doc_id, l, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",

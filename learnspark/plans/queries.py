@@ -311,10 +311,15 @@ def segments(spark, d):
 
 
 def page_asof(spark, d):
-    docs = M.documents(spark, d)
-    starts = extract.pages(docs, "doc_id", "text")
-    offsets = docs.select("doc_id", F.floor(F.length("text") / 2).alias("offset"))
-    return extract.page_asof(offsets, starts, "doc_id")
+    offset = F.floor(F.length("text") / 2)
+    return M.documents(spark, d).where("text is not null").select("doc_id", offset.alias("offset"), extract.page_at(F.col("text"), offset).cast("long").alias("page"))
+
+
+def page_lookup(spark, d):
+    """Offsets that are not into the text: those of benchmark items, looked up in the pages of the documents of the same number."""
+    starts = extract.pages(M.documents(spark, d), "doc_id", "text")
+    offsets = M.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.length("text").cast("long").alias("offset"))
+    return extract.page_asof(offsets, starts, "doc_id").select("doc_id", "offset", F.col("page").cast("long").alias("page"))
 
 
 def year_ffill(spark, d):

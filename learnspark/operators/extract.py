@@ -65,24 +65,24 @@ def fullest(parsed: DataFrame, key: list[str], order: str) -> DataFrame:
     return parsed.groupBy(*key).agg(F.max_by(F.struct(*[c for c in parsed.columns if c not in key]), F.struct(F.size("choices"), -F.col(order))).alias("x")).select(*key, "x.*")
 
 
-def markers(docs: DataFrame, id_col: str, text_col: str, low: int, high: int) -> DataFrame:
-    """(id, number, position): the first place of each number mark "n." from `low` on, after the first mark of `low`."""
-    pattern = re.compile(r"(?<![\d.])(\d{1,2})\.(?!\d)")
+#: A number mark: one or two digits and a dot, apart from other numbers.
+MARK = r"(?<![\d.])\d{1,2}\.(?!\d)"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, text in zip(b[id_col], b[text_col], strict=True):
-                found: dict[int, int] = {}
-                for m in pattern.finditer(text or ""):
-                    n = int(m[1])
-                    if low <= n <= high and (found or n == low):
-                        found.setdefault(n, m.start())
-                out += [(key, n, p) for n, p in found.items()]
-            yield pd.DataFrame(out, columns=[id_col, "number", "position"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, number int, position long")
+
+def markers(docs: DataFrame, id_col: str, text_col: str, low: int, high: int) -> DataFrame:
+    """(id, number, position): the first place of each number mark "n." from `low` on, after the first mark of `low`.
+
+    A mark's place is the length of the marks before it and of the texts between them.
+    """
+    text = F.col(text_col)
+    marks, between = F.regexp_extract_all(text, F.lit(MARK), 0), F.transform(F.split(text, MARK, -1), lambda y: F.length(y))
+    both = F.arrays_zip(marks.alias("mark"), F.slice(between, F.lit(1), F.size(marks)).alias("gap"))
+    one = docs.select(id_col, F.posexplode(both).alias("at", "x")).select(id_col, "at", "x.mark", "x.gap", F.length("x.mark").alias("size"))
+    before = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = one.select(id_col, F.rtrim("mark", F.lit(".")).cast("int").alias("number"), (F.sum(F.col("gap") + F.col("size")).over(before) - F.col("size")).alias("position"))
+    found = placed.where(F.col("number").between(low, high)).groupBy(id_col, "number").agg(F.array_sort(F.collect_list("position")).alias("all"))
+    start = found.where(F.col("number") == low).select(id_col, F.col("all")[0].alias("start"))
+    return found.join(start, id_col).select(id_col, "number", F.filter("all", lambda p: p >= F.col("start"))[0].alias("position")).where("position is not null")
 
 
 def bodies(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,8 +1,13 @@
-"""The queries of this package by name, and the SQL of those that SQL can express."""
+"""The queries of this package by name, and the SQL of those that SQL can express.
+
+The others need XXH64, CRC-32, tokenizers or sampling, which DuckDB does not have; tests/llm holds
+them against brute force.
+"""
 
 from __future__ import annotations
 
 from learnspark.llm import embedding_dedup, packing, piece_fst, pitman_yor, quality_rules, quote_threads, rendezvous, simhash, substring_dedup, surrogates
+from learnspark.llm.sql import ORACLE_SQL
 
 QUERIES = {
     "op1_quote_threads": quote_threads.op1_quote_threads,
@@ -17,6 +22,4 @@ QUERIES = {
     "op10_risk_rules": quality_rules.op10_risk_rules,
 }
 
-#: None: fingerprints, hashes (XXH64, CRC-32), tokenizers and sampling are beyond DuckDB's SQL, and
-#: what it could express is too slow over whole tables. tests/llm holds each query against brute force.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -357,6 +357,13 @@ def test_quantisation_bound():
     assert (np.abs(x @ x.T - near) <= e[:, None] + e + np.outer(e, e) + 1e-12).all()
 
 
+def test_embeddings_link_through_null_ids(spark):
+    at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg)), 0.0]
+    data = [(1, at(0)), (None, at(15)), (2, at(30)), (3, at(90))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.components(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), None: (2, 1), 2: (1, 1), 3: (0, 3)}
+
+
 # 6
 def test_rendezvous(spark, folder, rows):
     got = QUERIES["op6_rendezvous"](spark, folder).collect()
@@ -374,6 +381,20 @@ def test_rendezvous_weights(spark):
     assert same[0] == same[1]
 
 
+def test_shards_by_hand(spark):
+    """The winning shard from the formula, with a hash of another library."""
+    def unit(key, shard):
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), xxhash.xxh64_intdigest(rendezvous.SALT.encode(), xxhash.xxh64_intdigest(key.encode(), 42)))
+        return ((h >> 11) + 0.5) / 2**53
+
+    weights = [1.0, 2.0, 0.5, 1.0]
+    d = spark.createDataFrame([(i,) for i in range(300)] + [(None,), (-5,), (7,)], "doc_id long")
+    for x in rendezvous.assign(d, "doc_id", weights[:3], weights[3:]).collect():
+        key = "" if x.doc_id is None else str(x.doc_id)
+        score = [-w / math.log(unit(key, s)) for s, w in enumerate(weights)]
+        assert x.shard == max(range(3), key=lambda s: score[s]) and x.grown_shard == max(range(4), key=lambda s: score[s])
+
+
 # 7
 def test_pitman_yor(spark, folder, rows):
     got = {r.doc_id: r for r in QUERIES["op7_pitman_yor"](spark, folder).collect()}
@@ -671,3 +692,20 @@ def test_null_ids(spark):
     assert simhash.components(d).count() == 3 and [x.doc_id for x in simhash.keep_one(d).collect()] == [None]
     for out in (substring_dedup.digests(d), packing.packed(d), piece_fst.digests(d), pitman_yor.scored(d), surrogates.with_surrogates(d, "k")):
         assert out.count() == 3
+
+
+# SQL
+@pytest.mark.parametrize("name", ["op3_substring", "op5_int8_tiles", "op10_risk_rules"])
+def test_query_matches_its_sql(spark, sf_dir, name):
+    import duckdb
+
+    from learnspark.llm.queries import ORACLE_SQL
+
+    c = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = QUERIES[name](spark, sf_dir)
+    r = c.execute(ORACLE_SQL[name])
+    names = [x[0] for x in r.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(repr([row[n] for n in names]) for row in df.collect()) == sorted(repr(list(x)) for x in r.fetchall())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,36 @@ QUESTION = (
 )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share.
+
+    Where it is unset, a local session makes a temporary one; on a cluster that is an error, since a
+    machine's own folder is no shared one.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="learnspark-"))
+    return context.getCheckpointDir()
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the complete versions v0, v1, ... of a table under path, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(x.getPath()) for x in fs.listStatus(root)] if fs.exists(root) else []
+    numbered = [(int(f.rsplit("/v", 1)[1]), f) for f in found if f.rsplit("/v", 1)[-1].isdigit()]
+    return sorted((n, f) for n, f in numbered if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def questions_json(spark: SparkSession, path: str) -> DataFrame:
     """Question rows from a JSON file that holds an array of them or an object {questions: [...]}."""
     raw = spark.read.text(path, wholetext=True)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnspark.functions.scores import rnd
 from learnspark.sources import model as M
+from learnspark.sources.files import remove, shared_folder, versions
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -30,32 +31,48 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_latest(spark: SparkSession, path: str):
-    """A foreachBatch function that keeps (question_id, ts, event_id, correct) of the latest attempt under path.
+def upsert(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]):
+    """A foreachBatch function that keeps, under path, the row of each key that is last in the order.
 
-    Each batch writes the next version of the table and then points to it, so a batch that is run
-    again after a failure gives the same table.
+    Batch n reads the newest complete version before it and writes version n, so a batch that is run
+    again gives the same table and a restarted query goes on from the files. The last two versions
+    stay; read the newest with `upserted`.
     """
-    held: dict[str, str] = {}
 
     def apply(batch: DataFrame, number: int) -> None:
-        new = batch.select("question_id", "ts", "event_id", "correct")
-        rows = new.unionByName(spark.read.parquet(held["at"])) if held else new
-        latest = rows.groupBy("question_id").agg(F.max(F.struct("ts", "event_id", "correct")).alias("x")).select("question_id", "x.*")
-        target = f"{path}/v{number}"
-        latest.write.mode("overwrite").parquet(target)
-        held["at"] = target
+        before = [f for n, f in versions(spark, path) if n < number]
+        rows = batch.unionByName(spark.read.parquet(before[-1])) if before else batch
+        rest = [c for c in rows.columns if c not in {*keys, *order}]
+        last = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("x"))
+        last.select(*keys, "x.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        for old in before[:-1]:
+            remove(spark, old)
+
+    return apply
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(versions(spark, path)[-1][1])
+
+
+def upsert_latest(spark: SparkSession, path: str):
+    """Keeps the latest attempt of each question: (question_id, ts, event_id, correct)."""
+    keep = upsert(spark, path, ["question_id"], ["ts", "event_id"])
+    return lambda batch, number: keep(batch.select("question_id", "ts", "event_id", "correct"), number)
+
 
-    return apply, held
+def run_daily(spark: SparkSession, events: DataFrame, folder: str, late: str = "30 days") -> None:
+    """Runs the daily stream over what there is; days that a batch changes are upserted, older ones than `late` leave the state."""
+    keep = upsert(spark, f"{folder}/days", ["date"], ["events", "seconds"])  # totals of a day only grow
+    query = daily(events, late).writeStream.outputMode("update").foreachBatch(keep)
+    query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def replay_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the daily stream over the event table to its end and returns its days."""
-    name = f"daily_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="learnspark-")
-    query = daily(event_stream(spark, sf_dir, "events.parquet")).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("date", rnd(F.col("seconds") / 60, 1).alias("minutes"), "events")
+    folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    run_daily(spark, event_stream(spark, sf_dir, "events.parquet"), folder)
+    return upserted(spark, f"{folder}/days").select("date", rnd(F.col("seconds") / 60, 1).alias("minutes"), "events")
 
 
 def learning_stream(events: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """File formats and streams."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -55,8 +56,49 @@ def test_stream_of_days_equals_batch(spark, sf_dir):
 
 
 def test_upserted_state_equals_batch(spark, sf_dir, tmp_path):
-    apply, held = E.upsert_latest(spark, str(tmp_path / "state"))
+    path = str(tmp_path / "state")
     learning = state.graded(E.learning_stream(E.event_stream(spark, sf_dir, "events.parquet")))
-    learning.writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r.question_id, r.ts, r.correct) for r in spark.read.parquet(held["at"]).collect()}
+    learning.writeStream.foreachBatch(E.upsert_latest(spark, path)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.question_id, r.ts, r.correct) for r in E.upserted(spark, path).collect()}
     assert got == {(r.question_id, r.answered_at, r.correct) for r in QUERIES["latest_attempts"](spark, sf_dir).collect()}
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = lambda *x: spark.createDataFrame(x, "question_id int, ts timestamp, event_id long, correct boolean")
+    day = lambda n: datetime.datetime(2024, 1, n)
+    E.upsert_latest(spark, path)(rows((1, day(1), 1, True), (2, day(5), 2, True)), 0)
+    again = E.upsert_latest(spark, path)  # another driver
+    for _ in range(2):  # the same batch twice
+        again(rows((1, day(3), 3, False), (2, day(4), 4, False), (3, day(1), 5, True)), 1)
+    again(rows((4, day(1), 6, True)), 2)
+    assert sorted((r.question_id, r.event_id) for r in E.upserted(spark, path).collect()) == [(1, 3), (2, 2), (3, 5), (4, 6)]
+    assert [n for n, _ in files.versions(spark, path)] == [1, 2]
+
+
+def test_late_events(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+    def put(*days):
+        rows = [(i, d, 1, "view", 60.0, "{}") for i, d in enumerate(days)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        E.run_daily(spark, E.event_stream(spark, source), folder)
+
+    first, last = datetime.datetime(2024, 1, 1, 9), datetime.datetime(2024, 3, 1, 9)
+    put(first, datetime.datetime(2024, 2, 20, 9))
+    put(last)
+    put(first, datetime.datetime(2024, 2, 20, 10), last)  # the first is over 30 days late
+    got = {str(r.date): (r.events, r.seconds) for r in E.upserted(spark, f"{folder}/days").collect()}
+    assert got == {"2024-01-01": (1, 60), "2024-02-20": (2, 120), "2024-03-01": (2, 120)}
+
+
+def test_data_sets_with_fallback(spark):
+    from learnspark.operators import records as R
+
+    assert R.chosen_dataset(None, "other", "phase1", "mvp", known=("mvp", "phase1"), default="mvp") == "phase1"
+    assert R.chosen_dataset(None, known=("mvp",), default="mvp") == "mvp"
+    sets = {n: R.load_set(lambda p: spark.range(int(p)), {"questions": c}, lambda q: q.where("id > 0")) for n, c in (("a", "1"), ("b", "3"))}
+    wrong = lambda s: s["questions"].agg(F.count("*").alias("n")).where("n = 0")
+    name, tables = R.load_valid(sets, ("a", "b"), wrong)
+    assert name == "b" and tables["questions"].count() == 2

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learnspark.sources.files import remove, shared_folder
+
 #: Characters between words, as a Java pattern; bytes.split() uses the same set.
 BLANK = r"[\x20\x09-\x0D]+"
-
-
 #: Keys that joined_by_count broadcasts at most.
 HOT_KEYS = 10_000
 
@@ -21,16 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="learnspark-"))
-    return context.getCheckpointDir()
-
-
 def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each with as many underscores in front as make it no column of df, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -57,7 +46,7 @@ def joined_by_count(rows: DataFrame, told: DataFrame, keys: list[str], count: st
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -66,9 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Removes the files of an earlier cut() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.cut_path)
 
 
 def small_batches(spark: SparkSession) -> None:

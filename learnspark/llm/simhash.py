@@ -298,9 +298,9 @@ def similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
 def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
     """(node, component): of texts (node, raw), equal ones under one node, those linked to others by similarity.
 
-    Candidates are compared in rounds: each text with its smallest candidate first, then with two more,
-    four more and so on, leaving out pairs that are in one component already. So a group of copies
-    costs about one comparison a text, and every candidate pair is compared or already connected.
+    Candidates are compared in rounds: each text with its four smallest candidates first, then with 16
+    more, 64 more and so on, leaving out pairs that are linked to the same smallest text already. So a group
+    of copies costs a few comparisons a text, and every candidate pair is compared or already connected.
     """
     found = cut(prints(texts).dropDuplicates(["node"]))
     pairs = None
@@ -313,21 +313,22 @@ def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
     left = cut(pairs.distinct().join(one, "a").join(two, "b").where(fits).select("a", "b"))
     asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     hashes = cut(sets(texts.join(asked, "node", "left_semi").dropDuplicates(["node"])))
-    links, labels, several = None, None, 1
+    links, several = None, 4
     while not left.isEmpty():
         turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
         left = cut(left.withColumn("turn", turn))
         now = cut(similar(left.where(F.col("turn") <= several).select("a", "b"), hashes))
         links = now if links is None else cut(links.union(now))
-        labels = cut(connected_components(links))
-        ca, cb = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        rest = left.where(F.col("turn") > several).drop("turn").join(ca, "a", "left").join(cb, "b", "left")
-        after = cut(rest.where("ca is null or cb is null or ca <> cb").select("a", "b"))
+        # texts that are linked to the same smallest one need no comparison; one aggregation tells most of them
+        least = links.groupBy("b").agg(F.min("a").alias("least"))
+        la, lb = (least.select(F.col("b").alias(c), F.col("least").alias(f"l{c}")) for c in "ab")
+        rest = left.where(F.col("turn") > several).drop("turn").join(la, "a", "left").join(lb, "b", "left")
+        after = cut(rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
         drop_cut(left)
-        left, several = after, 2 * several
-    if labels is None:
+        left, several = after, 4 * several
+    if links is None:
         return texts.sparkSession.createDataFrame([], "node long, component long")
-    return labels
+    return connected_components(links)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,13 @@ def drop_cut(df: DataFrame) -> None:
     remove(df.sparkSession, df.cut_path)
 
 
+def sliced(batches, rows: int = 1_000):
+    """Record batches in slices of at most `rows` rows, for work that holds much more than a row's text."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def small_batches(spark: SparkSession) -> None:
     """From here on in this session, Arrow batches of at most 1,000 rows and 8 MB.
 

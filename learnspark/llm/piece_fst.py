@@ -36,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnspark.llm.common import table
+from learnspark.llm.common import sliced, table
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker remembers; longer segments are not kept.
-CACHE, LONGEST = 1_000_000, 48
+CACHE, LONGEST = 700_000, 48
 #: Weight of a byte of a character that only its bytes can spell: above any path of pieces.
 BYTE_WEIGHT = 1e6
 #: Segments composed at once, and slots for the admissibility of pairs of pieces.
-AT_ONCE, SLOTS = 1 << 15, 1 << 21
+AT_ONCE, SLOTS = 1 << 14, 1 << 21
 
 
 def proto_fields(raw: bytes):
@@ -329,7 +329,7 @@ def _run(docs: DataFrame, model: str | None, id_col: str, text_col: str, schema:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         t, kinds = Transducer(model or public_tokenizers.path("piece_bpe_32k.model")), to_arrow_schema(types)
-        for b in batches:
+        for b in sliced(batches, 500):
             texts = [x or "" for x in b.column(1).to_pylist()]
             rows = [row(t, *e, x) for e, x in zip(t.encode_all(texts), texts, strict=True)]
             cols = list(zip(*rows)) or [()] * (len(kinds) - 1)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnspark.llm.common import cut, drop_cut, free_names, joined_by_count, table
+from learnspark.llm.common import cut, drop_cut, free_names, joined_by_count, sliced, table
 
 WINDOW, GRAM = 20, 6
 #: Words in a broadcast shard, and in all of a broadcast reference at most.
@@ -122,7 +122,7 @@ def picks(docs: DataFrame, text_col: str, window: int, gram: int) -> DataFrame:
     """(pick, unit): a row for each unit."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = []
             for x in b.column(0):
                 h = Hashes((x.as_py() or b"").split())
@@ -177,7 +177,7 @@ def places(docs: DataFrame, alike: Bloom, mixed: Bloom, id_col: str, text_col: s
     def run(batches):
         one, many = filters.value
         met: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             found, owner, rows, words = [], [], [], []
             for d, x in enumerate(b.column(1)):
                 raw = x.as_py() or b""
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = []
             for x, s in zip(b.column(at).to_pylist(), b.column(len(b.columns) - 1).to_pylist(), strict=True):
                 if s:
@@ -343,7 +343,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for x, s in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 words = (x.as_py() or b"").split()

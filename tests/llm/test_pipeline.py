@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_operators import SCHEMA, components_of, fingerprint, make, removed, some_texts
+from test_operators import SCHEMA, components_of, make, removed, shingles, some_texts
 
 import corpus_pipeline
 from learnspark.llm import quality_rules
@@ -25,10 +25,9 @@ def test_stages(spark, tmp_path):
         m = dict(zip(quality_rules.MEASURES, quality_rules.measure((t or "").encode())))
         if m["n_words"] >= 50 and 2 * m["n_repeat_words"] <= m["n_words"]:
             kept[i] = t
-    fps = {i: fingerprint(t) for i, t in kept.items()}
-    group = components_of([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], fps)
-    kept = {i: t for i, t in kept.items() if group[i] == i}
-    gone = removed(kept)
+    sets = {i: shingles(t) for i, t in kept.items()}
+    group = components_of([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    firsts = {i for i in kept if group[i] == i}
 
     frame, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
@@ -36,7 +35,9 @@ def test_stages(spark, tmp_path):
         seen[name] = frame = frame.cache()
         if name != "packing":
             assert frame.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert {r.doc_id for r in seen["simhash_dedup"].collect()} == set(kept)
+    stay = {r.doc_id for r in seen["simhash_dedup"].collect()}
+    assert firsts <= stay <= set(kept) and len(stay - firsts) <= 4  # pairs of similarity near 0.8 may be missed
+    gone = removed({i: kept[i] for i in stay})
     cleaned = {r.doc_id: r.text for r in seen["substring_dedup"].collect()}
     assert {i: len(t.encode().split()) for i, t in cleaned.items()} == {i: n - k for i, (n, k, _) in gone.items()}
     private = {r.doc_id: r.text for r in seen["pii_surrogates"].collect()}
@@ -51,3 +52,19 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(private)
     whole = corpus_pipeline.run(spark, folder)
     assert whole.agg(F.sum("length")).first()[0] == sum(r.length for r in pieces)
+
+
+def test_empty_tables_and_odd_columns(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = make(spark, [(1, None), (2, ""), (3, "few words")])
+    for name in ("key", "m", "spans", "hits", "told"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, folder)
+        assert out.count() == 0 or name != "quality_rules"
+        assert stage(spark, frame.limit(0), folder).count() == 0
+        assert name == "packing" or out.columns == frame.columns
+    assert corpus_pipeline.run(spark, folder).count() == 0

@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, SimHash near-dedup, substring dedup, PII surrogates, packing.
 
 STAGES are run in order over `documents`; each stage's result is written as Parquet to the shared
-folder and read again as the next one's input. A stage judges only its own input.
+folder and read again as the next one's input. A stage judges only its own input. All but the last
+return the columns of documents, whatever other columns these have. An empty table gives an empty
+result at every stage.
 """
 
 from __future__ import annotations
@@ -11,35 +13,35 @@ from pyspark.sql import DataFrame, SparkSession
 from learnspark.llm import packing, quality_rules, simhash, substring_dedup, surrogates
 from learnspark.llm.common import cut, small_batches, table
 
-#: The surrogates' key; a deployment sets its own.
+#: Where spark.learnspark.key is unset, the surrogates' key; a deployment sets its own, and keeps it secret.
 KEY = "learnspark"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go."""
+    """Documents that the base rules or a certified cutoff reject go, null and blank texts among them; repeated ids are judged row by row."""
     small_batches(spark)
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays."""
+    """The document with the smallest doc_id of each group of near-duplicates stays, a null id first; of equal (id, text) rows one."""
     small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in 20-word sequences that occur earlier go."""
+    """Words in 20-word sequences that occur in a smaller doc_id, or earlier in the same document, go; null texts stay null."""
     small_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates."""
-    return surrogates.with_surrogates(docs, KEY).select(*docs.columns)
+    """Entities get surrogates, the same one everywhere; null texts stay null."""
+    return surrogates.with_surrogates(docs, spark.conf.get("spark.learnspark.key", KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document in a training sequence."""
+    """A row for each piece of each document in a training sequence; a null text is its end token alone."""
     small_batches(spark)
     return packing.packed(docs)
 

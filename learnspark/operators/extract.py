@@ -82,7 +82,7 @@ def markers(docs: DataFrame, id_col: str, text_col: str, low: int, high: int) ->
     placed = one.select(id_col, F.rtrim("mark", F.lit(".")).cast("int").alias("number"), (F.sum(F.col("gap") + F.col("size")).over(before) - F.col("size")).alias("position"))
     found = placed.where(F.col("number").between(low, high)).groupBy(id_col, "number").agg(F.array_sort(F.collect_list("position")).alias("all"))
     start = found.where(F.col("number") == low).select(id_col, F.col("all")[0].alias("start"))
-    return found.join(start, id_col).select(id_col, "number", F.filter("all", lambda p: p >= F.col("start"))[0].alias("position")).where("position is not null")
+    return found.join(start, id_col).select(id_col, "number", F.get(F.filter("all", lambda p: p >= F.col("start")), F.lit(0)).alias("position")).where("position is not null")
 
 
 def bodies(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:

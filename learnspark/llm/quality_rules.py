@@ -169,11 +169,12 @@ def _verdict(m: str, accepted: str) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs without the rejected ones, all their columns as they were.
 
-    The rows are measured once and written with their measures; only (id, stratum, measures) meet the labels.
+    The rows are measured twice, once without texts for the labels, so that no text is written or shuffled.
     """
     m, accepted, own = free_names(docs, "m", "accepted", "own_stratum")
-    known = cut(measured(docs, text_col, into=m))
-    slim = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum}`").alias("stratum"), F.col(m).alias("m"))
+    known = measured(docs, text_col, into=m)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum}`").alias("stratum"), F.col(f"`{text_col}`").alias("text"))
+    slim = measured(slim, drop_text=True, into="m")
     at = _accepted(slim, labels, risk, delta).select(F.col("_stratum").alias(own), F.col("_accepted").alias(accepted))
     out = known.join(at, F.col(f"`{stratum}`").eqNullSafe(F.col(own)), "left").where(_verdict(m, accepted))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -203,7 +203,8 @@ class Plan:
 
 def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): nodes a < b of (fp, node) whose fingerprints differ in at most `radius` bits, each pair once."""
-    fps = cut(nodes.select("fp", "node"))
+    nodes = cut(nodes.select("fp", "node"))
+    fps = cut(nodes.select("fp").distinct())  # probes carry no more than the fingerprint
     plan = Plan(fps, fps.count(), radius)
 
     def keys(i: int, values: np.ndarray) -> np.ndarray:
@@ -213,11 +214,11 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         for b in batches:
             bits = _bits(b["fp"].to_numpy())
             for i, g in enumerate(plan.groups):
-                yield pd.DataFrame({"key": keys(i, _compact(bits, g)), "fp": b["fp"], "node": b["node"]})
+                yield pd.DataFrame({"key": keys(i, _compact(bits, g)), "fp": b["fp"]})
 
     def probes(batches):
         for b in batches:
-            fp, node = b["fp"].to_numpy(), b["node"].to_numpy()
+            fp = b["fp"].to_numpy()
             for s in range(0, len(fp), 4096):
                 bits = _bits(fp[s : s + 4096])
                 t = plan.thresholds(bits)
@@ -226,12 +227,15 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                     for e, masks in enumerate(plan.masks[i]):
                         rows = np.flatnonzero(t[:, i] >= e)
                         if len(rows):
-                            yield pd.DataFrame({"key": keys(i, (own[rows, None] ^ masks).ravel()), "pfp": np.repeat(fp[s + rows], len(masks)), "pnode": np.repeat(node[s + rows], len(masks))})
+                            yield pd.DataFrame({"key": keys(i, (own[rows, None] ^ masks).ravel()), "pfp": np.repeat(fp[s + rows], len(masks))})
 
-    data = fps.mapInPandas(stored, "key long, fp long, node long")
-    asked = fps.mapInPandas(probes, "key long, pfp long, pnode long")
-    hits = asked.join(data, (asked.key == data.key) & (asked.pnode < data.node) & (F.bit_count(asked.pfp.bitwiseXOR(data.fp)) <= radius))
-    return hits.select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
+    data = fps.mapInPandas(stored, "key long, fp long")
+    asked = fps.mapInPandas(probes, "key long, pfp long")
+    hits = asked.join(data, (asked.key == data.key) & (asked.pfp < data.fp) & (F.bit_count(asked.pfp.bitwiseXOR(data.fp)) <= radius)).select("pfp", data.fp.alias("fp")).distinct()
+    one, two = (nodes.select(F.col("fp").alias(f"f{c}"), F.col("node").alias(c)) for c in "xy")
+    near = hits.join(one, F.col("pfp") == F.col("fx")).join(two, F.col("fp") == F.col("fy")).select("x", "y")
+    same = one.join(two, F.col("fx") == F.col("fy")).where("x < y").select("x", "y")
+    return near.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -311,7 +315,7 @@ def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
     one, two = (size.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9  # sets of other sizes cannot be so similar
     left = cut(pairs.distinct().join(one, "a").join(two, "b").where(fits).select("a", "b"))
-    asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())  # a table: where it is small, no text is shuffled
     hashes = cut(sets(texts.join(asked, "node", "left_semi").dropDuplicates(["node"])))
     links, several = None, 4
     while not left.isEmpty():

@@ -6,7 +6,7 @@ them against brute force.
 
 from __future__ import annotations
 
-from learnspark.llm import embedding_dedup, packing, piece_fst, pitman_yor, quality_rules, quote_threads, rendezvous, simhash, substring_dedup, surrogates
+from learnspark.llm import collocations, embedding_dedup, packing, piece_fst, pitman_yor, quality_rules, quote_threads, rendezvous, simhash, substring_dedup, surrogates
 from learnspark.llm.sql import ORACLE_SQL
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_piece_fst": piece_fst.op9_piece_fst,
     "op10_risk_rules": quality_rules.op10_risk_rules,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -53,4 +53,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN accepted ON accepted.lang IS NOT DISTINCT FROM m.lang
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_substring": SUBSTRING, "op5_int8_tiles": EMBEDDINGS, "op10_risk_rules": QUALITY}
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+grams AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) s(k))),
+f AS (SELECT lang, phrase, k AS size, count(*) AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY 1),
+cand AS (SELECT lang, phrase, size, f, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM cand, range(1, 4) s(k) WHERE k < size),
+scores AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, f, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, f, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cand, range(2, 4) s(k) WHERE k < size)),
+gone AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inside i ON i.lang = f.lang AND i.phrase = f.phrase WHERE 100::HUGEINT * i.f >= 80::HUGEINT * f.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best JOIN total USING (lang) ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_substring": SUBSTRING, "op5_int8_tiles": EMBEDDINGS, "op10_risk_rules": QUALITY, "op12_collocations": COLLOCATIONS}

@@ -44,10 +44,10 @@ def joined_by_count(rows: DataFrame, told: DataFrame, keys: list[str], count: st
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(told.where(F.col(count) <= bound), keys))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read back: a lost executor costs no recomputation."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """df, written once to the shared folder, in folders by the columns named, and read back: a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

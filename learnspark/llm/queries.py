@@ -6,7 +6,7 @@ them against brute force.
 
 from __future__ import annotations
 
-from learnspark.llm import collocations, embedding_dedup, packing, piece_fst, pitman_yor, quality_rules, quote_threads, rendezvous, simhash, substring_dedup, surrogates
+from learnspark.llm import collocations, embedding_dedup, packing, piece_fst, pitman_yor, prefix_trie, quality_classifier, quality_rules, quote_threads, rendezvous, simhash, substring_dedup, surrogates
 from learnspark.llm.sql import ORACLE_SQL
 
 QUERIES = {
@@ -20,7 +20,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_piece_fst": piece_fst.op9_piece_fst,
     "op10_risk_rules": quality_rules.op10_risk_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_collocations": collocations.op12_collocations,
+    "op13_quality": quality_classifier.op13_quality,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

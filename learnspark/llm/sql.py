@@ -53,6 +53,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN accepted ON accepted.lang IS NOT DISTINCT FROM m.lang
 """
 
+#: CRC-32 of the conversation's decimal id, bit by bit: -1 stands for one bit shifted out.
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [ascii(s), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295), 4294967295)"
+
+PREFIXES = f"""
+WITH own AS (SELECT conv_id, list([md5(coalesce(role, '') || chr(0) || coalesce(text, '')), CAST(strlen(coalesce(text, '')) AS VARCHAR)] ORDER BY turn NULLS FIRST, role, text) AS w
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, w, {_CRC} % 9 AS h FROM own),
+made AS (SELECT h.conv_id, list_concat(coalesce(b.w, [])[1:h], h.w[h + 1:]) AS w FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+pre AS (SELECT conv_id, d, len(w) AS n, array_to_string(list_transform(w[1:d], lambda x: x[1]), '') AS node, CASE WHEN d > 0 THEN CAST(w[d][2] AS BIGINT) ELSE 0 END AS size
+        FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM made)),
+nodes AS (SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM pre GROUP BY 1),
+kids AS (SELECT left(node, 32 * (depth - 1)) AS node, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (SELECT left(node, 32 * t) AS top, saved, k IS NULL AS leaf FROM (SELECT node, saved, k, unnest(range(0, depth + 1)) AS t FROM nodes LEFT JOIN kids USING (node))),
+sums AS (SELECT top AS node, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, 32 * (n.depth - 1)) LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.node = n.node
+"""
+
 COLLOCATIONS = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
@@ -70,4 +89,4 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 FROM best JOIN total USING (lang) ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_substring": SUBSTRING, "op5_int8_tiles": EMBEDDINGS, "op10_risk_rules": QUALITY, "op12_collocations": COLLOCATIONS}
+ORACLE_SQL: dict[str, str] = {"op3_substring": SUBSTRING, "op5_int8_tiles": EMBEDDINGS, "op10_risk_rules": QUALITY, "op11_prefix_trie": PREFIXES, "op12_collocations": COLLOCATIONS}

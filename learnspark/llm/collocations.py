@@ -45,11 +45,11 @@ UNKNOWN = "und"
 #: A-Z in lower case, tabs as spaces, every piece mark as a line end.
 _READ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 
-SHARDS = "shard long, lang string, n_words long, words array<string>, tokens binary"
-PACKED = "bucket int, lang string, shard long, ids array<long>, phrases array<string>, counts array<long>"
-TOLD = "lang string, shard long, ids array<long>, phrases array<string>, counts array<long>"
-_PACKED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_TOLD = pa.schema(list(_PACKED)[1:])
+SHARDS = "shard long, lang string, n_words long, words array<string>, length long, tokens binary"
+PACKED = "bucket int, lang string, shard long, phrases array<string>, counts array<int>"
+TOLD = "lang string, shard long, phrases array<string>, counts array<long>"
+_PACKED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("shard", pa.int64()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+_TOLD = pa.schema([*list(_PACKED)[1:4], ("counts", pa.list_(pa.int64()))])
 
 
 def _tokens(texts: pa.Array) -> pa.Array:
@@ -59,38 +59,45 @@ def _tokens(texts: pa.Array) -> pa.Array:
     return words.filter(pc.greater(pc.binary_length(words), 0))
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _squeezed(ids: np.ndarray) -> bytes:
+    """int32 numbers, compressed byte by byte of their places."""
+    return pa.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _restored(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32)[:, 0]
+
+
+def _shard_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Shards of `most` positions or the rest, of longer pieces where there are such; one language each."""
     first, made, held, sizes = TaskContext.get().partitionId() << 32, 0, {}, {}
 
     def emit(lang: str, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal made
         flat = pa.concat_arrays(held.pop(lang))
-        while len(flat) and (last or len(flat) >= SHARD_TOKENS):
-            ends = np.flatnonzero(pc.equal(flat[:SHARD_TOKENS], b"\n").to_numpy(zero_copy_only=False))
-            if len(ends):
-                size = ends[-1] + 1
-            else:  # one piece is longer than a shard
-                size = np.flatnonzero(pc.equal(flat, b"\n").to_numpy(zero_copy_only=False))[0] + 1
-            part, flat = flat[:size].dictionary_encode(), flat[size:]
+        while len(flat) and (last or len(flat) >= most):
+            ends = np.flatnonzero(pc.equal(flat[:most], b"\n").to_numpy(zero_copy_only=False))
+            if not len(ends):  # one piece is longer than a shard
+                ends = np.flatnonzero(pc.equal(flat, b"\n").to_numpy(zero_copy_only=False))[:1]
+            part, flat = flat[: ends[-1] + 1].dictionary_encode(), flat[ends[-1] + 1 :]
             words, ids = part.dictionary.cast(pa.binary()).cast(pa.string()), part.indices.to_numpy()
             gap = ids == pc.index(part.dictionary, pa.scalar(b"\n", pa.large_binary())).as_py()
             ids = np.where(gap, np.int32(-1), ids).astype(np.int32)
             ids = ids[np.append(True, ~(gap[1:] & gap[:-1]))]
-            row = [first + made], [lang], [int((ids >= 0).sum())], [words], [ids.tobytes()]
+            row = [pa.array([first + made], pa.int64()), pa.array([lang]), pa.array([int((ids >= 0).sum())], pa.int64()), pa.ListArray.from_arrays([0, len(words)], words), pa.array([len(ids)], pa.int64()), pa.array([_squeezed(ids)], pa.binary())]
             made += 1
-            yield pa.record_batch([pa.array(row[0], pa.int64()), pa.array(row[1], pa.string()), pa.array(row[2], pa.int64()), pa.ListArray.from_arrays([0, len(words)], words), pa.array(row[4], pa.binary())], ["shard", "lang", "n_words", "words", "tokens"])
-        if len(flat):
-            held[lang] = [flat]
-        sizes[lang] = len(flat)
+            yield pa.record_batch(row, ["shard", "lang", "n_words", "words", "length", "tokens"])
+        held[lang], sizes[lang] = [flat], len(flat)
 
     for b in batches:
         for lang in b["lang"].unique().to_pylist():
             flat = _tokens(b["text"].filter(pc.equal(b["lang"], lang)))
             held.setdefault(lang, []).append(flat)
             sizes[lang] = sizes.get(lang, 0) + len(flat)
-            if sizes[lang] >= SHARD_TOKENS:
+            if sizes[lang] >= most:
                 yield from emit(lang, False)
-        while sum(sizes.values()) >= 4 * SHARD_TOKENS:  # many languages in one task
+        while sum(sizes.values()) >= 4 * most:  # many languages in one task
             yield from emit(max(sizes, key=sizes.get), True)
     for lang in list(held):
         yield from emit(lang, True)
@@ -167,15 +174,19 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 32 | b
 
 
-def _phrases(tokens: np.ndarray, words: int, told: np.ndarray, pairs: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(words of each phrase, counts): pairs of the words told, or else all longer phrases whose pairs are all told."""
+def _halves(pairs: pa.Array) -> list[pa.Array]:
+    both = pc.split_pattern(pairs, " ").flatten()
+    return [both.take(pa.array(np.arange(k, len(both), 2))) for k in (0, 1)]
+
+
+def _phrases(tokens: np.ndarray, words: int, heads: np.ndarray, tails: np.ndarray | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(words of each phrase, counts): pairs of the words `heads`, or, of pairs (heads, tails), all longer phrases that have no other pairs."""
+    pairs = tails is None
     first, second = np.zeros(words + 1, bool), np.zeros(words + 1, bool)
-    if pairs:
-        first[told] = second[told] = True
-        allowed = None
-    else:
-        first[told >> 32] = second[told & 0xFFFFFFFF] = True
-        told = np.sort(told)
+    first[heads] = second[heads if pairs else tails] = True
+    allowed = None
+    if not pairs:
+        told = np.sort(_pair(heads, tails))
 
         def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             key = _pair(a, b)
@@ -196,12 +207,12 @@ def _phrases(tokens: np.ndarray, words: int, told: np.ndarray, pairs: bool) -> I
                 break
 
 
-def _packed(lang: str, shard: int, ids: np.ndarray, phrases: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+def _packed(lang: str, shard: int, phrases: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket."""
     order = np.argsort(bucket, kind="stable")
     there, start = np.unique(bucket[order], return_index=True)
     offsets = pa.array(np.append(start, len(bucket)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(ids[order], pa.int64()), phrases.take(pa.array(order)), pa.array(counts[order], pa.int64()))]
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (phrases.take(pa.array(order)), pa.array(counts[order], pa.int32()))]
     return pa.record_batch([pa.array(there, pa.int32()), pa.array([lang] * len(there), pa.string()), pa.array([shard] * len(there), pa.int64()), *lists], schema=_PACKED)
 
 
@@ -212,58 +223,60 @@ def _counted(shards: DataFrame, level: int, groups: int) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 lang, shard = b["lang"][row].as_py(), b["shard"][row].as_py()
-                words, tokens = b["words"][row].values, np.frombuffer(b["tokens"][row].as_py(), np.int32)
+                words, tokens = b["words"][row].values, _restored(b["tokens"][row].as_py(), b["length"][row].as_py())
                 hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
                 if level == 1:
                     counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
                     some = np.flatnonzero(counts)  # not the gap's own entry
-                    yield _packed(lang, shard, some, words.take(pa.array(some)), counts[some], hashes[some] % groups)
+                    yield _packed(lang, shard, words.take(pa.array(some)), counts[some], hashes[some] % groups)
                     continue
-                told = b["told"][row].values.to_numpy()
-                for phrase, counts in _phrases(tokens, len(words), told, level == 2):
+                told = b["told"][row].values
+                told = [pc.index_in(x, words).to_numpy() for x in ([told] if level == 2 else _halves(told))]
+                for phrase, counts in _phrases(tokens, len(words), *told):
                     mixed = hashes[phrase[0]]
                     for w in phrase[1:]:
                         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) ^ hashes[w] ^ mixed >> np.uint64(29)
                     texts = pc.binary_join_element_wise(*(words.take(pa.array(w)) for w in phrase), " ")
-                    yield _packed(lang, shard, _pair(*phrase[:2]), texts, counts, mixed % np.uint64(groups))
+                    yield _packed(lang, shard, texts, counts, mixed % np.uint64(groups))
 
     return shards.mapInArrow(count, PACKED)
 
 
 def _frequent(packed: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, phrases, counts) of the phrases counted `least` times or more, and rows (shard, ids) of where they are."""
+    """Rows (lang, phrases, counts) of the phrases counted `least` times or more, and rows (shard, phrases) of where they are."""
 
     def sum_up(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         size = pc.list_value_length(t["phrases"]).to_numpy()
         row = np.repeat(np.arange(len(size)), size)
-        flat = {c: pc.list_flatten(t[c]).combine_chunks() for c in ("ids", "phrases", "counts")}
+        flat = {c: pc.list_flatten(t[c]).combine_chunks() for c in ("phrases", "counts")}
         langs = t["lang"].combine_chunks().dictionary_encode()
         phrases = flat["phrases"].dictionary_encode()
         code = langs.indices.to_numpy().astype(np.int64)[row] * len(phrases.dictionary) + phrases.indices.to_numpy()
         codes, key = np.unique(code, return_inverse=True)
         total = np.zeros(len(codes), np.int64)
         np.add.at(total, key, flat["counts"].to_numpy())
-        shard, ids, some = t["shard"].to_numpy()[row], flat["ids"].to_numpy(), total[key] >= least
+        some = np.flatnonzero(total[key] >= least)
         out = []
         good = np.flatnonzero(total >= least)
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             own = good[codes[good] // len(phrases.dictionary) == k]
             if len(own):
-                out.append((lang, None, None, phrases.dictionary.take(pa.array(codes[own] % len(phrases.dictionary))).to_pylist(), total[own]))
-        shard, ids = shard[some], ids[some]
-        order = np.argsort(shard, kind="stable")
-        there, start = np.unique(shard[order], return_index=True)
-        out += [(None, s, x, None, None) for s, x in zip(there, np.split(ids[order], start[1:]), strict=True) if len(x)] if len(there) else []
+                out.append((lang, None, phrases.dictionary.take(pa.array(codes[own] % len(phrases.dictionary))).to_pylist(), total[own]))
+        shard = t["shard"].to_numpy()[row[some]]
+        some = some[np.argsort(shard, kind="stable")]
+        there, start = np.unique(np.sort(shard), return_index=True)
+        own = flat["phrases"].take(pa.array(some))
+        out += [(None, s, own[i:j].to_pylist(), None) for s, i, j in zip(there, start, [*start[1:], len(some)], strict=False)]
         return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_TOLD)], schema=_TOLD)
 
     return packed.groupBy("bucket").applyInArrow(sum_up, TOLD)
 
 
-def shards_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(shard, lang, n_words, words, tokens): tokens are numbers into words, -1 between pieces."""
+def shards_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SHARD_TOKENS) -> DataFrame:
+    """(shard, lang, n_words, words, length, tokens): tokens are `length` numbers into words, squeezed, -1 between pieces."""
     ready = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    return ready.mapInArrow(_shard_rows, SHARDS)
+    return ready.mapInArrow(lambda batches: _shard_rows(batches, size), SHARDS)
 
 
 def phrase_counts(shards: DataFrame, least: int = 30) -> DataFrame:
@@ -273,11 +286,11 @@ def phrase_counts(shards: DataFrame, least: int = 30) -> DataFrame:
     for level in (1, 2, 3):
         rows = shards
         if told is not None:
-            own = told.where("shard is not null").groupBy("shard").agg(F.flatten(F.collect_list("ids")).alias("told"))
+            own = told.where("shard is not null").groupBy("shard").agg(F.flatten(F.collect_list("phrases")).alias("told"))
             rows = shards.join(own, "shard")
         told = cut(_frequent(_counted(rows, level, groups), least))
         found.append(told)
-    rows = found[0].unionByName(found[1]).unionByName(found[2]).where("phrases is not null")
+    rows = found[0].unionByName(found[1]).unionByName(found[2]).where("counts is not null")
     pairs = rows.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
     return pairs.select("lang", F.col("x.phrases").alias("phrase"), F.size(F.split("x.phrases", " ")).alias("size"), F.col("x.counts").alias("f"))
 
@@ -308,10 +321,10 @@ def covered(counts: DataFrame, percent: int = 80) -> DataFrame:
     return hit.select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, percent: int = 80, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, percent: int = 80, top: int = 2000, size: int = SHARD_TOKENS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases by score, count and bytes."""
     small_batches(docs.sparkSession)
-    shards = cut(shards_of(docs, text_col, lang_col))
+    shards = cut(shards_of(docs, text_col, lang_col, size))
     counts = cut(phrase_counts(shards, least))
     n = cut(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
     drop_cut(shards)

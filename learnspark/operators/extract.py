@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from learnspark.functions import choices as C
+from learnspark.functions import tables as T
 from learnspark.functions import text as X
 
 
@@ -104,6 +106,27 @@ def stem(body, marks: str = "①②③④⑤"):
     return F.trim(F.regexp_replace(F.split(body, f"[{marks}]")[0], r"^\d{1,2}\.\s*", ""))
 
 
+def with_choices(questions: DataFrame, body: str) -> DataFrame:
+    """questions plus (strategy, choices, grid, markdown, rest): the choices of each body by the first strategy that reads five,
+    its table, a grid of choices first, and the body without the table. None of these names may be in questions.
+
+    A strategy is tried only where those before it failed.
+    """
+    text = F.col(f"`{body}`")
+    rows = questions.withColumns({"names_": C.headers(text), "lines_": C.tail_lines(text), "cells_": C.grid_cells(C.from_choices(text)), "table_": T.table(text)})
+    rows = rows.withColumn("blocks_", C.blocks(F.col("lines_")))
+    read, found = C.Body(body, "names_", "lines_", "blocks_", "cells_"), F.lit(None).cast("array<string>")
+    strategy = F.lit(None).cast("string")
+    rows = rows.withColumns({"strategy": strategy, "choices": found})
+    for name, way in C.STRATEGIES:
+        rows = rows.withColumn("tried_", F.when(F.col("strategy").isNull(), way(read)))
+        rows = rows.withColumns({"choices": F.coalesce("choices", "tried_"), "strategy": F.when(F.col("tried_").isNotNull(), name).otherwise(F.col("strategy"))})
+    grid = C.grid_table(read, F.col("strategy"))
+    rows = rows.withColumns({"choices": F.coalesce(C.whole_texts(F.col("choices"), read), F.array().cast("array<string>")), "grid_": grid})
+    columns = [F.col(f"`{c}`") for c in questions.columns]
+    return rows.select(*columns, "strategy", "choices", F.coalesce("grid_", "table_.grid").alias("grid"), F.when(F.col("grid_").isNull(), F.col("table_.markdown")).alias("markdown"), "table_.rest")
+
+
 def table_rows(text):
     """Rows of cells of the lines with two cells or more (tabs or runs of spaces apart)."""
     rows = F.transform(F.split(text, "\n"), lambda x: F.filter(F.transform(F.split(F.trim(x), r"\t|\s{2,}"), lambda y: F.trim(y)), lambda c: c != ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learnspark.functions import fragments
+from learnspark.functions import tables as T
+from learnspark.operators import extract
 from learnspark.sources import torn
 
 
@@ -15,3 +17,16 @@ def rejoined_lines(spark, d):
 
 def restructured_lines(spark, d):
     return torn.pages(spark, d).select("doc_id", fragments.restructured(F.array_join("lines", " ")).alias("text"))
+
+
+def exam_choices(spark, d):
+    parsed = extract.with_choices(torn.bodies(spark, d), "body")
+    return parsed.select("doc_id", "strategy", F.array_join("choices", "\n").alias("choices"), F.size("choices").alias("n_choices"))
+
+
+def choice_grids(spark, d):
+    return extract.with_choices(torn.bodies(spark, d), "body").select("doc_id", "grid", F.length("rest").alias("rest_length"))
+
+
+def exam_tables(spark, d):
+    return torn.grids(spark, d).withColumn("t", T.table(F.col("body"))).select("doc_id", "t.rest", "t.grid", "t.markdown")

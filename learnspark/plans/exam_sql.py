@@ -6,7 +6,8 @@ have no look-ahead there, so what follows is captured and put back.
 
 from __future__ import annotations
 
-from learnspark.sources.torn import FRAGMENTS
+from learnspark.plans.record_sql import FOOTERS
+from learnspark.sources.torn import CELLS, FRAGMENTS, GAPS, MARKS
 
 _LIST = "[" + ", ".join(f"'{x}'" for x in FRAGMENTS) + "]"
 TORN = f"torn AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: replace({_LIST}[(ascii(w) + 3 * length(w)) % {len(FRAGMENTS)} + 1], '~', w)) AS lines FROM documents)"
@@ -103,4 +104,209 @@ SELECT doc_id, trim(regexp_replace(CASE WHEN regexp_matches(t, '20[×xX]\d{{1,2}
             '(\?)\s*년\s+(?:20[×xX]\d{{1,2}}\s*년\s*){{2,4}}20[×xX]\d{{1,2}}\s*$', '\1')) AS text FROM v{len(_REWRITES)}
 """
 
-ORACLE_SQL = {"rejoined_lines": REJOINED, "restructured_lines": RESTRUCTURED}
+
+_NL, _SPACE, _EMPTY = "chr(10)", "' '", "''"
+_SPLIT_WORDS = r"list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda v: v <> '')"
+
+
+def _word(k: int) -> str:
+    return f"w[(7 * {k}) % len(w) + 1]"
+
+
+def _won(k: int) -> str:
+    n = f"length({_word(k)})"
+    return f"('W' || ({n} % 9 + 1) || ',' || lpad(CAST((37 * {n} + {k}) % 1000 AS VARCHAR), 3, '0'))"
+
+
+def _second_won(k: int) -> str:
+    return _won(k + 5)
+
+
+def _marked(*parts) -> str:
+    return " || ".join(f"'{m}' || " + " || ".join(p if isinstance(p, str) else p(k) for p in parts) for k, m in enumerate(MARKS, 1))
+
+
+def _at(k: int) -> str:
+    return f"' {MARKS[k - 1]} ' || {_won(k)}"
+
+
+_LAYOUTS = (
+    f"'? 20×1 20x2' || {_NL} || {_marked(_SPACE, _won, _NL, _second_won, _NL)}",
+    f"'?' || {_NL} || '(A) (B)' || {_NL} || {_marked(_SPACE, _word, _NL, _won, _NL)}",
+    f"'?' || {_NL} || {_marked(_NL, _word, _SPACE, _word, _NL, _SPACE, _word, _NL)}",
+    f"'? ' || {_marked(_SPACE, _word, _SPACE, _SPACE, _word, _SPACE)}",
+    f"'?' || {_at(1)} || {_NL} || {_at(2)} || {_NL} || {_at(3)} || {_at(4)} || {_NL} || {_at(5)}",
+    f"'? # ' || {_word(1)} || ' . # ' || {_word(2)} || ' # ' || {_word(3)} || '# ' || {_word(4)} || ' # ' || {_word(5)}",
+    f"'? (단, ' || {_word(1)} || ')' || {_NL} || '① ㄱ, ' || {_word(2)} || {_NL} || '② ㄴ ' || {_word(3)} || {_NL} || '③ ㄱ, ㄴ ④ ㄴ, ㄷ ⑤ ㄷ'",
+    "'?'",
+    f"'? 액면가치 3% 4% 5% 6% 7% 8% 9% 10% 0.9709 0.9615 0.9524 0.9434 0.9346 1.111 ' || {_word(1)} || ' 0.25 0.5 0.125 0.0625'",
+    f"'? ① ' || {_word(1)} || ' ② ' || {_word(2)}",
+    f"'? 년 20×1년 20×2년 20×1년 20x2' || {_NL} || '①' || {_won(1)} || ', ' || {_won(2)} || {_NL} || '가나다라 ' || {_word(1)} || {_NL} || "
+    + " || ".join(f"'{m} 당기순이익이 증가하고 자산과 부채는 변동하지 않는다 ' || {_word(k)} || {_NL}" for k, m in enumerate(MARKS[1:], 2)),
+)
+_LAYOUT = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_LAYOUTS))
+BODIES = f"""bodies AS (SELECT doc_id, (doc_id % 40 + 41) || '. ' || text || CASE doc_id % {len(_LAYOUTS)} {_LAYOUT} END AS body
+FROM (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN len(w) > 0 THEN w ELSE ['none'] END AS w FROM (SELECT doc_id, text, {_SPLIT_WORDS} AS w FROM documents)))"""
+
+
+def _let(value: str, name: str, then: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {then})[1]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _bare(x: str, marks: str) -> str:
+    return f"regexp_replace({x}, '^[ {marks}]+|[ {marks}]+$', '', 'g')"
+
+
+def _one_line(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _clean(x: str) -> str:
+    for pattern in FOOTERS:
+        x = f"regexp_replace({x}, '{pattern}', '', 'g')"
+    return _strip(x)
+
+
+_AMOUNT = r"W[\d,]+(?:\.\d+)?"
+_CELL = rf"(?i)^{_AMOUNT}$"
+_PAIR = r"^W[\d,]+,?\s*W[\d,]+$"
+_WORDS = "[가-힣]{4,}"
+
+
+def _is_cell(x: str) -> str:
+    return f"coalesce(regexp_matches({x}, '{_CELL}'), false)"
+
+
+def _columns(cells: str) -> str:
+    """The cells of a choice as one text; names are the column `names`."""
+    some = f"list_filter(list_transform({cells}, lambda c1: {_one_line('c1')}), lambda c2: c2 <> '')"
+    amounts = r"regexp_extract_all(c3[1], 'W[\d,]+')"
+    split = f"CASE WHEN len(c3) = 1 AND NOT regexp_matches(c3[1], '{_WORDS}') AND len({amounts}) >= 2 THEN {amounts}[1:CASE WHEN len(names) > 0 THEN len(names) ELSE 1000000 END] ELSE c3 END"
+    named = "CASE WHEN least(len(c4), len(names)) >= 3 THEN names[1] || ' ' || c4[1] || ', ' || names[2] || ' ' || c4[2] || ', ' || names[3] || ' ' || c4[3] WHEN least(len(c4), len(names)) = 2 THEN names[1] || ' ' || c4[1] || ', ' || names[2] || ' ' || c4[2]"
+    named += f" WHEN len(c4) >= 2 AND NOT regexp_matches(array_to_string(c4, ' '), '{_WORDS}') THEN c4[1] || ', ' || c4[2] ELSE array_to_string(c4, ' ') END"
+    return _let(some, "c3", _let(split, "c4", named))
+
+
+def _five(x: str) -> str:
+    return _let(x, "f1", "CASE WHEN len(f1) >= 5 THEN f1[1:5] END")
+
+
+def _kept(x: str) -> str:
+    return _five(f"list_filter(list_transform({x}, lambda k1: {_clean('k1')}), lambda k2: k2 <> '' AND length(k2) <= 600)")
+
+
+def _each(items: str, name: str, then: str) -> str:
+    return f"list_transform({items}, lambda {name}: {then})"
+
+
+_END = "right(flat, 120)"
+_FIXED = rf"""CASE WHEN regexp_matches(flat, '(?i)\(A\).*\(B\)') THEN ['(A)', '(B)'] WHEN len(regexp_extract_all({_END}, '할인액')) >= 2 AND contains({_END}, '처분손실') THEN ['할인액', '처분손실']
+ WHEN contains({_END}, '법인세비용') AND contains({_END}, '이연법인세') THEN ['법인세비용', '이연법인세자산', '이연법인세부채'] ELSE [] END"""
+_STOPS = [f"(?:\\s*[{MARKS[k + 1 :]}]|$)" if MARKS[k + 1 :] else "$" for k in range(5)]
+_INLINE = "[" + ", ".join(_one_line(f"regexp_extract(lines[1], '{m}\\s*(.+?){_STOPS[k]}', 1)") for k, m in enumerate(MARKS)) + "]"
+_BELOW = f"[l[2:], CASE WHEN {_is_cell('lines[i + 1]')} THEN lines[i + 1] ELSE '' END]"
+_MULTI = f"list_filter(list_transform(lines, lambda l, i: CASE WHEN regexp_matches(l, '^[{MARKS}]') THEN {_clean(_columns(_BELOW))} END), lambda z: z <> '')"
+_BLOCKS = _each("parts", "b", f"CASE WHEN {_is_cell('b[2]')} THEN {_columns('b')} ELSE {_one_line('array_to_string(b, chr(32))')} END")
+_MARKED_LINES = _each(rf"list_filter(every, lambda e: regexp_matches(e, '^[{MARKS}]\s*.'))", "e", _clean(_columns("[e[2:]]")))
+_WITH_AMOUNT = rf"list_filter({_MARKED_LINES}, lambda e: contains(e, 'W') OR regexp_matches(e, '\d{{1,3}}(?:,\d{{3}})+'))"
+_ONE = "replace(body, chr(10), ' ')"
+_ANYWHERE = _each(rf"regexp_extract_all({_ONE}, '[{MARKS}]\s*((?:W[\d,]+(?:\s*,?\s*)?)+)', 1)", "e", _one_line(_columns("[e]")))
+_HASHES = _each(rf"list_filter({_each(f'string_split({_ONE}, chr(35))[2:]', 'h', _strip('h'))}, lambda h: length(h) BETWEEN 1 AND 220)", "h", _one_line(_bare("h", ".")))
+_MISREAD = _each(rf"regexp_extract_all(after_, '[{MARKS}]?\s*([ㄱ-ㅎㅁ]|그|L|드|근|I|II|H)[^{MARKS}]{{0,120}}', 1)", "h", _one_line("h"))
+_LETTERS = _each(rf"regexp_extract_all(after_, '[{MARKS}]\s*([ㄱ-ㅎㅁ][^{MARKS}]{{0,120}})', 1)", "h", _one_line("h"))
+_TAIL_LINE = "replace(CASE WHEN tail <> '' THEN tail ELSE body END, chr(10), ' ')"
+_SENTENCES = _each(rf"string_split(regexp_replace({_TAIL_LINE}, '([.:])\s+', '\1' || chr(1), 'g'), chr(1))", "h", _bare("h", ".:"))
+_LONG = _each(f"list_filter({_SENTENCES}, lambda h: length(h) >= 8)", "h", _one_line("h"))
+_SIZE = "greatest(1, len(d) // 5)"
+_GROUPS = _each(f"range(0, least(len(d), {_SIZE} * 5), {_SIZE})", "h", f"array_to_string(d[h + 1:h + {_SIZE}], ' / ')")
+_BOND = _let(r"regexp_extract_all(body, '\d+\.\d{2,4}')", "d", f"CASE WHEN len(d) >= 4 THEN {_five(_GROUPS)} END")
+_PAIRS = _each("cells", "g", "CASE WHEN len(g.parts) >= 2 THEN names[1] || ' ' || g.parts[1] || ', ' || names[2] || ' ' || g.parts[2] ELSE g.parts[1] END")
+_PER = {
+    "grid": f"CASE WHEN len(names) >= 2 AND len(cells) = 5 AND len(cells[1].parts) >= 2 THEN {_PAIRS} END",
+    "multicolumn": _five(_MULTI),
+    "circled": f"coalesce({_kept(_BLOCKS)}, CASE WHEN len(lines) = 1 THEN {_kept(_INLINE)} END)",
+    "won": f"coalesce({_five(_WITH_AMOUNT)}, {_five(_ANYWHERE)})",
+    "hash": _five(_HASHES),
+    "combination": f"coalesce({_five(_MISREAD)}, {_five(_LETTERS)})",
+    "statement": _five(_LONG),
+    "bond": rf"CASE WHEN regexp_matches(body, '액면가치|시장이자율|상환가치|연금현재가치|내재이자율|단일금액') AND len(regexp_extract_all(body, '\d+(?:\.\d+)?%')) >= 8 THEN {_BOND} END",
+}
+_GRID_CELLS = "[" + ", ".join(f"{{'mark': '{m}', 'parts': regexp_extract_all(regexp_extract(tail, '{m}\\s*{_AMOUNT}(?:\\s*\\n\\s*{_AMOUNT})?'), '{_AMOUNT}')}}" for m in MARKS) + "]"
+_LONGER = _let(_clean(_one_line("array_to_string(parts[i], ' ')")), "y", f"CASE WHEN regexp_matches(trim(z), '{_PAIR}') AND length(y) > length(z) THEN y ELSE z END")
+_WHOLE = f"""CASE WHEN len(parts) = 5 AND len(list_filter(c, lambda z: regexp_matches(trim(z), '{_PAIR}'))) > 0 AND len(list_filter(c, lambda z: length(z) > 25 AND regexp_matches(z, '{_WORDS}'))) >= 3
+  THEN list_transform(c, lambda z, i: {_LONGER}) ELSE c END"""
+_FOUR = r"년\s+20[×xX]\d{1,2}년\s+20[×xX]\d{1,2}년\s+20[×xX]\d{1,2}년\s+20[×xX]\d{1,2}"
+_TRIED = ", ".join(f"{v} AS s_{k}" for k, v in _PER.items())
+_FIRST = " ".join(f"WHEN s_{k} IS NOT NULL THEN '{k}'" for k in _PER)
+CHOICES = rf"""WITH {BODIES},
+b1 AS (SELECT doc_id, body, regexp_extract(body, '^[^{MARKS}]*') AS above FROM bodies),
+b2 AS (SELECT *, substr(body, length(above) + 1) AS tail, replace(above, chr(10), ' ') AS flat, regexp_extract({_one_line("body")}, '[?？]\s*(?:\([^)]*\))?\s*(.+)$', 1) AS after_ FROM b1),
+b3 AS (SELECT *, regexp_extract_all(regexp_replace(regexp_extract_all(regexp_replace(flat, '(?i)(20[×xX]\d{{1,2}})\s+년', '\1년', 'g'), '{_FOUR}')[-1], '[xX]', '×', 'g'), '20×\d{{1,2}}')[1:2] AS four,
+   list_transform(regexp_extract_all(right(above, 200), '20[×xX]\d{{1,2}}'), lambda y: regexp_replace(y, '[xX]', '×')) AS ys,
+   list_filter(list_transform(string_split(tail, chr(10)), lambda l: {_strip("l")}), lambda l: l <> '') AS lines, list_filter(list_transform(string_split(body, chr(10)), lambda l: {_strip("l")}), lambda l: l <> '') AS every,
+   list_filter({_GRID_CELLS}, lambda g: len(g.parts) > 0) AS cells FROM b2),
+b4 AS (SELECT *, CASE WHEN four IS NOT NULL THEN list_transform(four, lambda y: y || '년') WHEN len(list_distinct(ys)) >= 2 THEN list_transform(list_filter(ys, lambda y, i: list_position(ys, y) = i)[1:2], lambda y: y || '년') ELSE {_FIXED} END AS names FROM b3),
+ln AS (SELECT doc_id, line, i, sum(CASE WHEN regexp_matches(line, '^[{MARKS}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM b3)),
+lb AS (SELECT doc_id, block, left(min_by(line, i), 1) AS mark, list_filter(list(CASE WHEN regexp_matches(line, '^[{MARKS}]') THEN {_strip("line[2:]")} ELSE line END ORDER BY i), lambda l: l <> '') AS own FROM ln WHERE block > 0 GROUP BY 1, 2),
+lp AS (SELECT doc_id, list(own ORDER BY block) AS parts, list(mark ORDER BY block) AS marks FROM lb GROUP BY 1),
+b5 AS (SELECT b4.*, coalesce(parts, []) AS parts, marks FROM b4 LEFT JOIN lp USING (doc_id)),
+b6 AS (SELECT *, {_TRIED} FROM b5),
+b7 AS (SELECT *, CASE {_FIRST} END AS strategy, coalesce({", ".join(f"s_{k}" for k in _PER)}, []) AS c FROM b6)
+"""
+EXAM_CHOICES = CHOICES + f"SELECT doc_id, strategy, array_to_string(cc, chr(10)) AS choices, CAST(len(cc) AS INT) AS n_choices FROM (SELECT doc_id, strategy, {_WHOLE} AS cc FROM b7)"
+
+
+def _some(x: str) -> str:
+    return f"list_filter(list_transform({x}, lambda q: {_strip('q')}), lambda q: q <> '')"
+
+
+def _cells_of(line: str) -> str:
+    gaps = line
+    for pattern, new in ((r"\s{2,}|\t", "chr(1)"), (r"(\d)\s(\D)", r"'\1' || chr(1) || '\2'"), (r"(\D)\s(\d)", r"'\1' || chr(1) || '\2'")):
+        gaps = f"regexp_replace({gaps}, '{pattern}', {new}, 'g')"
+    bars = _some(rf"string_split(regexp_replace({line}, '^\|+|\|+$', '', 'g'), '|')")
+    parts = _let(_some(f"string_split({gaps}, chr(1))"), "p", f"CASE WHEN len(p) < 2 AND contains({line}, '|') THEN {bars} ELSE p END")
+    return f"CASE WHEN contains({line}, chr(9)) THEN {_some(f'string_split({line}, chr(9))')} ELSE {parts} END"
+
+
+_QUESTION = rf"^(?:\d{{1,2}}\.|[{MARKS}])"
+_ENTRY, _FACTOR = r"regexp_matches(line, '^\((?:차변|대변)\)')", r"regexp_matches(line, '\d+\.\d{3,4}')"
+_HEADER = rf"""NOT regexp_matches(line, '[?？]') AND NOT regexp_matches(replace(line, ' ', ''), '^(?:년\s*)?(?:20[×xX]\d{{1,2}}\s*년\s*){{1,4}}20[×xX]\d{{1,2}}\s*$') AND (length(line) <= 140 OR starts_with(line, '(차변)'))
+ AND ({_ENTRY} OR regexp_matches(line, '차변|대변|구분|일자|적요|예산|실제|단일금액|정상연금|액면가치|시장이자율|상환가치|연금현재가치') AND len(cells) >= 2 OR len(cells) >= 3 AND regexp_matches(line, '\d') OR {_FACTOR})"""
+_DATA = rf"{_ENTRY} OR {_FACTOR} OR len(cells) >= 2 AND regexp_matches(line, '\d')"
+_BEFORE = "last_value(CASE WHEN class IN ('H', 'X') THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _tables(source: str) -> str:
+    """CTEs from source (doc_id, body) to drawn (doc_id, rest, grid, markdown)."""
+    return f"""l1 AS (SELECT doc_id, {_strip("line")} AS line, i FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i FROM {source})),
+l2 AS (SELECT *, {_cells_of("line")} AS cells FROM l1),
+l3 AS (SELECT *, CASE WHEN line = '' THEN 'B' WHEN line = '[TABLE]' THEN 'H' WHEN regexp_matches(line, '{_QUESTION}') THEN 'X' WHEN {_HEADER} THEN 'H' WHEN {_DATA} THEN 'D' ELSE 'X' END AS class FROM l2),
+l4 AS (SELECT *, class = 'H' OR class IN ('B', 'D') AND coalesce({_BEFORE}, 'X') = 'H' AS inside FROM l3),
+rest AS (SELECT doc_id, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS rest FROM l4 WHERE NOT inside GROUP BY 1),
+ins AS (SELECT *, sum(CASE WHEN len(cells) >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l4 WHERE inside AND line NOT IN ('', '[TABLE]')),
+bare AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS bare, count(*) AS n, list(cells ORDER BY i) FILTER (len(cells) > 0) AS each FROM ins GROUP BY 1),
+rws AS (SELECT doc_id, list(c ORDER BY r) AS rows_ FROM (SELECT doc_id, r, flatten(list(cells ORDER BY i)) AS c FROM ins WHERE r > 0 GROUP BY 1, 2) GROUP BY 1),
+drawn0 AS (SELECT s.doc_id, body, coalesce(rest, '') AS rest, bare, coalesce(n, 0) AS n, coalesce(rows_, []) AS rows_, coalesce(each, []) AS each FROM {source} s LEFT JOIN rest USING (doc_id) LEFT JOIN bare USING (doc_id) LEFT JOIN rws USING (doc_id)),
+drawn1 AS (SELECT *, CASE WHEN len(rows_) >= 2 THEN rows_ ELSE each END AS t, len(rows_) >= 2 OR n >= 2 AS is_table FROM drawn0),
+drawn AS (SELECT doc_id, CASE WHEN is_table THEN rest ELSE body END AS rest, CASE WHEN len(rows_) >= 2 THEN array_to_string(list_transform(rows_, lambda r: array_to_string(r, chr(9))), chr(10)) WHEN n >= 2 THEN bare END AS grid,
+   CASE WHEN is_table THEN CASE WHEN len(t) >= 2 THEN array_to_string(list_concat(['| ' || array_to_string(t[1], ' | ') || ' |', '| ' || array_to_string(list_transform(t[1], lambda r: '---'), ' | ') || ' |'],
+     list_transform(t[2:], lambda r: '| ' || array_to_string(list_transform(range(1, len(t[1]) + 1), lambda k: coalesce(r[k], '')), ' | ') || ' |')), chr(10)) ELSE '' END END AS markdown FROM drawn1)"""
+
+
+_CELL_LIST = ", ".join(f"'{x}'" for x in CELLS)
+_GAP_LIST = ", ".join({"\n": "chr(10)", "\t": "chr(9)"}.get(x, f"'{x}'") for x in GAPS)
+GRIDS = f"""grids AS (SELECT doc_id, array_to_string(list_transform({_SPLIT_WORDS}, lambda v: replace([{_CELL_LIST}][(ascii(v) + length(v)) % {len(CELLS)} + 1], '~', v)
+  || [{_GAP_LIST}][(ascii(reverse(v)) + 5 * length(v)) % {len(GAPS)} + 1]), '') AS body FROM documents)"""
+EXAM_TABLES = f"WITH {GRIDS}, {_tables('grids')} SELECT doc_id, rest, grid, markdown FROM drawn"
+_LOOSE_ROWS = f"list_transform(parts[1:5], lambda p, i: marks[i] || chr(9) || p[1] || chr(9) || CASE WHEN {_is_cell('p[2]')} THEN p[2] ELSE '' END)"
+CHOICE_GRIDS = f"""{CHOICES}, {_tables("bodies")}
+SELECT b7.doc_id, coalesce(chr(9) || names[1] || chr(9) || names[2] || chr(10) || CASE WHEN strategy = 'grid' THEN array_to_string(list_transform(cells, lambda g: g.mark || chr(9) || array_to_string(g.parts, chr(9))), chr(10))
+  WHEN strategy = 'multicolumn' AND len(names) >= 2 AND len(list_filter(parts[1:5], lambda p: len(p) > 0)) = 5 THEN array_to_string({_LOOSE_ROWS}, chr(10)) END, d.grid) AS grid,
+  CAST(length(d.rest) AS INT) AS rest_length FROM b7 JOIN drawn d ON d.doc_id = b7.doc_id"""
+
+ORACLE_SQL = {"rejoined_lines": REJOINED, "restructured_lines": RESTRUCTURED, "exam_choices": EXAM_CHOICES, "exam_tables": EXAM_TABLES, "choice_grids": CHOICE_GRIDS}

@@ -16,6 +16,11 @@ FRAGMENTS = ("20×1", "20x2", "년", "3", "14", "월", "일부터", "12,000", "W
 #: Letters as Hangul syllables, particles among them.
 LATIN, SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "은는이가을를의에서으로와과도만부터까지하여며면거나"
 
+#: What a word stands for in a table, and what follows it.
+CELLS = ("~", "차변", "구분", "1,200", "0.9091", "(대변) 매출", "①", "3.", "[TABLE]", "~", "12", "~", "적요", "?", "20×1년", "8")
+GAPS = ("\n", "  ", "\t", "|", " ", " ", "  ", "\n")
+MARKS = "①②③④⑤"
+
 
 def fragment(word: Column) -> Column:
     """The fragment that a word stands for."""
@@ -29,6 +34,55 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.transform(words, fragment).alias("lines"))
 
 
+def _word(words: Column, k: int) -> Column:
+    return F.get(words, F.lit(7 * k) % F.size(words))
+
+
+def _won(words: Column, k: int) -> Column:
+    n = F.length(_word(words, k))
+    return F.concat(F.lit("W"), (n % 9 + 1).cast("string"), F.lit(","), F.lpad(((37 * n + k) % 1000).cast("string"), 3, "0"))
+
+
+def _marked(*parts) -> Column:
+    """The five marks, each with what the parts give for its number."""
+    return F.concat(*[x for k, m in enumerate(MARKS, 1) for x in (F.lit(m), *(F.lit(p) if isinstance(p, str) else p(k) for p in parts))])
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, body): whole documents as questions, their choices laid out in one of eleven ways by the doc_id."""
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("none"))).alias("w"))
+    w = F.col("w")
+    word, won, second = (lambda k: _word(w, k)), (lambda k: _won(w, k)), (lambda k: _won(w, k + 5))
+    at = lambda k: F.concat(F.lit(f" {MARKS[k - 1]} "), _won(w, k))
+    layouts = (
+        F.concat(F.lit("? 20×1 20x2\n"), _marked(" ", won, "\n", second, "\n")),
+        F.concat(F.lit("?\n(A) (B)\n"), _marked(" ", word, "\n", won, "\n")),
+        F.concat(F.lit("?\n"), _marked("\n", word, " ", word, "\n ", word, "\n")),
+        F.concat(F.lit("? "), _marked(" ", word, "  ", word, " ")),
+        F.concat(F.lit("?"), at(1), F.lit("\n"), at(2), F.lit("\n"), at(3), at(4), F.lit("\n"), at(5)),
+        F.concat(F.lit("? # "), word(1), F.lit(" . # "), word(2), F.lit(" # "), word(3), F.lit("# "), word(4), F.lit(" # "), word(5)),
+        F.concat(F.lit("? (단, "), word(1), F.lit(")\n① ㄱ, "), word(2), F.lit("\n② ㄴ "), word(3), F.lit("\n③ ㄱ, ㄴ ④ ㄴ, ㄷ ⑤ ㄷ")),
+        F.lit("?"),
+        F.concat(F.lit("? 액면가치 3% 4% 5% 6% 7% 8% 9% 10% 0.9709 0.9615 0.9524 0.9434 0.9346 1.111 "), word(1), F.lit(" 0.25 0.5 0.125 0.0625")),
+        F.concat(F.lit("? ① "), word(1), F.lit(" ② "), word(2)),
+        F.concat(F.lit("? 년 20×1년 20×2년 20×1년 20x2\n"), F.lit("①"), won(1), F.lit(", "), won(2), F.lit("\n가나다라 "), word(1), F.lit("\n"), *[F.concat(F.lit(f"{m} 당기순이익이 증가하고 자산과 부채는 변동하지 않는다 "), word(k), F.lit("\n")) for k, m in enumerate(MARKS[1:], 2)]),
+    )
+    return docs.select("doc_id", F.concat((F.col("doc_id") % 40 + 41).cast("string"), F.lit(". "), "text", F.element_at(F.array(*layouts), (F.pmod("doc_id", F.lit(len(layouts))) + 1).cast("int"))).alias("body"))
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, body): documents whose words stand for cells, with gaps between them by the next letters."""
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+
+    def cell(word: Column) -> Column:
+        of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+        n = F.length(word)
+        return F.concat(F.replace(of(CELLS, F.ascii(word) + n), F.lit("~"), word), of(GAPS, F.ascii(F.reverse(word)) + 5 * n))
+
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(words, cell), "").alias("body"))
+
+
 def hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): documents in Hangul syllables, with their numbers and marks."""
     return read(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, SYLLABLES).alias("text"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from learnspark.functions import fragments
+from learnspark.functions import answers, fragments, spacing
 from learnspark.functions import tables as T
 from learnspark.operators import extract
 from learnspark.sources import torn
 
+#: Terms and prefixes in the syllables of torn.hangul.
+TERMS = tuple(word.translate(str.maketrans(torn.LATIN, torn.SYLLABLES)) for word in ("tion", "ation", "heit", "lich", "ung", "ment", "the", "or", "nd", "keit", "tionti"))
+PREFIXES = tuple(word.translate(str.maketrans(torn.LATIN, torn.SYLLABLES)) for word in ("be", "re", "an"))
+
 
 def rejoined_lines(spark, d):
     p = torn.pages(spark, d).select("doc_id", F.size("lines").alias("n_lines"), fragments.rejoined(F.array_join("lines", "\n")).alias("text"))
@@ -30,3 +34,20 @@ def choice_grids(spark, d):
 
 def exam_tables(spark, d):
     return torn.grids(spark, d).withColumn("t", T.table(F.col("body"))).select("doc_id", "t.rest", "t.grid", "t.markdown")
+
+
+def key_sheets(spark, d):
+    return torn.sheets(spark, d).select("doc_id", F.explode(answers.sheet(F.col("text"), 41, 80)).alias("x")).select("doc_id", "x.*")
+
+
+def worked_answers(spark, d):
+    parts = torn.worked(spark, d).select("doc_id", F.explode(answers.solutions(F.col("text"), 41, 80)).alias("x"))
+    return parts.select("doc_id", "x.number", answers.resolved(F.col("x.block")).alias("answer"))
+
+
+def particles_apart(spark, d):
+    return torn.hangul(spark, d).select("doc_id", spacing.particles_apart(F.col("text")).alias("text"))
+
+
+def terms_apart(spark, d):
+    return torn.hangul(spark, d).select("doc_id", spacing.terms_apart(F.col("text"), TERMS, PREFIXES).alias("text"))

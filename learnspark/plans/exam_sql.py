@@ -7,7 +7,7 @@ have no look-ahead there, so what follows is captured and put back.
 from __future__ import annotations
 
 from learnspark.plans.record_sql import FOOTERS
-from learnspark.sources.torn import CELLS, FRAGMENTS, GAPS, MARKS
+from learnspark.sources.torn import CELLS, FRAGMENTS, GAPS, LATIN, MARKS, SHEET, SYLLABLES
 
 _LIST = "[" + ", ".join(f"'{x}'" for x in FRAGMENTS) + "]"
 TORN = f"torn AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: replace({_LIST}[(ascii(w) + 3 * length(w)) % {len(FRAGMENTS)} + 1], '~', w)) AS lines FROM documents)"
@@ -309,4 +309,122 @@ SELECT b7.doc_id, coalesce(chr(9) || names[1] || chr(9) || names[2] || chr(10) |
   WHEN strategy = 'multicolumn' AND len(names) >= 2 AND len(list_filter(parts[1:5], lambda p: len(p) > 0)) = 5 THEN array_to_string({_LOOSE_ROWS}, chr(10)) END, d.grid) AS grid,
   CAST(length(d.rest) AS INT) AS rest_length FROM b7 JOIN drawn d ON d.doc_id = b7.doc_id"""
 
-ORACLE_SQL = {"rejoined_lines": REJOINED, "restructured_lines": RESTRUCTURED, "exam_choices": EXAM_CHOICES, "exam_tables": EXAM_TABLES, "choice_grids": CHOICE_GRIDS}
+_SHEET_LIST = ", ".join(f"'{x}'" for x in SHEET)
+_FOUND = "CAST([] AS STRUCT(number INT, answer INT)[])"
+
+
+def _read_columns(numbers: str) -> str:
+    """A fold over numbers lifted into its state: `next` and `found` are the state's, `v` the number."""
+    from_first = f"{numbers}[list_position({numbers}, 41):]"
+    items = f"CASE WHEN list_position({numbers}, 41) > 0 THEN list_transform({from_first}, lambda v: {{'next': 0, 'v': v, 'found': {_FOUND}}}) ELSE [] END"
+    took = "list_append(s.found, {'number': s.next, 'answer': x.v})"
+    step = f"""CASE WHEN s.next <= 80 AND x.v BETWEEN 1 AND 5 THEN {{'next': s.next + 1, 'v': 0, 'found': {took}}} WHEN s.next <= 80 AND x.v > s.next AND x.v <= 80 THEN {{'next': x.v, 'v': 0, 'found': s.found}} ELSE s END"""
+    return f"list_reduce({items}, lambda s, x: {step}, {{'next': 41, 'v': 0, 'found': {_FOUND}}}).found"
+
+
+def _alone(text: str) -> str:
+    return rf"list_transform(list_filter(string_split(regexp_replace({text}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '), lambda v: regexp_full_match(v, '\d{{1,3}}')), lambda v: CAST(v AS INT))"
+
+
+_PAIRS_IN = r"regexp_extract_all(' ' || replace(section, ' ', '  ') || ' ', '[^0-9]((?:4[1-9]|[1-6]\d|7[0-9]|80)[\s.]+[1-5])[^0-9]', 1)"
+KEY_SHEETS = rf"""WITH s0 AS (SELECT doc_id, array_to_string(list_transform({_SPLIT_WORDS}, lambda w: replace([{_SHEET_LIST}][(ascii(w) + 3 * length(w)) % {len(SHEET)} + 1], '~', w)), ' ') AS text FROM documents),
+s1 AS (SELECT *, regexp_extract(text, '(?s)2교시\s*A[^\n]*') AS sheet FROM s0),
+s2 AS (SELECT *, CASE WHEN sheet = '' THEN text ELSE left(sheet, greatest(length(regexp_extract(sheet, '^2교시\s*A')), 0)) || substr(sheet, length(regexp_extract(sheet, '^2교시\s*A')) + 1) END AS block FROM s1),
+s3 AS (SELECT *, regexp_extract(block, '(?s)회계\s*학.*') AS part FROM s2),
+s4 AS (SELECT *, CASE WHEN part = '' THEN block ELSE left(part, 5) || regexp_replace(substr(part, 6), '(?s)(한국산업|2교시\s*B).*', '') END AS section FROM s3),
+s5 AS (SELECT doc_id, text, list_transform({_PAIRS_IN}, lambda v: {{'number': CAST(left(v, 2) AS INT), 'answer': CAST(right(v, 1) AS INT)}}) AS p, {_alone("section")} AS a, {_alone("replace(text, '회계학', ' ')")} AS b FROM s4),
+s6 AS (SELECT doc_id, list_concat(p, {_read_columns("a")}) AS x, {_read_columns("b")} AS y FROM s5),
+s7 AS (SELECT doc_id, CASE WHEN len(list_distinct(list_transform(x, lambda v: v.number))) >= 30 THEN x ELSE list_concat(x, y) END AS z FROM s6),
+s8 AS (SELECT doc_id, unnest(z) AS e, unnest(range(len(z))) AS i FROM s7)
+SELECT doc_id, e.number AS number, max_by(e.answer, i) AS answer FROM s8 WHERE e.number BETWEEN 41 AND 80 GROUP BY 1, 2"""
+
+
+def _number(k: int) -> str:
+    return f"format('{{:,}}', length({_word(k)}) * 1111 + {k})"
+
+
+def _quote(size: int, reach: int) -> str:
+    return f"list_filter([1, 2, 3, 4, 5], lambda i: c[i] <> '' AND contains(left(why, {reach}), left(c[i], {size})))[1]"
+
+
+_BARE_C = "replace(c[i], ',', '')"
+_FINALS = r"list_reverse(list_transform(regexp_extract_all(why, '(?:최종 결과|따라서|=)\s*[:\$]?=?\s*([0-9,\.]+)', 1), lambda v: replace(v, ',', '')))"
+_HOLDS = rf"list_filter([1, 2, 3, 4, 5], lambda i: list_contains(list_transform(regexp_extract_all(c[i], '[0-9,\.]+'), lambda u: replace(u, ',', '')), v))[1]"
+_CHOICE_KINDS = (_word, _word, lambda k: f"'A ' || {_number(k)} || ', B ' || {_number(k + 1)}", lambda k: f"{_number(k)} || '원'", lambda k: f"{_word(k)} || ' 25'")
+_HEADS = ("옳은 것은?", "틀린 것은?", "값은?", "얼마인가?", "추정치에 관한 옳은 것을 고르면")
+_TAILS = ("text", _word(4), f"'A = ' || {_number(3)} || '이고 B = ' || {_number(4)}", f"'계산 = ' || {_number(2)} || ' 따라서 ' || {_number(5)} || ' 최종 결과 $=77'", "CASE WHEN doc_id % 2 = 0 THEN '추정치의 유용성' ELSE '25% 적용' END")
+_ASKED = " UNION ALL ".join(
+    f"SELECT doc_id, {41 + j} AS number, '{41 + j}. {_HEADS[j]}' AS head, [{', '.join(_CHOICE_KINDS[j](k + j) for k in range(1, 6))}] AS c, ' ' || {_TAILS[j]} || chr(10) AS why FROM w0" for j in range(5)
+)
+WORKED = rf"""WITH w0 AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN len({_SPLIT_WORDS}) > 0 THEN {_SPLIT_WORDS} ELSE ['none'] END AS w FROM documents),
+asked AS ({_ASKED}),
+found AS (SELECT *, CASE WHEN contains(why, '추정치') AND contains(why, '유용성') OR contains(why, '미래 경제적 효익') AND contains(why, '원가') THEN 5 END AS known, regexp_extract_all(why, '(?s)A\s*=\s*([0-9,]+).*?B\s*=\s*([0-9,]+)', 1)[-1] AS va, regexp_extract_all(why, '(?s)A\s*=\s*([0-9,]+).*?B\s*=\s*([0-9,]+)', 2)[-1] AS vb FROM asked)
+SELECT doc_id, CAST(number AS INT) AS number, CAST(coalesce(CASE WHEN contains(head, '옳은 것은?') OR contains(head, '옳은 것을') THEN coalesce(known, {_quote(18, 700)}) END, CASE WHEN contains(head, '옳지 않') OR contains(head, '틀린') THEN {_quote(28, 600)} END,
+  list_filter([1, 2, 3, 4, 5], lambda i: contains({_BARE_C}, replace(va, ',', '')) AND contains({_BARE_C}, replace(vb, ',', '')))[1],
+  list_filter(list_transform({_FINALS}, lambda v: {_HOLDS}), lambda v: v IS NOT NULL)[1], CASE WHEN contains(why, '25%') AND contains(array_to_string(c, ' '), '25') THEN 1 END) AS INT) AS answer FROM found"""
+
+HANGUL = f"hangul AS (SELECT doc_id, translate(lower(text), '{LATIN}', '{SYLLABLES}') AS t FROM documents)"
+
+
+def _hangul(words: tuple[str, ...]) -> list[str]:
+    return [w.translate(str.maketrans(LATIN, SYLLABLES)) for w in words]
+
+
+def _terms() -> str:
+    """One replacement after the other, each twice, since the syllable before a term may end the term before it."""
+    t = "t"
+    for w in sorted(_hangul(("tion", "ation", "heit", "lich", "ung", "ment", "the", "or", "nd", "keit", "tionti")), key=len, reverse=True):
+        for _ in range(2):
+            t = f"regexp_replace({t}, '([가-힣])({w})', '\\1 \\2', 'g')"
+    for w in _hangul(("be", "re", "an")):
+        for _ in range(2):
+            t = f"regexp_replace({t}, '([가-힣])({w})([가-힣])', '\\1 \\2 \\3', 'g')"
+    return t
+
+
+TERMS_APART = rf"WITH {HANGUL} SELECT doc_id, regexp_replace({_terms()}, '\s{{2,}}', ' ', 'g') AS text FROM hangul"
+# Tokens that stay whole, and particles.
+_TOKENS = (
+    r"(?i)\d{1,3}(?:,\d{3})+(?:\.\d+)?W", r"W\d{1,3}(?:,\d{3})*(?:\.\d+)?", r"￦\d{1,3}(?:,\d{3})*(?:\.\d+)?", r"\d+(?:\.\d+)?%", r"\d+(?:\.\d+)?㎡", r"\d+(?:\.\d+)?(?:원|천원|백만원|억원)",
+    r"20×\d{1,2}년\s*\d{1,2}월\s*\d{1,2}일", r"20×\d{1,2}년", r"20×\d{1,2}", r"20[xX]\d{1,2}", r"\(\s*20×\d{1,2}\s*\)년", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{3,}",
+)
+_PARTICLES = "은 는 이 가 을 를 의 에 에서 으로 로 와 과 도 만 부터 까지 하여 하며 하면 하거나 하는 하였 하기 경우 때 것 등 및 있다 없다 이다 아니다 ( （".split()
+_STEPS = [(r"[￦₩]", "W"), (r"20[xX](\d)", r"20×\1"), (r"([.?,:;])([가-힣A-Za-z0-9])", r"\1 \2"), (r"([가-힣0-9])(\()", r"\1 \2"), (r"\)([가-힣A-Za-z0-9])", r") \1"), (r"([가-힣])(W\d|\d)", r"\1 \2")]
+_UNIT_OK = "년월일원주회번호층시분세"
+
+
+def _particles() -> str:
+    ctes, t = [HANGUL], "hangul"
+    for k, p in enumerate(_TOKENS):
+        ctes.append(f"m{k} AS (SELECT *, regexp_extract_all(t, '{p}') AS tok{k}, regexp_replace(t, '{p}', chr({0xE100 + k}), 'g') AS n{k} FROM (SELECT * REPLACE ({'n' + str(k - 1) if k else 't'} AS t) FROM {t}))")
+        t = f"m{k}"
+    x = f"n{len(_TOKENS) - 1}"
+    for p, new in _STEPS:
+        x = f"regexp_replace({x}, '{p}', '{new}', 'g')"
+    parted = f"regexp_replace({x}, '(\\d)([가-힣])', '\\1' || chr(2) || '\\2', 'g')"
+    ctes.append(f"a0 AS (SELECT *, replace(regexp_replace({parted}, chr(2) || '([{_UNIT_OK}])', '\\1', 'g'), chr(2), ' ') AS x FROM {t})")
+    short, long_ = ([f"'{w}'" for w in _PARTICLES if len(w) == n] for n in (1, 2))
+    starts = f"n1_ IN ({', '.join(short)}) OR n1_ || n2_ IN ({', '.join(long_)}) OR n1_ || n2_ || n3_ = '아니다'"
+    ctes.append("c0 AS (SELECT doc_id, unnest(string_split(x, '')) AS v, unnest(range(length(x))) AS i FROM a0 WHERE x <> '')")
+    ctes.append("c1 AS (SELECT *, coalesce(lead(v) OVER w, '') AS n1_, coalesce(lead(v, 2) OVER w, '') AS n2_, coalesce(lead(v, 3) OVER w, '') AS n3_ FROM c0 WINDOW w AS (PARTITION BY doc_id ORDER BY i))")
+    ctes.append(f"c2 AS (SELECT doc_id, string_agg(v || CASE WHEN v BETWEEN '가' AND '힣' AND ({starts}) THEN ' ' ELSE '' END, '' ORDER BY i) AS y FROM c1 GROUP BY 1)")
+    ctes.append("a1 AS (SELECT a0.*, coalesce(y, x) AS y FROM a0 LEFT JOIN c2 USING (doc_id))")
+    y = r"regexp_replace(regexp_replace(regexp_replace(y, '\(\s+', '(', 'g'), '\s+\)', ')', 'g'), '[ \t]{2,}', ' ', 'g')"
+    for k in range(len(_TOKENS)):
+        ctes.append(f"r{k} AS (SELECT * EXCLUDE (y), array_to_string(list_transform(string_split(y, chr({0xE100 + k})), lambda p, i: p || coalesce(tok{k}[i], '')), '') AS y FROM (SELECT * REPLACE ({y if k == 0 else 'y'} AS y) FROM {'a1' if k == 0 else f'r{k - 1}'}))")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, y AS text FROM r{len(_TOKENS) - 1}"
+
+
+PARTICLES_APART = _particles()
+
+ORACLE_SQL = {
+    "rejoined_lines": REJOINED,
+    "restructured_lines": RESTRUCTURED,
+    "exam_choices": EXAM_CHOICES,
+    "exam_tables": EXAM_TABLES,
+    "choice_grids": CHOICE_GRIDS,
+    "key_sheets": KEY_SHEETS,
+    "worked_answers": WORKED,
+    "terms_apart": TERMS_APART,
+    "particles_apart": PARTICLES_APART,
+}

@@ -14,13 +14,16 @@ from learnspark.sources.model import read
 #: What a word stands for; `~` is the word itself.
 FRAGMENTS = ("20×1", "20x2", "년", "3", "14", "월", "일부터", "12,000", "W", "₩", "(", ")", "과", "년과", "년에", "각각", "기말 재고 년의", "500", ".", "~", "~", "(가)", "주", "~이다", "20X10", "일", "에", "() 년", "?", "9")
 #: Letters as Hangul syllables, particles among them.
-LATIN, SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "은는이가을를의에서으로와과도만부터까지하여며면거나"
+LATIN, SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "은는이가을를의에서으로와과도만부터까지하여며면거나것"
 
 #: What a word stands for in a table, and what follows it.
 CELLS = ("~", "차변", "구분", "1,200", "0.9091", "(대변) 매출", "①", "3.", "[TABLE]", "~", "12", "~", "적요", "?", "20×1년", "8")
 GAPS = ("\n", "  ", "\t", "|", " ", " ", "  ", "\n")
 MARKS = "①②③④⑤"
 
+#: What a word stands for in a key sheet.
+SHEET = ("41", "42", "43", "44", "45", "1", "2", "3", "4", "5", "46. 3", "47 2", "48.", "1", "회계학", "2교시 A", "2교시 B", "한국산업", "50", "60", "41", "80", "3", "(1)", "12", "~", "회계 학", "49 .4", "5번", "81")
+
 
 def fragment(word: Column) -> Column:
     """The fragment that a word stands for."""
@@ -83,6 +86,28 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(words, cell), "").alias("body"))
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents whose words stand for the numbers and headings of a key sheet."""
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+    of = lambda w: F.replace(F.element_at(F.array(*map(F.lit, SHEET)), ((F.ascii(w) + 3 * F.length(w)) % len(SHEET) + 1).cast("int")), F.lit("~"), w)
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(words, of), " ").alias("text"))
+
+
+def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): five questions a document with choices and an explanation, the whole document being one of them."""
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("none"))).alias("w"))
+    word = lambda k: _word(F.col("w"), k)
+    number = lambda k: F.format_number(F.length(word(k)) * 1111 + k, 0)
+    heads = ("옳은 것은?", "틀린 것은?", "값은?", "얼마인가?", "추정치에 관한 옳은 것을 고르면")
+    choices = (word, word, lambda k: F.concat(F.lit("A "), number(k), F.lit(", B "), number(k + 1)), lambda k: F.concat(number(k), F.lit("원")), lambda k: F.concat(word(k), F.lit(" 25")))
+    tails = (F.col("text"), word(4), F.concat(F.lit("A = "), number(3), F.lit("이고 B = "), number(4)), F.concat(F.lit("계산 = "), number(2), F.lit(" 따라서 "), number(5), F.lit(" 최종 결과 $=77")), F.when(F.col("doc_id") % 2 == 0, "추정치의 유용성").otherwise("25% 적용"))
+    blocks = [
+        F.concat(F.lit(f"{41 + j}. {heads[j]}\n"), *[F.concat(F.lit(f"{k}. "), choices[j](k + j), F.lit("\n")) for k in range(1, 6)], F.lit("CBT문제은행AI "), tails[j], F.lit("\n")) for j in range(5)
+    ]
+    return docs.select("doc_id", F.concat(F.lit("2과목: 회계학\n"), *blocks).alias("text"))
+
+
 def hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): documents in Hangul syllables, with their numbers and marks."""
     return read(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, SYLLABLES).alias("text"))

@@ -376,9 +376,13 @@ def _terms() -> str:
     for w in sorted(_hangul(("tion", "ation", "heit", "lich", "ung", "ment", "the", "or", "nd", "keit", "tionti")), key=len, reverse=True):
         for _ in range(2):
             t = f"regexp_replace({t}, '([가-힣])({w})', '\\1 \\2', 'g')"
-    for w in _hangul(("be", "re", "an")):
+    for w in _hangul(("be", "re", "an")):  # 1: the prefix, 2 before 1: Hangul before it, 4: Hangul on both sides
+        t = f"replace({t}, '{w}', chr(1))"
         for _ in range(2):
-            t = f"regexp_replace({t}, '([가-힣])({w})([가-힣])', '\\1 \\2 \\3', 'g')"
+            t = f"regexp_replace({t}, '([가-힣\x01])\x01', '\\1\x02\x01', 'g')"
+        for _ in range(2):
+            t = f"regexp_replace({t}, '\x02\x01([가-힣\x01\x02\x04])', '\x04\\1', 'g')"
+        t = f"replace(replace(replace({t}, chr(4), ' {w} '), chr(2), ''), chr(1), '{w}')"
     return t
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from learnspark.functions import answers, fragments, spacing
+from learnspark.functions import answers, fragments, patterns, spacing
 from learnspark.functions import tables as T
-from learnspark.operators import extract
-from learnspark.sources import torn
+from learnspark.operators import cleanup, extract, source_truth
+from learnspark.plans import queries as Q
+from learnspark.sources import model as M
+from learnspark.sources import resolve, torn
 
 #: Terms and prefixes in the syllables of torn.hangul.
 TERMS = tuple(word.translate(str.maketrans(torn.LATIN, torn.SYLLABLES)) for word in ("tion", "ation", "heit", "lich", "ung", "ment", "the", "or", "nd", "keit", "tionti"))
@@ -51,3 +53,70 @@ def particles_apart(spark, d):
 
 def terms_apart(spark, d):
     return torn.hangul(spark, d).select("doc_id", spacing.terms_apart(F.col("text"), TERMS, PREFIXES).alias("text"))
+
+
+def accounting_patterns(spark, d):
+    t = torn.sentences(spark, d).withColumn("p", patterns.classified(F.col("text")))
+    kind = patterns.kind_of_question(F.col("text"), F.split("text", " "))
+    return t.select("doc_id", "i", "p.pattern_id", "p.chapter_id", patterns.first_phase(F.col("text")).alias("first_phase"), kind.alias("kind"))
+
+
+#: Reasons that a question has for its wrong choices, in turn.
+REASONS = (("vat", "fifo"), ("avg", "fob_swap", "calc"), ("generic",), ("method", "trial", "no_loss"), ())
+
+
+def wrong_reasons(spark, d):
+    order = F.get(F.array(*[F.array(*map(F.lit, r)).cast("array<string>") for r in REASONS]), ((F.col("doc_id") + F.col("i")) % len(REASONS)).cast("int"))
+    t = torn.sentences(spark, d).withColumn("order", order).withColumn("choice", F.element_at(F.split("text", " "), -1))
+    reasons = F.map_from_arrays("order", F.transform("order", lambda k: F.concat(F.lit("r_"), k)))
+    return t.select("doc_id", "i", patterns.wrong_reason(F.col("text"), F.col("choice"), (F.col("i") % 5 + 1).cast("int"), (F.col("doc_id") % 5 + 1).cast("int"), reasons, F.col("order")).alias("reason"))
+
+
+def _stored(spark, d):
+    """Questions as they may be stored: whole or restructured, with choices that some lost their border, and a table for some."""
+    lines, n = torn.pages(spark, d), F.col("doc_id")
+    raw = F.array_join("lines", " ")
+    choices = F.array(F.when(n % 4 == 0, "W1,000 W2,000").otherwise("W1,000 / W2,000"), F.lit("나"))
+    return lines.select("doc_id", raw.alias("stem"), F.when(n % 3 == 0, raw).when(n % 3 == 1, F.concat(raw, F.lit(" ①"))).otherwise(fragments.restructured(raw)).alias("original"), choices.alias("choices"), F.when(n % 2 == 0, "| a |").alias("table"))
+
+
+def lost_on_the_way(spark, d):
+    return source_truth.lost_on_the_way(_stored(spark, d), "doc_id")
+
+
+def source_slices(spark, d):
+    s = source_truth.slices(torn.exam_texts(spark, d), "year", "text")
+    return s.select("year", "number", "page", F.length("body").alias("length"), "body_hash", "n_marks", F.array_join("numbers", " ").alias("numbers"), F.array_join("units", " ").alias("units"))
+
+
+def source_comparison(spark, d):
+    """Each document's question, its stem cleaned, against the slice of its year's exam text with its number."""
+    q = extract.with_choices(torn.bodies(spark, d), "body").select(
+        F.floor(F.col("doc_id") / 40).cast("int").alias("year"), (F.col("doc_id") % 40 + 41).cast("int").alias("number"), "doc_id", extract.stem(F.col("body")).alias("stem"), F.col("rest").alias("original"), "choices", F.col("grid").isNotNull().alias("has_table"), F.col("markdown").alias("table")
+    )
+    pairs = source_truth.compared(q, source_truth.slices(torn.exam_texts(spark, d), "year", "text"), ["year", "number"], Q.LETTERS)
+    return source_truth.source_issues(pairs, "doc_id", Q.LETTERS)
+
+
+def _years(spark, d):
+    return M.read(spark, d, "documents").select((1990 + F.col("doc_id") % 80).cast("int").alias("year")).distinct()
+
+
+def exam_file_sources(spark, d):
+    return resolve.exam_sources(torn.file_listing(spark, d), _years(spark, d))
+
+
+def answer_file_sources(spark, d):
+    keys = M.read(spark, d, "part").select((1990 + F.col("p_partkey") % 70).cast("int").alias("year"), (F.col("p_size") + 30).alias("number"), F.when(F.col("p_partkey") % 3 > 0, 1).alias("answer")).where("number between 41 and 80")
+    return resolve.answer_sources(torn.file_listing(spark, d), keys, _years(spark, d))
+
+
+def cached_texts(spark, d):
+    return resolve.caches(torn.file_listing(spark, d), _years(spark, d))
+
+
+def cleanup_report(spark, d):
+    n = F.col("doc_id")
+    q = torn.hangul(spark, d).select(n.alias("question_id"), F.col("text").alias("question"), F.concat("text", F.lit(" 12345원")).alias("original"), F.when(n % 2 == 0, "구분 10000").alias("table"), F.slice(F.split("text", r"\."), 1, 5).alias("choices"))
+    over = q.where("question_id % 10 = 0").select("question_id", F.lit("기말 재고자산은?").alias("question"), F.lit(None).cast("string").alias("original"), F.lit("표").alias("table"), F.lit(True).alias("has_table"))
+    return cleanup.report(q, cleanup.cleaned(q, over, terms=TERMS, prefixes=PREFIXES))

@@ -6,8 +6,9 @@ have no look-ahead there, so what follows is captured and put back.
 
 from __future__ import annotations
 
+from learnspark.functions.patterns import COST_FLOW, FIRST_PHASE, IN_TRANSIT, NO_REASON, OTHER, RULES
 from learnspark.plans.record_sql import FOOTERS
-from learnspark.sources.torn import CELLS, FRAGMENTS, GAPS, LATIN, MARKS, SHEET, SYLLABLES
+from learnspark.sources.torn import ACCOUNTING, CELLS, FRAGMENTS, GAPS, LATIN, MARKS, OTHER_WORDS, SHEET, SYLLABLES
 
 _LIST = "[" + ", ".join(f"'{x}'" for x in FRAGMENTS) + "]"
 TORN = f"torn AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: replace({_LIST}[(ascii(w) + 3 * length(w)) % {len(FRAGMENTS)} + 1], '~', w)) AS lines FROM documents)"
@@ -421,6 +422,95 @@ def _particles() -> str:
 
 PARTICLES_APART = _particles()
 
+_TERM_LIST = ", ".join(f"'{x}'" for x in ACCOUNTING)
+SENTENCES = f"""sentences AS (SELECT doc_id, i, array_to_string(list_transform(list_filter(regexp_split_to_array(s, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: coalesce([{_TERM_LIST}][(ascii(w) + 3 * length(w)) % {OTHER_WORDS} + 1], w)), ' ') AS text
+FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s, CAST(unnest(range(0, len(string_split(text, '.')))) AS INT) AS i FROM documents))"""
+
+
+def _any(words: tuple[str, ...], column: str = "text") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_PATTERN = " ".join(f"WHEN {_any(words)} THEN {{'p': '{p}', 'c': '{c}'}}" for p, c, words in RULES)
+_PHASE = f"""CASE WHEN {_any(IN_TRANSIT)} AND NOT contains(left(text, 80), '매출원가') AND NOT contains(text, '선입선출') AND NOT contains(text, '가중평균') THEN 'ACC_INV_001' WHEN contains(text, 'FOB') OR contains(text, 'CIF') THEN 'ACC_INV_002'
+ WHEN {_any(FIRST_PHASE[2][1])} THEN 'ACC_INV_003' WHEN {_any(FIRST_PHASE[3][1])} AND NOT {_any(FIRST_PHASE[3][2])} THEN 'ACC_INV_005'
+ WHEN {_any(COST_FLOW)} THEN CASE WHEN contains(text, '소매재고') THEN 'ACC_INV_007' WHEN regexp_matches(text, '선입|FIFO|평균|단가') THEN 'ACC_INV_006' ELSE 'ACC_INV_004' END
+ WHEN {_any(FIRST_PHASE[7][1])} THEN 'ACC_INV_007' WHEN {_any(FIRST_PHASE[8][1])} THEN 'ACC_INV_008' WHEN contains(text, '재고자산') THEN 'ACC_INV_004' ELSE 'ACC_INV_001' END"""
+_KIND_OF = r"CASE WHEN regexp_matches(text, '옳지 않은|틀린|거리가 먼') THEN 'incorrect_statement' WHEN regexp_matches(text, '계산|금액|￦|\d{3,}') THEN 'calculation' WHEN regexp_matches(text, '[ㄱㄴㄷㄹㅁㅂㅅㅇ]') THEN 'mixed' ELSE 'concept' END"
+PATTERNS = f"WITH {SENTENCES} SELECT doc_id, i, x.p AS pattern_id, x.c AS chapter_id, first_phase, kind FROM (SELECT doc_id, i, CASE {_PATTERN} ELSE {{'p': '{OTHER[0]}', 'c': '{OTHER[1]}'}} END AS x, {_PHASE} AS first_phase, {_KIND_OF} AS kind FROM sentences)"
+
+
+def _reason(*names: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN list_contains(o, '{n}') THEN 'r_{n}' END" for n in (*names, "")) + ")"
+
+
+_RULES_OF = (
+    ("regexp_matches(c, 'vat|부가|세금') OR regexp_matches(s, 'vat|부가')", ("vat",)),
+    ("regexp_matches(c, '할인|에누리')", ("discount",)),
+    ("regexp_matches(s, 'fifo|선입|선출') OR regexp_matches(c, 'fifo|선입')", ("fifo",)),
+    ("regexp_matches(s, '평균|가중') OR regexp_matches(c, '평균')", ("avg",)),
+    ("regexp_matches(s, 'fob|선적|도착|운송')", ("fob_swap",)),
+    ("regexp_matches(s, '위탁|적송')", ("consignment",)),
+    ("regexp_matches(s, '시송')", ("trial",)),
+    ("regexp_matches(s, 'per|pr|실지|계속')", ("per_pr", "method")),
+    ("regexp_matches(s, 'lcm|순실현|nrv|순매')", ("nrv", "no_loss")),
+    (r"regexp_matches(c, '\d')", ("calc",)),
+    ("true", ("formula", "generic")),
+)
+_REASONS = ", ".join(f"CASE WHEN {fits} THEN {_reason(*names)} END" for fits, names in _RULES_OF)
+WRONG_REASONS = f"""WITH {SENTENCES}, t AS (SELECT doc_id, i, lower(text) AS s, lower(string_split(text, ' ')[-1]) AS c,
+ [['vat', 'fifo'], ['avg', 'fob_swap', 'calc'], ['generic'], ['method', 'trial', 'no_loss'], CAST([] AS VARCHAR[])][(doc_id + i) % 5 + 1] AS o FROM sentences)
+SELECT doc_id, i, coalesce({_REASONS}, 'r_' || o[(i % 5 + 1 + doc_id % 5 + 1) % greatest(len(o), 1) + 1], '{NO_REASON}') AS reason FROM t"""
+
+_R_TEXT = RESTRUCTURED[RESTRUCTURED.index("WITH ") + 5 : RESTRUCTURED.rindex("SELECT doc_id, trim(")]
+_R_LAST = RESTRUCTURED[RESTRUCTURED.rindex("SELECT doc_id, trim(") :]
+_LOSSES = (
+    ("critical", "empty_paren_year", r"regexp_matches(stem, '\(\s*\)\s*년')"),
+    ("critical", "missing_year_pair", r"regexp_matches(stem, '년\s*과\s*년\s*에')"),
+    ("critical", "missing_year_pair_genitive", r"regexp_matches(stem, '년\s*과\s*년\s*의')"),
+    ("critical", "missing_date_parts", r"regexp_matches(stem, '년\s*월\s*일') AND regexp_matches(regexp_replace(stem, '20[×xX]\d{1,2}\s*년\s*\d{1,2}\s*월\s*\d{1,2}\s*일', '', 'g'), '년\s*월\s*일')"),
+    ("critical", "choice_grid_header_in_stem", r"regexp_matches(stem, '\?\s*년\s+20[×xX]\d{1,2}\s+년\s+20[×xX]\d{1,2}')"),
+    ("critical", "merged_w_choice", "doc_id % 4 = 0"),
+    ("warning", "stem_equals_original_with_table", "doc_id % 2 = 0 AND trim(stem) = trim(original)"),
+    ("warning", "possible_duplicate_stem_context", "stem <> '' AND trim(stem) = trim(original) AND length(stem) > 200 AND regexp_matches(original, '[①②③④⑤]')"),
+)
+LOST = f"""WITH {_R_TEXT.strip()}, fixed AS ({_R_LAST}), stored AS (SELECT doc_id, v0.t AS stem, CASE doc_id % 3 WHEN 0 THEN v0.t WHEN 1 THEN v0.t || ' ①' ELSE fixed.text END AS original FROM v0 JOIN fixed USING (doc_id))
+{" UNION ALL ".join(f"SELECT doc_id, '{s}' AS severity, '{c}' AS category FROM stored WHERE {w}" for s, c, w in _LOSSES)}"""
+
+
+def _units(x: str) -> str:
+    every = ", ".join(f"regexp_extract_all({x}, '{p}')" for p in _TOKENS[:-1])
+    return f"list_sort(list_distinct(flatten([{every}])))"
+
+
+_FOOTLESS = f"regexp_replace({_clean('body')}, '^\\d{{1,2}}\\.', '')"
+SLICES = rf"""WITH {BODIES},
+texts AS (SELECT CAST(doc_id // 40 AS INT) AS year, string_agg(body, chr(12) ORDER BY doc_id, body) AS text FROM bodies GROUP BY 1),
+ch AS (SELECT year, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM texts),
+nb AS (SELECT *, coalesce(lag(c) OVER w, '') AS p, coalesce(lead(c) OVER w, '') AS n1, coalesce(lead(c, 2) OVER w, '') AS n2, coalesce(lead(c, 3) OVER w, '') AS n3 FROM ch WINDOW w AS (PARTITION BY year ORDER BY i)),
+mk AS (SELECT year, i - 1 AS position, CASE WHEN n1 = '.' THEN CAST(c AS INT) ELSE CAST(c || n1 AS INT) END AS number FROM nb WHERE c BETWEEN '0' AND '9' AND NOT (p BETWEEN '0' AND '9' OR p = '.')
+       AND (n1 = '.' AND NOT n2 BETWEEN '0' AND '9' OR n1 BETWEEN '0' AND '9' AND n2 = '.' AND NOT n3 BETWEEN '0' AND '9')),
+st AS (SELECT year, min(position) AS start FROM mk WHERE number = 41 GROUP BY 1),
+fm AS (SELECT year, number, min(position) AS position FROM mk JOIN st USING (year) WHERE position >= start AND number BETWEEN 41 AND 80 GROUP BY 1, 2),
+ld AS (SELECT *, lead(number) OVER w AS n2, lead(position) OVER w AS p2 FROM fm WINDOW w AS (PARTITION BY year ORDER BY number)),
+al AS (SELECT year, number, position FROM fm UNION ALL SELECT year, k, position + CAST(trunc((p2 - position) * (k - number)::DOUBLE / (n2 - number)) AS BIGINT) FROM (SELECT *, unnest(range(number + 1, n2)) AS k FROM ld WHERE n2 - number BETWEEN 2 AND 3)),
+sp AS (SELECT year, number, position, lead(position) OVER (PARTITION BY year ORDER BY position, number) AS stop FROM al),
+bd AS (SELECT year, number, trim(substr(text, position + 1, coalesce(stop, length(text)) - position)) AS body, 1 + len(regexp_extract_all(left(text, position), chr(12))) AS page FROM sp JOIN texts USING (year)),
+cl AS (SELECT *, {_FOOTLESS} AS bare FROM bd)
+SELECT year, CAST(number AS INT) AS number, CAST(page AS INT) AS page, CAST(length(body) AS INT) AS length, left(sha256(body), 16) AS body_hash, CAST(length(regexp_replace(body, '[^{MARKS}]', '', 'g')) AS INT) AS n_marks,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(bare, '{_TOKENS[-1]}'))), ' ') AS numbers, array_to_string({_units("bare")}, ' ') AS units FROM cl"""
+
+_FILES = """files AS (SELECT 'exams/' || (doc_id % 3) || '/' || (1900 + (doc_id * 13) % 150) || ['.pdf', '.hwp', '.json', '-2.pdf', '-ocr-1.txt', '.txt', '-answers.hwp'][doc_id % 7 + 1] AS path FROM documents),
+named AS (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem, regexp_extract(path, '\\.([^.]*)$', 1) AS kind FROM files),
+years AS (SELECT DISTINCT CAST(1990 + doc_id % 80 AS INT) AS year FROM documents)"""
+EXAM_FILES = rf"""WITH {_FILES} SELECT year, path, kind FROM years LEFT JOIN (SELECT CAST(stem AS INT) AS year, path, kind FROM named WHERE kind IN ('hwp', 'pdf') AND regexp_full_match(stem, '\d{{4}}')
+ QUALIFY row_number() OVER (PARTITION BY stem ORDER BY kind = 'pdf', path) = 1) USING (year)"""
+ANSWER_FILES = rf"""WITH {_FILES}, keys AS (SELECT CAST(1990 + p_partkey % 70 AS INT) AS year, count(*) AS n FROM part WHERE p_size + 30 BETWEEN 41 AND 80 AND p_partkey % 3 > 0 GROUP BY 1),
+j AS (SELECT CAST(stem AS INT) AS year, min(path) AS json_path FROM named WHERE kind = 'json' AND regexp_full_match(stem, '\d{{4}}') GROUP BY 1)
+SELECT year, json_path, CASE WHEN json_path IS NOT NULL THEN coalesce(n, 0) ELSE 0 END AS json_count, s.path AS source_path, s.kind AS source_kind FROM years LEFT JOIN j USING (year) LEFT JOIN keys USING (year)
+ LEFT JOIN (SELECT y.year AS yr, min({{'path': path, 'kind': kind}}) AS s FROM named JOIN years y ON contains(name, CAST(y.year AS VARCHAR)) WHERE kind IN ('pdf', 'hwp') GROUP BY 1) ON yr = year"""
+CACHES = rf"""WITH {_FILES} SELECT year, path FROM years LEFT JOIN (SELECT CAST(left(stem, 4) AS INT) AS year, min(path) AS path FROM named WHERE kind = 'txt' AND regexp_matches(stem, '^\d{{4}}-') GROUP BY 1) USING (year)"""
+
 ORACLE_SQL = {
     "rejoined_lines": REJOINED,
     "restructured_lines": RESTRUCTURED,
@@ -431,4 +521,11 @@ ORACLE_SQL = {
     "worked_answers": WORKED,
     "terms_apart": TERMS_APART,
     "particles_apart": PARTICLES_APART,
+    "accounting_patterns": PATTERNS,
+    "wrong_reasons": WRONG_REASONS,
+    "lost_on_the_way": LOST,
+    "source_slices": SLICES,
+    "exam_file_sources": EXAM_FILES,
+    "answer_file_sources": ANSWER_FILES,
+    "cached_texts": CACHES,
 }

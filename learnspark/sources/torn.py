@@ -24,6 +24,10 @@ MARKS = "①②③④⑤"
 #: What a word stands for in a key sheet.
 SHEET = ("41", "42", "43", "44", "45", "1", "2", "3", "4", "5", "46. 3", "47 2", "48.", "1", "회계학", "2교시 A", "2교시 B", "한국산업", "50", "60", "41", "80", "3", "(1)", "12", "~", "회계 학", "49 .4", "5번", "81")
 
+#: What a word stands for in an accounting sentence; other words stay.
+ACCOUNTING = ("FOB", "선적", "운반", "매출원가", "선입선출", "순실현", "재고자산에 관한", "유형자산", "재평가", "무형자산", "금융자산", "사채", "수익인식", "법인세", "주식", "원가계산", "활동기준", "현금흐름", "재무제표", "리스", "회계", "재고자산", "PER", "평균", "저가", "CIF", "분개", "틀린", "계산", "옳지 않은", "12,345", "ㄱ", "시송", "소매재고")
+OTHER_WORDS = 61
+
 
 def fragment(word: Column) -> Column:
     """The fragment that a word stands for."""
@@ -108,6 +112,32 @@ def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("2과목: 회계학\n"), *blocks).alias("text"))
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, i, text): the sentences of documents, some of their words as accounting terms."""
+
+    def term(word: Column) -> Column:
+        k = (F.ascii(word) + 3 * F.length(word)) % OTHER_WORDS
+        return F.when(k < len(ACCOUNTING), F.get(F.array(*map(F.lit, ACCOUNTING)), k)).otherwise(word)
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s"))
+    words = F.filter(F.split("s", r"[ \n\t]+"), lambda w: w != "")
+    return docs.select("doc_id", "i", F.array_join(F.transform(words, term), " ").alias("text"))
+
+
+def exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, text): forty questions of `bodies` a year in order of their numbers, a page each."""
+    b = bodies(spark, sf_dir).select(F.floor(F.col("doc_id") / 40).cast("int").alias("year"), "doc_id", "body")
+    return b.groupBy("year").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "body"))), lambda x: x["body"]), "\f").alias("text"))
+
+
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, length): a file for each document, named by a year and one of several kinds."""
+    n = F.col("doc_id")
+    names = (".pdf", ".hwp", ".json", "-2.pdf", "-ocr-1.txt", ".txt", "-answers.hwp")
+    kind = F.get(F.array(*map(F.lit, names)), F.pmod(n, F.lit(len(names))).cast("int"))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("exams/"), (F.pmod(n, F.lit(3))).cast("string"), F.lit("/"), (1900 + F.pmod(n * 13, F.lit(150))).cast("string"), kind).alias("path"), F.col("n_chars").alias("length"))
+
+
 def hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): documents in Hangul syllables, with their numbers and marks."""
     return read(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, SYLLABLES).alias("text"))

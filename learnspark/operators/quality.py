@@ -28,13 +28,40 @@ def text_rules(c: Column, letters: str = X.HANGUL, footers: Sequence[str] = X.FO
         ("critical", "broken_char", c.contains("�")),
         ("warning", "mojibake", moji),
         ("warning", "ocr_footer", X.has_footer(c, footers)),
-        ("warning", "ocr_glued", X.longest_run(c, letters) >= glued),
+        ("warning", "ocr_glued", X.glued_run(F.regexp_replace(c, r"\s+", ""), letters) >= glued),
         ("info", "ocr_punctuation", c.rlike(f"[.?][{letters}]")),
         ("warning", "ocr_linebreak", c.rlike(r"\n{4,}")),
         ("warning", "question_short", ~blank & (F.length(F.trim(c)) < 8)),
     ]
 
 
+# Marks of broken encodings and footers that the audit looks for.
+AUDIT_MOJIBAKE = ("Ã", "Â", "ï¿½", "�", "Ð", "Ñ")
+AUDIT_FOOTERS = (r"A-\d{2}-\d", r"한국산업", r"교시\s*-\[", r"(?i)page\s*\(", r"제\d+회")
+#: Fields whose spacing is looked at too.
+RUNNING = ("question", "originalQuestion")
+
+
+def text_audit(fields: DataFrame, key: str, letters: str = X.HANGUL, glued: int = 12) -> DataFrame:
+    """(key, field, severity, category) of rows (key, field, text): a row for each mark and footer found, none for a null text;
+    a blank text is only that."""
+    c, running = F.col("text"), F.col("field").isin(*RUNNING)
+    full = ~c.rlike(r"^\s*$")
+    compact = X.glued_run(F.regexp_replace(c, r"\s+", ""), letters)
+    rules = [("critical", "question_empty", ~full), ("critical", "broken_char", full & c.contains("\ufffd")), ("critical", "broken_char", full & c.contains("\u0000"))]
+    rules += [("warning", "broken_char", full & c.contains(m)) for m in AUDIT_MOJIBAKE]
+    rules += [("warning", "ocr_footer", full & c.rlike(p)) for p in AUDIT_FOOTERS]
+    rules += [
+        ("warning", "ocr_glued_hangul", full & running & (compact >= glued)),
+        ("info", "ocr_fragment", full & running & c.rlike(f"(?<=[{letters}])[A-Za-z]{{1,2}}(?=[{letters}])")),
+        ("info", "ocr_punctuation", full & running & c.rlike(f"[.?][{letters}]")),
+        ("warning", "ocr_linebreak", full & running & c.rlike(r"\n{4,}")),
+        ("info", "ocr_currency", full & running & c.rlike(f"(?<=[{letters}])W\\d")),
+    ]
+    rows = fields.withColumn("id_", F.struct(key, "field"))
+    return issues(rows, "id_", rules).select("id_.*", "severity", "category")
+
+
 def choice_rules(choices: Column) -> list[Rule]:
     return [
         ("critical", "choice_count", F.size(choices) != 5),

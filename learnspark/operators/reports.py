@@ -12,6 +12,7 @@ from learnspark.functions.scores import rnd
 from learnspark.operators import extract
 from learnspark.operators.content import year_grade
 from learnspark.operators.quality import issues
+from learnspark.sources.files import kept
 
 
 def year_report(questions: DataFrame, expected: int, five: Column, keyed: Column) -> DataFrame:
@@ -51,12 +52,13 @@ def source_issues(pairs: DataFrame, key: str, question: str, source: str, letter
     cover = F.col("_cover")
     lost = F.size(F.array_except(X.numbers(s), X.numbers(q)))
     there = F.trim(s) != ""
+    run = lambda c: X.glued_run(F.replace(c, F.lit(" "), F.lit("")), letters)
     rules = [
         ("critical", "source_missing", F.coalesce(~there, F.lit(True))),
         ("critical", "stem_truncated", there & (cover < 0.55)),
         ("warning", "stem_short", there & (cover >= 0.55) & (cover < 0.75)),
         ("warning", "missing_numbers", there & (lost >= 3)),
-        ("warning", "ocr_glued", there & (X.longest_run(q, letters) >= glued) & (X.longest_run(q, letters) > X.longest_run(s, letters) + 2)),
+        ("warning", "ocr_glued", there & (run(q) >= glued) & (run(q) > run(s) + 2)),
     ]
     return issues(pairs, key, rules)
 
@@ -95,19 +97,17 @@ def compact_answers(texts: DataFrame, key: str, text: str, low: int, high: int)
 
 
 def stratified(rows: DataFrame, key: str, strata: Sequence[tuple[str, Column, int]], seed: str = "sample") -> DataFrame:
-    """rows of a sample: from each stratum its number, a row taken for the first stratum that it fits; same for the same seed."""
-    kind = F.lit(None).cast("string")
-    for name, fits, _ in reversed(strata):
-        kind = F.when(fits, name).otherwise(kind)
-    limits = F.create_map(*[F.lit(x) for name, _, n in strata for x in (name, n)])
-    named = rows.withColumn("stratum", kind).where("stratum is not null")
+    """rows of a sample: from each stratum in turn its number of rows that no stratum before it picked; same for the same seed."""
     order = [F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), F.col(key)]
-    # the first n of each stratum, taken per stratum: a plan with a bounded top-n each, no window over a whole stratum
+    # each a bounded top-n, no window over a whole stratum; what is picked already is a few rows
     out = None
-    for name, _, n in strata:
-        part = named.where(F.col("stratum") == name).orderBy(*order).limit(n)
+    for name, fits, n in strata:
+        pool = rows.where(fits)
+        if out is not None:
+            pool = pool.join(F.broadcast(out.select(key)), key, "left_anti")
+        part = kept(pool.orderBy(*order).limit(n).withColumn("stratum", F.lit(name)))
         out = part if out is None else out.unionByName(part)
-    return out.where(limits[F.col("stratum")] > 0)
+    return out
 
 
 def pattern_fit(rows: DataFrame, by: str, text: str, keywords: Sequence[str]) -> DataFrame:

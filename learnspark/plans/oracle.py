@@ -73,6 +73,7 @@ VIEWS["lines"] = "SELECT doc_id, unnest(range(1, len(lines) + 1)) AS page, unnes
 VIEWS["seg"] = "SELECT doc_id, CAST(page AS INT) AS page, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(text) AS INT) AS length FROM lines"
 FOOT = r"regexp_replace(regexp_replace(regexp_replace(text, '\n?[ ]*All rights reserved[^\n]*', '', 'g'), '\n?[ ]*This work is licensed[^\n]*', '', 'g'), '^\s+|\s+$', '', 'g')"
 HASFOOT = r"regexp_matches(text, '\n?[ ]*All rights reserved[^\n]*') OR regexp_matches(text, '\n?[ ]*This work is licensed[^\n]*')"
+COMPACT_RUN = r"coalesce(list_max(list_transform(regexp_extract_all(regexp_replace(text, '\s+', '', 'g'), '[a-zA-Z]+'), lambda x: length(x))), 0)"
 RUN = r"coalesce(list_max(list_transform(regexp_split_to_array(text, '\s+'), lambda x: length(regexp_replace(x, '[^a-zA-Z]', '', 'g')))), 0)"
 BLANK = r"(text IS NULL OR regexp_full_match(text, '\s*'))"
 VIEWS["iss"] = " UNION ALL ".join(
@@ -82,7 +83,7 @@ VIEWS["iss"] = " UNION ALL ".join(
         ("critical", "broken_char", "contains(text, chr(65533))"),
         ("warning", "mojibake", "contains(text, 'Ã') OR contains(text, 'Â') OR contains(text, 'ï¿½') OR contains(text, 'Ð') OR contains(text, 'Ñ')"),
         ("warning", "ocr_footer", HASFOOT),
-        ("warning", "ocr_glued", f"{RUN} >= 20"),
+        ("warning", "ocr_glued", f"{COMPACT_RUN} >= 20"),
         ("info", "ocr_punctuation", "regexp_matches(text, '[.?][a-zA-Z]')"),
         ("warning", "ocr_linebreak", r"regexp_matches(text, '\n{4,}')"),
         ("warning", "question_short", f"NOT {BLANK} AND length(trim(text)) < 8"),
@@ -201,7 +202,8 @@ VIEWS["yr"] = f"SELECT *, {rnd('five::DOUBLE / extracted::DOUBLE * 100', 1)} AS
 USES["yr"] = ["eq"]
 VIEWS["src0"] = "SELECT doc_id, left(text, CAST(floor(length(text) * (40 + doc_id % 60) / 100) AS INT)) AS q, text AS s FROM documents"
 VIEWS["src1"] = r"SELECT *, lower(regexp_replace(q, '\s+', '', 'g')) AS a, lower(regexp_replace(s, '\s+', '', 'g')) AS b FROM src0"
-VIEWS["src"] = f"SELECT *, CASE WHEN length(a) = 0 THEN 0.0 WHEN length(b) = 0 THEN 1.0 WHEN contains(b, a) THEN least(1.0, length(a)::DOUBLE / length(b)::DOUBLE) ELSE 0.0 END AS cover, len(list_filter({NUMBERS.format('s')}, lambda x: NOT list_contains({NUMBERS.format('q')}, x))) AS lost, trim(s) <> '' AS there, {RUN.replace('(text,', '(q,')} AS rq, {RUN.replace('(text,', '(s,')} AS rs FROM src1"
+UNSPACED_RUN = "coalesce(list_max(list_transform(regexp_extract_all(replace({}, ' ', ''), '[a-zA-Z]+'), lambda x: length(x))), 0)"
+VIEWS["src"] = f"SELECT *, CASE WHEN length(a) = 0 THEN 0.0 WHEN length(b) = 0 THEN 1.0 WHEN contains(b, a) THEN least(1.0, length(a)::DOUBLE / length(b)::DOUBLE) ELSE 0.0 END AS cover, len(list_filter({NUMBERS.format('s')}, lambda x: NOT list_contains({NUMBERS.format('q')}, x))) AS lost, trim(s) <> '' AS there, {UNSPACED_RUN.format('q')} AS rq, {UNSPACED_RUN.format('s')} AS rs FROM src1"
 USES |= {"src1": ["src0"], "src": ["src1"]}
 ORACLE_SQL |= {
     "year_report": sql("yr", "SELECT * FROM yr"),
@@ -211,7 +213,11 @@ ORACLE_SQL |= {
     "required_fields": "SELECT field, missing FROM (SELECT count(*) FILTER (doc_id IS NULL) AS doc_id, count(*) FILTER (text IS NULL OR trim(text) = '') AS text, count(*) FILTER (lang IS NULL OR trim(lang) = '') AS lang, count(*) FILTER (quality IS NULL) AS quality, count(*) FILTER (toxic IS NULL) AS toxic FROM documents LEFT JOIN labels USING (doc_id)) UNPIVOT (missing FOR field IN (doc_id, text, lang, quality, toxic))",
     "source_issues": sql("src", "SELECT doc_id, 'critical' AS severity, 'source_missing' AS category FROM src WHERE coalesce(NOT there, true) UNION ALL SELECT doc_id, 'critical', 'stem_truncated' FROM src WHERE there AND cover < 0.55 UNION ALL SELECT doc_id, 'warning', 'stem_short' FROM src WHERE there AND cover >= 0.55 AND cover < 0.75 UNION ALL SELECT doc_id, 'warning', 'missing_numbers' FROM src WHERE there AND lost >= 3 UNION ALL SELECT doc_id, 'warning', 'ocr_glued' FROM src WHERE there AND rq >= 20 AND rq > rs + 2"),
     "answer_pairs": sql("ea", "SELECT session_id, number, CAST(min(selected) AS INT) AS answer FROM ea WHERE selected IS NOT NULL AND number BETWEEN 1 AND 5 GROUP BY ALL"),
-    "stratified_sample": sql("eq", "SELECT question_id, stratum FROM (SELECT question_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('sample' || question_id), question_id) AS k FROM (SELECT question_id, CASE WHEN year >= 2024 THEN 'recent' WHEN ends_with(pattern_id, '1') THEN 'first_brand' ELSE 'other' END AS stratum FROM eq)) WHERE k <= CASE stratum WHEN 'recent' THEN 15 WHEN 'first_brand' THEN 10 ELSE 5 END"),
+    "stratified_sample": sql("eq", """SELECT question_id, stratum FROM (WITH o AS (SELECT question_id, year, pattern_id, md5('sample' || question_id) AS h FROM eq),
+ a AS (SELECT question_id FROM o WHERE year >= 2024 ORDER BY h, question_id LIMIT 15),
+ b AS (SELECT question_id FROM o WHERE ends_with(pattern_id, '1') AND question_id NOT IN (FROM a) ORDER BY h, question_id LIMIT 10),
+ c AS (SELECT question_id FROM o WHERE question_id NOT IN (FROM a) AND question_id NOT IN (FROM b) ORDER BY h, question_id LIMIT 5)
+ SELECT question_id, 'recent' AS stratum FROM a UNION ALL SELECT question_id, 'first_brand' FROM b UNION ALL SELECT question_id, 'other' FROM c)"""),
     "pattern_fit": f"SELECT source, {rnd("avg((CASE WHEN contains(text, 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'ing') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'heit') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'elle') THEN 1 ELSE 0 END)::DOUBLE / 4)", 6)} AS fit FROM documents GROUP BY source",
     "text_change": f"SELECT source, \"before\", \"after\", CASE WHEN \"before\" = 0 AND \"after\" = 0 THEN '0%' WHEN \"before\" = 0 THEN '+' || \"after\" ELSE printf('%+.1f%%', {rnd('(\"after\" - \"before\")::DOUBLE / \"before\"::DOUBLE * 100', 1)}) END AS change FROM (SELECT source, CAST(sum(length(text)) AS BIGINT) AS \"before\", CAST(sum(length({FOOT})) AS BIGINT) AS \"after\" FROM documents GROUP BY source)",
     "first_of_year": sql("eq", "SELECT year, pattern_id, question_id, answer FROM eq QUALIFY row_number() OVER (PARTITION BY year, pattern_id ORDER BY question_id) = 1"),

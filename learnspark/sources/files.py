@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read back by all who need it."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     """(number, folder) of the complete versions v0, v1, ... of a table under path, in order."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -123,3 +123,21 @@ def url_part(c: Column) -> Column:
     for code, mark in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(code), F.lit(mark))
     return out
+
+
+def wrong_date(day: Column) -> Column:
+    """A date as 'y. M. d.'."""
+    return F.date_format(day, "yyyy. M. d.")
+
+
+def hour_label(hour: Column) -> Column:
+    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":00"))
+
+
+def elapsed(limit: Column, remaining: Column) -> Column:
+    return limit - remaining
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id that is the same on every run: a hash of the natural key."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12)

@@ -72,9 +72,9 @@ def peak_hour(spark: SparkSession, events: DataFrame, anchor: str, days: int = D
 
 
 def top_pattern(events: DataFrame, patterns: DataFrame, anchor: str, days: int = DAYS) -> DataFrame:
-    """The most used pattern; of equals the one with the smaller id."""
-    per = solving(events, anchor, days).where("pattern_id is not null").groupBy("pattern_id").agg(F.count("*").alias("n"))
-    return per.orderBy(F.desc("n"), "pattern_id").limit(1).join(patterns.select("pattern_id", "name"), "pattern_id", "left").select("pattern_id", "name", "n")
+    """The most used pattern; of equals the one seen first."""
+    per = solving(events, anchor, days).where("pattern_id is not null").groupBy("pattern_id").agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("seen"))
+    return per.orderBy(F.desc("n"), "seen").limit(1).join(patterns.select("pattern_id", "name"), "pattern_id", "left").select("pattern_id", "name", "n")
 
 
 def weak_changes(events: DataFrame, patterns: DataFrame, anchor: str, days: int = DAYS, limit: int = 5) -> DataFrame:
@@ -133,10 +133,11 @@ def dashboard(analytics: DataFrame) -> DataFrame:
     return n.withColumn("overall_percent", S.percent(F.col("answered"), F.col("questions"), F.lit(0)))
 
 
-def vulnerability(patterns: DataFrame, wrongs: DataFrame) -> DataFrame:
-    w = patterns.select("pattern_id", "name").join(wrong_by_pattern(wrongs), "pattern_id")
+def vulnerability(patterns: DataFrame, wrongs: DataFrame, every: bool = False) -> DataFrame:
+    """Patterns with wrong answers; with `every`, the others too, at level NONE with a score of 0."""
+    w = patterns.select("pattern_id", "name").join(wrong_by_pattern(wrongs), "pattern_id", "left" if every else "inner").na.fill(0, ["question_count", "total_wrong"])
     w = w.withColumn("score", F.col("total_wrong") * 10 + F.col("question_count") * 5)
-    level = F.when((F.col("total_wrong") >= 3) | (F.col("score") >= 35), "HIGH").when((F.col("total_wrong") >= 2) | (F.col("score") >= 15), "MEDIUM").otherwise("LOW")
+    level = F.when(F.col("total_wrong") == 0, "NONE").when((F.col("total_wrong") >= 3) | (F.col("score") >= 35), "HIGH").when((F.col("total_wrong") >= 2) | (F.col("score") >= 15), "MEDIUM").otherwise("LOW")
     return w.select("pattern_id", "name", "question_count", "total_wrong", "score", level.alias("level"))
 
 

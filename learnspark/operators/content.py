@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pattern_table(questions: DataFrame) -> DataFrame:
-    """(pattern_id, chapter_id, grade, frequency, years, importance); years are few, so they may be an array."""
+def pattern_table(questions: DataFrame, base: int = 55, step: int = 3) -> DataFrame:
+    """(pattern_id, chapter_id, grade, frequency, years, importance); years are few, so they may be an array.
+
+    The importance is base + step for each question, 95 at most; the first phase took 60 and 5.
+    """
     t = questions.groupBy("pattern_id").agg(F.min_by("chapter_id", "question_id").alias("chapter_id"), F.count("*").alias("frequency"), F.array_sort(F.collect_set("year")).alias("years"))
     grade = F.when(F.col("frequency") >= 4, "S").when(F.col("frequency") >= 2, "A").otherwise("B")
-    return t.withColumn("grade", grade).withColumn("importance", F.least(F.lit(95), 55 + 3 * F.col("frequency")))
+    return t.withColumn("grade", grade).withColumn("importance", F.least(F.lit(95), base + step * F.col("frequency")))
 
 
 def related_questions(questions: DataFrame) -> DataFrame:

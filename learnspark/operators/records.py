@@ -129,20 +129,53 @@ def detailed(steps: Column) -> Column:
     return (F.size(steps) >= 3) & F.exists(steps, lambda s: s.rlike(r"[0-9=×÷+\-]"))
 
 
-def truncation_cause(before: Column, stem: Column, choices: Column) -> Column:
-    """Why a stem is shorter than the text before its choices, null where it is not."""
+def truncation_cause(before: Column, stem: Column, choices: Column, without_table: Column | None = None) -> Column:
+    """Why a stem is shorter than the text before its choices, null where it is not.
+
+    `without_table` is that text without its table, null where there is none; a stem under 0.6 of it lost more than the table.
+    """
     bare = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
     cover = bare(stem) / F.greatest(bare(before), F.lit(1))
     return (
         F.when(F.trim(before) == "", "question_end_fail")
         .when(F.size(choices) != 5, "choice_start_fail")
         .when(bare(stem) == 0, "linebreak_handling")
+        .when(cover >= 0.75, None)
+        .when(F.lit(False) if without_table is None else F.coalesce(bare(stem) < bare(without_table) * 0.6, F.lit(False)), "table_handling")
         .when(cover >= 0.55, None)
         .when(before.contains("\n"), "linebreak_handling")
         .otherwise("question_end_fail")
     )
 
 
+def with_solutions(questions: DataFrame, solutions: DataFrame, keys: Sequence[str] = ("year", "number")) -> DataFrame:
+    """questions with the columns of the solutions of the same keys, null where there is none."""
+    return questions.join(solutions, [*keys], "left")
+
+
+def with_pattern(stats: DataFrame, patterns: DataFrame, defaults: dict) -> DataFrame:
+    """Statistics by pattern with the pattern's columns named in defaults, those where the pattern is unknown."""
+    own = patterns.select("pattern_id", *defaults)
+    return stats.join(own, "pattern_id", "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def recommendation_counts(analytics: DataFrame, wrongs: DataFrame) -> DataFrame:
+    """One row: patterns, studied ones, wrong questions."""
+    n = analytics.agg(F.count("*").alias("patterns"), F.count_if(F.col("answered") > 0).alias("studied"))
+    return n.join(wrongs.agg(F.count("*").alias("wrong_questions")))  # one row each
+
+
+def united(*sets: Column) -> Column:
+    """The values of all sets, each once, in the order in which they come; null sets are empty."""
+    return F.array_distinct(F.concat(*[F.coalesce(s, F.array().cast("array<string>")) for s in sets]))
+
+
+def checked(rows: DataFrame, checks: dict[str, Column], count: str = "rows") -> DataFrame:
+    """One row: rows, how many pass each check, and whether all pass all."""
+    n = rows.agg(F.count("*").alias(count), *[F.count_if(c).alias(k) for k, c in checks.items()])
+    return n.withColumn("all_pass", F.forall(F.array(*checks), lambda x: x == F.col(count)))
+
+
 # validation
 
 

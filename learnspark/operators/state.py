@@ -86,10 +86,25 @@ def running_score(events: DataFrame, day: str) -> DataFrame:
     return here.select("event_id", (F.col("n") + F.coalesce("sum_n", F.lit(0))).alias("answered"), (F.col("r") + F.coalesce("sum_right", F.lit(0))).alias("right"))
 
 
-def study_time_estimate(events: DataFrame, latest: DataFrame, exam_seconds: DataFrame, per_question: float = 2.5) -> DataFrame:
-    """One row `minutes`: from the events, or where they hold no time, 2.5 minutes an answered question plus exams."""
+def study_time_estimate(events: DataFrame, latest: DataFrame, exam_seconds: DataFrame, recent: DataFrame | None = None, per_question: float = 2.5) -> DataFrame:
+    """One row `minutes`: from the events; where they hold no time, recent study (minutes) plus exams (seconds); without that 2.5 minutes an answered question plus exams."""
     e = study_minutes(events).select(F.col("minutes").alias("from_events"))
     n = latest.agg(F.count("*").alias("n"))
     x = exam_seconds.agg(F.coalesce(F.sum("seconds"), F.lit(0)).alias("exam"))
-    one = e.join(n).join(x)  # one row each
-    return one.select(F.when(F.col("from_events") > 0, F.col("from_events")).otherwise(rnd_int(F.col("n") * per_question + F.col("exam") / 60)).alias("minutes"))
+    r = (latest.limit(0).select(F.lit(0.0).alias("minutes")) if recent is None else recent).agg(F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("recent"))
+    one = e.join(n).join(x).join(r)  # one row each
+    exam = F.col("exam") / 60
+    return one.select(F.when(F.col("from_events") > 0, F.col("from_events")).when(F.col("recent") > 0, rnd_int(F.col("recent") + exam)).otherwise(rnd_int(F.col("n") * per_question + exam)).alias("minutes"))
+
+
+def active_sessions(sessions: DataFrame, key: str = "session_id") -> DataFrame:
+    """The exam sessions that are not submitted yet, the newest of each learner: (user_id, key, started_at) with a null submitted_at."""
+    return sessions.where("submitted_at is null").groupBy("user_id").agg(F.max_by(key, F.struct("started_at", key)).alias(key), F.max("started_at").alias("started_at"))
+
+
+def attempts_with_defaults(attempts: DataFrame, defaults: dict) -> DataFrame:
+    """A stored table of attempts with a default where a column is null or missing."""
+    out = attempts
+    for c, v in defaults.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in attempts.columns else F.lit(v))
+    return out

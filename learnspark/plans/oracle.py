@@ -132,7 +132,7 @@ ORACLE_SQL = {
     "tutor_daily": sql("daily", "SELECT date, tutor_views FROM daily"),
     "hour_histogram": sql("hours", "SELECT * FROM hours"),
     "peak_hour": sql("hours", "SELECT * FROM hours WHERE n > 0 ORDER BY n DESC, hour LIMIT 1"),
-    "top_pattern": sql("solving p", "SELECT s.pattern_id, name, n FROM (SELECT pattern_id, count(*) AS n FROM solving WHERE pattern_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, pattern_id LIMIT 1) s LEFT JOIN p ON p.pattern_id = s.pattern_id"),
+    "top_pattern": sql("solving p", "SELECT s.pattern_id, name, n FROM (SELECT pattern_id, count(*) AS n FROM solving WHERE pattern_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, min({'ts': ts, 'id': event_id}) LIMIT 1) s LEFT JOIN p ON p.pattern_id = s.pattern_id"),
     "weak_changes": sql("g p", f"SELECT pattern_id, name, early_accuracy, late_accuracy, late_accuracy - early_accuracy AS change, late_answered FROM (SELECT pattern_id, {pct('count(*) FILTER (NOT l AND correct)', 'count(*) FILTER (NOT l)')} AS early_accuracy, {pct('count(*) FILTER (l AND correct)', 'count(*) FILTER (l)')} AS late_accuracy, count(*) FILTER (l) AS late_answered FROM (SELECT *, d >= {ANCHOR} - 6 AS l FROM g WHERE d BETWEEN {ANCHOR} - 13 AND {ANCHOR}) GROUP BY pattern_id) LEFT JOIN p USING (pattern_id) WHERE early_accuracy > 0 AND late_accuracy > 0 AND late_accuracy < early_accuracy ORDER BY change, pattern_id LIMIT 5"),
     "daily_trend": sql("latest", f"SELECT *, {pct('correct', 'answered')} AS accuracy FROM (SELECT CAST(answered_at AS DATE) AS date, count(*) AS answered, count(*) FILTER (correct) AS correct FROM latest GROUP BY 1 ORDER BY 1 DESC LIMIT 14)"),
     "study_minutes": sql("le", f"SELECT CAST(s AS BIGINT) AS seconds, {rint('s / 60.0::DOUBLE')} AS minutes FROM (SELECT coalesce(sum(duration) FILTER (duration > 0), 0) AS s FROM le)"),
@@ -194,7 +194,7 @@ ORACLE_SQL = {
     "dedupe_lines": "SELECT doc_id, len(l) AS n_lines, len(k) AS n_kept, md5(array_to_string(k, chr(10))) AS text_md5 FROM (SELECT doc_id, l, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
     "url_links": sql("eq", "SELECT question_id, 'question.html?pattern=' || url_encode(pattern_id) || '&q=' || url_encode(question) AS url FROM eq"),
     "exam_sections": r"SELECT item_id, CAST(i AS INT) AS number, CAST(CASE WHEN i % 2 = 1 THEN 5 ELSE 0 END AS BIGINT) AS n_choices, length(trim(l[i])) AS stem_length FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '\d+\.', '', 'g'), '\.\s*'), lambda x: trim(x) <> '')[1:9] AS l FROM benchmark))",
-    "stars": sql("p", f"SELECT pattern_id, repeat('★', n) || repeat('☆', 5 - n) AS stars, t // 3600 || ':' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS time, CASE WHEN importance % 60 = 0 THEN importance // 60 || '시간' ELSE importance // 60 || '시간 ' || importance % 60 || '분' END AS study FROM (SELECT *, CAST(least(greatest({rint('importance / 20.0::DOUBLE')}, 1), 5) AS INT) AS n, importance * 97 AS t FROM p)"),
+    "stars": sql("eq", f"SELECT pattern_id, repeat('★', n) || repeat('☆', 5 - n) AS stars, CASE WHEN t >= 3600 THEN t // 3600 || ':' ELSE '' END || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS time, CASE WHEN importance < 60 THEN importance || '분' WHEN importance % 60 = 0 THEN importance // 60 || '시간' ELSE importance // 60 || '시간 ' || importance % 60 || '분' END AS study FROM (SELECT *, CAST(least(greatest({rint('importance / 20.0::DOUBLE')}, 1), 5) AS INT) AS n, importance * 97 AS t FROM (SELECT chapter_id AS pattern_id, least(95, 55 + 3 * count(*)) AS importance FROM eq GROUP BY 1))"),
     "stream_daily": sql("le", f"SELECT d AS date, {rnd('sum(duration) FILTER (duration > 0)::DOUBLE / 60.0::DOUBLE', 1)} AS minutes, count(*) AS events FROM le GROUP BY d"),
 }
 

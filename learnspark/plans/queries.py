@@ -351,8 +351,13 @@ def exam_sections(spark, d):
     return parts.select("item_id", "number", F.size(extract.choices(F.col("body"))).cast("long").alias("n_choices"), F.length(extract.stem(F.col("body"))).cast("long").alias("stem_length"))
 
 
+def _chapters(spark, d):
+    """The chapters of the exam questions as patterns, with the grade and importance that their numbers give."""
+    return content.pattern_table(M.exam_questions(spark, d).withColumn("pattern_id", F.col("chapter_id")))
+
+
 def stars(spark, d):
-    return M.patterns(spark).select("pattern_id", S.stars(F.col("importance")).alias("stars"), S.exam_time(F.col("importance") * 97).alias("time"), S.study_time(F.col("importance")).alias("study"))
+    return _chapters(spark, d).select("pattern_id", S.stars(F.col("importance")).alias("stars"), S.exam_time(F.col("importance") * 97).alias("time"), S.study_time(F.col("importance")).alias("study"))
 
 
 def stream_daily(spark, d):

@@ -63,7 +63,7 @@ def unanswered_questions(spark, d):
 def solved_questions(spark, d):
     """Questions with the solutions of the same year and number."""
     s = _records(spark, d).groupBy("year", "number").agg(F.max("price").alias("price")).where("number % 3 <> 0")
-    return _records(spark, d).select("question_id", "year", "number").join(s, ["year", "number"], "left").select("question_id", F.col("price").alias("solution"))
+    return R.with_solutions(_records(spark, d).select("question_id", "year", "number"), s).select("question_id", F.col("price").alias("solution"))
 
 
 def related_in_order(spark, d):
@@ -118,7 +118,8 @@ def truncation_causes(spark, d):
     docs = M.documents(spark, d).where("text is not null")
     share = F.left("text", F.floor(F.length("text") * (20 + F.col("doc_id") % 80) / 100).cast("int"))
     choices = F.array_repeat(F.lit("x"), F.when(F.col("doc_id") % 9 == 0, 4).otherwise(5))
-    return docs.select("doc_id", R.truncation_cause(F.col("text"), share, choices).alias("cause"))
+    table = F.when(F.col("doc_id") % 4 == 0, F.left("text", F.floor(F.length("text") * 9 / 10).cast("int")))
+    return docs.select("doc_id", R.truncation_cause(F.col("text"), share, choices, table).alias("cause"))
 
 
 def load_errors(spark, d):
@@ -187,7 +188,16 @@ def categories_by_count(spark, d):
 
 
 def patterns_by_grade(spark, d):
-    return R.by_grade(M.patterns(spark)).select("place", "pattern_id", "grade", "importance")
+    return R.by_grade(Q._chapters(spark, d)).select("place", "pattern_id", "grade", "importance")
+
+
+def phase_one_patterns(spark, d):
+    """The first phase's tables: patterns with 60 and 5 for each question, and their statistics."""
+    from learnspark.operators import content
+
+    t = content.pattern_table(M.exam_questions(spark, d).withColumn("pattern_id", F.col("chapter_id")), 60, 5)
+    s = content.statistics_table(t)
+    return t.select("pattern_id", "grade", "frequency", "importance", F.array_join("years", ",").alias("years")).join(s.select("pattern_id", F.array_join("recent_years", ",").alias("recent_years"), "priority"), "pattern_id")
 
 
 def wrong_entries_ordered(spark, d):
@@ -227,13 +237,12 @@ def session_patterns_named(spark, d):
 
     s = exam.session_pattern_stats(exam.details(M.exam_answers(spark, d), M.exam_questions(spark, d)))
     p = _patterns(spark, d).where("pattern_id <> 'Brand#13'")
-    return s.join(p, "pattern_id", "left").select("session_id", "pattern_id", F.coalesce("frequency", F.lit(0)).alias("frequency"), "accuracy")
+    return R.with_pattern(s, p, {"frequency": 0}).select("session_id", "pattern_id", "frequency", "accuracy")
 
 
 def recommendation_counts(spark, d):
     e, q, p, latest, wrongs, a = Q._learner(spark, d)
-    n = a.agg(F.count("*").alias("patterns"), F.count_if(F.col("answered") > 0).alias("studied"))
-    return n.join(wrongs.agg(F.count("*").alias("wrong_questions")))  # one row each
+    return R.recommendation_counts(a, wrongs)
 
 
 def exam_footers(spark, d):
@@ -249,7 +258,7 @@ def glued_runs(spark, d):
 
 def dates_and_labels(spark, d):
     o = M.read(spark, d, "orders")
-    return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy. M. d.").alias("date"), F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00")).alias("hour"), (3600 - F.col("o_orderkey") % 3600).alias("elapsed"))
+    return o.select("o_orderkey", S.wrong_date(F.col("o_orderdate")).alias("date"), S.hour_label(F.col("o_orderkey") % 24).alias("hour"), S.elapsed(F.lit(3600), F.col("o_orderkey") % 3600).alias("elapsed"))
 
 
 def json_defaults(spark, d):
@@ -264,16 +273,15 @@ def merged_defaults(spark, d):
 
 def event_ids(spark, d):
     """Ids that are the same on every run: a hash of the natural key."""
-    return M.read(spark, d, "events").select("event_id", F.substring(F.sha2(F.concat_ws("|", "user_id", "event_type", "event_id"), 256), 1, 12).alias("id"))
+    return M.read(spark, d, "events").select("event_id", S.stable_id(F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("id"))
 
 
 def choice_years(spark, d):
-    return M.exam_questions(spark, d).select("question_id", F.when(F.col("year") >= 2024, F.array_union(F.array(F.lit("recent")), F.array("chapter_id"))).otherwise(F.array_union(F.array("chapter_id"), F.array("chapter_id"))).alias("set")).select("question_id", F.array_join("set", ",").alias("set"))
+    return M.exam_questions(spark, d).select("question_id", R.united(F.when(F.col("year") >= 2024, F.array(F.lit("recent"))), F.array("chapter_id"), F.array("chapter_id")).alias("set")).select("question_id", F.array_join("set", ",").alias("set"))
 
 
 def squeezed_text(spark, d):
-    t = F.trim(F.regexp_replace(F.replace(F.col("text"), F.lit("\u0000"), F.lit(" ")), r"[ \t\n\r\f]+", " "))
-    return M.documents(spark, d).select("doc_id", F.md5(t).alias("text_md5"))
+    return M.documents(spark, d).select("doc_id", F.md5(X.squeezed(F.col("text"))).alias("text_md5"))
 
 
 def short_texts(spark, d):
@@ -284,8 +292,7 @@ def tutor_samples(spark, d):
     """Pass counts of the checks on a session's answers, and whether all hold."""
     a = M.exam_answers(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.count("selected").alias("answered"), F.max("number").alias("last"))
     checks = {"all_answered": F.col("answered") == F.col("n"), "gapless": F.col("last") == F.col("n"), "long": F.col("n") >= 4}
-    n = a.agg(F.count("*").alias("sessions"), *[F.count_if(c).alias(k) for k, c in checks.items()])
-    return n.withColumn("all_pass", F.forall(F.array(*checks), lambda x: x == F.col("sessions")))
+    return R.checked(a, checks, "sessions")
 
 
 def score_percent(spark, d):

@@ -21,6 +21,7 @@ TOPIC = "NOT (contains(s, 'tiontion') OR contains(s, '!!')) AND (contains(s, 'he
 LOST = r"CAST(sum(len(regexp_extract_all(regexp_replace({}, '\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?', '', 'g'), '\d{{4,}}'))) AS BIGINT)"
 BARE = r"length(regexp_replace({}, '\s+', '', 'g'))"
 
+CHAPTERS = "SELECT chapter_id AS pattern_id, CASE WHEN count(*) >= 4 THEN 'S' WHEN count(*) >= 2 THEN 'A' ELSE 'B' END AS grade, least(95, 55 + 3 * count(*)) AS importance, count(*) AS frequency, list_sort(list_distinct(list(year))) AS years FROM eq GROUP BY 1"
 ORACLE_SQL = {
     "question_records": sql("rec", "SELECT question_id, year || '-' || lpad(CAST(number AS VARCHAR), 2, '0') AS qid, pattern_id AS pattern, array_to_string(choices, '|') AS choices, year FROM rec"),
     "valid_questions": sql("rec", f"SELECT question_id, answer FROM rec WHERE {LACK} IS NULL"),
@@ -30,6 +31,7 @@ ORACLE_SQL = {
     "solved_questions": sql("rec", "SELECT question_id, s.price AS solution FROM rec LEFT JOIN (SELECT year, number, max(price) AS price FROM rec WHERE number % 3 <> 0 GROUP BY ALL) s USING (year, number)"),
     "related_in_order": sql("rec", "SELECT key, CAST(pos AS INT) AS pos, r.question_id FROM (SELECT question_id AS key, unnest([0, 1, 2]) AS pos, unnest([question_id + 3, question_id - 1, question_id * 2]) AS other FROM rec) JOIN rec r ON r.question_id = other"),
     "numbered_in_year": sql("rec", "SELECT year, question_id, CAST(row_number() OVER (PARTITION BY year ORDER BY question_id) AS INT) AS number FROM (SELECT year, question_id FROM rec) QUALIFY number <= 40"),
+    "phase_one_patterns": sql("eq", f"SELECT pattern_id, grade, frequency, least(95, 60 + 5 * frequency) AS importance, array_to_string(years, ',') AS years, array_to_string(list_filter(years, lambda y: y >= 2022), ',') AS recent_years, CASE grade WHEN 'S' THEN 'HIGH' WHEN 'A' THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM ({CHAPTERS})"),
     "pattern_filter": sql("rec", "SELECT question_id FROM rec WHERE pattern_id = 'Brand#13'"),
     "no_pattern_filter": sql("rec", "SELECT pattern_id, count(*) AS n FROM rec GROUP BY 1"),
     "chapter_filter": sql("eq", "SELECT question_id FROM eq WHERE chapter_id = 'ECONOMY'"),
@@ -38,7 +40,7 @@ ORACLE_SQL = {
     "question_tags": sql("rec", "SELECT question_id, concat_ws(',', CASE WHEN question_id % 3 = 0 THEN 'calculation' END, CASE WHEN question_id % 3 <> 0 AND question_id % 4 <> 0 THEN 'concept' END, CASE WHEN question_id % 4 = 0 THEN 'table' END, CASE WHEN regexp_matches(coalesce(stem, ''), 'cold|red') THEN 'tabular-stem' END) AS tags FROM rec"),
     "shown_tables": sql("rec", "SELECT question_id, question_id % 2 = 0 AND coalesce(trim(CASE WHEN question_id % 3 = 0 THEN ' ' ELSE stem END), '') <> '' AND NOT list_bool_or(list_transform(choices, lambda c: starts_with(c, 'PROMO'))) AS shown FROM rec"),
     "detailed_steps": r"SELECT doc_id, len(l) >= 3 AND list_bool_or(list_transform(l, lambda s: regexp_matches(s, '[0-9=×÷+\-]'))) AS detailed FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
-    "truncation_causes": f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'question_end_fail' WHEN doc_id % 9 = 0 THEN 'choice_start_fail' WHEN {BARE.format('q')} = 0 THEN 'linebreak_handling' WHEN {BARE.format('q')}::DOUBLE / greatest({BARE.format('text')}, 1) >= 0.55 THEN NULL WHEN contains(text, chr(10)) THEN 'linebreak_handling' ELSE 'question_end_fail' END AS cause FROM (SELECT doc_id, text, left(text, CAST(floor(length(text) * (20 + doc_id % 80) / 100) AS INT)) AS q FROM documents WHERE text IS NOT NULL)",
+    "truncation_causes": f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'question_end_fail' WHEN doc_id % 9 = 0 THEN 'choice_start_fail' WHEN {BARE.format('q')} = 0 THEN 'linebreak_handling' WHEN {BARE.format('q')}::DOUBLE / greatest({BARE.format('text')}, 1) >= 0.75 THEN NULL WHEN doc_id % 4 = 0 AND {BARE.format('q')} < {BARE.format("left(text, CAST(floor(length(text) * 9 / 10) AS INT))")} * 0.6 THEN 'table_handling' WHEN {BARE.format('q')}::DOUBLE / greatest({BARE.format('text')}, 1) >= 0.55 THEN NULL WHEN contains(text, chr(10)) THEN 'linebreak_handling' ELSE 'question_end_fail' END AS cause FROM (SELECT doc_id, text, left(text, CAST(floor(length(text) * (20 + doc_id % 80) / 100) AS INT)) AS q FROM documents WHERE text IS NOT NULL)",
     "load_errors": sql("lq pf", " UNION ALL ".join([
         *[f"SELECT qid AS id, '{rule}' AS rule FROM lq WHERE {on}" for rule, on in (("missing_question", "stem IS NULL"), ("missing_answer", "answer IS NULL"), ("missing_solution", "k % 13 = 0"), ("missing_originalQuestion", "k % 17 = 0"), ("choices", "len(choices) <> 5"), ("answer", "answer IS NULL"), ("unknown_pattern", "pid NOT IN (SELECT pattern_id FROM pf)"), ("source_type", "k % 31 = 0"), ("source_year", "k % 37 = 0"))],
         "SELECT pf.pattern_id, 'frequency' FROM pf LEFT JOIN (SELECT pid, count(*) AS n FROM lq GROUP BY 1) ON pid = pf.pattern_id WHERE frequency <> coalesce(n, 0)",
@@ -52,7 +54,7 @@ ORACLE_SQL = {
     "restore_rates": rf"SELECT source, CASE WHEN b = 0 THEN 100.0::DOUBLE ELSE {rnd('(b - a)::DOUBLE / b::DOUBLE * 100', 1)} END AS restored, CASE WHEN b = 0 THEN 0.0::DOUBLE ELSE {rnd('(b - a)::DOUBLE / b::DOUBLE * 100', 1)} END AS reduction FROM (SELECT source, {LOST.format('text')} AS b, {LOST.format("regexp_replace(text, '\\d{4,}', '0', 'g')")} AS a FROM documents GROUP BY 1)",
     "common_answers": sql("ea", "SELECT question_id, count(*) AS n FROM ea WHERE selected IS NOT NULL GROUP BY 1 ORDER BY n DESC, question_id LIMIT 10"),
     "categories_by_count": sql("iss", "SELECT category, n, CAST(row_number() OVER (ORDER BY n DESC, category) AS INT) AS place FROM (SELECT category, count(*) AS n FROM iss GROUP BY 1)"),
-    "patterns_by_grade": sql("p", "SELECT CAST(row_number() OVER (ORDER BY strpos('SABC', grade), importance DESC, pattern_id) AS INT) AS place, pattern_id, grade, importance FROM p"),
+    "patterns_by_grade": sql("eq", f"SELECT CAST(row_number() OVER (ORDER BY strpos('SABC', grade), importance DESC, pattern_id) AS INT) AS place, pattern_id, grade, importance FROM ({CHAPTERS})"),
     "wrong_entries_ordered": sql("ent", "SELECT CAST(row_number() OVER (ORDER BY wrong_count DESC, last_wrong_at DESC, question_id) AS INT) AS place, question_id, wrong_count FROM ent"),
     "vulnerability_ordered": sql("vul", "SELECT CAST(row_number() OVER (ORDER BY score DESC, pattern_id) AS INT) AS place, pattern_id, score FROM vul"),
     "questions_ordered": sql("rec", "SELECT year, number, question_id FROM rec ORDER BY ALL"),

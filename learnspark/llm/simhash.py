@@ -10,9 +10,10 @@ parts, and every hit is verified on all 64 bits.
 `keep_one` drops near-duplicates by similarity: texts whose sets of five-word shingles have a Jaccard
 similarity of SIMILARITY or more. One fingerprint within a few bits misses many such pairs, so each
 text has PRINTS independent ones, and a pair is a candidate where any of them is within KEEP_RADIUS;
-candidates are then compared by their whole sets. Found on the sf0.1-like check table of near copies
-(bits of one fingerprint, so four miss to the fourth power): within 7 bits are 33 % of pairs of
-similarity 0.8 to 0.85, 56 % up to 0.9, 78 % up to 0.95 and 93 % above.
+candidates are then compared by their whole sets. That is done in two passes. First each text meets
+the first text that shares a part of a fingerprint with it, which joins groups of copies at the cost of one
+comparison a text. Then the probes look only for texts of other groups, so a ball of copies makes no
+pairs within itself. README has the recall by similarity.
 
 Defined results: a null or blank text has fingerprint zero, which links like any other; for keep_one
 such texts are alike. Rows that repeat a doc_id share its group in `components`; keep_one judges each
@@ -42,7 +43,11 @@ BLOCK = 11
 #: Variants of a part that a probe enumerates at most.
 MAX_KEYS = 2500
 #: For keep_one: words in a shingle, least similarity, fingerprints of a text and their radius.
-KEEP_SHINGLE, SIMILARITY, PRINTS, KEEP_RADIUS = 5, 0.8, 4, 7
+KEEP_SHINGLE, SIMILARITY, PRINTS, KEEP_RADIUS = 5, 0.8, 4, 9
+#: What a probe that travels costs, in comparisons of two fingerprints in a bucket.
+TRAVEL = 50
+#: Probes that one bucket of them holds, about, and fingerprints whose probes leave a task together.
+BUCKET_PROBES, TOGETHER = 500_000, 50_000
 
 
 def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
@@ -121,8 +126,8 @@ def correlated_partitions(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return groups
 
 
-def partition_count(n: int, radius: int) -> int:
-    """The number of partitions with the least work for each of n fingerprints: keys probed plus chance hits.
+def partition_count(n: int, radius: int, travel: float = 1.0) -> int:
+    """The number of partitions with the least work for each of n fingerprints: keys probed, at `travel` each, plus chance hits.
 
     With m partitions of 64/m bits, equal thresholds and even bits, a fingerprint probes some keys
     and each key meets n / 2^(64/m) others. Few partitions keep the buckets small, many need few keys.
@@ -131,7 +136,7 @@ def partition_count(n: int, radius: int) -> int:
     def work(m: int) -> float:
         each, more = divmod(radius + 1, m)
         keys = [_keys(64 // m, each - 1 + (i < more)) for i in range(m)]
-        return sum(keys) * (1 + n / 2.0 ** (64 / m)) if max(keys) <= MAX_KEYS else math.inf
+        return sum(keys) * (travel + n / 2.0 ** (64 / m)) if max(keys) <= MAX_KEYS else math.inf
 
     counts = range(2, max(2, radius + 1) + 1)
     return min(counts, key=work)  # one bit a partition and threshold 0 is always among them
@@ -148,10 +153,10 @@ def _compact(bits: np.ndarray, group: list[int]) -> np.ndarray:
 class Plan:
     """Partitions, their variant masks and the block histograms; a few hundred KB at any input size."""
 
-    def __init__(self, fps: DataFrame, n: int, radius: int):
+    def __init__(self, fps: DataFrame, n: int, radius: int, travel: float = 1.0):
         self.radius, self.n = radius, n
         both = _summed(fps, lambda b: (b.T.astype(np.float64) @ b.astype(np.float64)).astype(np.int64).ravel(), 4096).reshape(64, 64)
-        self.groups = correlated_partitions(both, n, partition_count(n, radius))
+        self.groups = correlated_partitions(both, n, partition_count(n, radius, travel))
         self.blocks = [[g[i : i + BLOCK] for i in range(0, len(g), BLOCK)] for g in self.groups]
         flat = [b for bs in self.blocks for b in bs]
         counted = _summed(fps, lambda bits: np.concatenate([np.bincount(_compact(bits, b), minlength=1 << BLOCK) for b in flat]), len(flat) << BLOCK)
@@ -299,29 +304,138 @@ def similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
-    """(node, component): of texts (node, raw), equal ones under one node, those linked to others by similarity.
+def _part_keys(plan: Plan, bits: np.ndarray, i: int) -> np.ndarray:
+    return _compact(bits, plan.groups[i]) | (np.int64(i) << np.int64(58))  # parts have 32 bits at most
+
+
+def first_meetings(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): each node b of (fp, node) with the smallest node a that shares a part of the fingerprint, where they are within the radius."""
+
+    def stored(batches):
+        for b in batches:
+            bits = _bits(b["fp"].to_numpy())
+            for i in range(len(plan.groups)):
+                yield pd.DataFrame({"key": _part_keys(plan, bits, i), "fp": b["fp"], "node": b["node"]})
 
-    Candidates are compared in rounds: each text with its four smallest candidates first, then with 16
-    more, 64 more and so on, leaving out pairs that are linked to the same smallest text already. So a group
-    of copies costs a few comparisons a text, and every candidate pair is compared or already connected.
+    rows = nodes.select("fp", "node").mapInPandas(stored, "key long, fp long, node long")
+    first = rows.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    met = rows.join(first.select("key", F.col("x.node").alias("a"), F.col("x.fp").alias("afp")), "key")
+    return met.where((F.col("a") < F.col("node")) & (F.bit_count(F.col("afp").bitwiseXOR(F.col("fp"))) <= plan.radius)).select("a", F.col("node").alias("b")).distinct()
+
+
+def far_meetings(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): nodes of (fp, node, group) within the radius that are not of one group, each pair once; a null group is the node's own.
+
+    Fingerprints and their probes are packed by the hash of the part that they look up, and joined by
+    key within such a bucket.
     """
-    found = cut(prints(texts).dropDuplicates(["node"]))
-    pairs = None
-    for k in range(PRINTS):
-        near = near_pairs(found.select(F.col("fps")[k].alias("fp"), "node"), radius)
-        pairs = near if pairs is None else pairs.union(near)
-    size = found.select("node", "n")
-    one, two = (size.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9  # sets of other sizes cannot be so similar
-    left = cut(pairs.distinct().join(one, "a").join(two, "b").where(fits).select("a", "b"))
-    asked = cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())  # a table: where it is small, no text is shuffled
-    hashes = cut(sets(texts.join(asked, "node", "left_semi").dropDuplicates(["node"])))
-    links, several = None, 4
+    # the group that all nodes of a fingerprint are of, 0 where there is none
+    own = nodes.groupBy("fp").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"), F.count("group").alias("grouped"))
+    fps = cut(own.select("fp", F.when((F.col("low") == F.col("high")) & (F.col("n") == F.col("grouped")), F.col("low")).otherwise(0).alias("group")))
+    probes = sum(_keys(len(g), 1) for g in plan.groups)
+    buckets = plan.n * probes // BUCKET_PROBES + 1
+
+    def packed(key: np.ndarray, fp: np.ndarray, group: np.ndarray, asks: bool):
+        mixed = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        there, start = np.unique(bucket[order], return_index=True)
+        columns = [np.split(x[order], start[1:]) for x in (key, fp, group)]
+        return pa.record_batch([pa.array(there), pa.array([asks] * len(there)), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in columns)], ["bucket", "asks", "keys", "fps", "groups"])
+
+    def emit(fp: np.ndarray, group: np.ndarray):
+        bits = _bits(fp)
+        yield packed(np.concatenate([_part_keys(plan, bits, i) for i in range(len(plan.groups))]), np.tile(fp, len(plan.groups)), np.tile(group, len(plan.groups)), False)
+        for s in range(0, len(fp), 4096):
+            part = slice(s, s + 4096)
+            t = plan.thresholds(bits[part])
+            keys, rows = [], []
+            for i in range(len(plan.groups)):
+                mine = _part_keys(plan, bits[part], i)
+                for e, masks in enumerate(plan.masks[i]):
+                    hit = np.flatnonzero(t[:, i] >= e)
+                    keys.append((mine[hit, None] ^ masks).ravel())
+                    rows.append(np.repeat(hit, len(masks)))
+            rows = np.concatenate(rows) + s
+            yield packed(np.concatenate(keys), fp[rows], group[rows], True)
+
+    def asked(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append((b["fp"].to_numpy(), b["group"].to_numpy()))
+            size += b.num_rows
+            if size >= TOGETHER:
+                yield from emit(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield from emit(*map(np.concatenate, zip(*held, strict=True)))
+
+    def meet(t: pa.Table) -> pa.Table:
+        asks = t["asks"].to_numpy()
+        column = lambda c, side: np.concatenate([np.frombuffer(x.as_py(), np.int64) for x, a in zip(t[c], asks, strict=True) if a == side] or [np.zeros(0, np.int64)])
+        key, fp, group = (column(c, False) for c in ("keys", "fps", "groups"))
+        order = np.lexsort((group, key))
+        key, fp, group = key[order], fp[order], group[order]
+        pkey, pfp, pgroup = (column(c, True) for c in ("keys", "fps", "groups"))
+        # a probe passes over the rows of its own group, which lie together
+        low, high = np.searchsorted(key, pkey, "left"), np.searchsorted(key, pkey, "right")
+        inside = _span(key, group, pkey, pgroup, low, high)
+        found = []
+        for start, end in ((low, inside[0]), (inside[1], high)):
+            n = end - start
+            for chunk in _chunks(n):
+                i = np.repeat(chunk, n[chunk])
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n[chunk]) - n[chunk], n[chunk]) + start[i]
+                near = (pfp[i] < fp[j]) & (np.bitwise_count((pfp[i] ^ fp[j]).view(np.uint64)) <= plan.radius)
+                found.append(np.column_stack([pfp[i[near]], fp[j[near]]]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
+
+    hits = fps.mapInArrow(asked, "bucket int, asks boolean, keys binary, fps binary, groups binary").groupBy("bucket").applyInArrow(meet, "x long, y long").distinct()
+    one, two = (nodes.select(F.col("fp").alias(f"f{c}"), F.col("node").alias(c), F.coalesce("group", "node").alias(f"g{c}")) for c in "pq")
+    far = cut(hits).join(one, F.col("x") == F.col("fp")).join(two, F.col("y") == F.col("fq")).where("gp <> gq").select("p", "q")
+    # texts of one fingerprint that the first meetings left in several groups
+    mixed = nodes.join(own.where("n > 1 and (low <> high or n > grouped)").select("fp"), "fp", "left_semi").select(F.col("fp").alias("fm"), F.col("node").alias("q"), F.coalesce("group", "node").alias("gq"))
+    same = mixed.join(one, F.col("fm") == F.col("fp")).where("p < q and gp <> gq").select("p", "q")
+    return far.union(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def _span(key: np.ndarray, group: np.ndarray, pkey: np.ndarray, pgroup: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows (sorted by key, group) of a probe's key and group lie; nothing, at `low`, for group 0."""
+    codes = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(codes[1:], len(key))
+    runs = {(k, g): (s, e) for k, g, s, e in zip(key[codes].tolist(), group[codes].tolist(), codes.tolist(), ends.tolist(), strict=True) if g}
+    start, end = low.copy(), low.copy()
+    if runs:
+        for at in np.flatnonzero(pgroup != 0):
+            if run := runs.get((int(pkey[at]), int(pgroup[at]))):
+                start[at], end[at] = run
+    return start, end
+
+
+def _chunks(n: np.ndarray, most: int = 2_000_000):
+    """Row numbers with n > 0 in parts whose n add up to about `most`."""
+    rows = np.flatnonzero(n > 0)
+    total = np.cumsum(n[rows])
+    edges = np.searchsorted(total, np.arange(most, int(total[-1]) + most, most)) if len(rows) else []
+    for part in np.split(rows, np.unique(edges)) if len(rows) else []:
+        if len(part):
+            yield part
+
+
+def compared(left: DataFrame, hashes: DataFrame, links: DataFrame | None) -> DataFrame | None:
+    """links with all pairs (a, b) of left that are similar, but for pairs whose ends are linked to one text already.
+
+    In rounds: each b with its smallest a first, then with 4 more, 16 more and so on, so a group of copies costs a
+    comparison a text or so, and every pair is compared or already connected.
+    """
+    left, several = cut(left), 1
     while not left.isEmpty():
         turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
         left = cut(left.withColumn("turn", turn))
-        now = cut(similar(left.where(F.col("turn") <= several).select("a", "b"), hashes))
+        pairs = left.where(F.col("turn") <= several).select("a", "b")
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        now = cut(similar(pairs, hashes.join(used, "node", "left_semi")))
         links = now if links is None else cut(links.union(now))
         # texts that are linked to the same smallest one need no comparison; one aggregation tells most of them
         least = links.groupBy("b").agg(F.min("a").alias("least"))
@@ -330,8 +444,44 @@ def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
         after = cut(rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
         drop_cut(left)
         left, several = after, 4 * several
+    return links
+
+
+def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
+    """(node, component): of texts (node, raw), equal ones under one node, those linked to others by similarity.
+
+    Every candidate pair is compared by its whole sets or already connected.
+    """
+    spark = texts.sparkSession
+    found = cut(prints(texts).dropDuplicates(["node"]))
+    size = found.select("node", "n")
+    one, two = (size.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9  # sets of other sizes cannot be so similar
+    sized = lambda pairs: cut(pairs.distinct().join(one, "a").join(two, "b").where(fits).select("a", "b"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())  # a table: where it is small, no text is shuffled
+        return cut(sets(texts.join(asked, "node", "left_semi").dropDuplicates(["node"])))
+
+    kinds = [found.select(F.col("fps")[k].alias("fp"), "node") for k in range(PRINTS)]
+    n = found.count()
+    plans = [Plan(nodes, n, radius, TRAVEL) for nodes in kinds]
+    pairs = None
+    for nodes, plan in zip(kinds, plans, strict=True):
+        met = first_meetings(nodes, plan)
+        pairs = met if pairs is None else pairs.union(met)
+    first = sized(pairs)
+    links = compared(first, sets_of(first), None)
+    groups = spark.createDataFrame([], "node long, component long") if links is None else cut(connected_components(links))
+    far = None
+    for nodes, plan in zip(kinds, plans, strict=True):
+        grouped = cut(nodes.join(groups, "node", "left").select("fp", "node", F.col("component").alias("group")))
+        met = cut(far_meetings(grouped, plan))
+        far = met if far is None else far.union(met)
+    more = sized(far.join(first, ["a", "b"], "left_anti"))
+    links = compared(more, sets_of(more), links)
     if links is None:
-        return texts.sparkSession.createDataFrame([], "node long, component long")
+        return spark.createDataFrame([], "node long, component long")
     return connected_components(links)
 
 

@@ -3,9 +3,10 @@
 One pattern finds all entities of a text. An entity is its kind and its normal form (a phone number
 is its digits, without the 1 before ten others; an address is lower case), and its surrogate is a keyed SHA-256 of both, put
 into the kind's own form: digits for digits in the format of the place, a valid check digit, a name
-of the same script and, for given names, the same gender. Names are found by the title before them;
-where such a name stands without it elsewhere in the text, whole or in part, it is replaced too. So each mention of an entity, in any
-document and format, gets the same surrogate. Distinct entities must get distinct surrogates and no
+of the same script and, for given names, the same gender. Names are found by the title before them,
+up to three words with hyphens and apostrophes; where such a name stands without it elsewhere in the same text, whole or in
+part, it is replaced too. A name that no title marks in its text stays. So each mention of an entity that is found, in any
+document and format, gets the same surrogate. From attempt GROW on, values of a kind that may run out grow. Distinct entities must get distinct surrogates and no
 surrogate may be a real entity: surrogates of all entities of the corpus are grouped, and every
 entity but one of a collision tries again with its next attempt until none is left. Only documents
 with matches are joined to the surrogates; the others pass through in place.
@@ -17,29 +18,40 @@ through unchanged.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from learnspark.llm.common import cut, free_names, table
 
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Lord", "Signor", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Lady", "Dame", "Signora", "Госпожа", "Κυρία")
+#: Titles that tell no gender; given names behind them are of either kind.
+ANY_GENDER = ("Dr", "Prof", "Professor", "Doctor", "Docteur", "Doktor", "Mx", "Доктор", "Профессор")
+TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + ANY_GENDER, key=len, reverse=True)) + ")"
+#: A word of a name: no title, with a small letter, without a possessive's end.
+NAME_WORD = rf"(?!{TITLE}\b)(?=\p{{Lu}}[\p{{L}}'’-]*\p{{Ll}})\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’-](?!s\b)\p{{L}}[\p{{L}}\p{{M}}]*+)*+"
 #: Kind: pattern. Where two fit at the same place, the first counts.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
+    "token": r"\bgh[opsur]_[A-Za-z0-9]{36,}+(?!\w)",
+    "awskey": r"(?<=(?i:secret_access_key)[=:]|(?i:secret_access_key)[=:][\x20\"']|(?i:secret_access_key)[=:]\x20[\"']|(?i:secret_access_key)\x20=\x20|(?i:secret_access_key)\x20=\x20[\"'])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])",
+    "iban": r"\b[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "password": r"(?i:(?<=\bpassword=)|(?<=\bpasswd=)|(?<=\bpwd=))[^\x00-\x20\"']++|(?i:(?<=\bpassword: ))[^\x00-\x20\"']{6,}+",
     "secret": r"(?<==\x20?[\"'])[0-9a-fA-F]{32,}+(?=[\"'])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])[3-6]\d{3}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}(?!\d)|(?<![\w(])\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "name": r"(?<!\p{L})(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
+    "name": rf"(?<!\p{{L}}){TITLE}\.?\x20{NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every match of the other kinds holds one of these; texts without them, most texts, are passed over quickly.
-HINT = r"[0-9@]|AKIA|=\x20?[\"']|(?i:passw|pwd=)"
+HINT = r"[0-9@]|::|AKIA|=\x20?[\"']|(?i:passw|pwd=)"
 #: Syllables of made-up names: consonants, vowels, end of a woman's and of a man's given name, by script.
 SCRIPTS = {
     "latin": ("bdfgklmnprstvzhj", "aeiouaeiouaeioua", "a", "n"),
@@ -59,12 +71,28 @@ LETTERS = {
     "Hebrew": "אבגדהוזחטיכלמנסע",
 }
 MARKS = "!#$%&*+/:;=?^_~|"
-#: From this attempt on, passwords and the local parts of addresses grow by a letter an attempt, so that values never run out.
+#: From this attempt on, passwords, the local parts of addresses, phone and other numbers grow by a place an attempt, so that values never run out.
 GROW = 3
-#: Attempts before an entity without a free surrogate is an error; only kinds of fixed length get there.
+#: Digits that a phone number must have behind its country's, or the country's are replaced too.
+PHONE_REST = 7
+#: Attempts before an entity without a free surrogate is an error; only kinds of fixed length with very many values could get there.
 ATTEMPTS = 200
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret key in spark.learnspark.key; where it is unset, one is drawn for the session, so surrogates can't be told from another run's."""
+    option = "spark.learnspark.key"
+    if not spark.conf.get(option, ""):
+        spark.conf.set(option, secrets.token_hex(32))
+    return spark.conf.get(option)
+
+
+def _mod97(c: Column) -> Column:
+    """The remainder of an IBAN-like text, its first four characters put behind the others and letters read as 10 to 35."""
+    step = lambda total, x: F.pmod(total * F.when(x.rlike("[0-9]"), 10).otherwise(100) + F.conv(x, 36, 10).cast("int"), F.lit(97))
+    return F.aggregate(F.filter(F.split(F.concat(F.substring(c, 5, 1 << 30), F.left(c, F.lit(4))), ""), lambda x: x != ""), F.lit(0), step)
+
+
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
@@ -81,17 +109,20 @@ def _luhn(digits: Column, doubled: int) -> Column:
 
 
 def _kind(m: Column) -> Column:
-    full = [(k, m.rlike(f"^(?:{p})$")) for k, p in KINDS.items() if k not in ("password", "secret", "card", "email")]
+    full = [(k, m.rlike(f"^(?:{p})$")) for k, p in KINDS.items() if k not in ("password", "secret", "card", "email", "awskey", "iban")]
     out = F.when(m.contains("@") & m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), "email")
+    iban = m.rlike(f"^(?:{KINDS['iban']})$")
+    out = out.when(iban & (_mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1), "iban")
     for k, hit in full:
         out = out.when(hit, k)
+    out = out.when(iban, F.lit(None))
     number = m.rlike(r"^\d[\d\x20-]*$") & (F.length(_digits(m)) >= 13)
     out = out.when(number & (F.pmod(_luhn(_digits(m), 0), F.lit(10)) == 0), "card").when(number, F.lit(None))
-    return out.when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").otherwise("password")
+    return out.when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").when(m.rlike(r"^[A-Za-z0-9/+]{40}$"), "awskey").otherwise("password")
 
 
 def _normal(kind: Column, m: Column) -> Column:
-    return F.when(kind == "email", F.lower(m)).when(kind == "phone", F.regexp_replace(_digits(m), r"^1(?=\d{10}$)", "")).when(kind.isin("card", "ssn"), _digits(m)).otherwise(m)
+    return F.when(kind.isin("email", "ipv6"), F.lower(m)).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "phone", F.regexp_replace(_digits(m), r"^1(?=\d{10}$)", "")).when(kind.isin("card", "ssn"), _digits(m)).otherwise(m)
 
 
 def _entities(hits: Column) -> Column:
@@ -100,13 +131,19 @@ def _entities(hits: Column) -> Column:
     return F.transform(kinds, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _normal(x["kind"], x["m"]).alias("norm")))
 
 
+def _name_words(e: Column) -> Column:
+    """The words of a name as written, without its title."""
+    words = F.split(e["m"], " ")
+    return F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+
+
 def _parts(e: Column) -> Column:
-    """array<struct<kind, norm>> to be kept distinct: an entity itself, or the given and family name in a name."""
-    words = F.split(F.lower(e["norm"]), " ")
-    gender = F.when(F.rtrim(F.split(e["m"], " ")[0], F.lit(".")).isin(*FEMALE), "given-f").otherwise("given-m")
-    pair = lambda kind, norm: F.struct(kind.alias("kind"), norm.alias("norm"))
-    name = F.when(F.size(words) == 3, F.array(pair(gender, words[1]), pair(F.lit("family"), words[2]))).otherwise(F.array(pair(F.lit("family"), F.element_at(words, 2))))
-    return F.when(e["kind"] == "name", name).when(e["kind"].isNotNull(), F.array(pair(e["kind"], e["norm"])))
+    """array<struct<kind, norm>> to be kept distinct: an entity itself, or the given names and the family name in a name."""
+    words = _name_words(e)
+    title = F.rtrim(F.split(e["m"], " ")[0], F.lit("."))
+    gender = F.when(title.isin(*FEMALE), "given-f").otherwise("given-m")
+    part = lambda w, i: F.struct(F.when(i + 1 == F.size(words), "family").otherwise(gender).alias("kind"), F.lower(w).alias("norm"))
+    return F.when(e["kind"] == "name", F.transform(words, part)).when(e["kind"].isNotNull(), F.array(F.struct(e["kind"].alias("kind"), e["norm"].alias("norm"))))
 
 
 def _refit(m: Column, letters: Column, digits: Column, h: Column | None = None) -> Column:
@@ -138,7 +175,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     host = F.translate(keyed(F.lit("host"), F.substring_index(norm, "@", -1)).substr(1, 10), HEX, "bcdfghjklmnpqrst")
     first = lambda n: F.translate(digits.substr(n, 1), "01", "68")  # noqa: E731  2 to 9
     octet = lambda n, low, size: (F.conv(h.substr(n, 4), 16, 10).cast("int") % size + low).cast("string")
-    out = out.withColumn("_body", F.when(kind == "card", F.concat(norm.substr(1, 1), digits.substr(F.lit(1), F.length(norm) - 2))))
+    out = out.withColumn("_body", F.when(kind == "card", F.concat(norm.substr(1, 1), digits.substr(F.lit(1), F.length(norm) - 2 + F.greatest(F.col("attempt") - (GROW - 1), F.lit(0))))))
     body = F.col("_body")
     script = F.lit("latin")  # names of other scripts too
     for name, marks in {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}.items():
@@ -154,15 +191,21 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     stream = lambda k: of(k, lambda x: F.translate(h, HEX, x))
     out = out.withColumn("_script", script).withColumn("_c", stream(0)).withColumn("_v", stream(1))
     c, v = F.col("_c"), F.col("_v")
-    more = letters.substr(F.lit(1), F.greatest(F.col("attempt") - (GROW - 1), F.lit(0)))
+    grown = F.greatest(F.col("attempt") - (GROW - 1), F.lit(0))
+    more = letters.substr(F.lit(1), grown)
+    bban = F.concat(norm.substr(1, 2), F.lit("00"), _refit(F.substring(norm, 5, 1 << 30), letters, digits))
     hexes = F.repeat(h, F.ceil(F.length(norm) / 64).cast("int"))
     word = F.concat(*[x.substr(i, 1) for i in (1, 3, 5) for x in (c, v)], c.substr(7, 1))
     values = {
         "email": F.concat(F.rpad(_refit(local, letters, digits), F.greatest(F.length(local), F.lit(8)), letters), more, F.lit("@"), host, F.lit(".example.com")),
         "ip": F.concat_ws(".", octet(1, 1, 223), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254)),
         "card": F.concat(body, F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string")),
-        "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).otherwise(F.concat(norm.substr(1, 2), digits.substr(F.lit(1), F.length(norm) - 2))),  # the country stays
-        "ssn": F.concat(F.lit("9"), digits.substr(1, 8)),
+        "phone": F.when(F.length(norm) == 10, F.concat(first(1), digits.substr(2, 2), first(4), digits.substr(5, 6))).when(F.length(norm) >= PHONE_REST + 2, F.concat(norm.substr(1, 2), digits.substr(F.lit(1), F.length(norm) - 2 + grown))).otherwise(F.concat(first(1), digits.substr(F.lit(2), F.length(norm) - 1 + grown))),  # the country stays where the rest has room
+        "ssn": F.concat(F.lit("9"), digits.substr(F.lit(1), 8 + grown)),
+        "iban": F.concat(norm.substr(1, 2), F.lpad((98 - _mod97(bban)).cast("string"), 2, "0"), F.substring(bban, 5, 1 << 30)),
+        "ipv6": F.concat(F.lit("fd"), h.substr(1, 2), *[F.concat(F.lit(":"), h.substr(4 * k + 1, 4)) for k in range(1, 8)]),
+        "token": F.concat(F.left(norm, F.lit(4)), _refit(F.substring(norm, 5, 1 << 30), letters, digits)),
+        "awskey": _refit(norm, letters, digits),
         "key": F.concat(F.lit("AKIA"), F.upper(F.translate(h.substr(1, 16), "01", "yz"))),
         "secret": F.when(F.upper(norm) == norm, F.upper(hexes)).otherwise(hexes).substr(F.lit(1), F.length(norm)),
         "given-f": F.concat(word, of(2)),
@@ -178,16 +221,18 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
 
 def _placed(e: Column, parts: Column) -> Column:
     """The mention e with its surrogate in its own format; parts: the surrogates of _parts(e)."""
-    sur = parts[0]
-    skip = F.length(_digits(e["m"])) - F.length(sur)
+    sur = F.get(parts, F.lit(0))
+    room = F.length(_digits(e["m"]))
+    skip = F.greatest(room - F.length(sur), F.lit(0))  # a country's 1 that the normal form leaves out
 
     def digit(c: Column, i: Column) -> Column:
         nth = F.length(_digits(e["m"].substr(F.lit(1), i + 1))) - skip
         return F.when(c.rlike("[0-9]") & (nth > 0), sur.substr(nth, F.lit(1))).otherwise(c)
 
-    spread = F.array_join(F.transform(F.split(e["m"], ""), digit), "")
+    spread = F.concat(F.array_join(F.transform(F.split(e["m"], ""), digit), ""), F.substr(sur, room + 1))  # a surrogate that has grown is longer
+    iban = F.when(e["m"].contains(" "), F.rtrim(F.regexp_replace(sur, "(.{4})", "$1 "))).otherwise(sur)
     name = F.concat_ws(" ", F.split(e["m"], " ")[0], F.transform(parts, F.initcap))
-    return F.when(e["kind"].isNull(), e["m"]).when(e["kind"].isin("phone", "card", "ssn"), spread).when(e["kind"] == "name", name).otherwise(sur)
+    return F.when(e["kind"].isNull(), e["m"]).when(e["kind"].isin("phone", "card", "ssn"), spread).when(e["kind"] == "name", name).when(e["kind"] == "iban", iban).otherwise(sur)
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -235,7 +280,7 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     new = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform(hits, replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     # names again, where no title stands before them
     named = F.filter(hits, lambda e: e["kind"] == "name")
-    parts = F.array_distinct(F.flatten(F.transform(named, lambda e: F.transform(_parts(e), lambda p: F.struct(F.initcap(p["norm"]).alias("name"), F.initcap(told(p)).alias("sur"))))))
+    parts = F.array_distinct(F.flatten(F.transform(named, lambda e: F.transform(F.zip_with(_name_words(e), _parts(e), lambda w, p: F.struct(w.alias("word"), p.alias("part"))), lambda p: F.struct(p["word"].alias("name"), F.initcap(told(p["part"])).alias("sur"))))))
     once_more = F.aggregate(parts, new, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}@.])"), p["name"], F.lit(r"(?![\p{L}@])")), p["sur"]))
     joined = found.join(per, F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.col(row) == F.col(at)), "left")
     done = joined.withColumn(text_col, F.when(F.size(named) > 0, once_more).otherwise(new)).withColumn(counted, F.size(F.filter(hits, lambda e: e["kind"].isNotNull())))
@@ -244,5 +289,5 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), "learnspark", count_col="n_entities")
+    docs = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), count_col="n_entities")
     return docs.select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"))

@@ -292,9 +292,13 @@ def test_surrogates_are_hinted(spark):
         "card": "4041894974608795",
         "phone": "(988) 555-2485",
         "name": "Frau Schmidt",
+        "token": "ghp_" + "a1B2c3D4e5" * 4,
+        "awskey": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "iban": "DE89 3704 0044 0532 0130 00",
+        "ipv6": "2001:db8:85a3::8a2e:370:7334",
     }
     assert set(private) == set(surrogates.KINDS)
-    frame = {"password": "so PWD=%s it is", "secret": 'so = "%s" it is'}
+    frame = {"password": "so PWD=%s it is", "secret": 'so = "%s" it is', "awskey": "so secret_access_key=%s it is"}
     texts = [(i, frame.get(k, "so %s it is") % v) for i, (k, v) in enumerate(private.items())]
     got = {r.doc_id: r for r in surrogates.with_surrogates(make(spark, texts), "k", count_col="_entities").collect()}
     for i, (kind, value) in enumerate(private.items()):

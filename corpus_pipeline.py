@@ -13,9 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from learnspark.llm import packing, quality_rules, simhash, substring_dedup, surrogates
 from learnspark.llm.common import cut, small_batches, table
 
-#: Where spark.learnspark.key is unset, the surrogates' key; a deployment sets its own, and keeps it secret.
-KEY = "learnspark"
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go, null and blank texts among them; repeated ids are judged row by row."""
@@ -36,8 +33,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates, the same one everywhere; null texts stay null."""
-    return surrogates.with_surrogates(docs, spark.conf.get("spark.learnspark.key", KEY))
+    """Entities get surrogates under the secret spark.learnspark.key, the same one everywhere; where it is unset, one is drawn for the session; null texts stay null."""
+    return surrogates.with_surrogates(docs, surrogates.session_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

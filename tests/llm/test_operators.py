@@ -422,18 +422,51 @@ def ways_to_seat(c, d=0.5):
     return np.array([row[t] for t in range(1, c + 1)])
 
 
-@pytest.mark.parametrize(("c", "a"), [(1, 0.5), (2, 0.3), (3, 4.0), (10, 2.0), (10, 0.01), (40, 30.0), (60, 1.0), (5, 1000.0)])
-def test_tables_have_the_exact_distribution(c, a):
-    want = ways_to_seat(c) * a ** np.arange(1, c + 1)
+def seatings(counts, p, strength, d=0.5):
+    """Probability of each numbers-of-tables of a whole restaurant by seating one customer after the other in every way."""
+    out, order = Counter(), [dish for dish, n in enumerate(counts) for _ in range(n)]
+
+    def seat(i, tables, weight):
+        if i == len(order):
+            out[tuple(sum(dish == k for dish, _ in tables) for k in range(len(counts)))] += weight
+            return
+        dish = order[i]
+        for k, (own, n) in enumerate(tables):
+            if own == dish:
+                seat(i + 1, [*tables[:k], (own, n + 1), *tables[k + 1 :]], weight * (n - d) / (strength + i))
+        seat(i + 1, [*tables, (dish, 1)], weight * (strength + d * len(tables)) / (strength + i) * p[dish])
+
+    seat(0, [], 1.0)
+    return out
+
+
+@pytest.mark.parametrize(("counts", "p", "strength"), [((4, 3), (0.3, 0.2), 2.0), ((6, 1), (0.05, 0.5), 2.0), ((3, 3, 2), (0.4, 0.1, 0.2), 0.7), ((5, 2), (0.9, 0.05), 50.0)])
+def test_conditional_is_that_of_a_whole_restaurant(counts, p, strength):
+    joint = seatings(counts, p, strength)
+    for others in {t[1:] for t in joint}:
+        want = np.array([joint[(t, *others)] for t in range(1, counts[0] + 1)])
+        n = 40_000
+        drawn = pitman_yor.draw_tables(np.full(n, counts[0]), np.full(n, p[0]), np.full(n, strength + 0.5 * sum(others)), np.random.default_rng(2))
+        got = np.bincount(drawn, minlength=counts[0] + 1)[1:] / n
+        assert np.abs(got - want / want.sum()).max() < 5 * math.sqrt(0.25 / n)
+
+
+@pytest.mark.parametrize(("c", "p", "a"), [(1, 0.5, 2.0), (2, 0.3, 2.0), (3, 0.99, 50.0), (10, 0.3, 2.0), (50, 0.3, 2.0), (10, 0.001, 3.0), (40, 0.7, 12.0), (120, 0.3, 2.0), (60, 1.0, 2.5), (60, 0.5, 2.0)])
+def test_tables_have_the_exact_distribution(c, p, a):
+    want = ways_to_seat(c) * np.cumprod([p * (a + k / 2) for k in range(c)])
     want /= want.sum()
-    drawn = pitman_yor.draw_tables(np.full(60_000, c), np.full(60_000, a), np.random.default_rng(1))
+    drawn = pitman_yor.draw_tables(np.full(60_000, c), np.full(60_000, p), np.full(60_000, a), np.random.default_rng(1))
     got = np.bincount(drawn, minlength=c + 1)[1:] / 60_000
     assert np.abs(got - want).max() < 5 * math.sqrt(0.25 / 60_000)
 
 
 def test_tables_of_hot_words():
-    drawn = pitman_yor.draw_tables(np.array([0, *[1_000_000] * 2000]), np.full(2001, 500.0), np.random.default_rng(1))
-    assert drawn[0] == 0 and abs(drawn[1:].mean() - 1001) < 4 and abs(drawn[1:].std() - 32) < 3  # near 1 + Poisson(1000)
+    a = 5e4  # so large that the dish's own tables hardly matter
+    drawn = pitman_yor.draw_tables(np.array([0, *[1_000_000] * 2000]), np.full(2001, 0.001), np.full(2001, a), np.random.default_rng(1))
+    t = np.arange(1, 1500)
+    logs = np.cumsum(np.r_[0, np.log(4 * 0.001 * (a + t / 2) * (1e6 - t) / (t * (2e6 - t - 1)))])
+    mean = (np.exp(logs - logs.max()) * np.arange(1, 1501)).sum() / np.exp(logs - logs.max()).sum()
+    assert drawn[0] == 0 and abs(drawn[1:].mean() - mean) < 1
 
 
 def test_squeezed():
@@ -515,6 +548,21 @@ def test_language_model_by_hand(spark):
         assert math.isclose(sum(kept[s].root(m[s]) for m in mass.values()) + unseen, 1, rel_tol=1e-9)
 
 
+def test_ids_and_frequent_pairs_are_spread(spark, monkeypatch):
+    """No bucket has the ids of all batches, and a bucket of very frequent pairs is scored in parts with the same result."""
+    monkeypatch.setattr(pitman_yor, "BATCH_DOCS", 5)
+    docs = spark.createDataFrame([(i, f"a b a b c{i % 9} d{i}".encode()) for i in range(60)], "doc_id long, raw binary").coalesce(1)
+    words = pitman_yor.Words(pitman_yor.word_counts(docs))
+    posted = pitman_yor._postings(docs, words, {}).select("bucket", "ids").where("ids is not null").collect()
+    assert sum(len(r.ids) for r in posted) == 60 and len({r.bucket for r in posted}) > 1
+    fixed, moved, kept = pitman_yor.train(docs, words)
+    whole = {r.doc_id: r.score for r in pitman_yor.score(docs, fixed, moved, kept, words).collect()}
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 20)
+    assert pitman_yor.parts_of(moved).count() > 0
+    again = {r.doc_id: r.score for r in pitman_yor.score(docs, fixed, moved, kept, words).collect()}
+    assert whole.keys() == again.keys() and all(math.isclose(whole[k], again[k], rel_tol=1e-12) for k in whole)
+
+
 def test_language_model_without_training_words(spark):
     d = make(spark, [(i, t) for i, t in enumerate(["a b", None, "c"]) if zlib.crc32(str(i).encode()) % 7 == 2] or [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")])
     for x in pitman_yor.scored(d).collect():

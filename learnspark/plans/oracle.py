@@ -193,7 +193,7 @@ ORACLE_SQL = {
     "marker_interpolation": sql("ea", "SELECT session_id, number, position FROM (WITH j AS (SELECT session_id, number, min(question_id) AS position FROM ea WHERE (session_id + number) % 3 <> 0 GROUP BY ALL), k AS (SELECT session_id, number, position, lead(number) OVER w AS n2, lead(position) OVER w AS p2 FROM j WINDOW w AS (PARTITION BY session_id ORDER BY number)) SELECT session_id, number, position FROM k UNION ALL SELECT session_id, CAST(x AS INT), position + CAST(trunc((p2 - position) * (x - number)::DOUBLE / (n2 - number)::DOUBLE) AS BIGINT) FROM (SELECT *, unnest(range(number + 1, n2)) AS x FROM k WHERE n2 - number BETWEEN 2 AND 3))"),
     "dedupe_lines": "SELECT doc_id, len(l) AS n_lines, len(k) AS n_kept, md5(array_to_string(k, chr(10))) AS text_md5 FROM (SELECT doc_id, l, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
     "url_links": sql("eq", "SELECT question_id, 'question.html?pattern=' || url_encode(pattern_id) || '&q=' || url_encode(question) AS url FROM eq"),
-    "exam_sections": r"SELECT item_id, CAST(i AS INT) AS number, CAST(CASE WHEN i % 2 = 1 THEN 5 ELSE 0 END AS BIGINT) AS n_choices, length(trim(l[i])) AS stem_length FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '\d+\.', '', 'g'), '\.\s*'), lambda x: trim(x) <> '')[1:9] AS l FROM benchmark))",
+    "exam_sections": r"SELECT item_id, CAST(i AS INT) AS number, CAST(CASE WHEN i % 2 = 1 THEN 5 ELSE 0 END AS BIGINT) AS n_choices, length(trim(l[i])) AS stem_length FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '\d+\.', '', 'g'), '\.\s*'), lambda x: trim(x) <> '') AS l FROM benchmark))",
     "stars": sql("eq", f"SELECT pattern_id, repeat('★', n) || repeat('☆', 5 - n) AS stars, CASE WHEN t >= 3600 THEN t // 3600 || ':' ELSE '' END || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS time, CASE WHEN importance < 60 THEN importance || '분' WHEN importance % 60 = 0 THEN importance // 60 || '시간' ELSE importance // 60 || '시간 ' || importance % 60 || '분' END AS study FROM (SELECT *, CAST(least(greatest({rint('importance / 20.0::DOUBLE')}, 1), 5) AS INT) AS n, importance * 97 AS t FROM (SELECT chapter_id AS pattern_id, least(95, 55 + 3 * count(*)) AS importance FROM eq GROUP BY 1))"),
     "stream_daily": sql("le", f"SELECT d AS date, {rnd('sum(duration) FILTER (duration > 0)::DOUBLE / 60.0::DOUBLE', 1)} AS minutes, count(*) AS events FROM le GROUP BY d"),
 }

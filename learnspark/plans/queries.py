@@ -344,10 +344,10 @@ def url_links(spark, d):
 
 def exam_sections(spark, d):
     """The sentences of each benchmark item made into numbered questions, every second with two choices only, and parsed again."""
-    sentences = F.slice(F.filter(F.split(F.regexp_replace("text", r"\d+\.", ""), r"\.\s*"), lambda x: F.trim(x) != ""), 1, 9)
+    sentences = F.filter(F.split(F.regexp_replace("text", r"\d+\.", ""), r"\.\s*"), lambda x: F.trim(x) != "")
     one = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.when(i % 2 == 0, " ① a ② b ③ c ④ d ⑤ e").otherwise(" ① x ② y"))
     docs = M.read(spark, d, "benchmark").select("item_id", F.array_join(F.transform(sentences, one), " ").alias("text"))
-    parts = extract.bodies(docs, extract.markers(docs, "item_id", "text", 1, 9), "item_id", "text")
+    parts = extract.bodies(docs, extract.markers(docs, "item_id", "text", 1, 99), "item_id", "text")
     return parts.select("item_id", "number", F.size(extract.choices(F.col("body"))).cast("long").alias("n_choices"), F.length(extract.stem(F.col("body"))).cast("long").alias("stem_length"))
 
 

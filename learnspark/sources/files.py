@@ -128,7 +128,8 @@ def write_larger(df: DataFrame, path: str, spark: SparkSession) -> bool:
 
 
 def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small report table as Markdown; it is a report, so at most `limit` rows are shown."""
-    rows = df.limit(limit).collect()
+    """A small report table as Markdown; it is a report, so at most `limit` rows are shown, and a last line says where there are more."""
+    rows = df.limit(limit + 1).collect()
+    more, rows = len(rows) > limit, rows[:limit]
     cells = lambda r: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in r) + " |"
-    return "\n".join([f"# {title}", "", cells(df.columns), cells(["---"] * len(df.columns)), *map(cells, rows), ""])
+    return "\n".join([f"# {title}", "", cells(df.columns), cells(["---"] * len(df.columns)), *map(cells, rows), *(["", f"Only the first {limit} rows are shown."] if more else []), ""])

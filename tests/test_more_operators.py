@@ -105,3 +105,8 @@ def test_text_audit(spark):
     for r in quality.text_audit(spark.createDataFrame(rows, "id string, field string, text string"), "id").collect():
         got.setdefault(r.id, []).append(r.category)
     assert {k: sorted(v) for k, v in got.items()} == {"a": ["question_empty"], "b": ["ocr_glued_hangul"], "d": ["ocr_footer", "ocr_fragment"], "e": ["ocr_currency", "ocr_punctuation"], "g": ["broken_char"] * 3}
+
+
+def test_markdown_says_where_it_is_cut(spark):
+    assert files.markdown(spark.range(3), "t", 2).splitlines()[-1] == "Only the first 2 rows are shown."
+    assert "Only" not in files.markdown(spark.range(2), "t", 2)

@@ -2,10 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
 from learnspark.llm.quality_rules import DELTA, LEVELS, MIN_WORDS, RISK, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+_THREADS = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations),
+ln AS (SELECT id, i, regexp_extract(line, '^((?:[ \t]?>)+)[ \t]?') AS marks, line FROM (SELECT id, unnest(regexp_split_to_array(text, '\r?\n')) AS line, unnest(range(1, len(regexp_split_to_array(text, '\r?\n')) + 1)) AS i FROM m)),
+lv AS (SELECT id, i, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS line FROM ln),
+quoting AS (SELECT id, max(level) > 0 AS quoted FROM lv GROUP BY 1),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY id, level ORDER BY i) AS island FROM lv),
+blk AS (SELECT id, level, island, min(i) AS pos, string_agg(line, chr(10) ORDER BY i) AS passage FROM isl GROUP BY 1, 2, 3),
+own0 AS (SELECT id, trim(string_agg(passage, chr(10) ORDER BY pos) FILTER (level = 0)) AS own FROM blk GROUP BY 1),
+own AS (SELECT m.*, CASE WHEN quoted THEN coalesce(own0.own, '') ELSE text END AS own FROM m LEFT JOIN quoting USING (id) LEFT JOIN own0 USING (id)),
+said AS (SELECT DISTINCT conv_id, turn, level, NORMAL(passage) AS p, list_filter(list_transform(string_split(passage, chr(10)), lambda x: NORMAL(x)), lambda x: x <> '') AS ls FROM blk JOIN m USING (id) WHERE level > 0 AND NORMAL(passage) <> ''),
+parts AS (SELECT conv_id, turn, unnest(list_concat([own], regexp_split_to_array(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS o FROM own WHERE own IS NOT NULL AND conv_id IN (SELECT conv_id FROM said)),
+whole AS (SELECT conv_id, NORMAL(o) AS p, min(turn) AS origin FROM parts GROUP BY 1, 2),
+held AS (SELECT conv_id, turn, list_filter(list_transform(string_split(own, chr(10)), lambda x: NORMAL(x)), lambda x: x <> '') AS ls FROM own WHERE own IS NOT NULL),
+run AS (SELECT s.conv_id, s.turn, s.level, s.p, s.ls, min(h.turn) AS origin FROM said s JOIN held h ON h.conv_id = s.conv_id AND len(s.ls) > 1
+        AND len(list_filter(range(1, len(h.ls) - len(s.ls) + 2), lambda k: h.ls[k:k + len(s.ls) - 1] = s.ls)) > 0 GROUP BY ALL),
+linked AS (SELECT s.conv_id, s.turn, s.level, s.p, min(CASE WHEN least(w.origin, r.origin) < s.turn THEN least(w.origin, r.origin) END) AS origin
+           FROM said s LEFT JOIN whole w ON w.conv_id = s.conv_id AND w.p = s.p LEFT JOIN run r ON r.conv_id = s.conv_id AND r.turn = s.turn AND r.level = s.level AND r.p = s.p AND r.ls = s.ls GROUP BY 1, 2, 3, 4),
+lev AS (SELECT conv_id, turn, level, max(origin) AS origin, count(*) AS n, count(origin) AS k FROM linked GROUP BY 1, 2, 3),
+heads AS (SELECT conv_id, turn, min_by(origin, level) FILTER (origin IS NOT NULL) AS quoted, CAST(sum(n) AS BIGINT) AS n_quotes, CAST(sum(k) AS BIGINT) AS n_linked FROM lev GROUP BY 1, 2),
+places AS (SELECT p.conv_id, p.turn, quoted, n_quotes, n_linked FROM (SELECT DISTINCT conv_id, turn FROM m) p LEFT JOIN heads h ON h.conv_id = p.conv_id AND h.turn = p.turn),
+here AS (SELECT *, coalesce(quoted, lag(turn) OVER w) AS parent, max(CASE WHEN quoted IS NOT NULL THEN turn END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM places WHERE conv_id IS NOT NULL AND turn IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+paths(conv_id, head, path, up) AS (
+  SELECT s.conv_id, s.turn, [s.turn], q.head FROM here s JOIN here q ON q.conv_id = s.conv_id AND q.turn = s.quoted WHERE s.quoted IS NOT NULL
+  UNION ALL SELECT p.conv_id, p.head, list_concat([p.up], p.path), q.head FROM paths p JOIN here s ON s.conv_id = p.conv_id AND s.turn = p.up JOIN here q ON q.conv_id = s.conv_id AND q.turn = s.quoted WHERE p.up IS NOT NULL)
+SELECT o.conv_id, o.turn, role, h.parent AS parent_turn, coalesce(h.n_quotes, p.n_quotes, 0) AS n_quotes, coalesce(h.n_linked, p.n_linked, 0) AS n_linked, coalesce(b.path, []) AS branch, own AS text
+FROM own o LEFT JOIN here h ON h.conv_id = o.conv_id AND h.turn = o.turn LEFT JOIN places p ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.turn IS NOT DISTINCT FROM o.turn
+LEFT JOIN paths b ON b.conv_id = h.conv_id AND b.head = h.head AND b.up IS NULL
+"""
+
+
+def _normal(found) -> str:
+    """Quote-free text in one line, A-Z in lower case."""
+    return rf"trim(regexp_replace(translate({found[1]}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+
+THREADS = re.sub(r"NORMAL\((\w+)\)", _normal, _THREADS)
+
 SUBSTRING = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 words AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS win
@@ -89,4 +128,4 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 FROM best JOIN total USING (lang) ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_substring": SUBSTRING, "op5_int8_tiles": EMBEDDINGS, "op10_risk_rules": QUALITY, "op11_prefix_trie": PREFIXES, "op12_collocations": COLLOCATIONS}
+ORACLE_SQL: dict[str, str] = {"op1_quote_threads": THREADS, "op3_substring": SUBSTRING, "op5_int8_tiles": EMBEDDINGS, "op10_risk_rules": QUALITY, "op11_prefix_trie": PREFIXES, "op12_collocations": COLLOCATIONS}

@@ -1,7 +1,7 @@
 """The queries of this package by name, and the SQL of those that SQL can express.
 
-The others need XXH64, CRC-32, tokenizers or sampling, which DuckDB does not have; tests/llm holds
-them against brute force.
+The others need XXH64, tokenizers, keyed hashes of matches, sampling or training, which DuckDB does not
+have; tests/llm holds them against brute force or held-out accuracy.
 """
 
 from __future__ import annotations

@@ -110,7 +110,8 @@ def with_choices(questions: DataFrame, body: str) -> DataFrame:
     """questions plus (strategy, choices, grid, markdown, rest): the choices of each body by the first strategy that reads five,
     its table, a grid of choices first, and the body without the table. None of these names may be in questions.
 
-    A strategy is tried only where those before it failed.
+    A strategy is tried only where those before it failed. Explode the choices with an outer explode: for an inner one Spark
+    pushes a filter on them below all strategies, which copies them.
     """
     text = F.col(f"`{body}`")
     rows = questions.withColumns({"names_": C.headers(text), "lines_": C.tail_lines(text), "cells_": C.grid_cells(C.from_choices(text)), "table_": T.table(text)})

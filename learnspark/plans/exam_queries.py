@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from learnspark.functions import answers, fragments, patterns, spacing
+from learnspark.functions import answers, fragments, pages, patterns, spacing
 from learnspark.functions import tables as T
-from learnspark.operators import cleanup, extract, source_truth
+from learnspark.operators import cleanup, extract, source_truth, tutor
 from learnspark.plans import queries as Q
 from learnspark.sources import model as M
 from learnspark.sources import resolve, torn
@@ -120,3 +120,52 @@ def cleanup_report(spark, d):
     q = torn.hangul(spark, d).select(n.alias("question_id"), F.col("text").alias("question"), F.concat("text", F.lit(" 12345원")).alias("original"), F.when(n % 2 == 0, "구분 10000").alias("table"), F.slice(F.split("text", r"\."), 1, 5).alias("choices"))
     over = q.where("question_id % 10 = 0").select("question_id", F.lit("기말 재고자산은?").alias("question"), F.lit(None).cast("string").alias("original"), F.lit("표").alias("table"), F.lit(True).alias("has_table"))
     return cleanup.report(q, cleanup.cleaned(q, over, terms=TERMS, prefixes=PREFIXES))
+
+
+def _headed(spark, d):
+    """Documents with headers that name years put between their sentences."""
+    n = F.col("doc_id")
+    header = F.when(n % 3 == 0, F.concat(F.lit(" "), (2000 + n % 30).cast("string"), F.lit("년 제"), (n % 40).cast("string"), F.lit("회 "))).when(n % 3 == 1, F.concat((1990 + n % 40).cast("string"), F.lit("년도 감정평가사"))).otherwise(" 회계학 41. ")
+    return M.read(spark, d, "documents").select("doc_id", F.call_function("array_join", F.split("text", r"\."), header).alias("text"))
+
+
+def year_sections(spark, d):
+    t = _headed(spark, d).select("doc_id", F.posexplode(pages.year_sections(F.col("text"))).alias("i", "x"))
+    return t.select("doc_id", "i", "x.*")
+
+
+def subject_starts(spark, d):
+    t = F.col("text")
+    return _headed(spark, d).select("doc_id", pages.subject_start(t).alias("start"), pages.page_year(t).alias("year"), F.length(pages.from_marker(t, "회계학")).alias("rest"))
+
+
+def year_amounts(spark, d):
+    """The choices read from the documents' questions, with their labels and pairs of years and amounts."""
+    parsed = extract.with_choices(torn.bodies(spark, d), "body").select("doc_id", F.posexplode_outer("choices").alias("i", "choice")).where("choice is not null")
+    return parsed.select("doc_id", pages.choice_label(F.col("i") + 1).alias("label"), F.array_join(pages.year_amounts(F.col("choice")), "|").alias("pairs"))
+
+
+def question_texts(spark, d):
+    return torn.pages(spark, d).select("doc_id", pages.question_text(F.array_join("lines", "\n")).alias("text"))
+
+
+FALLBACK = {"tip": "핵심 원칙을 떠올린다", "explanation": "풀이 준비 중"}
+
+
+def tutor_sections(spark, d):
+    """Questions of `part` with sections merged from rows that suppliers, nations and regions stand for."""
+    q = M.read(spark, d, "part").select(F.col("p_partkey").alias("question_id"), (F.col("p_partkey") % 25).cast("int").alias("pattern_id"))
+    s, k = M.read(spark, d, "supplier"), F.col("s_suppkey")
+    some = lambda on, value: F.when(on, value)
+    own = s.select(k.alias("question_id"), some(k % 4 == 0, (k % 7).cast("int")).alias("template_id"), some(k % 5 == 0, F.col("s_name")).alias("title"), some(k % 2 == 0, F.concat(F.lit("why "), F.col("s_name"))).alias("explanation"), some(k % 3 > 0, F.array_repeat(F.col("s_name"), (k % 3 - 1).cast("int"))).alias("steps"), some(k % 6 == 0, F.lit("tip")).alias("tip"))
+    n, i = M.read(spark, d, "nation"), F.col("n_nationkey")
+    of = n.select(i.cast("int").alias("pattern_id"), F.col("n_name").alias("name"), some(i % 2 == 0, (i % 5).cast("int")).alias("template_id"), some(i % 7 > 0, F.col("n_name")).alias("explanation"), some(i % 3 > 0, F.array("n_name")).alias("steps"), some(i % 4 > 0, F.col("n_name")).alias("tip")).where("pattern_id <> 24")
+    r = M.read(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("template_id"), F.col("r_name").alias("title"), F.lit("a = b").alias("formula"), F.array(F.lit("one"), F.col("r_name")).alias("steps"), some(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("hook"))
+    m = tutor.merged(q, own, of, r, FALLBACK)
+    return m.select("question_id", "title", "explanation", F.array_join("steps", "|").alias("steps"), "tip", "has_override")
+
+
+def quality_gates(spark, d):
+    rows = M.read(spark, d, "documents").join(M.read(spark, d, "labels"), "doc_id", "left")
+    checks = {"labelled": (F.col("quality").isNotNull(), F.lit(True), 0.3), "good": (F.col("quality") == 1, F.col("quality").isNotNull(), 0.9), "clean_english": (F.col("toxic") == 0, F.col("toxic").isNotNull() & (F.col("lang") == "en"), 0.5), "none": (F.lit(True), F.col("lang") == "xx", 0.1)}
+    return tutor.gates(rows, checks)

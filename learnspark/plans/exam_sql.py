@@ -511,6 +511,28 @@ SELECT year, json_path, CASE WHEN json_path IS NOT NULL THEN coalesce(n, 0) ELSE
  LEFT JOIN (SELECT y.year AS yr, min({{'path': path, 'kind': kind}}) AS s FROM named JOIN years y ON contains(name, CAST(y.year AS VARCHAR)) WHERE kind IN ('pdf', 'hwp') GROUP BY 1) ON yr = year"""
 CACHES = rf"""WITH {_FILES} SELECT year, path FROM years LEFT JOIN (SELECT CAST(left(stem, 4) AS INT) AS year, min(path) AS path FROM named WHERE kind = 'txt' AND regexp_matches(stem, '^\d{{4}}-') GROUP BY 1) USING (year)"""
 
+HEADED = """headed AS (SELECT doc_id, replace(text, '.', CASE doc_id % 3 WHEN 0 THEN ' ' || (2000 + doc_id % 30) || '년 제' || (doc_id % 40) || '회 ' WHEN 1 THEN (1990 + doc_id % 40) || '년도 감정평가사' ELSE ' 회계학 41. ' END) AS text FROM documents)"""
+_HEAD = r"\d{4}년\s*(?:제\d+회|도\s*감정평가사)"
+YEAR_SECTIONS = rf"""WITH {HEADED}, f AS (SELECT doc_id, regexp_extract_all(text, '{_HEAD}') AS h, regexp_split_to_array(text, '{_HEAD}') AS g FROM headed),
+u AS (SELECT doc_id, unnest(h) AS h, unnest(g[1:len(h)]) AS g, unnest(range(len(h))) AS i FROM f)
+SELECT doc_id, CAST(i AS INT) AS i, CAST(left(h, 4) AS INT) AS year, try_cast(regexp_extract(h, '제(\d+)회', 1) AS INT) AS round,
+  CAST(sum(length(g)) OVER w + coalesce(sum(length(h)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS position FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+SUBJECT_STARTS = rf"""WITH {HEADED} SELECT doc_id, CAST(CASE WHEN contains(text, '회계학') THEN strpos(text, '회계학') - 1 WHEN regexp_matches(text, '(^|[^\d.])41\.([^\d]|$)') THEN length(regexp_extract(text, '^((?s:.*?)(?:^|[^\d.]))41\.(?:[^\d]|$)', 1)) ELSE 0 END AS INT) AS start,
+ CAST(coalesce(nullif(regexp_extract(text, '(\d{{4}})년도\s*감정평가사', 1), ''), nullif(regexp_extract(text, '(\d{{4}})년\s*제\d+회', 1), '')) AS INT) AS year, CAST(CASE WHEN contains(text, '회계학') THEN length(text) - strpos(text, '회계학') + 1 END AS INT) AS rest FROM headed"""
+_PAIRED = r"regexp_extract_all(choice, '20[×xX]\d{1,2}년\s+W[\d,]+(?:\.\d+)?')"
+YEAR_AMOUNTS = CHOICES + f""", cs AS (SELECT doc_id, unnest(cc) AS choice, unnest(range(1, len(cc) + 1)) AS i FROM (SELECT doc_id, {_WHOLE} AS cc FROM b7))
+SELECT doc_id, coalesce(['①', '②', '③', '④', '⑤'][i], CAST(i AS VARCHAR)) AS label, CASE WHEN len({_PAIRED}) >= 2 THEN array_to_string({_PAIRED}, '|') END AS pairs FROM cs"""
+TUTOR = """WITH own AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 7 END AS t, CASE WHEN s_suppkey % 5 = 0 THEN s_name END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'why ' || s_name END AS why, CASE WHEN s_suppkey % 3 = 2 THEN s_name END AS steps, CASE WHEN s_suppkey % 6 = 0 THEN 'tip' END AS tip FROM supplier),
+prof AS (SELECT n_nationkey AS p, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 5 END AS t, CASE WHEN n_nationkey % 7 > 0 THEN n_name END AS why, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS steps, CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS tip FROM nation WHERE n_nationkey <> 24),
+j AS (SELECT p_partkey, p_partkey % 25 AS pat, own.*, prof.n_name, prof.t AS pt, prof.why AS pwhy, prof.steps AS psteps, coalesce(prof.tip, '핵심 원칙을 떠올린다') AS ptip FROM part LEFT JOIN own ON id = p_partkey LEFT JOIN prof ON p = p_partkey % 25)
+SELECT p_partkey AS question_id, coalesce(title, n_name, CAST(pat AS VARCHAR)) AS title, coalesce(why, pwhy, '풀이 준비 중') AS explanation,
+ coalesce(steps, concat_ws('|', CASE WHEN r_name IS NOT NULL THEN '[' || r_name || '] a = b|one|' || r_name END, psteps)) AS steps,
+ coalesce(tip, CASE WHEN r_regionkey % 2 = 0 THEN ptip || E'\n\n[계산 템플릿] ' || r_name ELSE ptip END) AS tip, id IS NOT NULL AS has_override
+FROM j LEFT JOIN region ON r_regionkey = coalesce(t, pt)"""
+GATES = """SELECT gate, hits, total, round(hits::DOUBLE / greatest(total, 1), 6) AS rate, least, hits::DOUBLE / greatest(total, 1) >= least AS passed FROM (WITH r AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'labelled' AS gate, count(*) FILTER (quality IS NOT NULL) AS hits, count(*) AS total, 0.3::DOUBLE AS least FROM r UNION ALL SELECT 'good', count(*) FILTER (quality = 1), count(quality), 0.9::DOUBLE FROM r
+UNION ALL SELECT 'clean_english', count(*) FILTER (toxic = 0 AND lang = 'en'), count(*) FILTER (toxic IS NOT NULL AND lang = 'en'), 0.5::DOUBLE FROM r UNION ALL SELECT 'none', 0, 0, 0.1::DOUBLE)"""
+
 ORACLE_SQL = {
     "rejoined_lines": REJOINED,
     "restructured_lines": RESTRUCTURED,
@@ -528,4 +550,9 @@ ORACLE_SQL = {
     "exam_file_sources": EXAM_FILES,
     "answer_file_sources": ANSWER_FILES,
     "cached_texts": CACHES,
+    "year_sections": YEAR_SECTIONS,
+    "subject_starts": SUBJECT_STARTS,
+    "year_amounts": YEAR_AMOUNTS,
+    "tutor_sections": TUTOR,
+    "quality_gates": GATES,
 }

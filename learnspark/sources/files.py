@@ -92,6 +92,32 @@ def frozen_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
     return joined.select("name", F.col("sha256").alias("expected"), "actual", F.coalesce(F.col("sha256") == F.col("actual"), F.lit(False)).alias("ok"))
 
 
+def terms(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The quoted texts of the list `name = [...]` in a source file, longest first; a dictionary of a bounded size."""
+    raw = spark.read.text(path, wholetext=True)
+    body = F.regexp_extract("value", rf"(?s)\b{name}\s*=\s*\[(.*?)\];", 1)
+    rows = raw.select(F.explode(F.regexp_extract_all(body, F.lit("'([^']+)'"), 1)).alias("t")).distinct()
+    return [r.t for r in rows.orderBy(F.desc(F.length("t")), "t").collect()]
+
+
+def verified_ids(spark: SparkSession, folder: str, prefix: str = "ACC_") -> DataFrame:
+    """(question_id): the ids that the names of the JSON files of a folder hold."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.json").load(folder).select("path")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("question_id")).distinct()
+
+
+def stored_keys(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the tables kept under a folder, one a key."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(root) if x.isDirectory()) if fs.exists(root) else []
+
+
+def remove_key(spark: SparkSession, folder: str, key: str) -> None:
+    """Removes the table kept under a key; nothing happens where there is none."""
+    remove(spark, f"{folder}/{key}")
+
+
 def sessions(raw: DataFrame) -> DataFrame:
     """(date, durationMinutes) from a JSON column `value` of any of three shapes: an array, {sessions}, or {sessions, totalMinutes}."""
     kind = "array<struct<date:date,durationMinutes:double>>"

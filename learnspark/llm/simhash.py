@@ -13,7 +13,8 @@ text has PRINTS independent ones, and a pair is a candidate where any of them is
 candidates are then compared by their whole sets. That is done in two passes. First each text meets
 the first text that shares a part of a fingerprint with it, which joins groups of copies at the cost of one
 comparison a text. Then the probes look only for texts of other groups, so a ball of copies makes no
-pairs within itself. README has the recall by similarity.
+pairs within itself: in rounds each text meets only the NEAREST ones of other groups, which joins what
+is chained together, and at last all that are left. README has the recall by similarity.
 
 Defined results: a null or blank text has fingerprint zero, which links like any other; for keep_one
 such texts are alike. Rows that repeat a doc_id share its group in `components`; keep_one judges each
@@ -44,6 +45,8 @@ BLOCK = 11
 MAX_KEYS = 2500
 #: For keep_one: words in a shingle, least similarity, fingerprints of a text and their radius.
 KEEP_SHINGLE, SIMILARITY, PRINTS, KEEP_RADIUS = 5, 0.8, 4, 9
+#: So many of the nearest texts of other groups each text is compared with, a number for each round, before all others are.
+NEAREST = (1,)
 #: What a probe that travels costs, in comparisons of two fingerprints in a bucket.
 TRAVEL = 50
 #: Probes that one bucket of them holds, about, and fingerprints whose probes leave a task together.
@@ -323,9 +326,11 @@ def first_meetings(nodes: DataFrame, plan: Plan) -> DataFrame:
     return met.where((F.col("a") < F.col("node")) & (F.bit_count(F.col("afp").bitwiseXOR(F.col("fp"))) <= plan.radius)).select("a", F.col("node").alias("b")).distinct()
 
 
-def far_meetings(nodes: DataFrame, plan: Plan) -> DataFrame:
+def far_meetings(nodes: DataFrame, plan: Plan, nearest: int | None = None) -> DataFrame:
     """(a, b): nodes of (fp, node, group) within the radius that are not of one group, each pair once; a null group is the node's own.
 
+    With `nearest`, for each fingerprint only so many other ones of other groups, those with the fewest differing bits.
+
     Fingerprints and their probes are packed by the hash of the part that they look up, and joined by
     key within such a bucket.
     """
@@ -388,10 +393,17 @@ def far_meetings(nodes: DataFrame, plan: Plan) -> DataFrame:
                 j = np.arange(len(i)) - np.repeat(np.cumsum(n[chunk]) - n[chunk], n[chunk]) + start[i]
                 near = (pfp[i] < fp[j]) & (np.bitwise_count((pfp[i] ^ fp[j]).view(np.uint64)) <= plan.radius)
                 found.append(np.column_stack([pfp[i[near]], fp[j[near]]]))
+                if nearest:  # of the pairs so far, those that are among the nearest for one of their ends
+                    found = [_nearest(np.unique(np.concatenate(found), axis=0), nearest)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
 
     hits = fps.mapInArrow(asked, "bucket int, asks boolean, keys binary, fps binary, groups binary").groupBy("bucket").applyInArrow(meet, "x long, y long").distinct()
+    if nearest:
+        ways = hits.union(hits.select("y", "x")).withColumn("bits", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
+        turn = F.row_number().over(Window.partitionBy("x").orderBy("bits", "y"))
+        best = ways.withColumn("turn", turn).where(F.col("turn") <= nearest)
+        hits = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     one, two = (nodes.select(F.col("fp").alias(f"f{c}"), F.col("node").alias(c), F.coalesce("group", "node").alias(f"g{c}")) for c in "pq")
     far = cut(hits).join(one, F.col("x") == F.col("fp")).join(two, F.col("y") == F.col("fq")).where("gp <> gq").select("p", "q")
     # texts of one fingerprint that the first meetings left in several groups
@@ -400,6 +412,17 @@ def far_meetings(nodes: DataFrame, plan: Plan) -> DataFrame:
     return far.union(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
+def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of distinct pairs (x, y) those that are among the `most` nearest for x or for y."""
+    bits = np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]).view(np.uint64))
+    keep = np.zeros(len(pairs), bool)
+    for end in (0, 1):
+        order = np.lexsort((pairs[:, 1 - end], bits, pairs[:, end]))
+        own = pairs[order, end]
+        keep[order[np.arange(len(own)) - np.searchsorted(own, own) < most]] = True
+    return pairs[keep]
+
+
 def _span(key: np.ndarray, group: np.ndarray, pkey: np.ndarray, pgroup: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the rows (sorted by key, group) of a probe's key and group lie; nothing, at `low`, for group 0."""
     codes = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -472,14 +495,18 @@ def similar_texts(texts: DataFrame, radius: int = KEEP_RADIUS) -> DataFrame:
         pairs = met if pairs is None else pairs.union(met)
     first = sized(pairs)
     links = compared(first, sets_of(first), None)
-    groups = spark.createDataFrame([], "node long, component long") if links is None else cut(connected_components(links))
-    far = None
-    for nodes, plan in zip(kinds, plans, strict=True):
-        grouped = cut(nodes.join(groups, "node", "left").select("fp", "node", F.col("component").alias("group")))
-        met = cut(far_meetings(grouped, plan))
-        far = met if far is None else far.union(met)
-    more = sized(far.join(first, ["a", "b"], "left_anti"))
-    links = compared(more, sets_of(more), links)
+    tested = first
+    for nearest in (*NEAREST, None):
+        groups = spark.createDataFrame([], "node long, component long") if links is None else cut(connected_components(links))
+        far = None
+        for nodes, plan in zip(kinds, plans, strict=True):
+            grouped = cut(nodes.join(groups, "node", "left").select("fp", "node", F.col("component").alias("group")))
+            met = cut(far_meetings(grouped, plan, nearest))
+            drop_cut(grouped)
+            far = met if far is None else far.union(met)
+        more = sized(far.join(tested, ["a", "b"], "left_anti"))
+        links = compared(more, sets_of(more), links)
+        tested = tested.union(more)
     if links is None:
         return spark.createDataFrame([], "node long, component long")
     return connected_components(links)

@@ -64,7 +64,7 @@ def year_amounts(choice: Column) -> Column:
 def markdown_cells(table: Column) -> Column:
     """Rows of cells of a Markdown table, without its rule."""
     rows = F.filter(F.transform(F.split(F.trim(table), "\n"), F.trim), lambda x: (x != "") & ~x.rlike(RULE))
-    return F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def body_in_order(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnspark.functions.scores import rnd
@@ -60,6 +60,30 @@ def record(q: DataFrame) -> DataFrame:
     return q.select("question_id", fields.alias("record"))
 
 
+#: What every record of an exam question states alike.
+ALIKE = {"subjectId": "ACC", "difficulty": "medium"}
+SOLUTION_TEXTS = ("summary", "algorithm", "calculationProcess", "explanation", "memoryPoint")
+
+
+def exam_record(q: DataFrame, source_type: str = "original_exam", exam: str = "APPRAISER") -> DataFrame:
+    """q plus `record`, a parsed question as one nested row with its source and an empty solution.
+
+    q has year, number, pattern_id, chapter_id, stem, original, choices, answer, question_type, has_table,
+    has_calculation, has_figure, markdown, grid, exam_round, source_file, source_kind, page and used_ocr.
+    """
+    c = F.col
+    qid = F.format_string("ACC_%d_Q%03d", c("year"), c("number"))
+    none = F.array().cast("array<string>")
+    source = F.struct(F.lit(source_type).alias("type"), F.lit(exam).alias("examId"), c("year"), F.lit(1).alias("round"), c("exam_round").alias("examRound"), c("number").alias("questionNumber"), c("source_file").alias("sourceFile"), c("source_kind").alias("sourceKind"), c("page"), c("used_ocr").alias("usedOcr"))
+    solution = F.struct(*[F.lit("").alias(k) for k in SOLUTION_TEXTS], none.alias("steps"), none.alias("wrongAnalysis"))
+    record = F.struct(
+        qid.alias("questionId"), c("year"), F.lit(ALIKE["subjectId"]).alias("subjectId"), c("chapter_id").alias("chapterId"), c("pattern_id").alias("patternId"), F.lit(ALIKE["difficulty"]).alias("difficulty"), c("original").alias("originalQuestion"), c("stem").alias("question"),
+        c("choices"), c("answer"), c("answer").alias("answerIndex"), c("question_type").alias("questionType"), c("has_table").alias("hasTable"), c("has_calculation").alias("hasCalculation"), c("has_figure").alias("figure"),
+        F.coalesce(F.nullif("markdown", F.lit("")), c("grid")).alias("table"), F.lit(None).cast("string").alias("formula"), source.alias("source"), solution.alias("solution"),
+    )
+    return q.withColumn("record", record)
+
+
 def split_valid(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, failures): questions with a stem, five choices and an answer; the others with the first thing they lack."""
     lack = F.when(F.coalesce(F.trim("stem"), F.lit("")) == "", "stem").when(F.coalesce(F.size("choices"), F.lit(0)) != 5, "choices").when(F.col("answer").isNull(), "answer")
@@ -179,6 +203,14 @@ def checked(rows: DataFrame, checks: dict[str, Column], count: str = "rows") ->
 # validation
 
 
+def table_errors(tables: Mapping[str, DataFrame | None], spark: SparkSession, verified: str | None = None) -> DataFrame:
+    """(id, rule): the tables of a data set that are missing, and `verified`, where named, if its pdf_verified is not true."""
+    rows = [(name, "missing") for name, t in tables.items() if t is None]
+    if verified and tables.get(verified) is not None and not tables[verified].where("pdf_verified").limit(1).count():
+        rows.append((verified, "not_verified"))
+    return spark.createDataFrame(rows, "id string, rule string")
+
+
 def load_errors(questions: DataFrame, patterns: DataFrame, expected: int | None = None) -> DataFrame:
     """(id, rule): every broken rule of a data set's load check, a row each; empty where the set is valid.
 

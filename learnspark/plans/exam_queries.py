@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from learnspark.functions import answers, fragments, pages, patterns, spacing
 from learnspark.functions import tables as T
-from learnspark.operators import cleanup, extract, source_truth, tutor
+from learnspark.operators import cleanup, extract, records, source_truth, tutor
 from learnspark.plans import queries as Q
 from learnspark.sources import model as M
 from learnspark.sources import resolve, torn
@@ -169,3 +169,13 @@ def quality_gates(spark, d):
     rows = M.read(spark, d, "documents").join(M.read(spark, d, "labels"), "doc_id", "left")
     checks = {"labelled": (F.col("quality").isNotNull(), F.lit(True), 0.3), "good": (F.col("quality") == 1, F.col("quality").isNotNull(), 0.9), "clean_english": (F.col("toxic") == 0, F.col("toxic").isNotNull() & (F.col("lang") == "en"), 0.5), "none": (F.lit(True), F.col("lang") == "xx", 0.1)}
     return tutor.gates(rows, checks)
+
+
+def exam_records(spark, d):
+    """Every document's question as a record, by its fields; its answer is the number of its choices, where there are any."""
+    n = F.col("doc_id")
+    q = extract.with_choices(torn.bodies(spark, d), "body").withColumns({"p": patterns.classified(F.col("body")), "n_choices": F.size("choices")})
+    q = q.withColumns({"year": F.floor(n / 40).cast("int"), "number": (n % 40 + 41).cast("int"), "pattern_id": F.col("p.pattern_id"), "chapter_id": F.col("p.chapter_id"), "stem": extract.stem(F.col("body")), "original": F.col("rest"), "answer": F.nullif("n_choices", F.lit(0))})
+    q = q.withColumns({"question_type": F.coalesce("strategy", F.lit("none")), "has_table": F.col("grid").isNotNull(), "has_calculation": F.col("body").contains("W"), "has_figure": F.lit(False), "exam_round": F.lit(None).cast("int"), "source_file": F.lit("exam.txt"), "source_kind": F.lit("text"), "page": F.lit(1), "used_ocr": F.lit(False)})
+    r = records.exam_record(q).select("doc_id", "record.*")
+    return r.select("doc_id", F.col("questionId").alias("question_id"), F.col("source.questionNumber").alias("number"), F.col("patternId").alias("pattern_id"), F.col("chapterId").alias("chapter_id"), F.col("answerIndex").alias("answer"), F.col("questionType").alias("question_type"), F.col("hasTable").alias("has_table"), F.col("hasCalculation").alias("has_calculation"), F.col("table").alias("table_text"), F.length("originalQuestion").alias("original_length"), F.col("source.type").alias("source_type"))

@@ -533,6 +533,13 @@ GATES = """SELECT gate, hits, total, round(hits::DOUBLE / greatest(total, 1), 6)
 SELECT 'labelled' AS gate, count(*) FILTER (quality IS NOT NULL) AS hits, count(*) AS total, 0.3::DOUBLE AS least FROM r UNION ALL SELECT 'good', count(*) FILTER (quality = 1), count(quality), 0.9::DOUBLE FROM r
 UNION ALL SELECT 'clean_english', count(*) FILTER (toxic = 0 AND lang = 'en'), count(*) FILTER (toxic IS NOT NULL AND lang = 'en'), 0.5::DOUBLE FROM r UNION ALL SELECT 'none', 0, 0, 0.1::DOUBLE)"""
 
+_BODY_PATTERN = " ".join(f"WHEN {_any(words, 'b7.body')} THEN {{'p': '{p}', 'c': '{c}'}}" for p, c, words in RULES)
+EXAM_RECORDS = f"""{CHOICES}, {_tables("bodies")}, gr AS ({CHOICE_GRIDS[len(CHOICES) + 2 + len(_tables("bodies")) :]}),
+nc AS (SELECT doc_id, len({_WHOLE}) AS n FROM b7)
+SELECT b7.doc_id, format('ACC_{{}}_Q{{:03d}}', b7.doc_id // 40, b7.doc_id % 40 + 41) AS question_id, CAST(b7.doc_id % 40 + 41 AS INT) AS number, x.p AS pattern_id, x.c AS chapter_id, CAST(nullif(nc.n, 0) AS INT) AS answer, coalesce(strategy, 'none') AS question_type,
+  gr.grid IS NOT NULL AS has_table, contains(b7.body, 'W') AS has_calculation, coalesce(CASE WHEN gr.grid IS NOT DISTINCT FROM drawn.grid THEN nullif(drawn.markdown, '') END, gr.grid) AS table_text, CAST(length(drawn.rest) AS INT) AS original_length, 'original_exam' AS source_type
+FROM (SELECT *, CASE {_BODY_PATTERN} ELSE {{'p': '{OTHER[0]}', 'c': '{OTHER[1]}'}} END AS x FROM b7) b7 JOIN drawn USING (doc_id) JOIN gr USING (doc_id) JOIN nc USING (doc_id)"""
+
 ORACLE_SQL = {
     "rejoined_lines": REJOINED,
     "restructured_lines": RESTRUCTURED,
@@ -555,4 +562,5 @@ ORACLE_SQL = {
     "year_amounts": YEAR_AMOUNTS,
     "tutor_sections": TUTOR,
     "quality_gates": GATES,
+    "exam_records": EXAM_RECORDS,
 }

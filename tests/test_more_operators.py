@@ -110,3 +110,20 @@ def test_text_audit(spark):
 def test_markdown_says_where_it_is_cut(spark):
     assert files.markdown(spark.range(3), "t", 2).splitlines()[-1] == "Only the first 2 rows are shown."
     assert "Only" not in files.markdown(spark.range(2), "t", 2)
+
+
+def test_exam_record(spark):
+    columns = "year int, number int, pattern_id string, chapter_id string, stem string, original string, choices array<string>, answer int, question_type string, has_table boolean, has_calculation boolean, has_figure boolean, markdown string, grid string, exam_round int, source_file string, source_kind string, page int, used_ocr boolean, more string"
+    row = (2020, 7, "P", "C", "stem", "orig", ["a"], 3, "table", True, False, False, "", "x\ty", 31, "2020.pdf", "pdf", 4, False, "kept")
+    q = records.exam_record(spark.createDataFrame([row, (None,) * 20], columns)).collect()
+    r = q[0].record
+    assert (r.questionId, r.subjectId, r.difficulty, r.answerIndex, r.table, r.formula, q[0].more) == ("ACC_2020_Q007", "ACC", "medium", 3, "x\ty", None, "kept")
+    assert (r.source.type, r.source.examRound, r.source.questionNumber, r.source.sourceFile, r.source.page) == ("original_exam", 31, 7, "2020.pdf", 4)
+    assert (r.solution.summary, r.solution.steps) == ("", []) and q[1].record.question is None
+
+
+def test_missing_tables(spark):
+    one = spark.range(1)
+    found = records.table_errors({"master": one.withColumn("pdf_verified", F.lit(False)), "statistics": None, "questions": one}, spark, "master")
+    assert sorted(map(tuple, found.collect())) == [("master", "not_verified"), ("statistics", "missing")]
+    assert records.table_errors({"master": one.withColumn("pdf_verified", F.lit(True))}, spark, "master").count() == 0

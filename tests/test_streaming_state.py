@@ -1,8 +1,10 @@
 """State by key in a stream: equal to the batch operators over restarts, late events and merges."""
 
 import datetime
+import tracemalloc
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from learnspark.operators import state as B
@@ -94,3 +96,48 @@ def test_a_batch_that_runs_again(spark, tmp_path):
     for n, batch in ((0, [(1, "a"), (2, "b")]), (1, [(1, "c")]), (1, [(1, "c")]), (2, [(3, "d")]), (3, [(2, "e")])):
         put(rows(*batch), n)
     assert rows_of(T.current(spark, str(tmp_path), ["k"])) == [(1, "c"), (2, "e"), (3, "d")]
+
+
+class Held:
+    """A state store of one key for processors that run without Spark."""
+
+    def __init__(self):
+        self.list, self.map = [], {}
+        self.getListState = self.getMapState = self.getValueState = lambda *_: self
+        self.put = lambda x: setattr(self, "list", list(x))
+        self.iterator = lambda: iter([((k,), v) for k, v in self.map.items()])
+        self.updateValue = lambda k, v: self.map.__setitem__(k[0], v)
+        self.removeKey = lambda k: self.map.pop(k[0])
+        self.get, self.update, self.clear = (lambda: self.list), (lambda x: setattr(self, "list", x)), (lambda: setattr(self, "list", []))
+
+
+def peak_mb(processor, rows):
+    processor.init(Held())
+    tracemalloc.start()
+    out = sum(1 for _ in processor.handleInputRows((1,), rows, None))
+    mb = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, mb
+
+
+def test_a_trigger_of_many_rows_is_not_held():
+    n, first = 60_000, datetime.date(2000, 1, 1)
+    at = lambda i: i * 7919 % n  # noqa: E731  every place once, out of order
+    rows = lambda: (Row(ts=at(i), event_id=i, date=first + datetime.timedelta(days=at(i) // 10), duration=1, type="question_start" if i % 2 else "question_answer", correct=i % 3 > 0) for i in range(n))
+    out, mb = peak_mb(T.NewestEvents(500), rows())
+    assert out == 500 and mb < 2
+    out, mb = peak_mb(T.NewestDays(14), rows())
+    assert out == 14 and mb < 2
+    out, mb = peak_mb(T.Timers(), rows())
+    assert out == n // 2 and mb < 8
+    out, mb = peak_mb(T.WrongStreaks(), rows())
+    assert out == 1 and mb < 8
+
+
+def test_newest_days_out_of_order(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    day = lambda n, h: datetime.datetime(2024, 1, n, h)
+    rows = [(i, day(n, h), 1, "view", 10.0, "{}") for i, (n, h) in enumerate(((5, 9), (1, 8), (3, 7), (5, 3), (2, 1), (4, 6), (3, 23), (1, 2)))]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(source)
+    got = T.run(spark, T.newest_days(M.as_learning(E.event_stream(spark, source)), 3), f"{tmp_path}/out", ["user_id", "date"])
+    assert {r.date.day: (r.seconds, r.last_activity.hour, r.kept) for r in got.collect()} == {3: (20, 23, True), 4: (10, 6, True), 5: (20, 9, True)}

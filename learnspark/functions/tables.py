@@ -32,27 +32,31 @@ def _some(parts: Column) -> Column:
 
 def cells(line: Column) -> Column:
     """The cells of a line: by tabs, by wide gaps and between digits and others, or by bars."""
-    line = _stripped(line)
+    return let(_stripped(line), _cells)
+
+
+def _cells(line: Column) -> Column:
     barred = _some(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"))
     parts = let(_some(F.split(line, BETWEEN_CELLS)), lambda p: F.when((F.size(p) < 2) & line.contains("|"), barred).otherwise(p))
     return F.when(line.contains("\t"), _some(F.split(line, "\t"))).otherwise(parts)
 
 
 def line_class(line: Column) -> Column:
-    """H, D, B or X of a line without blanks around it."""
-    return let(F.size(cells(line)), lambda n: _line_class(line, n))
-
-
-def _line_class(line: Column, n: Column) -> Column:
+    """H, D, B or X of a line without blanks around it; cells are counted where they can make a difference."""
     digit, entry = line.rlike(r"\d"), line.rlike(ENTRY)
     word = F.lit(False)
     for w in HEADER_WORDS:
         word = word | line.contains(w)
+    told = F.when(line == "", "B").when(line == PLACE, "H").when(line.rlike(QUESTION) | ~(digit | entry | word), "X")
+    return F.coalesce(told, let(F.size(_cells(line)), lambda n: _line_class(line, n, digit, entry, word)))
+
+
+def _line_class(line: Column, n: Column, digit: Column, entry: Column, word: Column) -> Column:
     plain = ~line.rlike("[?？]") & ~F.replace(line, F.lit(" "), F.lit("")).rlike(YEARS_ONLY)
     short = (F.length(line) <= LONGEST_HEADER) | line.startswith("(차변)")
     header = plain & short & (entry | (word & (n >= 2)) | ((n >= 3) & digit) | line.rlike(FACTOR))
     data = entry | line.rlike(FACTOR) | ((n >= 2) & digit)
-    return F.when(line == "", "B").when(line == PLACE, "H").when(line.rlike(QUESTION), "X").when(header, "H").when(data, "D").otherwise("X")
+    return F.when(header, "H").when(data, "D").otherwise("X")
 
 
 def table(body: Column) -> Column:
@@ -70,8 +74,7 @@ def _table(body: Column, lines: Column) -> Column:
     own = lambda x: x["mark"].isin("H", "T")
     inside = F.transform(F.filter(lines, lambda x: own(x) & (x["line"] != "") & (x["line"] != PLACE)), lambda x: x["line"])
     rest = _stripped(F.array_join(F.transform(F.filter(lines, lambda x: ~own(x)), lambda x: x["line"]), "\n"))
-    parts = F.transform(inside, cells)
-    found = let(F.struct(inside.alias("inside"), parts.alias("parts"), let(parts, _rows).alias("rows")), lambda x: _drawn(x["inside"], x["parts"], x["rows"]))
+    found = let(inside, lambda i: let(F.transform(i, _cells), lambda p: let(_rows(p), lambda r: _drawn(i, p, r))))
     none = F.struct(body.alias("rest"), F.lit(None).cast("string").alias("grid"), F.lit(None).cast("string").alias("markdown"))
     return let(found, lambda x: F.when(x["grid"].isNotNull(), F.struct(rest.alias("rest"), x["grid"].alias("grid"), x["markdown"].alias("markdown"))).otherwise(none))
 

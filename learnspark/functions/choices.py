@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from learnspark.functions.text import EXTRACTION_FOOTERS, remove_footer
+from learnspark.functions.text import EXTRACTION_FOOTERS, let, remove_footer
 
 # Marks, amounts, years, headers and words of the exam texts.
 MARKS = "①②③④⑤"
@@ -30,11 +30,6 @@ def none() -> Column:
     return F.array().cast("array<string>")
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _flat(c: Column) -> Column:
     return F.replace(c, F.lit("\n"), F.lit(" "))
 
@@ -79,17 +74,15 @@ def from_choices(body: Column) -> Column:
 
 def headers(body: Column) -> Column:
     """Names of the columns of choices: two years, two letters, or the words of the last line above them."""
-    return let(before_choices(body), _headers)
+    return let(before_choices(body), lambda above: let(_flat(above), lambda flat: let(F.right(flat, F.lit(120)), lambda end: _headers(above, flat, end))))
 
 
-def _headers(above: Column) -> Column:
-    flat = _flat(above)
+def _headers(above: Column, flat: Column, end: Column) -> Column:
     fours = _all(F.regexp_replace(flat, rf"(?i)({YEAR})\s+년", "$1년"), FOUR_YEARS)
     year = lambda y: F.concat(y, F.lit("년"))
     four = let(fours, lambda x: F.transform(F.slice(_all(_times(F.get(x, F.size(x) - 1)), YEAR), 1, 2), year))
     years = F.array_distinct(F.transform(_all(F.right(above, F.lit(200)), YEAR), _times))
     two = let(years, lambda x: F.when(F.size(x) >= 2, F.transform(F.slice(x, 1, 2), year)))
-    end = F.right(flat, F.lit(120))
     fixed = lambda *names: F.array(*map(F.lit, names))
     named = (
         F.when(flat.rlike(r"(?i)\(A\).*\(B\)"), fixed("(A)", "(B)"))
@@ -141,7 +134,10 @@ def _named(cells: Column, names: Column) -> Column:
 
 def grid_cells(tail: Column) -> Column:
     """For each mark its amount and, where the next line is one too, the second; marks without an amount are left out."""
+    return let(tail, _grid_cells)
+
 
+def _grid_cells(tail: Column) -> Column:
     def of(mark: str) -> Column:
         both = F.regexp_extract(tail, rf"{mark}\s*({AMOUNT})(?:\s*\n\s*({AMOUNT}))?", 0)
         return let(both, lambda x: F.when(x != "", F.struct(F.lit(mark).alias("mark"), _all(x, AMOUNT).alias("parts"))))

@@ -31,6 +31,10 @@ APART = (
 )
 
 
+#: A place before a particle, behind Hangul: one class for those of one character, before all longer ones.
+_PARTICLE = "(?=[" + "".join(p for p in PARTICLES if len(p) == 1) + "]|" + "|".join(p for p in PARTICLES if len(p) > 1 and p[0] not in PARTICLES) + ")(?<=[가-힣])"
+
+
 def _mask(k: int) -> str:
     return chr(0xE100 + k)
 
@@ -46,7 +50,8 @@ def masked(text: Column, patterns: Sequence[str]) -> Column:
 def _masker(k: int, pattern: str):
     def mask(s: Column) -> Column:
         found = F.regexp_extract_all(s["text"], F.lit(pattern), 0)
-        return F.struct(F.regexp_replace(s["text"], pattern, _mask(k)).alias("text"), F.concat(s["tokens"], F.array(found)).alias("tokens"))
+        new = lambda x: F.when(F.size(x) > 0, F.regexp_replace(s["text"], pattern, _mask(k))).otherwise(s["text"])
+        return let(found, lambda x: F.struct(new(x).alias("text"), F.concat(s["tokens"], F.array(x)).alias("tokens")))
 
     return mask
 
@@ -54,10 +59,14 @@ def _masker(k: int, pattern: str):
 def restored(text: Column, tokens: Column, n: int) -> Column:
     """The text with the i-th mask of each of n patterns replaced by the pattern's i-th token."""
     for k in range(n):
-        text = F.array_join(_woven(F.split(text, _mask(k)), F.get(tokens, F.lit(k))), "")
+        text = let(text, _weaver(k, tokens))
     return text
 
 
+def _weaver(k: int, tokens: Column):
+    return lambda t: F.when(t.contains(_mask(k)), F.array_join(_woven(F.split(t, _mask(k)), F.get(tokens, F.lit(k))), "")).otherwise(t)
+
+
 def _woven(parts: Column, tokens: Column) -> Column:
     return F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(tokens, i), F.lit(""))))
 
@@ -72,7 +81,7 @@ def _apart(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, "[￦₩]", "W"), r"20[xX](\d)", "20×$1")
     for pattern, new in APART:
         c = F.regexp_replace(c, pattern, new)
-    c = F.regexp_replace(c, r"(?<=[가-힣])(?=" + "|".join("\\Q" + p + "\\E" for p in PARTICLES) + ")", " ")
+    c = F.regexp_replace(c, _PARTICLE, " ")
     return F.regexp_replace(F.regexp_replace(c, r"(?<=\()\s+|\s+(?=\))", ""), r"[ \t]{2,}", " ")
 
 

@@ -31,18 +31,24 @@ def from_marker(text: Column, marker: str) -> Column:
 
 
 def year_sections(text: Column) -> Column:
-    """array<struct<year, round, position>> of the headers that name a year; the round is null where none is named."""
-    found = F.regexp_extract_all(text, F.lit(HEADER), 0)
-    gaps = F.transform(F.split(text, HEADER, -1), F.length)
+    """array<struct<year, round, position>> of the headers that name a year; the round is null where none is named.
 
-    def one(h: Column, i: Column) -> Column:
-        before = lambda sizes: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x)
-        earlier = F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
+    Headers and the lengths of the texts between them are worked out once, places by one pass over both.
+    """
+    both = F.struct(F.regexp_extract_all(text, F.lit(HEADER), 0).alias("found"), F.transform(F.split(text, HEADER, -1), F.length).alias("gaps"))
+    return let(both, lambda s: _placed(s["found"], s["gaps"]))
+
+
+def _placed(found: Column, gaps: Column) -> Column:
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, F.length), lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda at, x: F.array_append(at, F.element_at(at, -1) + x["gap"] + x["size"]))
+
+    def one(h: Column, end: Column) -> Column:
         year, turn = F.left(h, F.lit(4)).cast("int"), F.expr("try_cast(null as int)")
         named = F.regexp_extract(h, HEADER, 2)
-        return F.struct(year.alias("year"), F.when(named != "", named.cast("int")).otherwise(turn).alias("round"), (before(gaps) + earlier).alias("position"))
+        return F.struct(year.alias("year"), F.when(named != "", named.cast("int")).otherwise(turn).alias("round"), (end - F.length(h)).alias("position"))
 
-    return F.transform(found, one)
+    return F.zip_with(found, F.slice(ends, 2, F.size(found)), one)
 
 
 def page_year(text: Column) -> Column:

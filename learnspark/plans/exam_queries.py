@@ -39,7 +39,7 @@ def exam_tables(spark, d):
 
 
 def key_sheets(spark, d):
-    return torn.sheets(spark, d).select("doc_id", F.explode(answers.sheet(F.col("text"), 41, 80)).alias("x")).select("doc_id", "x.*")
+    return torn.sheets(spark, d).select("doc_id", F.explode_outer(answers.sheet(F.col("text"), 41, 80)).alias("x")).where("x is not null").select("doc_id", "x.*")  # an inner explode would read sheets twice
 
 
 def worked_answers(spark, d):
@@ -130,7 +130,7 @@ def _headed(spark, d):
 
 
 def year_sections(spark, d):
-    t = _headed(spark, d).select("doc_id", F.posexplode(pages.year_sections(F.col("text"))).alias("i", "x"))
+    t = _headed(spark, d).select("doc_id", F.posexplode_outer(pages.year_sections(F.col("text"))).alias("i", "x")).where("x is not null")
     return t.select("doc_id", "i", "x.*")
 
 

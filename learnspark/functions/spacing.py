@@ -78,11 +78,12 @@ def particles_apart(text: Column) -> Column:
 
 
 def _apart(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, "[￦₩]", "W"), r"20[xX](\d)", "20×$1")
+    c = F.regexp_replace(F.replace(F.replace(c, F.lit("￦"), F.lit("W")), F.lit("₩"), F.lit("W")), r"20[xX](\d)", "20×$1")
     for pattern, new in APART:
         c = F.regexp_replace(c, pattern, new)
     c = F.regexp_replace(c, _PARTICLE, " ")
-    return F.regexp_replace(F.regexp_replace(c, r"(?<=\()\s+|\s+(?=\))", ""), r"[ \t]{2,}", " ")
+    bare = lambda x: F.when(x.contains("(") | x.contains(")"), F.regexp_replace(x, r"(?<=\()\s+|\s+(?=\))", "")).otherwise(x)
+    return F.regexp_replace(let(c, bare), r"[ \t]{2,}", " ")
 
 
 class Terms:

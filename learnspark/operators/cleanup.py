@@ -54,7 +54,8 @@ def cleaned(questions: DataFrame, overrides: DataFrame | None = None, key: str =
 def fields(questions: DataFrame, key: str = "question_id") -> DataFrame:
     """(key, field, text): a row for each field and choice that is not blank."""
     all_ = F.concat(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in FIELDS[:3]]), F.transform("choices", lambda x, i: F.struct(F.concat(F.lit("choices["), (i + 1).cast("string"), F.lit("]")).alias("field"), x.alias("text"))))
-    return questions.select(key, F.explode(all_).alias("x")).select(key, "x.*").where(F.trim("text") != "")
+    # For an inner explode Spark filters by the array's size first, which cleans every field twice.
+    return questions.select(key, F.explode_outer(all_).alias("x")).select(key, "x.*").where(F.trim("text") != "")
 
 
 def metrics(questions: DataFrame, key: str = "question_id", letters: str = X.HANGUL) -> DataFrame:

@@ -153,15 +153,26 @@ def longest_common(pairs: DataFrame, a: str, b: str, least: int = 21) -> DataFra
 
 
 def coverage(stem: Column, whole: Column, least: int = 21) -> Column:
-    """Containment, else the longest common substring of `least` or more as a share of the normalised whole; 0 for nulls."""
+    """Containment, else the longest common substring of `least` or more as a share of the normalised whole; 0 for nulls.
+
+    Both texts are normalised once.
+    """
+
+    @F.pandas_udf("double")
+    def covered(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_covered(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return covered(X.normal(stem), X.normal(whole))
 
-    @F.pandas_udf("long")
-    def common(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_common(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-    inside = X.containment(stem, whole)
-    left = lambda c: F.when(inside.isNull(), X.normal(c))  # noqa: E731  contained stems are not searched
-    return F.coalesce(inside, common(left(stem), left(whole)) / F.nullif(F.length(X.normal(whole)), F.lit(0)), F.lit(0.0))
+def _covered(x: str | None, y: str | None, least: int) -> float:
+    if x == "":
+        return 0.0
+    if y == "":
+        return 1.0
+    if x is None or y is None:
+        return 0.0
+    return min(1.0, len(x) / len(y)) if x in y else _common(x, y, least) / len(y)
 
 
 def _common(x: str, y: str, least: int) -> int:
@@ -170,6 +181,8 @@ def _common(x: str, y: str, least: int) -> int:
         x, y = y, x
     if len(x) < least:
         return 0
+    if x in y:
+        return len(x)
     after: list[dict[str, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in x:

@@ -40,7 +40,7 @@ def slices(texts: DataFrame, key: str, text: str, low: int = 41, high: int = 80,
     cut_out = lambda s: F.trim(t.substr((s["position"] + 1).cast("int"), (F.coalesce(s["stop"], F.length(t)) - s["position"]).cast("int")))
     rows = texts.select(key, text).join(packed, key)
     own = F.transform("spans", lambda s: F.struct(s["number"].alias("number"), cut_out(s).alias("body"), extract.page_at(t, s["position"], page_mark).alias("page")))
-    out = rows.select(key, F.explode(own).alias("s")).select(key, "s.*")
+    out = rows.select(key, F.explode_outer(own).alias("s")).where("s is not null").select(key, "s.*")  # for an inner explode Spark would work `own` out twice
     bare = F.regexp_replace(X.remove_footer(F.col("body"), X.EXTRACTION_FOOTERS), r"^\d{1,2}\.", "")
     return out.withColumn("bare_", bare).select(
         key, "number", "body", "page", X.short_hash(F.col("body")).alias("body_hash"), X.choice_marks(F.col("body")).alias("n_marks"), X.numbers(F.col("bare_")).alias("numbers"), lines.units(F.col("bare_")).alias("units")

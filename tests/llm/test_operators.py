@@ -548,6 +548,92 @@ def test_language_model_by_hand(spark):
         assert math.isclose(sum(kept[s].root(m[s]) for m in mass.values()) + unseen, 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("head", [0, 12])
+def test_every_rare_word_has_its_own_restaurant(spark, monkeypatch, head):
+    """Counts of the state and every score, from the texts and the sampled tables alone, where no word shares a restaurant."""
+    monkeypatch.setattr(pitman_yor, "BATCH_DOCS", 30)
+    r, d, end = random.Random(6), 0.5, pitman_yor._END
+    texts = [" ".join(f"w{min(r.randint(0, 600), r.randint(0, 600))}" for _ in range(r.randint(0, 60))) for _ in range(80)] * 2
+    raw = spark.createDataFrame([(t.encode(),) for t in texts], "raw binary")
+    words = pitman_yor.Words(pitman_yor.word_counts(raw), head, own=True)
+    code = pitman_yor.Codes(words.head)
+    fixed, moved, kept = pitman_yor.train(raw, words, seed=3)
+    pairs, vocabulary = Counter(), Counter()
+    for t in texts:
+        ws = [*t.encode().split(), end]
+        vocabulary.update(ws)
+        pairs.update(zip([end, *ws[:-1]], ws))
+    assert len({code._code(w) & 0xFFFF for w in vocabulary if code._code(w) & 0xFFFF >= pitman_yor.HEAD}) < len(vocabulary) - head  # sharing would show
+    rows = {x.bucket: (x, y) for x in fixed.collect() for y in moved.where(f"bucket = {x.bucket}").collect()}
+    get = lambda row, c, kind=np.int32, up=False: pitman_yor.restored(row[c], kind, up)
+    part, whole = {code._code(w) >> 16: w for w in vocabulary}, {code._code(w): w for w in vocabulary}
+    near = {(code._code(u) & 0xFFFF) | (code._code(w) >> 16 << 16): (u, w) for u, w in pairs if code._code(u) & 0xFFFF < head}
+    hashed = {int(pitman_yor._pair_ids(*(np.array([code._code(x)], np.uint64) for x in p))[0]): p for p in pairs if code._code(p[0]) & 0xFFFF >= head}
+    held, sums, last, mass, tables, customers = {}, {}, Counter(), {}, {}, Counter()
+    for bucket, (f, m) in rows.items():
+        names = near if bucket < words.buckets else hashed
+        for k in get(f, "ones", np.uint64, True).tolist():
+            held[names[k]], sums[names[k]] = 1, len(kept)
+            last[names[k][1]] += 1
+        for k, n, t, s in zip(get(m, "keys", np.uint64, True).tolist(), *(get(m, c).tolist() for c in ("counts", "tables", "summed"))):
+            held[names[k]], sums[names[k]] = n, s
+            last[names[k][1]] += t
+            assert 1 <= t <= n and len(kept) <= s <= len(kept) * n
+        numbers = get(m, "mass").reshape(len(kept), -1).T.tolist()
+        for w, n, x in zip(get(f, "words", np.uint64, True).tolist(), get(f, "n").tolist(), numbers):
+            if bucket < words.buckets:
+                assert n == vocabulary[part[w]]
+                mass[part[w]] = [y / 2 for y in x]
+            else:
+                customers[whole[w]], tables[whole[w]] = n, x
+    assert held == pairs
+    for w in vocabulary:
+        at = code._code(w)
+        if at & 0xFFFF < head:
+            tables[w], customers[w] = [t.tables[at & 0xFFFF] for t in kept], kept[0].customers[at & 0xFFFF]
+            mass[w] = [float(t.head[at >> 16] - d * t.head_roots[at >> 16]) for t in kept]
+        assert customers[w] == sum(n for (u, _), n in pairs.items() if u == w)
+        assert d * last[w] <= mass[w][-1] <= last[w] - d
+    assert kept[-1].root_customers == sum(last.values())
+    more = [*texts, "w1 never seen w2", "never w5 w5", "", "W0 w0"]
+    got = pitman_yor.score(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(more)], "doc_id long, raw binary"), fixed, moved, kept, words)
+    got = {x.doc_id: x for x in got.collect()}
+    base, norm = 1 / (len(vocabulary) + 1), sum(vocabulary.values()) + len(vocabulary) + 1
+    for i, t in enumerate(more):
+        total, before, ws = 0.0, end, [*t.lower().encode().split(), end]
+        for w in ws:
+            p = max(pairs[before, w] - d * sums.get((before, w), 0) / len(kept), 0) / (2.0 + customers[before])
+            for k, s in enumerate(kept):
+                root = (mass.get(w, [0.0] * len(kept))[k] + s.new_root * base) / (50.0 + s.root_customers)
+                p += (2.0 + d * tables.get(before, [0] * len(kept))[k]) * root / (2.0 + customers[before]) / len(kept)
+            total, before = total + math.log10(p), w
+        assert math.isclose(got[i].score, total, rel_tol=1e-9), i
+        assert (got[i].n_tokens, got[i].n_known) == (len(ws), sum(vocabulary[w] > 0 for w in ws))
+        assert math.isclose(got[i].base_score, sum(math.log10((vocabulary[w] + 1) / norm) for w in ws), rel_tol=1e-9)
+    for s in (0, len(kept) - 1):
+        assert math.isclose(sum(kept[s].root(m[s]) for m in mass.values()) + kept[s].root(0.0), 1, rel_tol=1e-9)
+
+
+def test_the_query_shares_no_restaurant(spark, monkeypatch):
+    """Behind a rare word its own follower is likelier than that of another rare word."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [f"u{i} x{i}" for i in range(300)]
+    d = make(spark, [(i, t) for i, t in zip(ids, texts)] + [(1000 + i, f"u{i} x{j}") for i, j in ((k, k + 1) for k in range(290)) if zlib.crc32(str(1000 + i).encode()) % 7 == 2])
+    got = {x.doc_id: x.score for x in pitman_yor.scored(d, head=1).collect()}
+    assert min(got[i] for i in ids[:290]) > max(x for i, x in got.items() if i >= 1000) + 0.5
+
+
+def test_candidates_for_the_most_frequent_words(spark):
+    r = random.Random(4)
+    rows = [(r.getrandbits(64) - 2**63, max(1, 5000 // (k + 1))) for k in range(6000)]
+    counts = spark.createDataFrame(rows, "h long, n long")
+    for head in (0, 1, 3, 70, 300, 2600, 4000, 6000, 9000):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:head]
+        got = pitman_yor.likely(counts, head)
+        assert [(r.h, r.n) for r in got.orderBy(F.col("n").desc(), "h").limit(head).collect()] == want
+        assert got.count() <= head + 200
+
+
 def test_ids_and_frequent_pairs_are_spread(spark, monkeypatch):
     """No bucket has the ids of all batches, and a bucket of very frequent pairs is scored in parts with the same result."""
     monkeypatch.setattr(pitman_yor, "BATCH_DOCS", 5)

@@ -10,7 +10,7 @@ before the next one starts, so a task holds the bitmaps of one batch.
 
 Counts are sums of popcounts over shards. Only phrases of frequent parts can be frequent, so words
 are counted first, then pairs of frequent words, then longer phrases of frequent pairs. Counts
-travel in packed rows by the phrase's hash, and each shard is told which of its own phrases are
+travel in packed and compressed rows by the phrase's hash, and each shard is told which of its own phrases are
 frequent; nothing is broadcast, and a phrase has at most one count a shard.
 
 Defined results: null texts are empty, a null language is `und`; words keep everything but blanks,
@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,10 +47,10 @@ UNKNOWN = "und"
 _READ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 
 SHARDS = "shard long, lang string, n_words long, words array<string>, length long, tokens binary"
-PACKED = "bucket int, lang string, shard long, phrases array<string>, counts array<int>"
-TOLD = "lang string, shard long, phrases array<string>, counts array<long>"
-_PACKED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("shard", pa.int64()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
-_TOLD = pa.schema([*list(_PACKED)[1:4], ("counts", pa.list_(pa.int64()))])
+PACKED = "bucket int, lang string, shard long, packed binary, counts binary"
+TOLD = "lang string, shard long, packed binary, phrases array<string>, counts array<long>"
+_PACKED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("shard", pa.int64()), ("packed", pa.binary()), ("counts", pa.binary())])
+_TOLD = pa.schema([*list(_PACKED)[1:4], ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _tokens(texts: pa.Array) -> pa.Array:
@@ -69,6 +70,17 @@ def _restored(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32)[:, 0]
 
 
+def _packed_lists(phrases: pa.Array, offsets: np.ndarray) -> list[bytes]:
+    """Each list of phrases, compressed; no phrase has a line end."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), phrases)
+    return [zstandard.compress(x, 1) for x in pc.binary_join(lists, "\n").cast(pa.binary()).to_pylist()]
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    """The lists of phrases; an empty list is not packed."""
+    return pc.split_pattern(pa.array(map(zstandard.decompress, packed.to_pylist()), pa.binary()).cast(pa.string()), "\n")
+
+
 def _shard_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Shards of `most` positions or the rest, of longer pieces where there are such; one language each."""
     first, made, held, sizes = TaskContext.get().partitionId() << 32, 0, {}, {}
@@ -211,8 +223,9 @@ def _packed(lang: str, shard: int, phrases: pa.Array, counts: np.ndarray, bucket
     """A row for each bucket."""
     order = np.argsort(bucket, kind="stable")
     there, start = np.unique(bucket[order], return_index=True)
-    offsets = pa.array(np.append(start, len(bucket)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, x) for x in (phrases.take(pa.array(order)), pa.array(counts[order], pa.int32()))]
+    offsets = np.append(start, len(bucket))
+    counts = counts[order].astype(np.int32)
+    lists = [pa.array(x, pa.binary()) for x in (_packed_lists(phrases.take(pa.array(order)), offsets), [_squeezed(counts[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])]
     return pa.record_batch([pa.array(there, pa.int32()), pa.array([lang] * len(there), pa.string()), pa.array([shard] * len(there), pa.int64()), *lists], schema=_PACKED)
 
 
@@ -230,7 +243,7 @@ def _counted(shards: DataFrame, level: int, groups: int) -> DataFrame:
                     some = np.flatnonzero(counts)  # not the gap's own entry
                     yield _packed(lang, shard, words.take(pa.array(some)), counts[some], hashes[some] % groups)
                     continue
-                told = b["told"][row].values
+                told = _unpacked(b["told"][row].values).flatten()
                 told = [pc.index_in(x, words).to_numpy() for x in ([told] if level == 2 else _halves(told))]
                 for phrase, counts in _phrases(tokens, len(words), *told):
                     mixed = hashes[phrase[0]]
@@ -243,31 +256,32 @@ def _counted(shards: DataFrame, level: int, groups: int) -> DataFrame:
 
 
 def _frequent(packed: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, phrases, counts) of the phrases counted `least` times or more, and rows (shard, phrases) of where they are."""
+    """Rows (lang, phrases, counts) of the phrases counted `least` times or more, and rows (shard, packed) of where they are."""
 
     def sum_up(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        size = pc.list_value_length(t["phrases"]).to_numpy()
+        lists = _unpacked(t["packed"].combine_chunks())
+        size, flat = pc.list_value_length(lists).to_numpy(), lists.flatten()
         row = np.repeat(np.arange(len(size)), size)
-        flat = {c: pc.list_flatten(t[c]).combine_chunks() for c in ("phrases", "counts")}
+        counts = np.concatenate([_restored(x, n) for x, n in zip(t["counts"].to_pylist(), size.tolist(), strict=True)])
         langs = t["lang"].combine_chunks().dictionary_encode()
-        phrases = flat["phrases"].dictionary_encode()
+        phrases = flat.dictionary_encode()
         code = langs.indices.to_numpy().astype(np.int64)[row] * len(phrases.dictionary) + phrases.indices.to_numpy()
         codes, key = np.unique(code, return_inverse=True)
         total = np.zeros(len(codes), np.int64)
-        np.add.at(total, key, flat["counts"].to_numpy())
+        np.add.at(total, key, counts)
         some = np.flatnonzero(total[key] >= least)
         out = []
         good = np.flatnonzero(total >= least)
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             own = good[codes[good] // len(phrases.dictionary) == k]
             if len(own):
-                out.append((lang, None, phrases.dictionary.take(pa.array(codes[own] % len(phrases.dictionary))).to_pylist(), total[own]))
+                out.append((lang, None, None, phrases.dictionary.take(pa.array(codes[own] % len(phrases.dictionary))).to_pylist(), total[own]))
         shard = t["shard"].to_numpy()[row[some]]
-        some = some[np.argsort(shard, kind="stable")]
-        there, start = np.unique(np.sort(shard), return_index=True)
-        own = flat["phrases"].take(pa.array(some))
-        out += [(None, s, own[i:j].to_pylist(), None) for s, i, j in zip(there, start, [*start[1:], len(some)], strict=False)]
+        order = np.argsort(shard, kind="stable")
+        there, start = np.unique(shard[order], return_index=True)
+        packed = _packed_lists(flat.take(pa.array(some[order])), np.append(start, len(some)))
+        out += [(None, s, x, None, None) for s, x in zip(there, packed, strict=True)]
         return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_TOLD)], schema=_TOLD)
 
     return packed.groupBy("bucket").applyInArrow(sum_up, TOLD)
@@ -286,7 +300,7 @@ def phrase_counts(shards: DataFrame, least: int = 30) -> DataFrame:
     for level in (1, 2, 3):
         rows = shards
         if told is not None:
-            own = told.where("shard is not null").groupBy("shard").agg(F.flatten(F.collect_list("phrases")).alias("told"))
+            own = told.where("shard is not null").groupBy("shard").agg(F.collect_list("packed").alias("told"))
             rows = shards.join(own, "shard")
         told = cut(_frequent(_counted(rows, level, groups), least))
         found.append(told)

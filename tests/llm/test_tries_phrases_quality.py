@@ -170,6 +170,22 @@ def some_prose(seed=2):
     return rows + [(None, "en"), ("", "fr"), (" \t\n", "fr"), ("x " * 5000, "en"), ("one two three four " * 40, "es"), ("one two three four " * 40, "es")]
 
 
+def test_packed_phrases_are_small_and_whole(spark):
+    """What travels between shards and counts is a fraction of its phrases."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [" ".join(f"word{min(r.randint(0, 3000), r.randint(0, 3000))}" for _ in range(2000)) for _ in range(20)]
+    shards = collocations.shards_of(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(1))
+    want, rows = Counter(w for t in texts for w in t.split()), collocations._counted(shards, 1, 3).collect()
+    got = Counter()
+    for x in rows:
+        words = collocations._unpacked(pa.array([x.packed], pa.binary())).flatten().to_pylist()
+        got.update(dict(zip(words, collocations._restored(x.counts, len(words)).tolist(), strict=True)))
+    assert got == want and len(rows) == 3
+    assert sum(len(x.packed) + len(x.counts) for x in rows) < 0.6 * sum(len(w) + 4 for w in want)
+
+
 @pytest.mark.parametrize(("size", "least", "top"), [(1_000_000, 30, 2000), (50, 3, 2000), (400, 2, 7)])
 def test_collocations(spark, size, least, top):
     rows = some_prose()

@@ -7,11 +7,11 @@ Private-use characters from U+E100 on are the masks and are not expected in text
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from learnspark.functions.choices import let
@@ -31,6 +31,9 @@ APART = (
 )
 
 
+#: Bytes of texts that a Python worker is given at once.
+BATCH_BYTES = 4 << 20
+
 #: A place before a particle, behind Hangul: one class for those of one character, before all longer ones.
 _PARTICLE = "(?=[" + "".join(p for p in PARTICLES if len(p) == 1) + "]|" + "|".join(p for p in PARTICLES if len(p) > 1 and p[0] not in PARTICLES) + ")(?<=[가-힣])"
 
@@ -130,11 +133,17 @@ def hangul(c: str) -> bool:
 
 
 def terms_apart(text: Column, terms: Sequence[str], prefixes: Sequence[str] = ()) -> Column:
-    """The text with the terms of a dictionary apart; runs of white space become one space."""
+    """The text with the terms of a dictionary apart; runs of white space become one space.
+
+    From here on in this session, Arrow batches have BATCH_BYTES at most, or one longer text: a worker holds several copies of a batch.
+    """
     words = [(*terms,), (*prefixes,)]
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
-    @F.pandas_udf("string")
-    def apart(texts: pd.Series) -> pd.Series:
-        return texts.map(Terms(*words).spaced)
+    @F.arrow_udf("string")
+    def apart(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Terms(*words)
+        for texts in batches:
+            yield pa.array((known.spaced(x.as_py()) for x in texts), pa.string())
 
     return F.regexp_replace(apart(text), r"\s{2,}", " ")

@@ -113,6 +113,16 @@ def in_turn(text, terms, prefixes):
     return re.sub(r"\s{2,}", " ", text)
 
 
+def test_terms_are_matched_in_small_batches(spark):
+    """A worker gets a few megabytes at once, whatever the number and length of texts."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(3000, numPartitions=1).select("id", F.concat(F.repeat(F.lit("기말자산"), 1000), F.col("id").cast("string")).alias("t"))
+    got = texts.select("id", spacing.terms_apart(F.col("t"), ["자산"]).alias("t")).withColumn("n", F.length("t"))
+    assert got.where(F.col("n") == 5000 + F.length(F.col("id").cast("string"))).count() == 3000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
 def test_terms_apart_equals_replacements_in_turn(spark):
     r = random.Random(8)
     letters = "가나다라 1"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from learnspark.llm import simhash
+from learnspark.llm import common, simhash
 from learnspark.llm.common import connected_components, cut
 
 
@@ -92,3 +92,45 @@ def test_the_largest_group_of_a_hash_comes_first():
     assert run.tolist() == [0, 0, 1, 1, 1, 1] and rest.tolist() == [0, 0, 0, 0, 1, 1]
     assert out["size"].tolist() == [1, 2, 6, 8, 1, 5]
     assert all(len(x) == 0 for x in simhash._largest_group_first(rows[:0]))
+
+
+@pytest.mark.parametrize("task_edges", [10**6, 40])
+def test_components_of_few_are_the_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(common, "TASK_EDGES", task_edges)
+    r = random.Random(4)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1_000, 1_100)] + [(5_000, 4_000), (7, 7)]
+    given = spark.createDataFrame(edges, "a long, b long")
+    told = [(x.node, x.component) for x in common.components_of_few(given).collect()]
+    assert sorted(told) == sorted((x.node, x.component) for x in connected_components(given).collect())
+    assert common.components_of_few(given.limit(0)).count() == 0
+
+
+def test_pairs_no_more_than_a_few_a_text_are_compared_in_one_round(spark, monkeypatch):
+    texts, rounds, similar = family(60, 3), [], simhash.similar
+    rows = frame(spark, texts)
+    pairs = [(i, j) for i, j in combinations(range(60), 2) if j - i <= 3]
+
+    def counted(asked, hashes):
+        rounds.append(asked.count())
+        return similar(asked, hashes)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    links = simhash.compared(spark.createDataFrame(pairs, "a long, b long"), cut(simhash.sets(rows)), None)
+    assert {(x.a, x.b) for x in links.collect()} == set(links_of(texts)) & set(pairs)
+    assert rounds == [len(pairs)]
+    monkeypatch.setattr(simhash, "AT_ONCE", 0)
+    links = simhash.compared(spark.createDataFrame(pairs, "a long, b long"), cut(simhash.sets(rows)), None)
+    same = lambda edges: {(x.node, x.component) for x in connected_components(edges).collect()}
+    assert len(rounds) > 2 and same(links) == same(spark.createDataFrame(sorted(set(links_of(texts)) & set(pairs)), "a long, b long"))
+
+
+def test_kinds_of_fingerprints_meet_in_one_pass(spark, crowd):
+    found, _ = crowd
+    kinds = [cut(found.select(F.col("fps")[k].alias("fp"), "node", "group")) for k in range(simhash.PRINTS)]
+    plans = [simhash.Plan(nodes, 200, simhash.KEEP_RADIUS, simhash.TRAVEL) for nodes in kinds]
+    met = [(x.a, x.b) for x in simhash.first_meetings(found, *plans).collect()]
+    each = {(x.a, x.b) for nodes, plan in zip(kinds, plans, strict=True) for x in simhash.first_meetings(nodes, plan).collect()}
+    assert len(met) == len(set(met)) and set(met) == each
+    told = [x.node for x in simhash.far_texts(found.select("fps", "node", "group"), *plans).collect()]
+    each = {x.node for nodes, plan in zip(kinds, plans, strict=True) for x in simhash.far_texts(nodes, plan).collect()}
+    assert len(told) == len(set(told)) and set(told) == each

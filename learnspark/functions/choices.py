@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from learnspark.functions.text import EXTRACTION_FOOTERS, let, remove_footer
+from learnspark.functions.text import ANY_MARK, EXTRACTION_FOOTERS, let, remove_footer, stripped
 
 # Marks, amounts, years, headers and words of the exam texts.
 MARKS = "①②③④⑤"
@@ -38,12 +38,13 @@ def _one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def _lines(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, "\r?\n"), stripped), lambda x: x != "")
 
 
-def _lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\r?\n"), _stripped), lambda x: x != "")
+def _marked(line: Column) -> Column:
+    """Whether a line starts with a mark."""
+    return F.left(line, F.lit(1)).isin(*MARKS)
 
 
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -64,12 +65,12 @@ def _times(c: Column) -> Column:
 
 
 def before_choices(body: Column) -> Column:
-    return F.regexp_extract(body, rf"(?s)^[^{MARKS}]*", 0)
+    return F.split(body, f"[{ANY_MARK}]", 2)[0]
 
 
 def from_choices(body: Column) -> Column:
     """From the first mark on; empty where there is none."""
-    return F.regexp_extract(body, rf"(?s)[{MARKS}].*$", 0)
+    return F.regexp_extract(body, rf"(?s)[{ANY_MARK}].*$", 0)
 
 
 def headers(body: Column) -> Column:
@@ -80,30 +81,30 @@ def headers(body: Column) -> Column:
 def _headers(above: Column, flat: Column, end: Column) -> Column:
     fours = _all(F.regexp_replace(flat, rf"(?i)({YEAR})\s+년", "$1년"), FOUR_YEARS)
     year = lambda y: F.concat(y, F.lit("년"))
-    four = let(fours, lambda x: F.transform(F.slice(_all(_times(F.get(x, F.size(x) - 1)), YEAR), 1, 2), year))
+    four = let(F.when(flat.contains("년"), fours), lambda x: F.transform(F.slice(_all(_times(F.get(x, F.size(x) - 1)), YEAR), 1, 2), year))
     years = F.array_distinct(F.transform(_all(F.right(above, F.lit(200)), YEAR), _times))
     two = let(years, lambda x: F.when(F.size(x) >= 2, F.transform(F.slice(x, 1, 2), year)))
     fixed = lambda *names: F.array(*map(F.lit, names))
     named = (
-        F.when(flat.rlike(r"(?i)\(A\).*\(B\)"), fixed("(A)", "(B)"))
+        F.when((flat.contains("(A)") | flat.contains("(a)")) & flat.rlike(r"(?i)\(A\).*\(B\)"), fixed("(A)", "(B)"))
         .when((F.size(_all(end, "할인액")) >= 2) & end.contains("처분손실"), fixed("할인액", "처분손실"))
         .when(end.contains("법인세비용") & end.contains("이연법인세"), fixed("법인세비용", "이연법인세자산", "이연법인세부채"))
     )
     return F.coalesce(four, two, named, none())
 
 
-def tail_lines(body: Column) -> Column:
-    """The lines from the first mark on, without blank ones."""
-    return _lines(from_choices(body))
+def tail_lines(tail: Column) -> Column:
+    """The lines of a text from its first mark on, without blank ones."""
+    return _lines(tail)
 
 
 def blocks(lines: Column) -> Column:
     """(mark, parts) of each line that starts with a mark, with the lines up to the next one; empty parts are left out."""
-    starts = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"^[{MARKS}]"), i + 1)), lambda i: i.isNotNull())
+    starts = F.filter(F.transform(lines, lambda x, i: F.when(_marked(x), i + 1)), lambda i: i.isNotNull())
 
     def block(own: Column) -> Column:
         first = F.get(own, F.lit(0))
-        parts = F.filter(F.concat(F.array(_stripped(F.substring(first, 2, 1 << 30))), F.slice(own, 2, 1 << 30)), lambda x: x != "")
+        parts = F.filter(F.concat(F.array(stripped(F.substring(first, 2, 1 << 30))), F.slice(own, 2, 1 << 30)), lambda x: x != "")
         return F.struct(F.left(first, F.lit(1)).alias("mark"), parts.alias("parts"))
 
     own = lambda s: F.transform(s, lambda at, k: F.slice(lines, at, F.coalesce(F.get(s, k + 1), F.size(lines) + 1) - at))
@@ -146,10 +147,10 @@ def _grid_cells(tail: Column) -> Column:
 
 
 class Body:
-    """What the strategies read: columns of the body and, worked out before, its names, lines from the first mark, blocks and grid cells."""
+    """What the strategies read: columns of the body and, worked out before, its names, text and lines from the first mark, blocks and grid cells."""
 
-    def __init__(self, body: str, names: str, lines: str, blocks: str, cells: str) -> None:
-        self.text, self.names, self.lines, self.blocks, self.cells = (F.col(f"`{c}`") for c in (body, names, lines, blocks, cells))
+    def __init__(self, body: str, names: str, tail: str, lines: str, blocks: str, cells: str) -> None:
+        self.text, self.names, self.tail, self.lines, self.blocks, self.cells = (F.col(f"`{c}`") for c in (body, names, tail, lines, blocks, cells))
 
 
 def grid(b: Body) -> Column:
@@ -164,8 +165,8 @@ def multicolumn(b: Body) -> Column:
 
     def one(line: Column, i: Column) -> Column:
         below = F.get(b.lines, i + 1)
-        cells = F.array(_stripped(F.substring(line, 2, 1 << 30)), F.when(below.rlike(CELL), below).otherwise(""))
-        return F.when(line.rlike(f"^[{MARKS}]"), _clean(in_columns(cells, b.names)))
+        cells = F.array(stripped(F.substring(line, 2, 1 << 30)), F.when(below.rlike(CELL), below).otherwise(""))
+        return F.when(_marked(line), _clean(in_columns(cells, b.names)))
 
     return let(F.filter(F.transform(b.lines, one), lambda x: x != ""), _five)
 
@@ -183,30 +184,29 @@ def circled(b: Body) -> Column:
 
 def won(b: Body) -> Column:
     """Lines with a mark and an amount, or marks with amounts anywhere."""
-    own = F.filter(_lines(b.text), lambda x: x.rlike(rf"^[{MARKS}]\s*."))
-    values = F.transform(own, lambda x: _clean(in_columns(F.array(_stripped(F.substring(x, 2, 1 << 30))), b.names)))
+    own = F.filter(_lines(b.text), lambda x: _marked(x) & x.rlike(rf"^[{ANY_MARK}]\s*."))
+    values = F.transform(own, lambda x: _clean(in_columns(F.array(stripped(F.substring(x, 2, 1 << 30))), b.names)))
     amounts = F.filter(values, lambda x: x.contains("W") | x.rlike(THOUSANDS))
-    inline = F.transform(_all(_flat(b.text), rf"[{MARKS}]\s*((?:W[\d,]+(?:\s*,?\s*)?)+)", 1), lambda x: _one_line(in_columns(F.array(x), b.names)))
+    inline = F.transform(_all(_flat(b.tail), rf"[{ANY_MARK}]\s*((?:W[\d,]+(?:\s*,?\s*)?)+)", 1), lambda x: _one_line(in_columns(F.array(x), b.names)))
     return F.coalesce(let(amounts, _five), let(inline, _five))
 
 
 def hashes(b: Body) -> Column:
-    items = F.filter(_all(_flat(b.text), r"#\s*([^#]{1,220}?)(?=\s*#|$)", 1), lambda x: _stripped(x) != "")
+    items = F.filter(_all(_flat(b.text), r"#\s*([^#]{1,220}?)(?=\s*#|$)", 1), lambda x: stripped(x) != "")
     return let(F.transform(items, lambda x: _one_line(F.regexp_replace(x, "^[ .]+|[ .]+$", ""))), _five)
 
 
 def combinations(b: Body) -> Column:
     """Combinations of Hangul letters after the question mark, as read or as misread."""
-    after = F.regexp_extract(_one_line(b.text), r"[?？]\s*(?:\([^)]*\))?\s*(.+)$", 1)
-    misread = _all(after, rf"[{MARKS}]?\s*({COMBINATION})[^{MARKS}]{{0,120}}", 1)
-    plain = _all(after, rf"[{MARKS}]\s*([ㄱ-ㅎㅁ][^{MARKS}]{{0,120}})", 1)
+    after = F.regexp_extract(_one_line(F.regexp_extract(b.text, r"(?s)[?？].*$", 0)), r"[?？]\s*(?:\([^)]*\))?\s*(.+)$", 1)
+    misread = _all(after, rf"[{ANY_MARK}]?\s*({COMBINATION})[^{ANY_MARK}]{{0,120}}", 1)
+    plain = _all(after, rf"[{ANY_MARK}]\s*([ㄱ-ㅎㅁ][^{ANY_MARK}]{{0,120}})", 1)
     return F.coalesce(*[let(F.transform(x, _one_line), _five) for x in (misread, plain)])
 
 
 def statements(b: Body) -> Column:
     """Sentences of eight characters or more."""
-    tail = from_choices(b.text)
-    parts = F.split(_flat(F.when(tail != "", tail).otherwise(b.text)), r"(?<=[.:])\s+")
+    parts = F.split(_flat(F.when(b.tail != "", b.tail).otherwise(b.text)), r"(?<=[.:])\s+")
     bare = F.transform(parts, lambda x: F.regexp_replace(x, "^[ .:]+|[ .:]+$", ""))
     return let(F.transform(F.filter(bare, lambda x: F.length(x) >= 8), _one_line), _five)
 

@@ -9,30 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from learnspark.functions.choices import MARKS, let
+from learnspark.functions.text import ANY_MARK, has_any, let, stripped
 
 # Words of table headers and shapes of lines that are none.
 HEADER_WORDS = ("차변", "대변", "구분", "일자", "적요", "예산", "실제", "단일금액", "정상연금", "액면가치", "시장이자율", "상환가치", "연금현재가치")
-ENTRY = r"^\((?:차변|대변)\)"
+ENTRIES = ("(차변)", "(대변)")
 YEARS_ONLY = r"^(?:년\s*)?(?:20[×xX]\d{1,2}\s*년\s*){1,4}20[×xX]\d{1,2}\s*$"
-QUESTION = rf"^(?:\d{{1,2}}\.|[{MARKS}])"
+QUESTION = rf"^(?:\d{{1,2}}\.|[{ANY_MARK}])"
 FACTOR = r"\d+\.\d{3,4}"
 BETWEEN_CELLS = r"\s{2,}|\t|(?<=\d)\s+(?=\D)|(?<=\D)\s+(?=\d)"
 PLACE = "[TABLE]"
 LONGEST_HEADER = 140
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def _some(parts: Column) -> Column:
-    return F.filter(F.transform(parts, _stripped), lambda x: x != "")
+    return F.filter(F.transform(parts, stripped), lambda x: x != "")
 
 
 def cells(line: Column) -> Column:
     """The cells of a line: by tabs, by wide gaps and between digits and others, or by bars."""
-    return let(_stripped(line), _cells)
+    return let(stripped(line), _cells)
 
 
 def _cells(line: Column) -> Column:
@@ -42,20 +38,22 @@ def _cells(line: Column) -> Column:
 
 
 def line_class(line: Column) -> Column:
-    """H, D, B or X of a line without blanks around it; cells are counted where they can make a difference."""
-    digit, entry = line.rlike(r"\d"), line.rlike(ENTRY)
-    word = F.lit(False)
-    for w in HEADER_WORDS:
-        word = word | line.contains(w)
-    told = F.when(line == "", "B").when(line == PLACE, "H").when(line.rlike(QUESTION) | ~(digit | entry | word), "X")
-    return F.coalesce(told, let(F.size(_cells(line)), lambda n: _line_class(line, n, digit, entry, word)))
+    """H, D, B or X of a line without blanks around it; words and cells are looked for where they can make a difference."""
+    digit, entry, word = line.rlike(r"\d"), F.left(line, F.lit(4)).isin(*ENTRIES), has_any(line, HEADER_WORDS)
+    short = (F.length(line) <= LONGEST_HEADER) | line.startswith("(차변)")
+    told = F.when(line == "", "B").when(line == PLACE, "H").when(F.left(line, F.lit(3)).rlike(QUESTION) | ~(digit | entry | (short & word)), "X")
+    return F.coalesce(told, let(_few_cells(line), lambda n: _line_class(line, n, digit, entry, word, short)))
 
 
-def _line_class(line: Column, n: Column, digit: Column, entry: Column, word: Column) -> Column:
+def _few_cells(line: Column) -> Column:
+    """The number of cells, where it is three or more any of those: splits end at white space, so that no part of a split is blank."""
+    return let(F.size(F.split(line, BETWEEN_CELLS, 3)), lambda n: F.when(line.contains("\t") | ((n < 2) & line.contains("|")), F.size(_cells(line))).otherwise(n))
+
+
+def _line_class(line: Column, n: Column, digit: Column, entry: Column, word: Column, short: Column) -> Column:
     plain = ~line.rlike("[?？]") & ~F.replace(line, F.lit(" "), F.lit("")).rlike(YEARS_ONLY)
-    short = (F.length(line) <= LONGEST_HEADER) | line.startswith("(차변)")
-    header = plain & short & (entry | (word & (n >= 2)) | ((n >= 3) & digit) | line.rlike(FACTOR))
-    data = entry | line.rlike(FACTOR) | ((n >= 2) & digit)
+    header = short & plain & (entry | ((n >= 2) & word) | ((n >= 3) & digit) | line.rlike(FACTOR))
+    data = entry | ((n >= 2) & digit) | line.rlike(FACTOR)
     return F.when(header, "H").when(data, "D").otherwise("X")
 
 
@@ -64,7 +62,7 @@ def table(body: Column) -> Column:
 
     A line of one cell goes to the row above it. One row alone is a table only where it has two lines or more.
     """
-    lines = F.transform(F.split(body, "\r?\n"), _stripped)
+    lines = F.transform(F.split(body, "\r?\n"), stripped)
     islands = lambda x: F.split(F.regexp_replace(F.array_join(F.transform(x, line_class), ""), r"(?:(?<=H)|(?!^)\G)[DB]", "T"), "")
     marked = let(lines, lambda x: F.arrays_zip(x.alias("line"), islands(x).alias("mark")))
     return let(marked, lambda x: _table(body, x))
@@ -73,7 +71,7 @@ def table(body: Column) -> Column:
 def _table(body: Column, lines: Column) -> Column:
     own = lambda x: x["mark"].isin("H", "T")
     inside = F.transform(F.filter(lines, lambda x: own(x) & (x["line"] != "") & (x["line"] != PLACE)), lambda x: x["line"])
-    rest = _stripped(F.array_join(F.transform(F.filter(lines, lambda x: ~own(x)), lambda x: x["line"]), "\n"))
+    rest = stripped(F.array_join(F.transform(F.filter(lines, lambda x: ~own(x)), lambda x: x["line"]), "\n"))
     found = let(inside, lambda i: let(F.transform(i, _cells), lambda p: let(_rows(p), lambda r: _drawn(i, p, r))))
     none = F.struct(body.alias("rest"), F.lit(None).cast("string").alias("grid"), F.lit(None).cast("string").alias("markdown"))
     return let(found, lambda x: F.when(x["grid"].isNotNull(), F.struct(rest.alias("rest"), x["grid"].alias("grid"), x["markdown"].alias("markdown"))).otherwise(none))

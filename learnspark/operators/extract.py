@@ -68,7 +68,7 @@ def fullest(parsed: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 #: A number mark: one or two digits and a dot, apart from other numbers.
-MARK = r"(?<![\d.])\d{1,2}\.(?!\d)"
+MARK = r"\d(?<![\d.]\d)\d?\.(?!\d)"
 
 
 def markers(docs: DataFrame, id_col: str, text_col: str, low: int, high: int) -> DataFrame:
@@ -103,7 +103,8 @@ def choices(body, marks: str = "①②③④⑤"):
 
 
 def stem(body, marks: str = "①②③④⑤"):
-    return F.trim(F.regexp_replace(F.split(body, f"[{marks}]")[0], r"^\d{1,2}\.\s*", ""))
+    above = F.split(body, f"[{X.ANY_MARK if marks == X.CHOICE_MARKS else marks}]", 2)[0]
+    return F.trim(F.regexp_replace(above, r"^\d{1,2}\.\s*", ""))
 
 
 def with_choices(questions: DataFrame, body: str) -> DataFrame:
@@ -114,9 +115,10 @@ def with_choices(questions: DataFrame, body: str) -> DataFrame:
     pushes a filter on them below all strategies, which copies them.
     """
     text = F.col(f"`{body}`")
-    rows = questions.withColumns({"names_": C.headers(text), "lines_": C.tail_lines(text), "cells_": C.grid_cells(C.from_choices(text)), "table_": T.table(text)})
+    rows = questions.withColumns({"names_": C.headers(text), "tail_": C.from_choices(text), "table_": T.table(text)})
+    rows = rows.withColumns({"lines_": C.tail_lines(F.col("tail_")), "cells_": C.grid_cells(F.col("tail_"))})
     rows = rows.withColumn("blocks_", C.blocks(F.col("lines_")))
-    read, found = C.Body(body, "names_", "lines_", "blocks_", "cells_"), F.lit(None).cast("array<string>")
+    read, found = C.Body(body, "names_", "tail_", "lines_", "blocks_", "cells_"), F.lit(None).cast("array<string>")
     strategy = F.lit(None).cast("string")
     rows = rows.withColumns({"strategy": strategy, "choices": found})
     for name, way in C.STRATEGIES:
@@ -153,26 +155,33 @@ def longest_common(pairs: DataFrame, a: str, b: str, least: int = 21) -> DataFra
 
 
 def coverage(stem: Column, whole: Column, least: int = 21) -> Column:
-    """Containment, else the longest common substring of `least` or more as a share of the normalised whole; 0 for nulls.
+    """Containment, else the longest common substring of `least` or more as a share of the normalised whole; 0 for nulls."""
+    a, b = X.normal(stem), X.normal(whole)
+    return _covered(_told(a, b, least), a, b, least)
 
-    Both texts are normalised once.
-    """
 
-    @F.pandas_udf("double")
-    def covered(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_covered(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
+def with_coverage(rows: DataFrame, name: str, stem: Column, whole: Column, least: int = 21) -> DataFrame:
+    """rows with their `coverage`; both texts are normalised once. The columns `a_`, `b_` and `told_` must not be there."""
+    rows = rows.withColumns({"a_": X.normal(stem), "b_": X.normal(whole)})
+    rows = rows.withColumn("told_", _told(F.col("a_"), F.col("b_"), least))
+    return rows.withColumn(name, _covered(F.col("told_"), F.col("a_"), F.col("b_"), least)).drop("a_", "b_", "told_")
+
 
-    return covered(X.normal(stem), X.normal(whole))
+def _told(a: Column, b: Column, least: int) -> Column:
+    """The coverage, null where the longest common substring has to be looked for."""
+    n, m = F.length(a), F.length(b)
+    inside = F.when(n == 0, 0.0).when(m == 0, 1.0).when(a.isNull() | b.isNull(), 0.0).when(b.contains(a), n / m)
+    return F.coalesce(inside, F.when(F.least(n, m) < least, 0.0).when(a.contains(b), 1.0))
 
 
-def _covered(x: str | None, y: str | None, least: int) -> float:
-    if x == "":
-        return 0.0
-    if y == "":
-        return 1.0
-    if x is None or y is None:
-        return 0.0
-    return min(1.0, len(x) / len(y)) if x in y else _common(x, y, least) / len(y)
+def _covered(told: Column, a: Column, b: Column, least: int) -> Column:
+    """What is told, else looked for; other texts do not go to Python."""
+
+    @F.pandas_udf("double")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if x is None or y is None else _common(x, y, least) / len(y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.coalesce(told, shared(F.when(told.isNull(), a), F.when(told.isNull(), b)))
 
 
 def _common(x: str, y: str, least: int) -> int:

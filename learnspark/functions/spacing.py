@@ -96,9 +96,9 @@ class Terms:
         kept = dict.fromkeys(t for t in terms if len(t) > 1)
         self.words = [(w, False) for w in sorted(kept, key=len, reverse=True)] + [(p, True) for p in dict.fromkeys(prefixes) if len(p) > 1]
         self.automaton = ahocorasick.Automaton()
-        by_text: dict[str, list[int]] = {}
+        by_text: dict[str, list[tuple[int, int]]] = {}
         for rank, (w, _) in enumerate(self.words):
-            by_text.setdefault(w, []).append(rank)
+            by_text.setdefault(w, []).append((rank, len(w)))
         for w, ranks in by_text.items():
             self.automaton.add_word(w, ranks)
         if by_text:
@@ -108,28 +108,32 @@ class Terms:
         """A space before each term behind Hangul, and around each prefix between Hangul, as one after the other would put them."""
         if text is None or not self.words:
             return text
-        found = sorted((rank, end + 1 - len(self.words[rank][0])) for end, ranks in self.automaton.iter(text) for rank in ranks)
-        breaks: set[int] = set()  # of the words before the one in hand
-        own: set[int] = set()
-        rank_, free = -1, 0  # the word in hand, and from where on it may match again
-        for rank, start in found:
-            if rank != rank_:
-                breaks, own, rank_, free = breaks | own, set(), rank, 0
+        found: dict[int, list[int]] = {}  # for each word, where it starts behind Hangul
+        for end, ranks in self.automaton.iter(text):
+            for rank, size in ranks:
+                start = end + 1 - size
+                if start and "가" <= text[start - 1] <= "힣":
+                    found.setdefault(rank, []).append(start)
+        broken = bytearray(len(text) + 1)  # 1 at breaks of the words before the one in hand
+        breaks: set[int] = set()
+        for rank in sorted(found):
             word, prefix = self.words[rank]
-            end = start + len(word)
-            if start < free or start == 0 or not hangul(text[start - 1]) or any(k in breaks for k in range(start, end)):
-                continue
-            if prefix and (end in breaks or end == len(text) or not hangul(text[end])):
-                continue
-            own |= {start, end} if prefix else {start}
-            free = end
-        breaks |= own
-        parts = [text[i:j] for i, j in zip([0, *sorted(breaks)], [*sorted(breaks), len(text)], strict=True)]
-        return " ".join(parts)
-
-
-def hangul(c: str) -> bool:
-    return "가" <= c <= "힣"
+            size, own, free = len(word), [], 0  # from `free` on the word may match again
+            for start in found[rank]:
+                end = start + size
+                if start < free or broken.find(1, start, end + prefix) >= 0:
+                    continue
+                if prefix:
+                    if end == len(text) or not "가" <= text[end] <= "힣":
+                        continue
+                    own.append(end)
+                own.append(start)
+                free = end
+            for k in own:
+                broken[k] = 1
+            breaks.update(own)
+        places = sorted(breaks)
+        return " ".join([text[i:j] for i, j in zip([0, *places], [*places, len(text)], strict=True)])
 
 
 def terms_apart(text: Column, terms: Sequence[str], prefixes: Sequence[str] = ()) -> Column:

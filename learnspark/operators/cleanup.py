@@ -44,8 +44,9 @@ def cleaned(questions: DataFrame, overrides: DataFrame | None = None, key: str =
     else:
         rows = rows.withColumns({n: F.lit(None).cast("boolean" if c == "has_table" else "string") for c, n in names.items()})
     new, table = F.nullif("question_over", F.lit("")), F.when(F.col("has_table_over"), F.col("table_over"))
-    question = F.coalesce(new, _clean(F.col("question"), "question", terms, prefixes))
-    original = F.coalesce("original_over", F.when(new.isNotNull(), F.concat_ws("\n", new, F.nullif(table, F.lit("")))), _clean(F.col("original"), "originalQuestion", terms, prefixes))
+    question = F.coalesce(new, _clean(F.when(new.isNull(), F.col("question")), "question", terms, prefixes))
+    kept = F.when(new.isNull() & F.col("original_over").isNull(), F.col("original"))
+    original = F.coalesce("original_over", F.when(new.isNotNull(), F.concat_ws("\n", new, F.nullif(table, F.lit("")))), _clean(kept, "originalQuestion", terms, prefixes))
     own_table = F.when(F.coalesce("table", F.lit("")) != "", _clean(F.col("table"), "table", terms, prefixes)).otherwise(F.col("table"))
     out = rows.withColumns({"question": question, "original": original, "table": F.when(F.coalesce("has_table_over", F.lit(False)), F.col("table_over")).otherwise(own_table), "choices": _clean_choices(terms, prefixes)})
     return out.drop(*names.values())

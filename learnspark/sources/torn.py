@@ -57,8 +57,8 @@ def _marked(*parts) -> Column:
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, body): whole documents as questions, their choices laid out in one of eleven ways by the doc_id."""
-    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("none"))).alias("w"))
+    bare = F.btrim("text", F.lit(" \n\t"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(bare != "", F.split(bare, r"[ \n\t]+")).otherwise(F.array(F.lit("none"))).alias("w"))
     w = F.col("w")
     word, won, second = (lambda k: _word(w, k)), (lambda k: _won(w, k)), (lambda k: _won(w, k + 5))
     at = lambda k: F.concat(F.lit(f" {MARKS[k - 1]} "), _won(w, k))

@@ -44,9 +44,10 @@ def interpolated(markers: DataFrame, id_col: str, most: int = 3) -> DataFrame:
     w = Window.partitionBy(id_col).orderBy("number")
     n = markers.select(id_col, "number", "position", F.lead("number").over(w).alias("n2"), F.lead("position").over(w).alias("p2"))
     gap = F.when((F.col("n2") - F.col("number")).between(2, most), F.sequence(F.col("number") + 1, F.col("n2") - 1))
-    new = n.select(id_col, "number", "position", "n2", "p2", F.explode(gap).alias("k"))
-    at = F.col("position") + ((F.col("p2") - F.col("position")) * (F.col("k") - F.col("number")) / (F.col("n2") - F.col("number"))).cast("long")
-    return markers.select(id_col, "number", "position").union(new.select(id_col, "k", at))
+    at = lambda k: F.col("position") + ((F.col("p2") - F.col("position")) * (k - F.col("number")) / (F.col("n2") - F.col("number"))).cast("long")
+    new = F.transform(gap, lambda k: F.struct(k.alias("number"), at(k).alias("position")))
+    own = F.array(F.struct("number", "position"))
+    return n.select(id_col, F.explode(F.when(gap.isNotNull(), F.concat(own, new)).otherwise(own)).alias("x")).select(id_col, "x.*")
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,12 +80,12 @@ def markers(docs: DataFrame, id_col: str, text_col: str, low: int, high: int) ->
     text = F.col(text_col)
     marks, between = F.regexp_extract_all(text, F.lit(MARK), 0), F.transform(F.split(text, MARK, -1), lambda y: F.length(y))
     both = F.arrays_zip(marks.alias("mark"), F.slice(between, F.lit(1), F.size(marks)).alias("gap"))
-    one = docs.select(id_col, F.posexplode(both).alias("at", "x")).select(id_col, "at", "x.mark", "x.gap", F.length("x.mark").alias("size"))
+    one = docs.where(F.col(id_col).isNotNull()).select(id_col, F.posexplode(both).alias("at", "x")).select(id_col, "at", "x.mark", "x.gap", F.length("x.mark").alias("size"))
     before = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = one.select(id_col, F.rtrim("mark", F.lit(".")).cast("int").alias("number"), (F.sum(F.col("gap") + F.col("size")).over(before) - F.col("size")).alias("position"))
-    found = placed.where(F.col("number").between(low, high)).groupBy(id_col, "number").agg(F.array_sort(F.collect_list("position")).alias("all"))
-    start = found.where(F.col("number") == low).select(id_col, F.col("all")[0].alias("start"))
-    return found.join(start, id_col).select(id_col, "number", F.get(F.filter("all", lambda p: p >= F.col("start")), F.lit(0)).alias("position")).where("position is not null")
+    start = F.min(F.when(F.col("number") == low, F.col("position"))).over(Window.partitionBy(id_col))
+    found = placed.where(F.col("number").between(low, high)).withColumn("start", start).where("position >= start")
+    return found.groupBy(id_col, "number").agg(F.min("position").alias("position"))
 
 
 def bodies(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -32,6 +32,7 @@ def slices(texts: DataFrame, key: str, text: str, low: int = 41, high: int = 80,
     Numbers lacking between close neighbours are put in by their places. Numbers and units are those of
     the body without footers and its own number. The text of a key is joined once, not once a number, and read once.
     """
+    texts = texts.where(F.col(key).isNotNull())  # on both sides of the join, so that these are one shuffle
     marks = extract.interpolated(extract.markers(texts, key, text, low, high), key)
     packed = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "number"))).alias("spans"))
     rows = texts.select(key, text).join(packed, key).withColumn("pieces_", _cut(F.col(text), F.col("spans.position")))

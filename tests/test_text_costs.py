@@ -64,3 +64,11 @@ def test_only_undecided_texts_go_to_python(spark, monkeypatch):
     assert rows.select(extract.coverage(F.col("a"), F.col("b")).alias("x"), "c").where("x <> c or x is null").count() == 0
     again = extract.with_coverage(rows, "x", F.col("a"), F.col("b"))
     assert again.columns == ["a", "b", "c", "x"] and again.where("x <> c or x is null").count() == 0
+
+
+def test_texts_are_searched_for_marks_once(spark):
+    texts = spark.createDataFrame([(1, "40. 41. a 43. b 41. c 42x 44. d"), (2, "42. none"), (None, "41. a")], "year int, text string")
+    marks = extract.interpolated(extract.markers(texts, "year", "text", 41, 80), "year")
+    assert sorted(map(tuple, marks.collect())) == [(1, 41, 4), (1, 42, 7), (1, 43, 10), (1, 44, 26)]
+    plan = marks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

exam_tables: lines are split by compiled patterns, rows of cells are text

Symptom: exam_tables took 724 CPU seconds a GB at 0.51 GB of documents (the profiler), three quarters of it in reading tables, not in making their texts.
Evidence: CPU seconds of tasks on the documents of sf0.1: input 2.3, whole query 9.7. Counting the cells of each line by a split with a pattern of look-arounds was the largest part (3.5): Spark compiles such a pattern anew for each call. The cells of a table's lines were then split again, lines and marks zipped into structs, and rows held as arrays of arrays, which each step copies.
Fix: gaps are found by patterns that are compiled once (rlike, regexp_replace) and that fail at once where no blank is; each line's tests run once, in the order of a decision table; rows are text with tabs and line breaks, as the grid is, and Markdown is made of it by replacing tabs. Results equal a brute-force reading of 6,000 random bodies, and are the same for exam_tables, choice_grids, exam_records and source_comparison on the tables with nulls and with rows twice.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 650 -> 455 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 58 -> 40 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 3591 -> 2517 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 79 -> 58 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 170 -> 131 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 14 -> 10 s, most memory of a task 0 -> 0 MB.

@@ -16,8 +16,10 @@ HEADER_WORDS = ("차변", "대변", "구분", "일자", "적요", "예산", "실
 ENTRIES = ("(차변)", "(대변)")
 YEARS_ONLY = r"^(?:년\s*)?(?:20[×xX]\d{1,2}\s*년\s*){1,4}20[×xX]\d{1,2}\s*$"
 QUESTION = rf"^(?:\d{{1,2}}\.|[{ANY_MARK}])"
-FACTOR = r"\d+\.\d{3,4}"
-BETWEEN_CELLS = r"\s{2,}|\t|(?<=\d)\s+(?=\D)|(?<=\D)\s+(?=\d)"
+FACTOR = r"\d\.\d{3}"
+#: Between cells of a line without tabs: a wide gap, or a blank between a digit and another character. It starts with what most characters are not.
+GAP = r"\s(?:\s+|(?<=\d\s)(?=\D)|(?<=\D\s)(?=\d))"
+TWO_GAPS = rf"(?s)(?>{GAP}).*?{GAP}"
 PLACE = "[TABLE]"
 LONGEST_HEADER = 140
 
@@ -28,33 +30,38 @@ def _some(parts: Column) -> Column:
 
 def cells(line: Column) -> Column:
     """The cells of a line: by tabs, by wide gaps and between digits and others, or by bars."""
-    return let(stripped(line), _cells)
+    return let(stripped(line), lambda x: F.filter(F.split(_cells(x), "\t"), lambda c: c != ""))
 
 
 def _cells(line: Column) -> Column:
+    """The cells of a line without blanks around it as one text, by tabs. Gaps end at no blank, so that no cell is blank; patterns are compiled once, which a split by them is not."""
     barred = _some(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"))
-    parts = let(_some(F.split(line, BETWEEN_CELLS)), lambda p: F.when((F.size(p) < 2) & line.contains("|"), barred).otherwise(p))
-    return F.when(line.contains("\t"), _some(F.split(line, "\t"))).otherwise(parts)
+    tabs, bars = F.array_join(_some(F.split(line, "\t")), "\t"), F.array_join(barred, "\t")
+    return F.when(line.contains("\t"), tabs).when(_by_bars(line), bars).otherwise(F.regexp_replace(line, GAP, "\t"))
+
+
+def _by_bars(line: Column) -> Column:
+    return line.contains("|") & ~line.rlike(GAP)
 
 
 def line_class(line: Column) -> Column:
     """H, D, B or X of a line without blanks around it; words and cells are looked for where they can make a difference."""
-    digit, entry, word = line.rlike(r"\d"), F.left(line, F.lit(4)).isin(*ENTRIES), has_any(line, HEADER_WORDS)
+    entry, word = F.lit(False), has_any(line, HEADER_WORDS)
+    for e in ENTRIES:
+        entry = entry | line.startswith(e)
+    two, three = _has_gaps(line, GAP, "\t"), _has_gaps(line, TWO_GAPS, r"(?s)\t.*\t")
+    factor = line.contains(".") & line.rlike(FACTOR)
     short = (F.length(line) <= LONGEST_HEADER) | line.startswith("(차변)")
-    told = F.when(line == "", "B").when(line == PLACE, "H").when(F.left(line, F.lit(3)).rlike(QUESTION) | ~(digit | entry | (short & word)), "X")
-    return F.coalesce(told, let(_few_cells(line), lambda n: _line_class(line, n, digit, entry, word, short)))
-
+    years = line.contains("년") & F.replace(line, F.lit(" "), F.lit("")).rlike(YEARS_ONLY)
+    header = lambda fits: short & fits & ~has_any(line, "?？") & ~years
+    numbers = F.when(entry | two | factor, F.when(header(entry | three | factor | word), "H").otherwise("D")).otherwise("X")
+    told = F.when(line == "", "B").when(line == PLACE, "H").when(F.left(line, F.lit(3)).rlike(QUESTION), "X")
+    return told.when(line.rlike(r"\d"), numbers).when(entry, F.when(header(entry), "H").otherwise("D")).when(header(word & two), "H").otherwise("X")
 
-def _few_cells(line: Column) -> Column:
-    """The number of cells, where it is three or more any of those: splits end at white space, so that no part of a split is blank."""
-    return let(F.size(F.split(line, BETWEEN_CELLS, 3)), lambda n: F.when(line.contains("\t") | ((n < 2) & line.contains("|")), F.size(_cells(line))).otherwise(n))
 
-
-def _line_class(line: Column, n: Column, digit: Column, entry: Column, word: Column, short: Column) -> Column:
-    plain = ~line.rlike("[?？]") & ~F.replace(line, F.lit(" "), F.lit("")).rlike(YEARS_ONLY)
-    header = short & plain & (entry | ((n >= 2) & word) | ((n >= 3) & digit) | line.rlike(FACTOR))
-    data = entry | ((n >= 2) & digit) | line.rlike(FACTOR)
-    return F.when(header, "H").when(data, "D").otherwise("X")
+def _has_gaps(line: Column, gaps: str, tabs: str) -> Column:
+    """Whether a line has the gaps, or the tabs between its cells where it has other ones than gaps."""
+    return F.when(line.contains("\t") | _by_bars(line), _cells(line).rlike(tabs)).otherwise(line.rlike(gaps))
 
 
 def table(body: Column) -> Column:
@@ -63,40 +70,43 @@ def table(body: Column) -> Column:
     A line of one cell goes to the row above it. One row alone is a table only where it has two lines or more.
     """
     lines = F.transform(F.split(body, "\r?\n"), stripped)
-    islands = lambda x: F.split(F.regexp_replace(F.array_join(F.transform(x, line_class), ""), r"(?:(?<=H)|(?!^)\G)[DB]", "T"), "")
-    marked = let(lines, lambda x: F.arrays_zip(x.alias("line"), islands(x).alias("mark")))
-    return let(marked, lambda x: _table(body, x))
+    marks = lambda x: F.split(F.regexp_replace(F.array_join(F.transform(x, line_class), ""), r"(?:(?<=H)|(?!^)\G)[DB]", "T"), "")
+    return let(lines, lambda x: let(marks(x), lambda m: _table(body, x, m)))
 
 
-def _table(body: Column, lines: Column) -> Column:
-    own = lambda x: x["mark"].isin("H", "T")
-    inside = F.transform(F.filter(lines, lambda x: own(x) & (x["line"] != "") & (x["line"] != PLACE)), lambda x: x["line"])
-    rest = stripped(F.array_join(F.transform(F.filter(lines, lambda x: ~own(x)), lambda x: x["line"]), "\n"))
+def _table(body: Column, lines: Column, marks: Column) -> Column:
+    own = lambda i: F.get(marks, i).isin("H", "T")
+    inside = F.filter(lines, lambda x, i: own(i) & (x != "") & (x != PLACE))
+    rest = stripped(F.array_join(F.filter(lines, lambda _, i: ~own(i)), "\n"))
     found = let(inside, lambda i: let(F.transform(i, _cells), lambda p: let(_rows(p), lambda r: _drawn(i, p, r))))
     none = F.struct(body.alias("rest"), F.lit(None).cast("string").alias("grid"), F.lit(None).cast("string").alias("markdown"))
     return let(found, lambda x: F.when(x["grid"].isNotNull(), F.struct(rest.alias("rest"), x["grid"].alias("grid"), x["markdown"].alias("markdown"))).otherwise(none))
 
 
 def _rows(parts: Column) -> Column:
-    """Rows of cells; a line of one cell goes to the row above it, and nowhere if there is none."""
-    starts = F.filter(F.transform(parts, lambda p, i: F.when(F.size(p) >= 2, i + 1)), lambda i: i.isNotNull())
-    return let(starts, lambda s: F.transform(s, lambda at, k: F.flatten(F.slice(parts, at, F.coalesce(F.get(s, k + 1), F.size(parts) + 1) - at))))
+    """Rows of cells as one text, by lines and tabs; a line of one cell goes to the row above it, and nowhere if there is none."""
+    placed = F.transform(parts, lambda p: F.when(p.contains("\t"), F.concat(F.lit("\n"), p)).when(p != "", F.concat(F.lit("\t"), p)).otherwise(p))
+    return F.regexp_replace(F.array_join(placed, ""), r"^[^\n]*\n?", "")
 
 
 def _drawn(inside: Column, parts: Column, rows: Column) -> Column:
-    some = F.filter(parts, lambda p: F.size(p) > 0)
-    grid = F.when(F.size(rows) >= 2, F.array_join(F.transform(rows, lambda r: F.array_join(r, "\t")), "\n")).when(F.size(inside) >= 2, F.array_join(inside, "\n"))
-    return F.struct(grid.alias("grid"), markdown(F.when(F.size(rows) >= 2, rows).otherwise(some)).alias("markdown"))
+    some, several = F.filter(parts, lambda p: p != ""), rows.contains("\n")
+    grid = F.when(several, rows).when(F.size(inside) >= 2, F.array_join(inside, "\n"))
+    return F.struct(grid.alias("grid"), markdown(F.when(several, F.split(rows, "\n")).otherwise(some)).alias("markdown"))
 
 
 def markdown(rows: Column) -> Column:
-    """Rows as a Markdown table as wide as the first one; empty where there are fewer than two."""
-    first = F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>"))
-    return let(first, lambda x: _markdown(rows, x, F.size(x)))
+    """Rows, their cells by tabs, as a Markdown table as wide as the first one; empty where there are fewer than two."""
+    return let(F.get(rows, F.lit(0)), lambda first: let(_tabs(first), lambda n: _markdown(rows, first, n)))
+
+
+def _tabs(row: Column) -> Column:
+    return F.octet_length(row) - F.octet_length(F.replace(row, F.lit("\t"), F.lit("")))
 
 
-def _markdown(rows: Column, first: Column, width: Column) -> Column:
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    wide = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), 1, width)
-    rule = line(F.array_repeat(F.lit("---"), width))
-    return F.when(F.size(rows) >= 2, F.array_join(F.concat(F.array(line(first), rule), F.transform(F.slice(rows, 2, 1 << 30), lambda r: line(wide(r)))), "\n")).otherwise("")
+def _markdown(rows: Column, first: Column, tabs: Column) -> Column:
+    as_wide = lambda r: F.concat(F.call_function("substring_index", r, F.lit("\t"), tabs + 1), F.repeat(F.lit("\t"), tabs - _tabs(r)))
+    others = F.transform(F.slice(rows, 2, 1 << 30), lambda r: F.when(_tabs(r) == tabs, r).otherwise(as_wide(r)))
+    lines = F.concat(F.array(first, F.concat(F.lit("---"), F.repeat(F.lit("\t---"), tabs))), others)
+    drawn = F.concat(F.lit("| "), F.replace(F.array_join(lines, " |\n| "), F.lit("\t"), F.lit(" | ")), F.lit(" |"))
+    return F.when(F.size(rows) >= 2, drawn).otherwise("")

@@ -1,8 +1,11 @@
 """Values that several rules look at are worked out once: seen in plans, and in results on odd rows."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from learnspark.functions import patterns
+from learnspark.functions import patterns, tables
 
 
 def optimized(rows):
@@ -40,3 +43,72 @@ def test_reasons_of_odd_rows(spark):
         ("x", "x", None, None, none),
     ]
     assert [r.reason for r in reasoned(spark, [r[:4] for r in rows]).coalesce(1).collect()] == [r[4] for r in rows]
+
+
+BETWEEN_CELLS = re.compile(r"\s{2,}|(?<=\d)\s(?=\D)|(?<=\D)\s(?=\d)", re.ASCII)
+BLANKS = " \t\n\v\f\r"
+
+
+def cells(line):
+    """Cells by plain splits."""
+    some = lambda parts: [x for x in (p.strip(BLANKS) for p in parts) if x]
+    if "\t" in line:
+        return some(line.split("\t"))
+    parts = some(BETWEEN_CELLS.split(line))
+    return some(re.sub(r"\A\|+|\|+\Z", "", line).split("|")) if len(parts) < 2 and "|" in line else parts
+
+
+def line_class(line):
+    if line in ("", "[TABLE]"):
+        return "H" if line else "B"
+    n, digit, entry = len(cells(line)), re.search("[0-9]", line), line.startswith(("(차변)", "(대변)"))
+    word, factor = any(w in line for w in tables.HEADER_WORDS), re.search(r"[0-9]+\.[0-9]{3,4}", line)
+    short = len(line) <= 140 or line.startswith("(차변)")
+    if re.match(r"[0-9]{1,2}\.|[①-⑤]", line):
+        return "X"
+    years = re.match(r"(?:년\s*)?(?:20[×xX][0-9]{1,2}\s*년\s*){1,4}20[×xX][0-9]{1,2}\s*\Z", line.replace(" ", ""), re.ASCII)
+    if short and not re.search("[?？]", line) and not years and (entry or (n >= 2 and word) or (n >= 3 and digit) or factor):
+        return "H"
+    return "D" if entry or (n >= 2 and digit) or factor else "X"
+
+
+def table(body):
+    lines, inside, rest, above = [x.strip(BLANKS) for x in re.split("\r?\n", body)], [], [], False
+    for line in lines:
+        kind = line_class(line)
+        above = kind == "H" or (above and kind != "X")
+        (inside if above else rest).append(line)
+    inside = [x for x in inside if x not in ("", "[TABLE]")]
+    rows, parts = [], [cells(x) for x in inside]
+    for p in parts:
+        if len(p) >= 2:
+            rows.append([*p])
+        elif rows:
+            rows[-1] += p
+    grid = "\n".join("\t".join(r) for r in rows) if len(rows) >= 2 else "\n".join(inside) if len(inside) >= 2 else None
+    if grid is None:
+        return body, None, None
+    drawn = rows if len(rows) >= 2 else [p for p in parts if p]
+    if len(drawn) < 2:
+        return "\n".join(rest).strip(BLANKS), grid, ""
+    n = len(drawn[0])
+    wide = [drawn[0], ["---"] * n, *[(r + [""] * n)[:n] for r in drawn[1:]]]
+    return "\n".join(rest).strip(BLANKS), grid, "\n".join(f"| {' | '.join(r)} |" for r in wide)
+
+
+def test_tables_are_those_of_plain_splits(spark):
+    r = random.Random(5)
+    bits = ["차변", "구분", "(대변)", "(차변) 1", "년", "20×1", "20x2년", "가", "b", "1", "12", "0.9091", "0.25", "1.2345", "1,000", "?", "①", "3.", "41.", "[TABLE]", "|", "||", "\t", "\t\t", " ", " ", "  ", "   ", "\f", "\r", "\v", "\u3000", "\u00a0", "\u0661", "😀", "\n", "\n", "\r\n", "글" * 150]
+    bodies = ["", " ", "\n", "|", "||\n||", "\t", "구분 1 a\n|", "a 1 b\n1 2 3\n|\n가", "[TABLE]\n[TABLE]", *["".join(r.choices(bits, k=r.randint(1, 60))) for _ in range(6000)]]
+    rows = spark.createDataFrame([(b,) for b in [*bodies, None]], "b string").repartition(4).select("b", tables.table(F.col("b")).alias("t")).collect()
+    got = {x.b: tuple(x.t) for x in rows}
+    assert got.pop(None) == (None, None, None)
+    wrong = [(b, t, table(b)) for b, t in got.items() if t != table(b)]
+    assert not wrong, wrong[:2]
+    assert sum(t[1] is not None for t in got.values()) > 1000
+
+
+def test_lines_are_not_split_by_patterns(spark):
+    """A split compiles its pattern for each line."""
+    plan = optimized(spark.createDataFrame([("a",)], "b string").select(tables.table(F.col("b"))))
+    assert "arrays_zip" not in plan and not re.search(r"split\(lambda x_\d+#\d+, [^,]*\(\?", plan)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from learnspark.functions.text import ANY_MARK, EXTRACTION_FOOTERS, let, remove_footer, stripped
+from learnspark.functions.text import ANY_MARK, EXTRACTION_FOOTERS, has_any, let, remove_footer, stripped
 
 # Marks, amounts, years, headers and words of the exam texts.
 MARKS = "①②③④⑤"
@@ -24,6 +24,8 @@ COMBINATION = r"[ㄱ-ㅎㅁ]|그|L|드|근|I|II|H"
 BOND_WORDS = ("액면가치", "시장이자율", "상환가치", "연금현재가치", "내재이자율", "단일금액")
 PAIR_OF_AMOUNTS = r"^W[\d,]+,?\s*W[\d,]+$"
 LONGEST = 600
+#: A text whose first mark starts a line, blanks before it or not.
+FIRST_OF_LINE = rf"\A(?:[^{ANY_MARK}]*\n)?+[ \t\x0B\f\r]*[{ANY_MARK}]"
 
 
 def none() -> Column:
@@ -75,19 +77,20 @@ def from_choices(body: Column) -> Column:
 
 def headers(body: Column) -> Column:
     """Names of the columns of choices: two years, two letters, or the words of the last line above them."""
-    return let(before_choices(body), lambda above: let(_flat(above), lambda flat: let(F.right(flat, F.lit(120)), lambda end: _headers(above, flat, end))))
+    return let(before_choices(body), lambda above: let(F.right(above, F.lit(200)), lambda near: let(_flat(F.right(near, F.lit(120))), lambda end: _headers(above, near, end))))
 
 
-def _headers(above: Column, flat: Column, end: Column) -> Column:
-    fours = _all(F.regexp_replace(flat, rf"(?i)({YEAR})\s+년", "$1년"), FOUR_YEARS)
+def _headers(above: Column, near: Column, end: Column) -> Column:
+    """The text above is put on one line only where it has words that are looked for there."""
+    fours = _all(F.regexp_replace(_flat(above), rf"(?i)({YEAR})\s+년", "$1년"), FOUR_YEARS)
     year = lambda y: F.concat(y, F.lit("년"))
-    four = let(F.when(flat.contains("년"), fours), lambda x: F.transform(F.slice(_all(_times(F.get(x, F.size(x) - 1)), YEAR), 1, 2), year))
-    years = F.array_distinct(F.transform(_all(F.right(above, F.lit(200)), YEAR), _times))
+    four = let(F.when(above.contains("년"), fours), lambda x: F.transform(F.slice(_all(_times(F.get(x, F.size(x) - 1)), YEAR), 1, 2), year))
+    years = F.array_distinct(F.transform(_all(near, YEAR), _times))
     two = let(years, lambda x: F.when(F.size(x) >= 2, F.transform(F.slice(x, 1, 2), year)))
     fixed = lambda *names: F.array(*map(F.lit, names))
     named = (
-        F.when((flat.contains("(A)") | flat.contains("(a)")) & flat.rlike(r"(?i)\(A\).*\(B\)"), fixed("(A)", "(B)"))
-        .when((F.size(_all(end, "할인액")) >= 2) & end.contains("처분손실"), fixed("할인액", "처분손실"))
+        F.when((above.contains("(A)") | above.contains("(a)")) & _flat(above).rlike(r"(?i)\(A\).*\(B\)"), fixed("(A)", "(B)"))
+        .when(end.contains("처분손실") & (F.size(_all(end, "할인액")) >= 2), fixed("할인액", "처분손실"))
         .when(end.contains("법인세비용") & end.contains("이연법인세"), fixed("법인세비용", "이연법인세자산", "이연법인세부채"))
     )
     return F.coalesce(four, two, named, none())
@@ -143,7 +146,8 @@ def _grid_cells(tail: Column) -> Column:
         both = F.regexp_extract(tail, rf"{mark}\s*({AMOUNT})(?:\s*\n\s*({AMOUNT}))?", 0)
         return let(both, lambda x: F.when(x != "", F.struct(F.lit(mark).alias("mark"), _all(x, AMOUNT).alias("parts"))))
 
-    return F.filter(F.array(*map(of, MARKS)), lambda x: x.isNotNull())
+    found = F.filter(F.array(*map(of, MARKS)), lambda x: x.isNotNull())
+    return F.when(tail.contains("W"), found).otherwise(F.array().cast("array<struct<mark:string,parts:array<string>>>"))
 
 
 class Body:
@@ -184,7 +188,7 @@ def circled(b: Body) -> Column:
 
 def won(b: Body) -> Column:
     """Lines with a mark and an amount, or marks with amounts anywhere."""
-    own = F.filter(_lines(b.text), lambda x: _marked(x) & x.rlike(rf"^[{ANY_MARK}]\s*."))
+    own = F.filter(b.lines, lambda x, i: _marked(x) & x.rlike(rf"^[{ANY_MARK}]\s*.") & ((i > 0) | b.text.rlike(FIRST_OF_LINE)))
     values = F.transform(own, lambda x: _clean(in_columns(F.array(stripped(F.substring(x, 2, 1 << 30))), b.names)))
     amounts = F.filter(values, lambda x: x.contains("W") | x.rlike(THOUSANDS))
     inline = F.transform(_all(_flat(b.tail), rf"[{ANY_MARK}]\s*((?:W[\d,]+(?:\s*,?\s*)?)+)", 1), lambda x: _one_line(in_columns(F.array(x), b.names)))
@@ -193,7 +197,7 @@ def won(b: Body) -> Column:
 
 def hashes(b: Body) -> Column:
     items = F.filter(_all(_flat(b.text), r"#\s*([^#]{1,220}?)(?=\s*#|$)", 1), lambda x: stripped(x) != "")
-    return let(F.transform(items, lambda x: _one_line(F.regexp_replace(x, "^[ .]+|[ .]+$", ""))), _five)
+    return F.when(b.text.contains("#"), let(F.transform(items, lambda x: _one_line(F.regexp_replace(x, "^[ .]+|[ .]+$", ""))), _five))
 
 
 def combinations(b: Body) -> Column:
@@ -201,14 +205,14 @@ def combinations(b: Body) -> Column:
     after = F.regexp_extract(_one_line(F.regexp_extract(b.text, r"(?s)[?？].*$", 0)), r"[?？]\s*(?:\([^)]*\))?\s*(.+)$", 1)
     misread = _all(after, rf"[{ANY_MARK}]?\s*({COMBINATION})[^{ANY_MARK}]{{0,120}}", 1)
     plain = _all(after, rf"[{ANY_MARK}]\s*([ㄱ-ㅎㅁ][^{ANY_MARK}]{{0,120}})", 1)
-    return F.coalesce(*[let(F.transform(x, _one_line), _five) for x in (misread, plain)])
+    return F.when(has_any(b.text, "?？"), F.coalesce(*[F.transform(let(x, _five), _one_line) for x in (misread, plain)]))
 
 
 def statements(b: Body) -> Column:
-    """Sentences of eight characters or more."""
-    parts = F.split(_flat(F.when(b.tail != "", b.tail).otherwise(b.text)), r"(?<=[.:])\s+")
+    """Sentences of eight characters or more; the pattern between them starts with what most characters are not."""
+    parts = F.split(_flat(F.when(b.tail != "", b.tail).otherwise(b.text)), r"\s(?<=[.:]\s)\s*")
     bare = F.transform(parts, lambda x: F.regexp_replace(x, "^[ .:]+|[ .:]+$", ""))
-    return let(F.transform(F.filter(bare, lambda x: F.length(x) >= 8), _one_line), _five)
+    return F.transform(let(F.filter(bare, lambda x: F.length(x) >= 8), _five), _one_line)
 
 
 def bond_tables(b: Body) -> Column:

@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from learnspark.functions import patterns, tables
+from learnspark.functions import choices, patterns, tables
+from learnspark.operators import extract
 
 
 def optimized(rows):
@@ -112,3 +113,51 @@ def test_lines_are_not_split_by_patterns(spark):
     """A split compiles its pattern for each line."""
     plan = optimized(spark.createDataFrame([("a",)], "b string").select(tables.table(F.col("b"))))
     assert "arrays_zip" not in plan and not re.search(r"split\(lambda x_\d+#\d+, [^,]*\(\?", plan)
+
+
+def parsed(spark, texts):
+    """Each text with its choices, what `won`, `hashes`, `combinations` and `statements` read alone, its names and cells."""
+    b = F.col("b")
+    rows = spark.createDataFrame([(t,) for t in texts], "b string").repartition(1).withColumns({"n": choices.headers(b), "t": choices.from_choices(b)})
+    rows = rows.withColumns({"l": choices.tail_lines(F.col("t")), "c": choices.grid_cells(F.col("t"))})
+    rows = rows.withColumn("k", choices.blocks(F.col("l")))
+    body = choices.Body("b", "n", "t", "l", "k", "c")
+    return rows.select("b", "n", "c", *[way(body).alias(way.__name__) for way in (choices.won, choices.hashes, choices.combinations, choices.statements)])
+
+
+def test_marked_lines_are_those_of_the_whole_text(spark):
+    five = "".join(f"{m} W{k},000\n" for k, m in enumerate("①②③④⑤", 1))
+    amounts = [f"W{k},000" for k in range(1, 6)]
+    cases = {
+        f"값은?\n{five}": amounts,
+        f"값은?\r\n \t{five}": amounts,
+        f"\n\n{five}": amounts,
+        five: amounts,
+        f" \f{five}": amounts,
+        f"값은? {five}⑤ W6,000": [*amounts[1:], "W6,000"],  # the first mark ends a line: its amount is not on a line of its own
+        f"값은?\u3000{five}⑤ W6,000": [*amounts[1:], "W6,000"],
+        f"값은? {five}": amounts,  # by marks with amounts anywhere
+        f"\n1\n값은? {five.replace('W', '')}": None,
+        "\n" * 3000 + f"값 {five}⑤ W6,000": [*amounts[1:], "W6,000"],
+    }
+    assert {r.b: r.won for r in parsed(spark, [*cases]).collect()} == cases
+
+
+def test_choices_of_odd_texts(spark):
+    texts = ("", "#", "# a # b # c # d # e", "? ㄱ ① ㄴ ② ㄷ ③ ㄹ ④ ㅁ ⑤", "가나다라마바사아. " * 5, "가나다라마바사아:\n\r " * 5, ". . 가나다라마바사. 1234567.8 90: abcdefgh", "① (a) (B)", "(a)\n(b)①", "(a) (b)①", None)
+    got = {r.b: r for r in parsed(spark, texts).collect()}
+    assert got[texts[2]].hashes == list("abcde") and got["#"].hashes is None and got[None].hashes is None
+    assert got[texts[3]].combinations == list("ㄱㄴㄷㄹㅁ") and got[None].combinations is None
+    assert got[texts[4]].statements == ["가나다라마바사아"] * 5 == got[texts[5]].statements
+    assert got[texts[6]].statements is None and got[""].statements is None
+    assert [got[t].n for t in texts[7:]] == [[], ["(A)", "(B)"], ["(A)", "(B)"], []]
+    assert all(r.c == [] for r in got.values())
+    cells = {r.b: [(x.mark, x.parts) for x in r.c] for r in parsed(spark, ["① W1\nW2 ② 3 ③W4.5", "① 1"]).collect()}
+    assert cells == {"① W1\nW2 ② 3 ③W4.5": [("①", ["W1", "W2"]), ("③", ["W4.5"])], "① 1": []}
+
+
+def test_whole_texts_are_not_cut_into_lines_for_choices(spark):
+    rows = extract.with_choices(spark.createDataFrame([("a",)], "body string"), "body").select("choices")
+    plan = optimized(rows)
+    assert not re.search(r"split\(body#\d+, \r\?\n", plan)
+    assert re.search(r"Contains\(body#\d+, #\)", plan)

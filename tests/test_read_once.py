@@ -161,3 +161,11 @@ def test_whole_texts_are_not_cut_into_lines_for_choices(spark):
     plan = optimized(rows)
     assert not re.search(r"split\(body#\d+, \r\?\n", plan)
     assert re.search(r"Contains\(body#\d+, #\)", plan)
+
+
+def test_bars_inside_a_line_stay(spark):
+    lines = ["|a|", "||a||b||", "a||b", "|||", "a|||", "|||a", "|", "a|\u2028", "a||\u2028", "||a|b|c||\u2028", "a |", "1" + "|" * 3000 + "b"]
+    got = {r.b: r.c for r in spark.createDataFrame([(x,) for x in lines], "b string").select("b", tables.cells(F.col("b")).alias("c")).collect()}
+    assert got == dict(zip(lines, [["a"], ["a", "b"], ["a", "b"], [], ["a"], ["a"], [], ["a\u2028"], ["a\u2028"], ["a", "b", "c\u2028"], ["a"], ["1", "b"]], strict=True))
+    plan = optimized(spark.createDataFrame([("a",)], "b string").select(tables.cells(F.col("b"))))
+    assert r"|\|+$" not in plan  # would go over a row of bars from each of them
